@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from kinfold.llm import quality
+from kinfold.llm import chat, licenses, mixing, quality
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op3_mixing": mixing.op3_mixing,
+    "op5_licenses": licenses.op5_licenses,
+    "op8_chat": chat.op8_chat,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mixing": mixing.OP3_SQL,
+    "op5_licenses": licenses.OP5_SQL,
+    "op8_chat": chat.OP8_SQL,
+}
