@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from kinfold.llm import chat, licenses, mixing, quality
+from kinfold.llm import bpe, chat, licenses, mixing, quality
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_bpe": bpe.op2_bpe,
     "op3_mixing": mixing.op3_mixing,
     "op5_licenses": licenses.op5_licenses,
     "op8_chat": chat.op8_chat,
