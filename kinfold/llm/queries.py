@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kinfold.llm import bpe, chat, licenses, mixing, quality
+from kinfold.llm import bpe, chat, langid, licenses, mixing, quality
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_bpe": bpe.op2_bpe,
     "op3_mixing": mixing.op3_mixing,
     "op5_licenses": licenses.op5_licenses,
+    "op6_langid": langid.op6_langid,
     "op8_chat": chat.op8_chat,
 }
 
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.OP3_SQL,
     "op5_licenses": licenses.OP5_SQL,
+    "op6_langid": langid.op6_langid,
     "op8_chat": chat.OP8_SQL,
 }
