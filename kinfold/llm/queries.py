@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinfold.llm import bpe, chat, langid, licenses, mixing, quality, token_files
+from kinfold.llm import bpe, chat, langid, licenses, mixing, neighbours, quality, token_files
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_licenses": licenses.op5_licenses,
     "op6_langid": langid.op6_langid,
     "op8_chat": chat.op8_chat,
+    "op9_neighbours": neighbours.op9_neighbours,
     "op10_token_files": token_files.op10_token_files,
 }
 
