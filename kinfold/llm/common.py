@@ -3,44 +3,16 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Java pattern of the white space between words; everything else belongs to a word.
-SPACE = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="kinfold-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
+from kinfold.session import cut, fresh_path, shared_dir, write_table
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/kinfold/{name}-{uuid.uuid4().hex}"
+__all__ = ["SPACE", "cut", "documents", "fresh_path", "join_small", "let", "shared_dir", "word_list", "write_table"]
 
-
-def write_table(df: DataFrame, name: str, partition_by: str | None = None, compression: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    writer = df.write.option("compression", compression)
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder, for the small tables of iterations."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+#: Java pattern of the white space between words; everything else belongs to a word.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = 200_000, salts: int = 32) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinfold.llm import bpe, chat, langid, licenses, mixing, neighbours, quality, token_files
+from kinfold.llm import bpe, chat, langid, licenses, mixing, neighbours, ngram_join, quality, token_files
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op5_licenses": licenses.op5_licenses,
     "op6_langid": langid.op6_langid,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_chat": chat.op8_chat,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_token_files": token_files.op10_token_files,
@@ -20,5 +21,6 @@ ORACLES: dict[str, str] = {
     "op3_mixing": mixing.OP3_SQL,
     "op5_licenses": licenses.OP5_SQL,
     "op6_langid": langid.op6_langid,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_chat": chat.OP8_SQL,
 }
