@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kinfold.llm import bpe, chat, langid, licenses, mixing, neighbours, ngram_join, quality, token_files
+from kinfold.llm import bpe, chat, katz, langid, licenses, mixing, neighbours, ngram_join, quality, token_files
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_bpe": bpe.op2_bpe,
     "op3_mixing": mixing.op3_mixing,
+    "op4_katz": katz.op4_katz,
     "op5_licenses": licenses.op5_licenses,
     "op6_langid": langid.op6_langid,
     "op7_ngram_join": ngram_join.op7_ngram_join,
@@ -19,6 +20,7 @@ QUERIES = {
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.OP3_SQL,
+    "op4_katz": katz.op4_katz,
     "op5_licenses": licenses.OP5_SQL,
     "op6_langid": langid.op6_langid,
     "op7_ngram_join": ngram_join.op7_ngram_join,
