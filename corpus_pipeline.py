@@ -1,10 +1,15 @@
-"""Documents to training data in stages: each is one of the operators, applied to all that the one before kept."""
+"""Documents to training data in five stages: each applies one operator to all that the stage before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kinfold.llm.bpe import encode_chunked, vocabulary_path
 from kinfold.llm.common import documents, write_table
+from kinfold.llm.langid import fit_languages, identify_languages
+from kinfold.llm.mixing import mix_sources
+from kinfold.llm.ngram_join import near_duplicates
 from kinfold.llm.quality import quality_rules
 
 
@@ -13,8 +18,39 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules(docs).filter("kept").select(*docs.columns)
 
 
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows with a posterior of a half or more; a missing lang is filled in.
+    A table without any labelled document has no model, and all texts with a letter stay."""
+    model = fit_languages(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    known = identify_languages(docs, model).filter("lang_pred <> 'und' AND score >= 0.5")
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near duplicates, one row of it; documents without a doc_id stay."""
+    first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated so that a source's share goes with the square root of its size, in random order."""
+    return mix_sources(docs).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, as little-endian unsigned 32-bit integers."""
+    return encode_chunked(docs, vocabulary_path()).select("doc_id", "lang", "source", "n_tokens", "token_ids")
+
+
 STAGES = [
     ("quality rules", keep_quality),
+    ("language ID", keep_languages),
+    ("n-gram Jaccard join", keep_distinct),
+    ("mixing sources to target weights", mix),
+    ("BPE encoding and decoding", encode),
 ]
 
 
