@@ -64,7 +64,7 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return read_table(spark, folder, name)
     sql = re.sub(r"VARCHAR\(\d+\)", "STRING", VIEWS[name])
-    return spark.sql(sql, **{x: view(spark, folder, x) for x in set(re.findall(r"\{(\w+)\}", VIEWS[name]))})
+    return spark.sql(sql, **{x: view(spark, folder, x) for x in set(re.findall(r"\{([a-z_]\w*)\}", VIEWS[name]))})
 
 
 def oracle(sql: str) -> str:
@@ -72,7 +72,7 @@ def oracle(sql: str) -> str:
     found: dict[str, str] = {}
 
     def need(text: str) -> None:
-        for x in re.findall(r"\{(\w+)\}", text):
+        for x in re.findall(r"\{([a-z_]\w*)\}", text):
             if x in VIEWS and x not in found:
                 need(VIEWS[x])
                 found[x] = f"v_{x} AS ({_named(VIEWS[x])})"
@@ -86,4 +86,4 @@ def oracle(sql: str) -> str:
 
 
 def _named(text: str) -> str:
-    return re.sub(r"\{(\w+)\}", lambda m: f"v_{m[1]}" if m[1] in VIEWS else m[1], text)
+    return re.sub(r"\{([a-z_]\w*)\}", lambda m: f"v_{m[1]}" if m[1] in VIEWS else m[1], text)

@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from kinfold.plans import scalar_queries
+
+MODULES = [scalar_queries]
+
+QUERIES = {name: f for m in MODULES for name, f in m.Q.queries.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.Q.oracles.items()}
