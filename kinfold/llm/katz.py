@@ -261,7 +261,7 @@ def weights(stats: np.ndarray, uni: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def _score(batches: Iterator[pd.DataFrame], d: np.ndarray, hot: dict[int, float]) -> Iterator[pd.DataFrame]:
-    """(document key, part of its score) from the rows of _count."""
+    """For each slice of documents, packed parts of their scores from the rows of _count."""
     for pdf in batches:
         for x in pdf.itertuples():
             docs, score = unpack(x.docs).astype(np.int64), unpack(x.seen) + unpack(x.times_of).reshape(-1, K) @ np.log10(d)
@@ -273,17 +273,22 @@ def _score(batches: Iterator[pd.DataFrame], d: np.ndarray, hot: dict[int, float]
                     weight[i] = hot[int(name[i]) - 1]
                 at = np.searchsorted(docs, unpack(x.missed_doc).astype(np.int64))
                 score += np.bincount(at, weights=np.log10(weight[unpack(x.missed_context).astype(np.int64)] * unpack(x.missed_p)), minlength=len(docs))
-            yield pd.DataFrame({"key": docs, "part": score})
+            edges = [0, *(np.flatnonzero(np.diff(docs >> 24)) + 1), len(docs)]
+            rows = [(int(docs[i] >> 24), pack(docs[i:j] & 0xFFFFFF), pack(score[i:j])) for i, j in zip(edges[:-1], edges[1:]) if j > i]
+            yield pd.DataFrame(rows, columns=["slice", "docs", "part"])
 
 
-def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for x in pdf.itertuples():
-            ids, null, n, known = unpack(x.a), unpack(x.b), unpack(x.c).astype(np.int64), unpack(x.d).astype(np.int64)
-            sums = unpack(x.e).reshape(2, -1)
-            ids = pd.array(ids.astype(np.int64), "Int64")
-            ids[null > 0] = pd.NA
-            yield pd.DataFrame({"key": (x.slice << 24) + np.arange(len(n)), "doc_id": ids, "train": known % 2 == 1, "n_tokens": n, "n_known": known // 2, "logs": sums[0], "part": sums[1]})
+def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The documents of one slice, with all parts of their scores."""
+    x = pdf[pdf["docs"].isna()].iloc[0]
+    ids, null, n, known = unpack(x["a"]), unpack(x["b"]), unpack(x["c"]).astype(np.int64), unpack(x["d"]).astype(np.int64)
+    logs, score = unpack(x["e"]).reshape(2, -1)
+    score = score.copy()
+    for docs, part in pdf.loc[pdf["docs"].notna(), ["docs", "part"]].itertuples(index=False):
+        score[unpack(docs).astype(np.int64)] += unpack(part)
+    ids = pd.array(ids.astype(np.int64), "Int64")
+    ids[null > 0] = pd.NA
+    return pd.DataFrame({"doc_id": ids, "train": known % 2 == 1, "n_tokens": n, "n_known": known // 2, "logs": logs, "score": score})
 
 
 def score_katz(docs: DataFrame, train: str = "train", slice_chars: int = SLICE_CHARS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
@@ -332,9 +337,9 @@ def _finish(tokens: DataFrame, uni: Unigrams) -> DataFrame:
     # Fewer than HOT contexts have more than 1/HOT of the tokens each.
     hot = grams.select(F.explode("hot").alias("x")).groupBy("x.h").agg(*(F.sum(F.col("x.stats")[k]).alias(f"s{k}") for k in range(K + 1)), F.max(F.col("x.stats")[K + 1]).alias(f"s{K + 1}"), F.sum("x.uni").alias("uni")).toPandas()
     table = {int(x): float(v) for x, v in zip(hot["h"], weights(hot[[f"s{k}" for k in range(K + 2)]].to_numpy(np.float64), hot["uni"].to_numpy(np.float64), d))} if len(hot) else {}
-    scored = grams.mapInPandas(lambda it: _score(it, d, table), "key bigint, part double")
-    info = texts.select("slice", "a", "b", "c", "d", "e").mapInPandas(_documents, "key bigint, doc_id bigint, train boolean, n_tokens bigint, n_known bigint, logs double, part double")
-    one = info.unionByName(scored, allowMissingColumns=True).groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("train").alias("train"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("n_known"), F.max("logs").alias("logs"), F.sum("part").alias("score"))
+    scored = grams.mapInPandas(lambda it: _score(it, d, table), "slice bigint, docs binary, part binary")
+    info = texts.select("slice", "a", "b", "c", "d", "e").unionByName(scored, allowMissingColumns=True)
+    one = info.groupBy("slice").applyInPandas(_gather, "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, logs double, score double")
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(uni.tokens + 0.5 * (uni.types + 1)))
     return one.select("doc_id", "train", "n_tokens", "n_known", F.lit(uni.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
