@@ -86,7 +86,7 @@ def listing_frontier(listing: DataFrame, limit: int, key: str = "source", positi
 def frontier_hits(listing: DataFrame, sentinels: DataFrame, required: int = 3, key: str = "source") -> DataFrame:
     """By source, rows at or behind their sentinel, and whether there are enough. sentinels: id, source, known."""
     counts = sentinels.groupBy(key).agg(F.count("*").alias("sentinels"))
-    hits = listing.join(sentinels.select("id", "known"), "id").groupBy(key).agg(F.count_if(C("latest") <= C("known")).alias("hits"))
+    hits = listing.select("id", "latest").join(sentinels.select("id", key, "known"), "id").groupBy(key).agg(F.count_if(C("latest") <= C("known")).alias("hits"))
     out = counts.join(hits, key, "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     return out.withColumn("reached", C("hits") >= F.least(F.lit(required), C("sentinels")))
 
