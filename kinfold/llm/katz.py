@@ -201,14 +201,15 @@ def _tokens(text: pd.DataFrame, words: pd.DataFrame, uni: Unigrams, buckets: int
     return pd.DataFrame(out, columns=[x.split()[0] for x in _TOKENS.split(", ")])
 
 
-_COUNTED = "bucket bigint, times array<bigint>, docs binary, seen binary, times_of binary, context binary, context_stats binary, context_uni binary, missed_doc binary, missed_context binary, missed_p binary, hot array<struct<h:bigint,stats:array<bigint>,uni:double>>"
+_COUNTED = "bucket bigint, times array<bigint>, docs binary, seen binary, times_of binary, context binary, context_stats binary, context_uni binary, missed_doc binary, missed_context binary, missed_p binary, pair_context binary, pair_word binary, pair_count binary, hot array<struct<h:bigint,stats:array<bigint>,uni:double>>"
 
-_COLUMNS = ["bucket", "times", "docs", "seen", "times_of", "context", "context_stats", "context_uni", "missed_doc", "missed_context", "missed_p", "hot"]
+_COLUMNS = ["bucket", "times", "docs", "seen", "times_of", "context", "context_stats", "context_uni", "missed_doc", "missed_context", "missed_p", "pair_context", "pair_word", "pair_count", "hot"]
 
 
 def _count(pdf: pd.DataFrame, uni: Unigrams) -> pd.DataFrame:
     """Bigram counts of one partition of contexts. Of documents: the sum of log10(r / (c(h) + 1)) over tokens seen in
-    training, how many of them were seen r = 1..K times, and their unseen tokens. Of contexts: the sums of the weights."""
+    training, how many of them were seen r = 1..K times, and their unseen tokens. Of contexts: the sums of the weights.
+    pair_context, pair_word and pair_count are the bigram table itself (ids as in the table of unigrams)."""
     tokens = pdf[pdf["kind"] == "token"]
     if not len(tokens):
         return pd.DataFrame([], columns=_COLUMNS)
@@ -248,9 +249,11 @@ def _count(pdf: pd.DataFrame, uni: Unigrams) -> pd.DataFrame:
     known = np.bincount(ctx_of[r_of > 0], weights=p_of[r_of > 0], minlength=size)
     missed = np.flatnonzero(~seen)
     needed, missed_context = np.unique(context[missed], return_inverse=True)
+    learnt = heads[r_of > 0]  # the bigram table of this partition, as it is stored
+    grams = (pack(np.diff(h[learnt], prepend=0)), pack(w[learnt]), pack(r_of[r_of > 0]))
     hot = [{"h": int(h[first_of[x]]), "stats": stats[x].tolist(), "uni": float(known[x])} for x in np.flatnonzero(is_hot)]
     times = [int((r_of == k).sum()) for k in range(1, K + 2)]
-    row = (int(pdf["bucket"].iloc[0]), times, pack(docs), pack(sums), pack(times_of), pack(np.where(is_hot[needed], h[first_of[needed]] + 1, 0)), pack(stats[needed].reshape(-1)), pack(known[needed]), pack(doc[missed]), pack(missed_context), pack(uni.p(cw[missed])), hot)
+    row = (int(pdf["bucket"].iloc[0]), times, pack(docs), pack(sums), pack(times_of), pack(np.where(is_hot[needed], h[first_of[needed]] + 1, 0)), pack(stats[needed].reshape(-1)), pack(known[needed]), pack(doc[missed]), pack(missed_context), pack(uni.p(cw[missed])), *grams, hot)
     return pd.DataFrame([row], columns=_COLUMNS)
 
 
