@@ -55,6 +55,8 @@ VIEWS: dict[str, str] = {
                CASE WHEN (l_partkey + l_suppkey) % 4 = 0 THEN 'quarantined' ELSE 'active' END AS state FROM {lineitem} GROUP BY l_partkey, l_suppkey""",
     "blob": "SELECT checksum FROM {artifact} WHERE id % 11 <> 0",
     "projection": "SELECT id AS artifact_id, series_id, chapter FROM {artifact} WHERE id % 13 <> 0",
+    # Signs of the first 24 dimensions; AT_ is the engine's name for an element of a list, from 1.
+    "signature": "SELECT vec_id AS id, " + " + ".join(f"CASE WHEN AT_(embedding, {k + 1}) > 0 THEN CAST({1 << k} AS BIGINT) ELSE CAST(0 AS BIGINT) END" for k in range(24)) + " AS hash FROM {embeddings}",
     "source_state": "SELECT 'alpha' AS source, true AS enabled, CAST(NULL AS TIMESTAMP) AS cooldown_until UNION ALL SELECT 'beta', true, TIMESTAMP '2024-02-01 00:00:00' UNION ALL SELECT 'gamma', true, TIMESTAMP '2024-01-20 00:00:00' UNION ALL SELECT 'delta', false, NULL",
 }
 
@@ -63,7 +65,7 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A view, or one of the given tables."""
     if name not in VIEWS:
         return read_table(spark, folder, name)
-    sql = re.sub(r"VARCHAR\(\d+\)", "STRING", VIEWS[name])
+    sql = re.sub(r"VARCHAR\(\d+\)", "STRING", VIEWS[name]).replace("AT_(", "element_at(")
     return spark.sql(sql, **{x: view(spark, folder, x) for x in set(re.findall(r"\{([a-z_]\w*)\}", VIEWS[name]))})
 
 
@@ -86,4 +88,4 @@ def oracle(sql: str) -> str:
 
 
 def _named(text: str) -> str:
-    return re.sub(r"\{([a-z_]\w*)\}", lambda m: f"v_{m[1]}" if m[1] in VIEWS else m[1], text)
+    return re.sub(r"\{([a-z_]\w*)\}", lambda m: f"v_{m[1]}" if m[1] in VIEWS else m[1], text).replace("AT_(", "list_extract(")
