@@ -7,7 +7,9 @@ key for the segment and for each of its one-deletion neighbours. How many segmen
 credit 2 is chosen for each band by least cost. Sets that share a key are candidates, and candidates are verified exactly.
 
 Only components are wanted, so a key that many sets share does not make all pairs: first each of them is verified against
-one hub of the key; then only pairs of sets that still lie in different components.
+one hub of the key; then only pairs of sets that still lie in different components. Where a key still has many of those,
+they are compared by what they differ from the hub in: the difference of two sets is the difference of these differences,
+so similar sets must share some of the first few elements of them, in an order that has what the hub lacks first.
 """
 
 from __future__ import annotations
@@ -26,7 +28,12 @@ from kinfold.llm.bpe import slices
 from kinfold.llm.common import cut, documents, join_small, write_table
 from kinfold.operators.components import connected_components
 
+C = F.col
 _U = np.uint64
+#: A key with more classes than this in different components is compared by differences to its hub, not pair by pair.
+CROWD = 16
+#: Most rows of one block of such a key.
+BLOCK_ROWS = 256
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
 
@@ -38,7 +45,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(text: str | None, width: int = 4) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; A-Z count as a-z, a text of fewer words is one shingle."""
+    """64-bit hashes of the word shingles, sorted and distinct; A-Z count as a-z, a text of fewer words is one shingle."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.empty(0, _U)
@@ -188,11 +195,77 @@ def _linked(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFr
         yield pdf.loc[keep, ["a", "b"]]
 
 
+def _differences(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Each set's symmetric difference to its hub: all its elements in 32 bits, and the first ones whole, as many as a
+    similar set can differ, and one; what the hub lacks comes first."""
+    for pdf in batches:
+        rows = []
+        for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["x"], pdf["y"]):
+            p, q = np.frombuffer(x, _U), np.frombuffer(y, _U)
+            d = np.concatenate([np.setdiff1d(p, q, True), np.setdiff1d(q, p, True)])
+            rows.append((a, b, len(p), len(d), (mix(d) >> _U(32)).astype("<u4").tobytes(), d[: most_difference(len(p) + len(p) * 100 // percent, percent) + 1].astype(np.int64)))
+        yield pd.DataFrame(rows, columns=["rep", "hub_rep", "n", "nd", "all", "first"])
+
+
+def _alike(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Candidates within the blocks of keys of one bucket: pairs that share enough of their differences (elements that
+    are equal in 32 bits by chance only add candidates)."""
+    out = []
+    for _, g in pdf.groupby(["key", "i", "j"], sort=False):
+        n, nd = g["n"].to_numpy(), g["nd"].to_numpy()
+        rep, label, block = g["rep"].to_numpy(), g["label"].to_numpy(), g["block"].to_numpy()
+        _, at = np.unique(np.frombuffer(b"".join(g["all"]), "<u4"), return_inverse=True)
+        row, common = np.repeat(np.arange(len(g)), nd), np.zeros((len(g), len(g)), np.float32)
+        for first in range(0, int(at.max()) + 1, 8192):
+            here = (at >= first) & (at < first + 8192)
+            m = np.zeros((len(g), 8192), np.float32)
+            np.add.at(m, (row[here], at[here] - first), 1)
+            common += m @ m.T
+        most = (100 - percent) * (n[:, None] + n[None, :]) // (100 + percent)
+        good = 2 * common >= nd[:, None] + nd[None, :] - most
+        good &= (label[:, None] != label[None, :]) & (rep[:, None] < rep[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+        if g["i"].iloc[0] != g["j"].iloc[0]:
+            good &= block[:, None] != block[None, :]
+        x, y = np.nonzero(good)
+        out.append(np.stack([rep[x], rep[y]], axis=1))
+    both = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+    return pd.DataFrame(both, columns=["a", "b"])
+
+
+def crowded(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a < b) among the classes (rep, with n and label) of each key, for keys that many of them share.
+
+    Each is compared with the key's hub; the difference of two sets is the difference dx, dy of their differences to it.
+    If at most H elements differ, (|dx| + |dy| - H) / 2 of dx and dy are shared; if |dx| <= |dy|, one of them is among the
+    first H / 2 + 1 of dx and the first H + 1 of dy. Classes that meet so are compared by these elements in blocks of
+    BLOCK_ROWS, and only the pairs that share enough of them go on.
+    """
+    hubs = rows.groupBy("key").agg(F.min("rep").alias("hub_rep"), F.min_by("n", "rep").alias("hub_n"), F.min_by("label", "rep").alias("hub_label"))
+    star = write_table(rows.join(hubs, "key").filter("rep <> hub_rep").select("rep", "n", "label", "hub_rep", "hub_n", "hub_label").distinct(), "crowd")
+    d = with_sets(star.select(C("rep").alias("a"), C("hub_rep").alias("b")), sets).mapInPandas(lambda it: _differences(it, percent), "rep bigint, hub_rep bigint, n bigint, nd bigint, `all` binary, first array<bigint>")
+    d = write_table(d.join(star.select("rep", "label").distinct(), "rep"), "differences")
+    half = f"place <= ({100 - percent} * (n + n * 100 div {percent}) div {100 + percent}) div 2"
+    met = d.select("rep", "hub_rep", "n", "label", F.posexplode("first").alias("place", "e")).selectExpr("xxhash64(hub_rep, e) AS key", "rep", "hub_rep", "label", f"{half} AS half")
+    live = met.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.bool_or("half").alias("some"), F.count("*").alias("c")).filter("l0 <> l1 AND some")
+    met = met.join(live.select("key", F.ceil(C("c") / BLOCK_ROWS).cast("int").alias("blocks")), "key").select("key", "rep", "hub_rep", "blocks", F.pmod(F.xxhash64("rep"), C("blocks")).cast("int").alias("block"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), C("blocks") - 1))).select("key", "rep", "hub_rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    met = write_table(met, "met")
+    buckets = max(1, -(-met.count() // 5000))
+    met = met.join(d, ["rep", "hub_rep"]).withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)))
+    alike = met.select("bucket", "key", "i", "j", "block", "rep", "n", "nd", "label", "all").groupBy("bucket").applyInPandas(lambda pdf: _alike(pdf, percent), "a bigint, b bigint")
+    own = star.filter(f"label <> hub_label AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
+    return own.selectExpr("hub_rep AS a", "rep AS b").union(alike).distinct()
+
+
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their sets x and y. The set of a, which has few partners, moves once to b's task."""
+    out = pairs.join(sets.select(C("doc").alias("a"), C("s").alias("x")), "a")
+    return out.join(sets.select(C("doc").alias("b"), C("s").alias("y")), "b").select("a", "b", "x", "y")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity. The set of a, which has few partners, moves once to b's task."""
-    out = pairs.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("x")), "a")
-    out = out.join(sets.select(F.col("doc").alias("b"), F.col("s").alias("y")), "b")
-    return out.select("a", "b", "x", "y").mapInPandas(lambda it: _linked(it, percent), "a bigint, b bigint")
+    """The pairs (a, b) whose sets reach the similarity."""
+    return with_sets(pairs, sets).mapInPandas(lambda it: _linked(it, percent), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
@@ -224,14 +297,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 4) -> DataF
 
     # What shares a key but not yet a component: one row for each key and class.
     left = rows.filter("rep <> hub_rep OR doc = hub").join(labels.selectExpr("node AS rep", "root"), "rep", "left")
-    left = left.groupBy("key", "rep", "n", F.coalesce("root", "rep").alias("label")).agg(F.max("own").alias("own"), F.max("ask").alias("ask"))
-    mixed = left.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key")
-    left = write_table(left.join(mixed, "key", "left_semi"), "open-keys")
-    x, y = left.alias("x"), left.alias("y")
+    left = left.groupBy("key", "hub_rep", "rep", "n", F.coalesce("root", "rep").alias("label")).agg(F.max("own").alias("own"), F.max("ask").alias("ask"))
+    mixed = left.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("c")).filter("l0 <> l1").select("key", (C("c") > CROWD).alias("crowd"))
+    left = write_table(left.join(mixed, "key"), "open-keys")
+    x, y = left.filter("NOT crowd").alias("x"), left.filter("NOT crowd").alias("y")
     cross = x.join(y, F.expr(f"x.key = y.key AND x.rep < y.rep AND x.label <> y.label AND (x.own AND y.ask OR x.ask AND y.own) AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-    cross = cross.selectExpr("x.rep AS a", "y.rep AS b").distinct()
+    cross = cross.selectExpr("x.rep AS a", "y.rep AS b")
+    if left.filter("crowd").limit(1).count():
+        cross = cross.union(crowded(left.filter("crowd").select("key", "rep", "n", "label"), sets, percent))
     tried = star.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
-    cross = write_table(cross.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
+    cross = write_table(cross.distinct().join(tried, ["a", "b"], "left_anti"), "cross-pairs")
     more = write_table(verify(cross, sets, percent), "cross-links")
     labels = connected_components(links.union(more))
 
