@@ -97,7 +97,7 @@ def equivalent_operation(operations: DataFrame) -> DataFrame:
 def due_polls(states: DataFrame, policies: DataFrame, asof: Column) -> DataFrame:
     """Sources to poll now (states: source, enabled, cooldown_until; policies: source, interval_seconds, polled_at)."""
     rows = states.filter(C("enabled") & (C("cooldown_until").isNull() | (C("cooldown_until") <= asof))).join(policies, "source")
-    return rows.filter(C("polled_at").isNull() | (F.unix_micros(C("polled_at")) + C("interval_seconds") * 1_000_000 <= F.unix_micros(asof))).select("source")
+    return rows.filter(C("polled_at").isNull() | (F.unix_micros(C("polled_at")) + C("interval_seconds").cast("bigint") * 1_000_000 <= F.unix_micros(asof))).select("source")
 
 
 def effective_limit(base: Column, learned: Column, clean_hours: Column, override: Column, most: Column) -> Column:
