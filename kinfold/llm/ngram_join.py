@@ -33,7 +33,7 @@ _U = np.uint64
 #: A key with more classes than this in different components is compared by differences to its hub, not pair by pair.
 CROWD = 16
 #: Most rows of one block of such a key.
-BLOCK_ROWS = 256
+BLOCK_ROWS, HUB_ROWS = 256, 512
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
 
@@ -214,9 +214,11 @@ def _alike(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     for _, g in pdf.groupby(["key", "i", "j"], sort=False):
         n, nd = g["n"].to_numpy(), g["nd"].to_numpy()
         rep, label, block = g["rep"].to_numpy(), g["label"].to_numpy(), g["block"].to_numpy()
-        _, at = np.unique(np.frombuffer(b"".join(g["all"]), "<u4"), return_inverse=True)
-        row, common = np.repeat(np.arange(len(g)), nd), np.zeros((len(g), len(g)), np.float32)
-        for first in range(0, int(at.max()) + 1, 8192):
+        _, at, times = np.unique(np.frombuffer(b"".join(g["all"]), "<u4"), return_inverse=True, return_counts=True)
+        shared = times > 1
+        row, at = np.repeat(np.arange(len(g)), nd)[shared[at]], (np.cumsum(shared) - 1)[at[shared[at]]]
+        common = np.zeros((len(g), len(g)), np.float32)
+        for first in range(0, int(shared.sum()), 8192):
             here = (at >= first) & (at < first + 8192)
             m = np.zeros((len(g), 8192), np.float32)
             np.add.at(m, (row[here], at[here] - first), 1)
@@ -237,22 +239,24 @@ def crowded(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Each is compared with the key's hub; the difference of two sets is the difference dx, dy of their differences to it.
     If at most H elements differ, (|dx| + |dy| - H) / 2 of dx and dy are shared; if |dx| <= |dy|, one of them is among the
-    first H / 2 + 1 of dx and the first H + 1 of dy. Classes that meet so are compared by these elements in blocks of
-    BLOCK_ROWS, and only the pairs that share enough of them go on.
+    first H / 2 + 1 of dx and the first H + 1 of dy. Classes that meet so (all classes of a hub that has HUB_ROWS at most)
+    are compared by their differences in blocks of BLOCK_ROWS, and only the pairs that share enough of them go on.
     """
     hubs = rows.groupBy("key").agg(F.min("rep").alias("hub_rep"), F.min_by("n", "rep").alias("hub_n"), F.min_by("label", "rep").alias("hub_label"))
     star = write_table(rows.join(hubs, "key").filter("rep <> hub_rep").select("rep", "n", "label", "hub_rep", "hub_n", "hub_label").distinct(), "crowd")
     d = with_sets(star.select(C("rep").alias("a"), C("hub_rep").alias("b")), sets).mapInPandas(lambda it: _differences(it, percent), "rep bigint, hub_rep bigint, n bigint, nd bigint, `all` binary, first array<bigint>")
-    d = write_table(d.join(star.select("rep", "label").distinct(), "rep"), "differences")
+    d = d.join(star.select("rep", "label").distinct(), "rep")
+    d = write_table(d.join(star.groupBy("hub_rep").agg(F.count("*").alias("hub_rows")), "hub_rep"), "differences")
+    few, many = d.filter(C("hub_rows") <= HUB_ROWS), d.filter(C("hub_rows") > HUB_ROWS)
     half = f"place <= ({100 - percent} * (n + n * 100 div {percent}) div {100 + percent}) div 2"
-    met = d.select("rep", "hub_rep", "n", "label", F.posexplode("first").alias("place", "e")).selectExpr("xxhash64(hub_rep, e) AS key", "rep", "hub_rep", "label", f"{half} AS half")
+    met = many.select("rep", "hub_rep", "n", "label", F.posexplode("first").alias("place", "e")).selectExpr("xxhash64(hub_rep, e) AS key", "rep", "hub_rep", "label", f"{half} AS half")
     live = met.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.bool_or("half").alias("some"), F.count("*").alias("c")).filter("l0 <> l1 AND some")
     met = met.join(live.select("key", F.ceil(C("c") / BLOCK_ROWS).cast("int").alias("blocks")), "key").select("key", "rep", "hub_rep", "blocks", F.pmod(F.xxhash64("rep"), C("blocks")).cast("int").alias("block"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), C("blocks") - 1))).select("key", "rep", "hub_rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    met = write_table(met, "met")
-    buckets = max(1, -(-met.count() // 5000))
-    met = met.join(d, ["rep", "hub_rep"]).withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)))
-    alike = met.select("bucket", "key", "i", "j", "block", "rep", "n", "nd", "label", "all").groupBy("bucket").applyInPandas(lambda pdf: _alike(pdf, percent), "a bigint, b bigint")
+    met = write_table(met, "met").join(many, ["rep", "hub_rep"])
+    each = met.select("key", "i", "j", "block", "rep", "n", "nd", "label", "all").unionByName(few.selectExpr("hub_rep AS key", "0 AS i", "0 AS j", "0 AS block", "rep", "n", "nd", "label", "`all`"))
+    buckets = max(1, -(-star.count() // 2000))
+    alike = each.withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets))).groupBy("bucket").applyInPandas(lambda pdf: _alike(pdf, percent), "a bigint, b bigint")
     own = star.filter(f"label <> hub_label AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
     return own.selectExpr("hub_rep AS a", "rep AS b").union(alike).distinct()
 
