@@ -145,6 +145,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int | None =
         fs.move(temporary, name)
         yield pd.DataFrame({"part": [part]})
 
+    from pyarrow.fs import FileSystem
+
+    fs, base = FileSystem.from_uri(folder)
+    fs.create_dir(base, recursive=True)  # also where no task writes a file
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = encoded.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInPandas(write, "part bigint").agg(F.count("*")).collect()
