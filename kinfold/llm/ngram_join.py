@@ -262,9 +262,14 @@ def crowded(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with their sets x and y. The set of a, which has few partners, moves once to b's task."""
-    out = pairs.join(sets.select(C("doc").alias("a"), C("s").alias("x")), "a")
-    return out.join(sets.select(C("doc").alias("b"), C("s").alias("y")), "b").select("a", "b", "x", "y")
+    """The pairs (a, b) with their sets x and y. Only sets that a pair needs are moved: those of a, which has few partners,
+    to the task of b, of which there are fewer."""
+
+    def of(side: str, name: str) -> DataFrame:
+        needed = join_small(sets, pairs.select(C(side).alias("doc")).distinct(), ["doc"], "left_semi")
+        return needed.select(C("doc").alias(side), C("s").alias(name))
+
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
