@@ -20,9 +20,6 @@ QUERIES = {
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.OP3_SQL,
-    "op4_katz": katz.op4_katz,
     "op5_licenses": licenses.OP5_SQL,
-    "op6_langid": langid.op6_langid,
-    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_chat": chat.OP8_SQL,
 }
