@@ -43,11 +43,20 @@ def pieces(vocabulary: str) -> tuple[dict[str, int], list[int]]:
     return normal, [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
 
+@lru_cache(2)
+def beginnings(vocabulary: str) -> dict[str, int]:
+    """Every beginning of a piece: its id if it is a piece itself, else -1."""
+    ids = pieces(vocabulary)[0]
+    out = {p[:k]: -1 for p in ids if len(p) <= LONGEST for k in range(1, len(p))}
+    return out | {p: i for p, i in ids.items() if len(p) <= LONGEST}
+
+
 class Lattice:
     """Forward (and backward) sums over the segmentations of words, for all languages at once."""
 
     def __init__(self, logp: np.ndarray, vocabulary: str):
         self.ids, self.bytes = pieces(vocabulary)
+        self.begun = beginnings(vocabulary)
         self.size = len(logp)
         self.logp = logp.astype(np.float64)
         self.extra: dict[str, int] = {}  # characters without a piece: their bytes' pieces in a row
@@ -55,17 +64,30 @@ class Lattice:
 
     def _edges(self, words: list[str]) -> np.ndarray:
         """(word, start, length - 1) to row of the table of log probabilities, -1 where no piece is."""
-        n, get, extra, base = len(words[0]), self.ids.get, self.extra, self.size
-        out = np.full((len(words), n, min(LONGEST, n)), -1, np.int32)
+        n, get, extra, base = len(words[0]), self.begun.get, self.extra, self.size
+        longest = min(LONGEST, n)
+        out = np.full((len(words), n, longest), -1, np.int32)
+        cells, values = [], []
         for w, word in enumerate(words):
-            row = out[w]
+            at = w * n * longest
             for i in range(n):
-                for k in range(1, min(LONGEST, n - i) + 1):
-                    e = get(word[i : i + k])
-                    if e is not None:
-                        row[i, k - 1] = e
-                    elif k == 1:
-                        row[i, 0] = base + extra.setdefault(word[i], len(extra))
+                e = get(word[i])
+                if e is None or e < 0:
+                    cells.append(at)
+                    values.append(base + extra.setdefault(word[i], len(extra)))
+                else:
+                    cells.append(at)
+                    values.append(e)
+                if e is not None:
+                    for k in range(2, min(longest, n - i) + 1):
+                        e = get(word[i : i + k])
+                        if e is None:
+                            break
+                        if e >= 0:
+                            cells.append(at + k - 1)
+                            values.append(e)
+                at += longest
+        out.reshape(-1)[cells] = values
         if len(extra) > len(self.rows):
             new = list(extra)[len(self.rows) :]
             self.rows = np.vstack([self.rows, *(self.logp[[self.bytes[b] for b in c.encode("utf-8", "replace")]].sum(axis=0)[None] for c in new)])
@@ -184,7 +206,7 @@ def fit_languages(docs: DataFrame, vocabulary: str | None = None, docs_per_langu
 class Scorer:
     """Log likelihoods of texts; a bounded table keeps those of words."""
 
-    def __init__(self, model: Model, memory: int = 250_000):
+    def __init__(self, model: Model, memory: int = 600_000):
         self.lattice, self.memory = Lattice(model.logp, model.vocabulary), memory
         self.known: dict[str, int] = {}
         self.rows: np.ndarray = np.empty((0, len(model.languages)))
