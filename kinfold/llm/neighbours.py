@@ -102,7 +102,8 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 12, count: int = 8, rows_per_bucket: int = 1000, block_rows: int = 4096, block_queries: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of vectors (vec_id, embedding) found for each row of queries.
 
-    Buckets hold about rows_per_bucket rows: past 2 * dimensions buckets a second rotation splits them. A bucket of more
+    Buckets hold about rows_per_bucket rows: past 2 * dimensions buckets a second rotation splits them, and queries probe
+    as many times more of them, so that the share of rows they see (and recall) stays. A bucket of more
     than block_rows rows or block_queries queries (a common vector) is dealt over several tasks, none is cut off. Queries
     for which the buckets hold fewer than k others are answered by a scan of all rows, in blocks. Rows of equal vec_id
     count as one vector at several places. A query never finds its own vec_id. Empty tables give an empty result.
@@ -114,6 +115,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 12
     axis_count = 2 << max(0, math.ceil(math.log2(max(1, d["d"] if d else 1))))
     fine = max(0, math.floor(math.log2(max(1, n / (axis_count * rows_per_bucket)))))
     fine = min(fine, axis_count.bit_length() - 2)
+    count = min(count, axis_count) << fine
+    step = max(1, (1 << 22) // max(axis_count << fine, tables * count))  # rows whose buckets are ordered at once
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -123,8 +126,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 12
                 yield pdf.assign(codes=list(codes.astype(np.int64)))
 
     def probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
+        for batch in batches:
+            for i in range(0, len(batch), step):
+                pdf = batch.iloc[i : i + step]
                 x = unit(pdf["v"])
                 codes = np.stack([probes(x, t, fine, count) for t in range(tables)], axis=1).reshape(len(pdf), -1)
                 yield pdf.assign(codes=list(codes.astype(np.int64)))

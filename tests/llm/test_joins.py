@@ -115,6 +115,18 @@ def test_neighbours(spark):
     assert by[750] == [7, 700, 701, 702, 703]  # ties to the smaller id
 
 
+@pytest.mark.parametrize("rows_per_bucket", [5, 3, 1])
+def test_recall_of_split_buckets(spark, rows_per_bucket):
+    """Buckets split by 2, 4 and 8."""
+    x = vectors(2000, 64, seed=1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    by = {}
+    for r in N.nearest(df, df.filter("vec_id % 20 = 0"), rows_per_bucket=rows_per_bucket).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(set(exact(x, q)) & by[q]) for q in range(0, 2000, 20))
+    assert hits >= 0.9 * 500
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (50, [0.0, 1.0]), (3, [-1.0, 0.0])], "vec_id bigint, embedding array<double>")
     got = N.nearest(df, df.filter("vec_id % 50 = 0")).collect()
