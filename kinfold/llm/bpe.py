@@ -13,7 +13,7 @@ import json
 import re
 from collections import OrderedDict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,16 +48,25 @@ def slices(texts: list[str], most: int = STEP_CHARS) -> Iterator[slice]:
 
 #: Fixed value: how a byte-level tokenizer with use_regex splits a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: tiktoken fails at about a million blanks in a row: any text with a run of twice this length, at least, runs on the library.
+BLANKS = 100_000
+
+
+def many_blanks(text: str) -> bool:
+    """Whether a run of blanks covers a block of BLANKS characters (str.isspace knows every blank of the pattern)."""
+    return len(text) >= BLANKS and any(text[i : i + BLANKS].isspace() for i in range(0, len(text) - BLANKS + 1, BLANKS))
 
 
 class Encoder:
     """Ids as the tokenizers library gives them with add_special_tokens=False, without truncation and padding.
 
     A plain byte-level file whose merges stand in the order of their ids is the same model as a table of ranks: those
-    run on tiktoken, which is five times as fast. Any other file runs on the library itself.
+    run on tiktoken, which is five times as fast. Any other file runs on the library itself, and so does any text with a
+    very long run of blanks.
     """
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model, pre = file["model"], file.get("pre_tokenizer") or {}
@@ -72,14 +81,21 @@ class Encoder:
             table = Decoder(path).table
             ranks = {table[i]: i for i in vocab.values()}
             core = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in file["added_tokens"]})
-            self.one = lambda text: core.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+            self.one = lambda text: self.by_library(text) if many_blanks(text) else core.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
         else:
-            from tokenizers import Tokenizer
+            self.one = self.by_library
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(self.path)
+        library.no_truncation()
+        library.no_padding()
+        return library
 
-            library = Tokenizer.from_file(path)
-            library.no_truncation()
-            library.no_padding()
-            self.one = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def by_library(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""

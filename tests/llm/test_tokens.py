@@ -50,6 +50,12 @@ def test_chunks_are_shared_and_joined():
     assert [a, b] == enc.encoder.encode([f"start {shared} end", f"another way to begin, {shared}"])
 
 
+@pytest.mark.parametrize("blanks", [" " * 2_000_000, " \n\u3000\t" * 400_000])
+def test_long_runs_of_blanks(library, blanks):
+    for text in (f"a few words{blanks}and more", blanks, f"x{blanks}"):
+        assert bpe.chunk_encoder(bpe.vocabulary_path()).encode([text])[0] == ids_of(library, text)
+
+
 def test_cuts_are_characters():
     data = ("日本語" * 40_000).encode()
     last = 0
