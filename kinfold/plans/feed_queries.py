@@ -44,4 +44,4 @@ Q.queries["t01_status_counts"] = lambda spark, folder: T.run(T.status_counts(_sa
 Q.oracles["t01_status_counts"] = "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1"
 Q.queries["t03_latency_windows"] = lambda spark, folder: T.run(T.latency_windows(_samples(spark, folder)), "complete", "latency")
 Q.oracles["t03_latency_windows"] = oracle("SELECT date_trunc('hour', ts) AS hour, 's' || (user_id % 4) AS source, count(*) AS n, count(*) FILTER (event_type = 'error') AS failures, round(avg(floor(value)), 6) AS mean FROM events GROUP BY 1, 2")
-Q.queries["t04_circuit_breaker"] = lambda spark, folder: T.run(T.circuit_breaker(_samples(spark, folder).select("id", "source", "at", "failed")), "update", "breaker").drop("batch")
+Q.queries["t04_circuit_breaker"] = lambda spark, folder: T.circuit_breaker(_samples(spark, folder).select("id", "source", "at", "failed")).drop("batch")

@@ -1,13 +1,15 @@
-"""Change-driven parts on Structured Streaming. Each function takes a streaming frame; run() drives one until its input is used up."""
+"""Change-driven parts on Structured Streaming. Each function takes a streaming frame; run() drives one until its input is used up;
+circuit_breaker() drives its own."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kinfold.session import fresh_path
 
@@ -59,7 +61,7 @@ def breaker_step(state: tuple[int, float], at: float, failed: bool, threshold: i
     n, until = state
     if failed:
         n += 1
-        return n, at + min(most, base * 2 ** (n - threshold)) if n >= threshold else until
+        return n, at + min(most, base * 2 ** min(n - threshold, 1000)) if n >= threshold else until
     return (n, until) if at < until else (0, 0.0)
 
 
@@ -69,16 +71,114 @@ def cadence_step(interval: float, base: float, outcome: str) -> float:
     return float(min(max(round(interval * factor), 60), 4 * base))
 
 
+#: From so many failures on every cooldown is the longest, with breaker_step's own values.
+LONGEST = 10
+_SUMMARY = "source string, first bigint, lead double, failures array<bigint>, until array<double>, reset array<boolean>"
+
+
+def _segment(ids: np.ndarray, at: np.ndarray, failed: np.ndarray) -> dict:
+    """What a run of one source's samples, in order of id, does to any state: the latest success before its first failure
+    (lead), and the state after the rest for each number of failures before, LONGEST standing for all above it.
+
+    No more is needed, as a state of fewer than three failures isn't cooling and from the third on each failure sets the
+    end of cooldown anew.
+    """
+    bad = np.flatnonzero(failed)
+    k = int(bad[0]) if len(bad) else len(at)
+    out: dict = {"first": int(ids[0]), "lead": float(at[:k].max()) if k else -math.inf, "failures": [], "until": [], "reset": []}
+    if len(bad):
+        states, reset = [(n, 0.0) for n in range(LONGEST + 1)], [False] * (LONGEST + 1)
+        for a, f in zip(at[k:].tolist(), failed[k:].tolist()):
+            if len(states) > 1:
+                states = [breaker_step(x, a, f) for x in states]
+                reset = [r or x[0] == 0 for r, x in zip(reset, states)]
+                states = states[:1] if all(reset) and len(set(states)) == 1 else states
+            else:
+                states = [breaker_step(states[0], a, f)]
+        states = states * (len(reset) // len(states))
+        out |= {"failures": [x[0] for x in states], "until": [float(x[1]) for x in states], "reset": reset}
+    return out
+
+
+def _join_segments(a: dict, b: dict) -> dict:
+    """The summary of segment a followed by segment b."""
+    if not a["failures"]:
+        return b | {"first": a["first"], "lead": max(a["lead"], b["lead"])}
+    out: dict = {"first": a["first"], "lead": a["lead"], "failures": [], "until": [], "reset": []}
+    for n, until, reset in zip(a["failures"], a["until"], a["reset"]):
+        m, then = _after((n, until), b)
+        out["failures"].append(m)
+        out["until"].append(then)
+        out["reset"].append(bool(reset or _resets((n, until), b)))
+    return out
+
+
+def _start(state: tuple[int, float], s: dict) -> int:
+    """The number of failures with which a state enters a segment's first failure."""
+    return 0 if s["lead"] >= state[1] else state[0]
+
+
+def _resets(state: tuple[int, float], s: dict) -> bool:
+    return s["lead"] >= state[1] or (len(s["failures"]) > 0 and bool(s["reset"][min(state[0], LONGEST)]))
+
+
+def _after(state: tuple[int, float], s: dict) -> tuple[int, float]:
+    """The state after a segment."""
+    n = _start(state, s)
+    if not len(s["failures"]):
+        return (0, 0.0) if s["lead"] >= state[1] else state
+    i = min(n, LONGEST)
+    return int(s["failures"][i]) + (0 if s["reset"][i] else n - i), float(s["until"][i])
+
+
+def segments(samples: DataFrame) -> DataFrame:
+    """Summaries of runs of samples, dealt by ranges of source and id: one or a few of each source in each range."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, now = None, None
+        for pdf in batches:
+            for at in np.split(np.arange(len(pdf)), np.flatnonzero(pdf["source"].to_numpy()[1:] != pdf["source"].to_numpy()[:-1]) + 1):
+                if not len(at):
+                    continue
+                part = pdf.iloc[at]
+                one = _segment(part["id"].to_numpy(), part["at"].to_numpy(), part["failed"].to_numpy(bool))
+                if now is not None and part["source"].iloc[0] == source:
+                    now = _join_segments(now, one)
+                    continue
+                if now is not None:
+                    yield pd.DataFrame([{"source": source} | now])
+                source, now = part["source"].iloc[0], one
+        if now is not None:
+            yield pd.DataFrame([{"source": source} | now])
+
+    rows = samples.select("source", "id", (F.unix_micros("at") / 1e6).alias("at"), F.coalesce("failed", F.lit(False)).alias("failed"))
+    return rows.filter("source IS NOT NULL").repartitionByRange("source", "id").sortWithinPartitions("source", "id").mapInPandas(fold, _SUMMARY)
+
+
 def circuit_breaker(samples: DataFrame) -> DataFrame:
-    """T4: state of each source after each micro-batch (samples: source, id, at, failed), rows of a batch in order of id."""
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, until = state.get if state.exists else (0, 0.0)
-        for f in sorted(frames, key=lambda f: f["id"].min()):
-            f = f.sort_values("id")
-            for at, failed in zip(f["at"].astype("int64") / 1e9, f["failed"]):
-                n, until = breaker_step((n, until), at, bool(failed))
-        state.update((int(n), float(until)))
-        yield pd.DataFrame({"source": [key[0]], "failures": [n], "cooling_until": [until]})
-
-    return samples.groupBy("source").applyInPandasWithState(fold, "source string, failures bigint, cooling_until double", "failures bigint, cooling_until double", "update", GroupStateTimeout.NoTimeout)
+    """T4: state of each source after each micro-batch (samples: source, id, at, failed), rows of a batch in order of id.
+
+    A batch is folded in ranges of (source, id) on all tasks; a source's own task gets one row for each range only.
+    States are kept by batch as a table; a batch that runs again replaces what it wrote.
+    """
+    spark = samples.sparkSession
+    path, schema = fresh_path(spark, "breaker"), "source string, failures bigint, cooling_until double, batch bigint"
+
+    def fold(key: tuple, parts: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        state = (int(before["failures"].iloc[0]), float(before["cooling_until"].iloc[0])) if len(before) else (0, 0.0)
+        for s in parts.sort_values("first").to_dict("records"):
+            state = _after(state, s)
+        return pd.DataFrame({"source": [key[0]], "failures": [state[0]], "cooling_until": [state[1]]} if len(parts) else {"source": [], "failures": [], "cooling_until": []})
+
+    def put(batch: DataFrame, number: int) -> None:
+        here = batch.sparkSession
+        if number:
+            old = here.read.schema(schema).parquet(f"{path}/out").filter(C("batch") < number)
+            old = old.groupBy("source").agg(F.max_by(F.struct("failures", "cooling_until"), "batch").alias("x")).select("source", "x.*")
+        else:
+            old = here.createDataFrame([], "source string, failures bigint, cooling_until double")
+        new = segments(batch).groupBy("source").cogroup(old.groupBy("source")).applyInPandas(fold, "source string, failures bigint, cooling_until double")
+        new.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    samples.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return samples.sparkSession.read.schema(schema).parquet(f"{path}/out")
