@@ -185,10 +185,24 @@ def greedy_cliques(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(x, g[0]) for g in groups for x in g], columns=["id", "clique"])
 
 
-def clique_groups(edges: DataFrame) -> DataFrame:
-    """(id, clique): deterministic greedy cliques of an equivalence graph; a clique lies within one component."""
+def title_classes(identities: DataFrame) -> DataFrame:
+    """(id, rep): identities of one source and normalised title, and the least id among them; each class is a clique."""
+    rows = identities.select("id", "source", T.normalize_title(C("title")).alias("t")).filter("t <> ''")
+    return rows.join(rows.groupBy("source", "t").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n")).filter("n > 1"), ["source", "t"]).select("id", "rep").distinct()
+
+
+def clique_groups(edges: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """(id, clique): deterministic greedy cliques of an equivalence graph; a clique lies within one component.
+
+    classes (id, rep: the least id) are sets whose members are all linked, and with the same others: edges then name
+    representatives only, and members follow theirs, as the plain greedy would put them.
+    """
     roots = connected_components(edges).select(C("node").alias("a"), "root")
-    return edges.select("a", "b").distinct().join(roots, "a").groupBy("root").applyInPandas(greedy_cliques, "id bigint, clique bigint")
+    groups = edges.select("a", "b").distinct().join(roots, "a").groupBy("root").applyInPandas(greedy_cliques, "id bigint, clique bigint")
+    if classes is None:
+        return groups
+    members = classes.join(groups.select(C("id").alias("rep"), "clique"), "rep", "left").select("id", F.coalesce("clique", "rep").alias("clique"))
+    return members.unionByName(groups.join(classes.select("id"), "id", "left_anti"))
 
 
 def review_proposals(decisions: DataFrame, equivalences: DataFrame) -> DataFrame:

@@ -98,7 +98,8 @@ def _edges(v):
 
 _EDGES = "SELECT left_id AS a, right_id AS b FROM {decision} WHERE decision = 'accepted'"
 _CC = "e AS ({edges} UNION SELECT b, a FROM ({edges})), r AS (SELECT a AS node, a AS root FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.root), cc AS (SELECT node, min(root) AS root FROM r GROUP BY node)"
-Q.add("e20_clique_groups", lambda v: E.clique_groups(E.block_exact_title(_few(v))))
+# All links are those of a title, so that no link is left between representatives.
+Q.add("e20_clique_groups", lambda v: E.clique_groups(v("decision").limit(0).selectExpr("left_id AS a", "right_id AS b"), E.title_classes(v("identity"))))
 Q.add("e21_connected_components", lambda v: connected_components(_edges(v)))
 Q.oracles["e21_connected_components"] = oracle(f"WITH {_CC.replace('{edges}', _EDGES)} SELECT * FROM cc").replace("WITH ", "WITH RECURSIVE ", 1)
 Q.add("e22_review_proposals", lambda v: E.review_proposals(v("decision"), _edges(v)))
