@@ -109,7 +109,16 @@ Q.add("e24_provider_conflicts", lambda v: E.provider_conflicts(v("identity").sel
 Q.add("e25_blockers", lambda v: E.blockers(v("decision").selectExpr("id", "explode(array(left_id, right_id)) AS series_id"), v("decision").filter("id % 5 = 0").select("id"), v("job").filter("status = 'leased'").select("series_id"), v("identity").filter("size = 7").select("series_id")).select("id", F.array_join("blockers", ",").alias("blockers")), "WITH p AS (SELECT id, unnest([left_id, right_id]) AS s FROM {decision}) SELECT id, concat_ws(',', CASE WHEN id % 5 = 0 THEN 'provider_conflict' END, CASE WHEN bool_or(s IN (SELECT series_id FROM {job} WHERE status = 'leased')) THEN 'active_work' END, CASE WHEN bool_or(s IN (SELECT series_id FROM {identity} WHERE size = 7)) THEN 'reserved' END) AS blockers FROM p GROUP BY id")
 Q.add("e26_hydrate_proposals", lambda v: E.hydrate(v("decision").orderBy(F.desc("confidence"), "id").limit(20), v("identity"), ["title", "url"]).select("id", "left_title", "right_url"), "SELECT d.id, l.title AS left_title, r.url AS right_url FROM (SELECT * FROM {decision} ORDER BY confidence DESC, id LIMIT 20) d JOIN {identity} l ON l.id = left_id JOIN {identity} r ON r.id = right_id")
 Q.add("e27_merge_candidates", lambda v: E.merge_candidates_ranked(v("identity").selectExpr("id", "title", "source", "size / 50.0D AS stored", "CASE WHEN id % 3 = 0 THEN id % 40 / 40.0D END AS fresh"), v("source_state").filter("NOT enabled"), 50).select("id", F.round("score", 6).alias("score")), "SELECT id, round(greatest(size / 50, coalesce(CASE WHEN id % 3 = 0 THEN id % 40 / 40 END, 0))::DOUBLE, 6) AS score FROM {identity} WHERE source <> 'delta' ORDER BY greatest(size / 50, coalesce(CASE WHEN id % 3 = 0 THEN id % 40 / 40 END, 0)) DESC, title, id LIMIT 50")
-Q.add("e28_match_external", lambda v: E.match_external(_few(v).selectExpr("id", "id + 1 AS hint", "source_id AS ext", "CAST(series_id AS STRING) AS folder", "title"), v("identity").filter("size % 10 <> 1").selectExpr("id AS cid", "source_id AS ext", "CAST(series_id AS STRING) AS folder", "title")))
+# Every second snapshot row has lost its external id; all identities are snapshot and candidates.
+Q.add("e28_match_external", lambda v: E.match_external(v("identity").selectExpr("id", "id + 1 AS hint", "IF(id % 2 = 0, source_id, concat('old-', source_id)) AS ext", "CAST(series_id AS STRING) AS folder", "title"), v("identity").selectExpr("id AS cid", "source_id AS ext", "CAST(series_id AS STRING) AS folder", "title")))
 Q.add("e31_recovery_match", lambda v: E.recovery_match(_few(v).selectExpr("id", "concat(source, source_id) AS key", "title"), v("identity").filter("size % 10 = 2").selectExpr("concat(source, source_id) AS key", "series_id"), v("identity").filter("size % 10 = 3").select("title", "series_id")), f"WITH f AS (SELECT id, source || source_id AS key, {_norm('title')} AS t FROM ({_FEW})), a AS (SELECT f.id, count(DISTINCT series_id) AS n, min(series_id) AS s FROM f JOIN {{identity}} i ON i.size % 10 = 2 AND i.source || i.source_id = f.key GROUP BY f.id), b AS (SELECT f.id, count(DISTINCT series_id) AS n, min(series_id) AS s FROM f JOIN {{identity}} i ON i.size % 10 = 3 AND {_norm('i.title')} = f.t GROUP BY f.id) SELECT f.id, coalesce(a.s, b.s) AS series_id, CASE WHEN coalesce(a.n, b.n, 0) = 0 THEN 'create_track' WHEN coalesce(a.n, b.n) > 1 THEN 'review_merge' WHEN a.n IS NOT NULL THEN 'verified' ELSE 'track' END AS action FROM f LEFT JOIN a USING (id) LEFT JOIN b USING (id)")
 Q.add("e32_recovery_review_pairs", lambda v: E.first_per_pair(v("decision").selectExpr("id", "left_id - left_id % 2 AS a", "right_id - right_id % 2 AS b"), ["a", "b"], ["id"]), "SELECT id, a, b FROM (SELECT id, left_id - left_id % 2 AS a, right_id - right_id % 2 AS b, row_number() OVER (PARTITION BY left_id - left_id % 2, right_id - right_id % 2 ORDER BY id) AS rn FROM {decision}) WHERE rn = 1")
 Q.add("e33_batch_preview", lambda v: E.batch_preview(v("decision").select("id"), v("decision").selectExpr("id", "IF(id % 3 = 0, array('x'), array()) AS blockers"), v("decision").filter("id % 4 = 0")), "SELECT count(*) AS selected, count(*) FILTER (id % 3 > 0) AS eligible, count(*) FILTER (id % 3 = 0) AS blocked FROM {decision} WHERE id % 4 > 0")
+
+# The queries above whose SQL takes a share of the identities, over all of them; tested by plain Python on a small table.
+Q.add("e01_exact_title_all", lambda v: E.block_exact_title(v("identity")))
+Q.add("e02_identity_key_all", lambda v: E.block_identity_key(v("identity")))
+Q.add("e04_title_or_alias_all", lambda v: E.block_title_or_alias(v("identity").select("id", "source", "title", F.array(F.concat("title", F.lit(" x")), F.lit("Red Ring Small")).alias("aliases")), v("identity"), v("alias")))
+Q.add("e07_evidence_all", lambda v: E.duplicate_evidence(E.block_exact_title(v("identity")).union(_pairs(v)).distinct(), v("identity"), v("chapter"), v("external_id"), v("signature")))
+Q.add("e14_ratio_matches_all", lambda v: E.knn_ratio_matches(_pairs(v), v("signature").selectExpr("id", "explode(array(hash, shiftright(hash, 3), hash & 65535)) AS d")))
+Q.add("e31_recovery_all", lambda v: E.recovery_match(v("identity").selectExpr("id", "IF(id % 2 = 0, concat(source, source_id), concat('old-', source, source_id)) AS key", "title"), v("identity").selectExpr("concat(source, source_id) AS key", "series_id"), v("identity").select("title", "series_id")))
