@@ -7,9 +7,9 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.session import cut, fresh_path, shared_dir, write_table
+from kinfold.session import Tables, cut, fresh_path, shared_dir, write_table
 
-__all__ = ["SPACE", "cut", "documents", "fresh_path", "join_small", "let", "shared_dir", "word_list", "write_table"]
+__all__ = ["SPACE", "Tables", "cut", "documents", "fresh_path", "join_small", "let", "shared_dir", "word_list", "write_table"]
 
 #: Java pattern of the white space between words; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -7,9 +7,13 @@ key for the segment and for each of its one-deletion neighbours. How many segmen
 credit 2 is chosen for each band by least cost. Sets that share a key are candidates, and candidates are verified exactly.
 
 Only components are wanted, so a key that many sets share does not make all pairs: first each of them is verified against
-one hub of the key; then only pairs of sets that still lie in different components. Where a key still has many of those,
-they are compared by what they differ from the hub in: the difference of two sets is the difference of these differences,
-so similar sets must share some of the first few elements of them, in an order that has what the hub lacks first.
+one hub of the key; then only pairs of sets that still lie in different components. Where a key still has many of those (a
+passage that many documents share), they meet in blocks if they are few enough; if not, they are keyed again by another
+partition of the universe, and only those that share a key there too go on together.
+
+Before sets are moved to be compared, their parity sketches are: bit i is the parity of the number of elements hashed to i,
+so two sets differ by at least as many elements as their sketches differ by bits. What differs by too many is dropped,
+exactly, at a thirtieth of the bytes.
 """
 
 from __future__ import annotations
@@ -21,19 +25,23 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.bpe import slices
-from kinfold.llm.common import cut, documents, join_small, write_table
+from kinfold.llm.common import Tables, cut, documents, join_small
 from kinfold.operators.components import connected_components
 
 C = F.col
 _U = np.uint64
-#: A key with more classes than this in different components is compared by differences to its hub, not pair by pair.
+#: A key with more classes than this in different components goes to crowds().
 CROWD = 16
-#: Most rows of one block of such a key.
-BLOCK_ROWS, HUB_ROWS = 256, 512
+#: Most sets that are compared with each other in one block, and how often a larger crowd is keyed again.
+BLOCK_ROWS, LEVELS = 2048, 3
+#: A key that HOT_LEAST rows of a sample (one in HOT_SHARE documents) have is dealt over SALTS tasks; HOT_MOST keys at most.
+HOT_SHARE, HOT_LEAST, HOT_MOST, SALTS = 32, 64, 100_000, 256
+#: Bits of the smallest and the greatest sketch.
+LEAST_BITS, MOST_BITS = 1 << 8, 1 << 18
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
 
@@ -57,6 +65,19 @@ def shingle_set(text: str | None, width: int = 4) -> np.ndarray:
     return np.unique(h)
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of the numbers of elements in two to four times as many cells as there are elements."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * len(h)).bit_length()))
+    return np.packbits(np.bincount((mix(h ^ _C) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def folded(s: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) with as few words as `size`: the parities of cells that fall together are added."""
+    while s.shape[-1] > size:
+        s = s[..., : s.shape[-1] // 2] ^ s[..., s.shape[-1] // 2 :]
+    return s
+
+
 def most_difference(total: int, percent: int) -> int:
     """Greatest symmetric difference of two sets of `total` elements together that reach the similarity."""
     return (100 - percent) * total // (100 + percent)
@@ -116,9 +137,12 @@ def band_of(size: int, table: list[Band]) -> int:
     return int(np.searchsorted([b.high for b in table], size))
 
 
-def keys(h: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """key, own and ask of a set: own rows stand for the set's own band, and a pair needs a row that is own and one that asks."""
+def keys(h: np.ndarray, percent: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key, own and ask of a set: own rows stand for the set's own band, and a pair needs a row that is own and one that
+    asks. Each level partitions the universe anew."""
     table, size = bands(percent), len(h)
+    if level:
+        h = np.sort(mix(h + mix(np.full(1, level, _U) * _A)))
     home = band_of(size, table)
     least = -(-percent * size // 100)
     mixed = mix(h ^ _A)
@@ -160,163 +184,214 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list]]
 
 
 def _sizes(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
-    """Size and two independent 64-bit sums of each set: equal sets have equal ones."""
+    """Size, two independent 64-bit sums and sketch of each set: equal sets have equal ones."""
     for ids, texts in _texts(batches):
         sets = [shingle_set(t, width) for t in texts]
-        yield pd.DataFrame({"doc_id": ids, "n": [len(s) for s in sets], "f1": [int(mix(s + _B).sum(dtype=_U).astype(np.int64)) for s in sets], "f2": [int(mix(s ^ _C).sum(dtype=_U).astype(np.int64)) for s in sets]})
+        sums = {f: [int(mix(s + salt).sum(dtype=_U).astype(np.int64)) for s in sets] for f, salt in (("f1", _B), ("f2", _A))}
+        yield pd.DataFrame({"doc_id": ids, "n": [len(s) for s in sets], **sums, "s": [sketch(s) for s in sets]})
 
 
-def _keys(batches: Iterator[pd.DataFrame], width: int, percent: int) -> Iterator[pd.DataFrame]:
+def _keys(batches: Iterator[pd.DataFrame], width: int, percent: int, level: int) -> Iterator[pd.DataFrame]:
     for ids, texts in _texts(batches):
-        rows = [(i, keys(s, percent)) for i, t in zip(ids, texts) if len(s := shingle_set(t, width))]
+        rows = [(i, len(s), keys(s, percent, level)) for i, t in zip(ids, texts) if len(s := shingle_set(t, width))]
         if rows:
-            yield pd.DataFrame(
-                {
-                    "key": np.concatenate([k for _, (k, _, _) in rows]).astype(np.int64),
-                    "doc": np.repeat([i for i, _ in rows], [len(k) for _, (k, _, _) in rows]),
-                    "own": np.concatenate([o for _, (_, o, _) in rows]),
-                    "ask": np.concatenate([a for _, (_, _, a) in rows]),
-                }
-            )
+            doc, n, found = zip(*rows)
+            key, own, ask = (np.concatenate(x) for x in zip(*found))
+            count = [len(k) for k, _, _ in found]
+            yield pd.DataFrame({"key": key.astype(np.int64), "doc": np.repeat(doc, count), "code": np.repeat(n, count) * 4 + own * 2 + ask})
 
 
 def _sets(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     for ids, texts in _texts(batches):
-        yield pd.DataFrame({"doc": ids, "s": [shingle_set(t, width).tobytes() for t in texts]})
+        yield pd.DataFrame({"doc": ids, "n": 0, "s": [shingle_set(t, width).tobytes() for t in texts]})
 
 
-def _linked(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+def _maybe(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Pairs whose sketches differ by no more bits than similar sets can differ by elements."""
     for pdf in batches:
         keep = []
-        for x, y in zip(pdf["x"], pdf["y"]):
+        for x, y, total in zip(pdf["x"], pdf["y"], pdf["nx"] + pdf["ny"]):
             p, q = np.frombuffer(x, _U), np.frombuffer(y, _U)
-            both = len(p) + len(q) - len(np.union1d(p, q))
-            keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            size = min(len(p), len(q))
+            keep.append(int(np.bitwise_count(folded(p, size) ^ folded(q, size)).sum()) <= most_difference(total, percent))
         yield pdf.loc[keep, ["a", "b"]]
 
 
-def _differences(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Each set's symmetric difference to its hub: all its elements in 32 bits, and the first ones whole, as many as a
-    similar set can differ, and one; what the hub lacks comes first."""
+def _linked(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
-        for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["x"], pdf["y"]):
+        keep = []
+        for x, y in zip(pdf["x"], pdf["y"]):
             p, q = np.frombuffer(x, _U), np.frombuffer(y, _U)
-            d = np.concatenate([np.setdiff1d(p, q, True), np.setdiff1d(q, p, True)])
-            rows.append((a, b, len(p), len(d), (mix(d) >> _U(32)).astype("<u4").tobytes(), d[: most_difference(len(p) + len(p) * 100 // percent, percent) + 1].astype(np.int64)))
-        yield pd.DataFrame(rows, columns=["rep", "hub_rep", "n", "nd", "all", "first"])
+            both = len(p) + len(q) - len(np.union1d(p, q))
+            keep.append(100 * both >= percent * (len(p) + len(q) - both))
+        yield pdf.loc[keep, ["a", "b"]]
 
 
-def _alike(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Candidates within the blocks of keys of one bucket: pairs that share enough of their differences (elements that
-    are equal in 32 bits by chance only add candidates)."""
+def _block(g: pd.DataFrame, percent: int) -> np.ndarray:
+    """Pairs (a, b), a < b, of one block (rows of blocks i and j) with different labels whose sizes and sketches are near."""
+    g = g.sort_values("n")
+    n, rep, label, block = (g[c].to_numpy() for c in ("n", "rep", "label", "block"))
+    cross, words = g["i"].iloc[0] != g["j"].iloc[0], np.array([len(s) // 8 for s in g["s"]])
+    level = {int(w): np.stack([folded(np.frombuffer(s, _U), int(w)) for s, k in zip(g["s"], words) if k >= w]) for w in np.unique(words)}
     out = []
-    for _, g in pdf.groupby(["key", "i", "j"], sort=False):
-        n, nd = g["n"].to_numpy(), g["nd"].to_numpy()
-        rep, label, block = g["rep"].to_numpy(), g["label"].to_numpy(), g["block"].to_numpy()
-        _, at, times = np.unique(np.frombuffer(b"".join(g["all"]), "<u4"), return_inverse=True, return_counts=True)
-        shared = times > 1
-        row, at = np.repeat(np.arange(len(g)), nd)[shared[at]], (np.cumsum(shared) - 1)[at[shared[at]]]
-        common = np.zeros((len(g), len(g)), np.float32)
-        for first in range(0, int(shared.sum()), 8192):
-            here = (at >= first) & (at < first + 8192)
-            m = np.zeros((len(g), 8192), np.float32)
-            np.add.at(m, (row[here], at[here] - first), 1)
-            common += m @ m.T
-        most = (100 - percent) * (n[:, None] + n[None, :]) // (100 + percent)
-        good = 2 * common >= nd[:, None] + nd[None, :] - most
-        good &= (label[:, None] != label[None, :]) & (rep[:, None] < rep[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
-        if g["i"].iloc[0] != g["j"].iloc[0]:
-            good &= block[:, None] != block[None, :]
-        x, y = np.nonzero(good)
-        out.append(np.stack([rep[x], rep[y]], axis=1))
-    both = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-    return pd.DataFrame(both, columns=["a", "b"])
-
-
-def crowded(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a < b) among the classes (rep, with n and label) of each key, for keys that many of them share.
-
-    Each is compared with the key's hub; the difference of two sets is the difference dx, dy of their differences to it.
-    If at most H elements differ, (|dx| + |dy| - H) / 2 of dx and dy are shared; if |dx| <= |dy|, one of them is among the
-    first H / 2 + 1 of dx and the first H + 1 of dy. Classes that meet so (all classes of a hub that has HUB_ROWS at most)
-    are compared by their differences in blocks of BLOCK_ROWS, and only the pairs that share enough of them go on.
-    """
-    hubs = rows.groupBy("key").agg(F.min("rep").alias("hub_rep"), F.min_by("n", "rep").alias("hub_n"), F.min_by("label", "rep").alias("hub_label"))
-    star = write_table(rows.join(hubs, "key").filter("rep <> hub_rep").select("rep", "n", "label", "hub_rep", "hub_n", "hub_label").distinct(), "crowd")
-    d = with_sets(star.select(C("rep").alias("a"), C("hub_rep").alias("b")), sets).mapInPandas(lambda it: _differences(it, percent), "rep bigint, hub_rep bigint, n bigint, nd bigint, `all` binary, first array<bigint>")
-    d = d.join(star.select("rep", "label").distinct(), "rep")
-    d = write_table(d.join(star.groupBy("hub_rep").agg(F.count("*").alias("hub_rows")), "hub_rep"), "differences")
-    few, many = d.filter(C("hub_rows") <= HUB_ROWS), d.filter(C("hub_rows") > HUB_ROWS)
-    half = f"place <= ({100 - percent} * (n + n * 100 div {percent}) div {100 + percent}) div 2"
-    met = many.select("rep", "hub_rep", "n", "label", F.posexplode("first").alias("place", "e")).selectExpr("xxhash64(hub_rep, e) AS key", "rep", "hub_rep", "label", f"{half} AS half")
-    live = met.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.bool_or("half").alias("some"), F.count("*").alias("c")).filter("l0 <> l1 AND some")
-    met = met.join(live.select("key", F.ceil(C("c") / BLOCK_ROWS).cast("int").alias("blocks")), "key").select("key", "rep", "hub_rep", "blocks", F.pmod(F.xxhash64("rep"), C("blocks")).cast("int").alias("block"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), C("blocks") - 1))).select("key", "rep", "hub_rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    met = write_table(met, "met").join(many, ["rep", "hub_rep"])
-    each = met.select("key", "i", "j", "block", "rep", "n", "nd", "label", "all").unionByName(few.selectExpr("hub_rep AS key", "0 AS i", "0 AS j", "0 AS block", "rep", "n", "nd", "label", "`all`"))
-    buckets = max(1, -(-star.count() // 2000))
-    alike = each.withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets))).groupBy("bucket").applyInPandas(lambda pdf: _alike(pdf, percent), "a bigint, b bigint")
-    own = star.filter(f"label <> hub_label AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
-    return own.selectExpr("hub_rep AS a", "rep AS b").union(alike).distinct()
-
-
-def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with their sets x and y. Only sets that a pair needs are moved: those of a, which has few partners,
-    to the task of b, of which there are fewer."""
-
-    def of(side: str, name: str) -> DataFrame:
-        needed = join_small(sets, pairs.select(C(side).alias("doc")).distinct(), ["doc"], "left_semi")
-        return needed.select(C("doc").alias(side), C("s").alias(name))
-
-    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
-
-
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
-    return with_sets(pairs, sets).mapInPandas(lambda it: _linked(it, percent), "a bigint, b bigint")
+    for i in range(len(g)):
+        # Sizes ascend, so what is folded to this row's sketch are the rows from the first of its length on.
+        last = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
+        if last <= i + 1:
+            continue
+        own = level[int(words[i])]
+        first = len(g) - len(own)
+        bits = np.bitwise_count(own[i + 1 - first : last - first] ^ own[i - first]).sum(axis=1)
+        near = bits <= (100 - percent) * (n[i] + n[i + 1 : last]) // (100 + percent)
+        near &= label[i + 1 : last] != label[i]
+        if cross:
+            near &= block[i + 1 : last] != block[i]
+        at = np.flatnonzero(near) + i + 1
+        out.append(np.stack([np.minimum(rep[i], rep[at]), np.maximum(rep[i], rep[at])], axis=1))
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+
+def _blocks(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    found = [_block(g, percent) for _, g in pdf.groupby(["key", "i", "j"], sort=False)]
+    return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+
+
+class Join:
+    """One run of the join over docs (doc_id, text): where its tables are, and how sets, sketches and keys are had."""
+
+    def __init__(self, docs: DataFrame, percent: int, width: int):
+        self.docs, self.percent, self.width = docs, percent, width
+        self.tables = Tables(docs.sparkSession, "ngram-join")
+        self.sketches: DataFrame | None = None
+
+    def texts_of(self, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+        """The documents whose doc_id is (or, left_anti, is not) in ids (doc_id, distinct)."""
+        return join_small(self.docs, ids, ["doc_id"], how, max_rows=1_000_000)
+
+    def keys_of(self, docs: DataFrame, level: int) -> DataFrame:
+        """key, doc, code (size * 4 + own * 2 + ask)."""
+        width, percent = self.width, self.percent
+        return docs.mapInPandas(lambda it: _keys(it, width, percent, level), "key bigint, doc bigint, code bigint")
+
+    def with_sets(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (a, b) with their sets (or sketches) x and y and sizes. Only those that a pair needs are moved: those
+        of a, which has few partners, to the task of b, of which there are fewer."""
+
+        def of(side: str, name: str) -> DataFrame:
+            needed = join_small(sets, pairs.select(C(side).alias("doc")).distinct(), ["doc"], "left_semi")
+            return needed.select(C("doc").alias(side), C("s").alias(name), C("n").alias(f"n{name}"))
+
+        return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y", "nx", "ny")
+
+    def sift(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sketches may belong to similar sets."""
+        percent = self.percent
+        return self.with_sets(pairs, self.sketches).mapInPandas(lambda it: _maybe(it, percent), "a bigint, b bigint").distinct()
+
+    def links(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) of a table whose sets reach the similarity, written as table `name`. Sets are made again from
+        the texts of the documents in question."""
+        percent, width, t = self.percent, self.width, self.tables
+        needed = cut(pairs.selectExpr("explode(array(a, b)) AS doc_id").distinct())
+        sets = t.write(self.texts_of(needed).mapInPandas(lambda it: _sets(it, width), "doc bigint, n bigint, s binary"), f"{name}-sets")
+        out = t.write(self.with_sets(pairs, sets).mapInPandas(lambda it: _linked(it, percent), "a bigint, b bigint").distinct(), name)
+        t.drop(f"{name}-sets")
+        return out
+
+    def shared_keys(self, docs: DataFrame) -> DataFrame:
+        """key, doc, n, own, ask, hub, hub_n: rows of keys that several documents have, some of them own and some asking.
+        The hub is the smallest own document. Keys that are hot in a sample are dealt over tasks, each with a hub of its
+        own, which give way to one of the whole key afterwards."""
+        t = self.tables
+        sample = self.keys_of(docs.filter(F.pmod(F.xxhash64(F.lit("hot"), "doc_id"), F.lit(HOT_SHARE)) == 0), 0)
+        hot = cut(sample.groupBy("key").agg(F.count("*").alias("c")).filter(C("c") >= HOT_LEAST).orderBy(F.desc("c")).limit(HOT_MOST).select("key", F.lit(True).alias("hot")))
+        rows = self.keys_of(docs, 0).join(F.broadcast(hot), "key", "left")  # HOT_MOST rows at most
+        rows = rows.select("key", "doc", "code", F.when(C("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int") + 1).otherwise(0).alias("salt"))
+        key = Window.partitionBy("key", "salt")
+        rows = rows.withColumns({"hub": F.min(F.expr("IF(code & 2 = 2, struct(doc, shiftright(code, 2) AS n), NULL)")).over(key), "asked": F.max(F.expr("code & 1")).over(key), "c": F.count("*").over(key)})
+        rows = t.write(rows.filter("salt > 0 OR (c > 1 AND hub IS NOT NULL AND asked = 1)").drop("c"), "keys")
+        flags = ["key", "doc", F.expr("shiftright(code, 2) AS n"), F.expr("code & 2 = 2 AS own"), F.expr("code & 1 = 1 AS ask")]
+        ours = join_small(rows.filter("salt > 0").drop("hub"), rows.filter("salt > 0").groupBy("key").agg(F.min("hub").alias("hub"), F.max("asked").alias("some"), F.count("*").alias("c")).filter("c > 1 AND hub IS NOT NULL AND some = 1").select("key", "hub"), ["key"])
+        hub = ["hub.doc AS hub", "hub.n AS hub_n"]
+        return rows.filter("salt = 0").select(*flags, *map(F.expr, hub)).unionByName(ours.select(*flags, *map(F.expr, hub)))
+
+    def crowds(self, rows: DataFrame) -> DataFrame:
+        """Candidates (a < b) among the classes (rep, label) of each key, for keys that many of them share.
+
+        Keys of one hub are taken together. Up to BLOCK_ROWS classes meet in one block; more are keyed again, LEVELS times
+        at most (a passage that all share gives few common keys there), and what is then left meets block by block.
+        """
+        t, found = self.tables, []
+        crowd = rows.join(rows.groupBy("key").agg(F.min("rep").alias("g")), "key").select(C("g").alias("key"), "rep", "label", F.lit(True).alias("own"), F.lit(True).alias("ask"))
+        for level in range(1, LEVELS + 2):
+            crowd = t.write(crowd.groupBy("key", "rep", "label").agg(F.bool_or("own").alias("own"), F.bool_or("ask").alias("ask")), f"crowd-{level}")
+            sizes = crowd.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.bool_or("own").alias("o"), F.bool_or("ask").alias("q"))
+            sized = t.write(crowd.join(sizes.filter("l0 <> l1 AND o AND q").select("key", "c"), "key"), f"sized-{level}")
+            t.drop(f"crowd-{level}")
+            last = level > LEVELS
+            found.append(t.write(self.compare(sized if last else sized.filter(C("c") <= BLOCK_ROWS)), f"found-{level}"))
+            big = sized.filter(C("c") > BLOCK_ROWS)
+            if last or not big.limit(1).count():
+                t.drop(f"sized-{level}")
+                break
+            again = self.keys_of(self.texts_of(cut(big.select(C("rep").alias("doc_id")).distinct())), level)
+            crowd = big.select(C("key").alias("g"), C("rep").alias("doc"), "label").join(again, "doc")
+            crowd = crowd.select(F.xxhash64("g", "key").alias("key"), C("doc").alias("rep"), "label", F.expr("code & 2 = 2 AS own"), F.expr("code & 1 = 1 AS ask"))
+        out = found[0]
+        for more in found[1:]:
+            out = out.union(more)
+        return out
+
+    def compare(self, rows: DataFrame) -> DataFrame:
+        """Candidates among the classes of each key (key, rep, label, c): its blocks of about BLOCK_ROWS, two by two."""
+        percent = self.percent
+        rows = rows.withColumn("blocks", F.ceil(C("c") / BLOCK_ROWS).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), C("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), C("blocks") - 1))).select("key", "rep", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        buckets = max(1, -(-rows.count() // BLOCK_ROWS))
+        known = join_small(self.sketches, rows.select(C("rep").alias("doc")).distinct(), ["doc"], "left_semi")
+        rows = rows.join(known.withColumnRenamed("doc", "rep"), "rep").withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)))
+        return rows.groupBy("bucket").applyInPandas(lambda pdf: _blocks(pdf, percent), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs (doc_id, text).
+    """doc_id, n_shingles and component_id of every row of docs (doc_id, text; other columns are ignored).
 
-    Two documents link when 100 * |intersection| >= percent * |union| of their sets of shingles. No text or no words: an
-    empty set, linked with nothing. Equal sets are one class, represented by its smallest doc_id; links between classes
-    are found without a cap. A null doc_id takes no part and gets a null component. doc_id should be a key: of rows that
-    share one, each counts with its own set. Empty table: empty result.
+    Two documents link when 100 * |intersection| >= percent * |union| of their sets of shingles, over whole texts of any
+    length. No text or no words: an empty set, linked with nothing. Equal sets are one class, represented by its smallest
+    doc_id; links between classes are found without a cap. Rows that share a doc_id are one document with several texts:
+    it links if one of them does. A null doc_id takes no part and gets a null component. Empty table: empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = write_table(docs.mapInPandas(lambda it: _sizes(it, width), "doc_id bigint, n bigint, f1 bigint, f2 bigint"), "sizes")
+    join = Join(docs, percent, width)
+    t = join.tables
+    sizes = t.write(docs.mapInPandas(lambda it: _sizes(it, width), "doc_id bigint, n bigint, f1 bigint, f2 bigint, s binary"), "sizes")
     full = sizes.filter("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    member = write_table(full.join(classes, ["n", "f1", "f2"]).select(F.col("doc_id").alias("doc"), "rep", "n"), "members")
-
-    signed = docs.filter("doc_id IS NOT NULL").mapInPandas(lambda it: _keys(it, width, percent), "key bigint, doc bigint, own boolean, ask boolean")
-    shared = signed.selectExpr("key", "doc", "own", "ask", "min(IF(own, doc, NULL)) OVER (PARTITION BY key) AS hub", "max(ask) OVER (PARTITION BY key) AS asked", "count(*) OVER (PARTITION BY key) AS c")
-    shared = write_table(shared.filter("c > 1 AND hub IS NOT NULL AND asked").select("key", "doc", "own", "ask", "hub"), "shared-keys")
-
-    reps = member.select("doc", "rep", "n")
-    rows = shared.join(reps, "doc").join(reps.selectExpr("doc AS hub", "rep AS hub_rep", "n AS hub_n"), "hub")
-    star = rows.filter(F.col("ask") & (F.col("rep") != F.col("hub_rep")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
-    star = write_table(star.select(F.col("rep").alias("a"), F.col("hub_rep").alias("b")).distinct(), "hub-pairs")
-    needed = cut(rows.filter("rep <> hub_rep").selectExpr("explode(array(rep, hub_rep)) AS doc_id").distinct())
-    sets = write_table(join_small(docs, needed, ["doc_id"], "left_semi").mapInPandas(lambda it: _sets(it, width), "doc bigint, s binary"), "sets")
-    links = write_table(verify(star, sets, percent), "hub-links")
+    member = t.write(full.drop("s").join(classes, ["n", "f1", "f2"]).select(C("doc_id").alias("doc"), "rep", "n"), "members")
+    reps = member.filter("doc = rep").select("doc")
+    copies = member.filter("doc <> rep").select("doc").distinct().join(reps, "doc", "left_anti").withColumnRenamed("doc", "doc_id")
+    join.sketches = full.select(C("doc_id").alias("doc"), "n", "s")
+
+    shared = join.shared_keys(join.texts_of(cut(copies), "left_anti").filter("doc_id IS NOT NULL"))
+    star = shared.filter(f"ask AND doc <> hub AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(C("doc").alias("a"), C("hub").alias("b"))
+    star = t.write(star.distinct(), "hub-pairs")
+    links = join.links(t.write(join.sift(star), "hub-near"), "hub-links")
     labels = connected_components(links)
 
     # What shares a key but not yet a component: one row for each key and class.
-    left = rows.filter("rep <> hub_rep OR doc = hub").join(labels.selectExpr("node AS rep", "root"), "rep", "left")
-    left = left.groupBy("key", "hub_rep", "rep", "n", F.coalesce("root", "rep").alias("label")).agg(F.max("own").alias("own"), F.max("ask").alias("ask"))
+    left = shared.select("key", C("doc").alias("rep"), "n", "own", "ask").join(labels.selectExpr("node AS rep", "root"), "rep", "left")
+    left = left.groupBy("key", "rep", "n", F.coalesce("root", "rep").alias("label")).agg(F.max("own").alias("own"), F.max("ask").alias("ask"))
     mixed = left.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("c")).filter("l0 <> l1").select("key", (C("c") > CROWD).alias("crowd"))
-    left = write_table(left.join(mixed, "key"), "open-keys")
+    left = t.write(left.join(mixed, "key"), "open-keys")
+    t.drop("keys")
     x, y = left.filter("NOT crowd").alias("x"), left.filter("NOT crowd").alias("y")
     cross = x.join(y, F.expr(f"x.key = y.key AND x.rep < y.rep AND x.label <> y.label AND (x.own AND y.ask OR x.ask AND y.own) AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-    cross = cross.selectExpr("x.rep AS a", "y.rep AS b")
-    if left.filter("crowd").limit(1).count():
-        cross = cross.union(crowded(left.filter("crowd").select("key", "rep", "n", "label"), sets, percent))
     tried = star.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
-    cross = write_table(cross.distinct().join(tried, ["a", "b"], "left_anti"), "cross-pairs")
-    more = write_table(verify(cross, sets, percent), "cross-links")
+    cross = t.write(cross.selectExpr("x.rep AS a", "y.rep AS b").distinct().join(tried, ["a", "b"], "left_anti"), "cross-pairs")
+    near = join.sift(cross)
+    if left.filter("crowd").limit(1).count():
+        near = near.union(join.crowds(left.filter("crowd").select("key", "rep", "label"))).distinct().join(tried, ["a", "b"], "left_anti")
+    more = join.links(t.write(near, "cross-near"), "cross-links")
     labels = connected_components(links.union(more))
 
     whole = member.join(labels.selectExpr("node AS rep", "root"), "rep", "left").selectExpr("doc AS doc_id", "n AS n_shingles", "coalesce(root, rep) AS component_id")

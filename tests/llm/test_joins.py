@@ -63,17 +63,80 @@ def test_large_group_makes_few_rows(spark):
     assert got.select("component_id").distinct().count() == 1
 
 
+def crowd_rows(n=60, passages=2):
+    """Documents that share passages but are not alike, near copies among them, and copies."""
+    r, rows = random.Random(8), []
+    shared = [" ".join(f"p{k}x{i}" for i in range(40)) for k in range(passages)]
+    for i in range(n):
+        own = [f"o{i}x{k}" for k in range(30)]
+        rows.append((2 * i, " ".join([*own, shared[i % passages]])))
+        if i % 3 == 0:
+            rows.append((2 * i + 1, " ".join([*own[1:], shared[i % passages]])))
+        if i % 10 == 0:
+            rows += [(5000 + i, rows[-1][1]), (6000 + i, rows[-1][1].upper())]
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("block,levels,hot", [(3, 1, 1), (8, 3, 4), (2048, 3, 64)])
+def test_crowds(spark, monkeypatch, block, levels, hot):
+    """Keys that many documents share: in small blocks, keyed again, block by block, and dealt over tasks."""
+    for name, value in {"CROWD": 2, "BLOCK_ROWS": block, "LEVELS": levels, "HOT_LEAST": hot, "HOT_SHARE": 1}.items():
+        monkeypatch.setattr(J, name, value)
+    rows = crowd_rows()
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_query(spark, folder, docs):
+    """The registered query against brute force."""
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.op7_ngram_join(spark, folder).collect()}
+    assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_repeated_ids(spark):
+    """Rows of one doc_id are one document with several texts; a null doc_id takes no part."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b + " more"), (4, c), (None, c), (5, c)]
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (None, None)} and len(got) == len(rows)
+
+
+def test_empty(none):
+    assert J.near_duplicates(none).count() == 0
+
+
+def test_long_text(spark):
+    """A text of 600,000 words and a near copy of it; words without end, and an unbroken one."""
+    words = [f"w{i}" for i in range(600_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:300_000] + ["new"] + words[300_000:])), (3, " ".join(words[:300_000])), (4, "same " * 1_000_000), (5, "x" * 5_000_000)]
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+def test_sketches():
+    """Sketches never differ by more bits than the sets by elements, at equal and at unequal lengths."""
+    rng = np.random.default_rng(1)
+    for n in [1, 5, 60, 64, 130, 1000, 40_000]:
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for drop, add in [(0, 0), (1, 0), (0, n // 3), (n // 3, n // 5), (n - 1, n)]:
+            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, add, dtype=np.uint64)]))
+            x, y = (np.frombuffer(J.sketch(s), np.uint64) for s in (a, b))
+            size = min(len(x), len(y))
+            assert np.bitwise_count(J.folded(x, size) ^ J.folded(y, size)).sum() <= len(np.setxor1d(a, b))
+
+
 def test_pigeonhole():
     """Any two sets within the similarity share a key, one of them own and one asking."""
     rng = np.random.default_rng(0)
     for n in [*range(1, 60), 100, 250, 600]:
         a = rng.integers(0, 2**63, n, dtype=np.uint64)
-        for _ in range(4):
+        for level in range(4):
             drop = rng.integers(0, J.most_difference(2 * n, 85) + 1)
             b = np.concatenate([a[int(drop) :], rng.integers(0, 2**63, int(rng.integers(0, 3)), dtype=np.uint64)])
             both = len(np.intersect1d(a, b))
             if len(b) and 100 * both >= 85 * (len(a) + len(b) - both):
-                ka, kb = (list(zip(*map(np.ndarray.tolist, J.keys(np.unique(x), 85)))) for x in (a, b))
+                ka, kb = (list(zip(*map(np.ndarray.tolist, J.keys(np.unique(x), 85, level)))) for x in (a, b))
                 x = {}
                 for k, own, ask in ka:
                     x.setdefault(k, []).append((own, ask))
