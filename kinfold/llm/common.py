@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold.session import Tables, cut, fresh_path, shared_dir, write_table
 
-__all__ = ["SPACE", "Tables", "cut", "documents", "fresh_path", "join_small", "let", "shared_dir", "word_list", "write_table"]
+__all__ = ["SPACE", "Tables", "cut", "documents", "fresh_path", "join_small", "let", "shared_dir", "unused", "word_list", "write_table"]
 
 #: Java pattern of the white space between words; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -30,6 +30,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
 

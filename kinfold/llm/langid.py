@@ -24,6 +24,11 @@ from kinfold.llm.common import documents, write_table
 WORDS = re.compile(r"[^\W\d_]+")
 #: Longest piece of the vocabulary that is used, in characters.
 LONGEST = 16
+#: A longer run of letters is cut into parts of this length, each summed over its segmentations by itself: a lattice then
+#: has a bound, whatever the text.
+LONG_WORD = 1024
+#: Most languages of a model, which is sent to every task: vocabulary x languages numbers.
+MOST_LANGUAGES = 500
 
 
 @dataclass
@@ -61,6 +66,11 @@ class Lattice:
         self.logp = logp.astype(np.float64)
         self.extra: dict[str, int] = {}  # characters without a piece: their bytes' pieces in a row
         self.rows = np.empty((0, logp.shape[1]))
+        self.table = self._table()
+
+    def _table(self) -> np.ndarray:
+        """Log probabilities of all pieces, of characters without one, and of no piece (last)."""
+        return np.vstack([self.logp, self.rows, np.full((1, self.logp.shape[1]), -np.inf)])
 
     def _edges(self, words: list[str]) -> np.ndarray:
         """(word, start, length - 1) to row of the table of log probabilities, -1 where no piece is."""
@@ -91,11 +101,11 @@ class Lattice:
         if len(extra) > len(self.rows):
             new = list(extra)[len(self.rows) :]
             self.rows = np.vstack([self.rows, *(self.logp[[self.bytes[b] for b in c.encode("utf-8", "replace")]].sum(axis=0)[None] for c in new)])
+            self.table = self._table()
         return out
 
     def _weights(self, edges: np.ndarray) -> np.ndarray:
-        table = np.vstack([self.logp, self.rows, np.full((1, self.logp.shape[1]), -np.inf)])
-        return table[edges]
+        return self.table[edges]
 
     def forward(self, words: list[str]) -> np.ndarray:
         """Log probability of each word (all of one length) in each language."""
@@ -150,8 +160,12 @@ def by_length(words: list[str], most: int = 400_000) -> Iterator[list[int]]:
 
 
 def marked(text: str) -> list[str]:
-    """The words of a text in lower case, each with the mark that begins a word in the vocabulary."""
-    return ["▁" + w for w in WORDS.findall(text.lower())]
+    """The words of a text in lower case, each with the mark that begins a word in the vocabulary; long ones in parts."""
+    out = []
+    for w in WORDS.findall(text.lower()):
+        out.append("▁" + w[:LONG_WORD])
+        out += [w[i : i + LONG_WORD] for i in range(LONG_WORD, len(w), LONG_WORD)]
+    return out
 
 
 def has_letter(text: str) -> bool:
@@ -169,11 +183,14 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit_languages(docs: DataFrame, vocabulary: str | None = None, docs_per_language: int = 3000, rounds: int = 3, smooth: float = 0.02) -> Model:
     """Fit on rows with text and lang. Bounded sample: about docs_per_language documents of each language, those with the
-    least hashes of doc_id. The model has vocabulary x languages numbers, whatever the size of the corpus."""
+    least hashes of doc_id. The model has vocabulary x languages numbers, whatever the size of the corpus; more than
+    MOST_LANGUAGES values of lang are an error. No labelled row: a model without languages."""
     vocabulary = vocabulary or vocabulary_path("piece_bpe_32k.model")
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, 0), np.float32), vocabulary)
@@ -228,8 +245,9 @@ class Scorer:
 def identify_languages(docs: DataFrame, model: Model) -> DataFrame:
     """Add lang_pred and score (the predicted language's posterior under equal priors).
 
-    `und` with score 0 if text is null or has no letter, or if the model knows no language. Only the text is looked at.
-    Columns of these names are replaced. Rows are scored where they are read, whole texts, without a shuffle.
+    `und` with score 0 if text is null, empty or has no letter, or if the model knows no language. A tie goes to the
+    language that sorts first. Only the text is looked at; columns of the added names are replaced, any others pass. Rows,
+    repeated ones too, are scored where they are read, whole texts of any length, without a shuffle. Empty table: empty result.
     """
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -259,6 +277,7 @@ def in_fold(doc_id: str = "doc_id", folds: int = 3):
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every row of documents, learnt from the rows of the other folds; cases as in identify_languages."""
     docs = documents(spark, sf_dir)
     model = fit_languages(docs.filter(~in_fold()))
     return identify_languages(docs.select("doc_id", "text"), model).select("doc_id", in_fold().alias("held_out"), "lang_pred", "score")

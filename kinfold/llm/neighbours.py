@@ -65,8 +65,10 @@ def unit(vectors: pd.Series) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (array of double) of the vectors that take part: not null, finite, not zero, of the commonest length."""
-    v = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    """vec_id and v of the vectors that take part: not null, finite, not zero, of the commonest length. Arrays of float stay
+    so (half the bytes to move, the same numbers); any others become arrays of double."""
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    v = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
     v = v.filter("size(v) > 0 AND forall(v, x -> x IS NOT NULL AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
     lengths = v.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
     return v.filter(F.size("v") == (lengths[0]["d"] if lengths else 0))
@@ -74,20 +76,20 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def _best(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best candidates of each query within one block, scored in double precision one pair at a time."""
-    x, y = np.stack(q["v"].to_numpy()), np.stack(c["v"].to_numpy())
+    x, y = (np.stack(t["v"].to_numpy()).astype(np.float64) for t in (q, c))
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     near = (x / nx[:, None]) @ (y / ny[:, None]).T
     qid, cid = q["vec_id"].to_numpy(), c["vec_id"].to_numpy()
     near[qid[:, None] == cid[None, :]] = -np.inf
-    kth = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if near.shape[1] > k else np.full(len(q), -2.0)
-    out = []
-    for i in range(len(q)):
-        at = np.flatnonzero(near[i] >= max(kth[i] - 1e-9, -2.0))
-        if len(at):
-            score = (y[at] * x[i]).sum(axis=1) / (ny[at] * nx[i])
-            top = np.lexsort((cid[at], -score))[:k]
-            out.append(pd.DataFrame({"query_id": qid[i], "vec_id": cid[at][top], "score": score[top]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    least = np.full((len(q), 1), -2.0)
+    if near.shape[1] > k:
+        least = np.maximum(least, np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None] - 1e-9)
+    a, b = np.nonzero(near >= least)  # ties of the k-th, too
+    score = (x[a] * y[b]).sum(axis=1) / (nx[a] * ny[b])
+    order = np.lexsort((cid[b], -score, a))
+    a, b, score = a[order], b[order], score[order]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return pd.DataFrame({"query_id": qid[a[keep]], "vec_id": cid[b[keep]], "score": score[keep]})
 
 
 _PAIR = "query_id bigint, vec_id bigint, score double"
@@ -99,14 +101,41 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 12, count: int = 8, rows_per_bucket: int = 1000, block_rows: int = 4096, block_queries: int = 512) -> DataFrame:
+#: Probes of a table among which tune() chooses.
+PROBES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
+
+
+def tune(vectors: DataFrame, queries: DataFrame, k: int, tables: int, fine: int, recall: float, sample: int) -> int:
+    """Probes of each table with which a hash-chosen sample of queries finds the asked share of its exact neighbours.
+
+    The sample has `sample` queries at most, whatever the size of the tables; its exact neighbours come from one scan.
+    """
+    asked = queries.orderBy(F.xxhash64(F.lit("tune"), "vec_id"), "vec_id").limit(sample)
+    truth = scan(vectors, asked, k)
+    if truth is None:
+        return PROBES[0]
+    ends = truth.select("query_id", "vec_id").toPandas()  # sample * k rows
+    known = vectors.join(F.broadcast(truth.select("vec_id").union(truth.select("query_id")).distinct()), "vec_id", "left_semi").dropDuplicates(["vec_id"]).toPandas()
+    if not len(ends):
+        return PROBES[0]
+    at = pd.Series(np.arange(len(known)), known["vec_id"])
+    x, q, c = unit(known["v"]), at[ends["query_id"]].to_numpy(), at[ends["vec_id"]].to_numpy()
+    place = np.full(len(ends), np.iinfo(np.int64).max)  # of the candidate's bucket among the query's probes, in the best table
+    for t in range(tables):
+        order = np.argsort(probes(x, t, fine, 1 << 30), axis=1)
+        place = np.minimum(place, order[q, bucket(x, t, fine)[c]])
+    return next((p for p in PROBES if (place < p).mean() >= recall), PROBES[-1])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 32, rows_per_bucket: int = 1000, block_rows: int = 4096, block_queries: int = 512, recall: float = 0.96, sample: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of vectors (vec_id, embedding) found for each row of queries.
 
-    Buckets hold about rows_per_bucket rows: past 2 * dimensions buckets a second rotation splits them, and queries probe
-    as many times more of them, so that the share of rows they see (and recall) stays. A bucket of more
-    than block_rows rows or block_queries queries (a common vector) is dealt over several tasks, none is cut off. Queries
-    for which the buckets hold fewer than k others are answered by a scan of all rows, in blocks. Rows of equal vec_id
-    count as one vector at several places. A query never finds its own vec_id. Empty tables give an empty result.
+    Buckets hold about rows_per_bucket rows: past 2 * dimensions buckets a second rotation splits them. How many buckets of
+    each table a query probes is measured (see tune): as many as give the asked recall on a sample of `sample` queries. A
+    bucket of more than block_rows rows or block_queries queries (a common vector) is dealt over several tasks, none is cut
+    off. Queries for which the buckets hold fewer than k others are answered by a scan of all rows, in blocks. Rows of equal
+    vec_id count as one vector at several places. A query never finds its own vec_id. Ties go to the smaller vec_id. Other
+    columns are ignored. Empty tables give an empty result.
     """
     vectors = write_table(usable(vectors), "vectors")
     queries = write_table(usable(queries), "vector-queries")
@@ -115,7 +144,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 12
     axis_count = 2 << max(0, math.ceil(math.log2(max(1, d["d"] if d else 1))))
     fine = max(0, math.floor(math.log2(max(1, n / (axis_count * rows_per_bucket)))))
     fine = min(fine, axis_count.bit_length() - 2)
-    count = min(count, axis_count) << fine
+    count = min(tune(vectors, queries, k, tables, fine, recall, sample), axis_count << fine)
     step = max(1, (1 << 22) // max(axis_count << fine, tables * count))  # rows whose buckets are ordered at once
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,7 +162,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 12
                 codes = np.stack([probes(x, t, fine, count) for t in range(tables)], axis=1).reshape(len(pdf), -1)
                 yield pdf.assign(codes=list(codes.astype(np.int64)))
 
-    schema = "vec_id bigint, v array<double>, codes array<bigint>"
+    schema = f"vec_id bigint, v {dict(vectors.dtypes)['v']}, codes array<bigint>"
     here = vectors.mapInPandas(placed, schema).select("vec_id", "v", F.posexplode("codes").alias("table", "bucket"))
     ask = queries.mapInPandas(probing, schema).select("vec_id", "v", F.posexplode("codes").alias("table", "bucket")).withColumn("table", F.floor(F.col("table") / count).cast("int"))
     sizes = here.groupBy("table", "bucket").agg(F.count("*").alias("rows"))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import cut, documents, join_small, let, word_list, write_table
+from kinfold.llm.common import cut, documents, join_small, let, unused, word_list, write_table
 
 #: The features, and for each the least standard deviation that counts: rates that hardly vary within a language
 #: (most texts have no symbols at all) must not turn harmless small values into outliers.
@@ -24,52 +24,46 @@ BINS_PER_UNIT, LAST_BIN = 64, 4095
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (bigint) and base_failed.
 
-    A null or blank text has 0 words and fails. Repeated windows are found by sorting 64-bit window hashes, whose low
-    bits hold the window's position (so that a text of n words leaves 64 - log2(n) bits of hash).
+    A null or blank text has 0 words and fails. Repeated windows are neighbours when 64-bit window hashes are sorted with
+    their positions; texts without a repeated hash aren't sorted. Columns of these names are replaced.
     """
+    docs = docs.drop(*ADDED[:6])
     t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("__w", word_list(F.col(text)))
+    w, lines, h = (unused(docs, f"__{x}") for x in ("words", "lines", "hashes"))
+    out = docs.withColumn(w, word_list(F.col(text)))
     out = out.withColumns(
         {
-            "n_words": F.size("__w").cast("long"),
-            "word_chars": F.length(F.array_join("__w", "")).cast("long"),
+            "n_words": F.size(w).cast("long"),
+            "word_chars": F.length(F.array_join(w, "")).cast("long"),
             "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]", ""))).cast("long"),
-            "__l": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-            "__h": F.expr(
-                "CASE WHEN size(__w) < 6 THEN CAST(array() AS array<bigint>) ELSE element_at(transform(array(__w), w -> "
+            lines: F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+            h: F.expr(
+                f"CASE WHEN size(`{w}`) < 6 THEN CAST(array() AS array<bigint>) ELSE element_at(transform(array(`{w}`), w -> "
                 "transform(sequence(0, size(w) - 5), i -> xxhash64(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]))), 1) END"
             ),
         }
     )
-    repeats = """
-        CASE WHEN size(__h) = size(array_distinct(__h)) THEN 0L ELSE
-          element_at(transform(array(length(bin(size(__h)))), b ->
-            element_at(transform(array(sort_array(transform(__h, (x, i) -> shiftleft(shiftright(x, b), b) | CAST(i AS bigint)))), s ->
-              aggregate(
-                array_sort(transform(
-                  filter(s, (x, i) -> coalesce(shiftright(x, b) = shiftright(get(s, i - 1), b), false)
-                                   OR coalesce(shiftright(x, b) = shiftright(get(s, i + 1), b), false)),
-                  x -> x & (shiftleft(1L, b) - 1L))),
-                named_struct('last', -5L, 'total', 0L),
-                (a, p) -> named_struct('last', p, 'total', a.total + least(5L, p - a.last)),
-                a -> a.total)
-            ), 1)), 1) END"""
-    out = out.withColumns({"n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"), "n_repeat_words": F.expr(repeats).cast("long")})
-    return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).drop("__w", "__l", "__h")
-
-
-def vectors(stats: DataFrame) -> DataFrame:
-    """Add the transformed features; short texts are shrunk towards a usual word length."""
+    repeats = f"""
+        CASE WHEN size(`{h}`) = size(array_distinct(`{h}`)) THEN 0L ELSE
+          element_at(transform(array(sort_array(transform(`{h}`, (x, i) -> struct(x AS h, i AS i)))), s ->
+            aggregate(
+              array_sort(transform(
+                filter(s, (x, i) -> coalesce(x.h = get(s, i - 1).h, false) OR coalesce(x.h = get(s, i + 1).h, false)),
+                x -> CAST(x.i AS bigint))),
+              named_struct('last', -5L, 'total', 0L),
+              (a, p) -> named_struct('last', p, 'total', a.total + least(5L, p - a.last)),
+              a -> a.total)
+          ), 1) END"""
+    out = out.withColumns({"n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"), "n_repeat_words": F.expr(repeats).cast("long")})
+    return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).drop(w, lines, h)
+
+
+def features() -> dict[str, Column]:
+    """The transformed features from the statistics; short texts are shrunk towards a usual word length."""
     n = F.col("n_words").cast("double")
     rate = lambda c: F.round(F.log1p(100.0 * F.col(c) / F.greatest(n, F.lit(1.0))), 6)
-    return stats.withColumns(
-        {
-            "z_length": F.round(F.log((F.col("word_chars") + 100.0) / (n + 20.0)), 6),
-            "z_symbols": rate("n_symbols"),
-            "z_lines": rate("n_dup_lines"),
-            "z_repeats": rate("n_repeat_words"),
-        }
-    )
+    length = F.round(F.log((F.col("word_chars") + 100.0) / (n + 20.0)), 6)
+    return dict(zip(FEATURES, [length, rate("n_symbols"), rate("n_dup_lines"), rate("n_repeat_words")]))
 
 
 def _key(lang: Column, source: Column) -> Column:
@@ -77,13 +71,9 @@ def _key(lang: Column, source: Column) -> Column:
     return F.concat(part(lang), part(source))
 
 
-def _level_keys() -> dict[str, Column]:
+def levels() -> list[Column]:
     """The group of a row at each level: language and source, language, all."""
-    return {
-        "__g0": F.concat(F.lit("s"), _key(F.col("lang"), F.col("source"))),
-        "__g1": F.concat(F.lit("l"), _key(F.col("lang"), F.lit(None).cast("string"))),
-        "__g2": F.lit("a"),
-    }
+    return [F.concat(F.lit("s"), _key(F.col("lang"), F.col("source"))), F.concat(F.lit("l"), _key(F.col("lang"), F.lit(None).cast("string"))), F.lit("a")]
 
 
 def _moments(names: list[str]) -> list[Column]:
@@ -106,14 +96,14 @@ def _factor(df: DataFrame, floors: list[float], scale: float) -> DataFrame:
     return df.select(*keep, "n", *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i in range(d) for j in range(i + 1)), (2 * logdet).alias("logdet"))
 
 
-def _distance2(names: list[str]) -> Column:
-    """Squared Mahalanobis distance by forward substitution, within one expression."""
-    solved = F.array().cast("array<double>")
+def _distance2(z: list[Column], model: str = "") -> Column:
+    """Squared Mahalanobis distance by forward substitution, within one expression; model: the struct that holds m{i} and l{i}{j}."""
+    solved, of = F.array().cast("array<double>"), lambda name: F.col(f"`{model}`.{name}" if model else name)
 
     def then(i: int):
-        return lambda y: F.concat(y, F.array((F.col(names[i]) - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * y[k] for k in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}")))
+        return lambda y: F.concat(y, F.array((z[i] - of(f"m{i}") - sum((of(f"l{i}{k}") * y[k] for k in range(i)), F.lit(0.0))) / of(f"l{i}{i}")))
 
-    for i in range(len(names)):
+    for i in range(len(z)):
         solved = let(solved, then(i))
     return F.aggregate(solved, F.lit(0.0), lambda a, y: a + y * y)
 
@@ -172,7 +162,7 @@ def fit_mcd(rows: DataFrame, features: dict[str, float], h: float = 0.75, starts
         if step == first_steps:
             best = Window.partitionBy("g").orderBy("logdet", "start")
             state = state.withColumn("__r", F.row_number().over(best)).filter("__r = 1").drop("__r")
-        near = (join_small(rows, state.drop("n", "logdet"), ["g"]) if step >= first_steps else _with_starts(rows, state.drop("n", "logdet"))).withColumn("__d2", _distance2(z))
+        near = (join_small(rows, state.drop("n", "logdet"), ["g"]) if step >= first_steps else _with_starts(rows, state.drop("n", "logdet"))).withColumn("__d2", _distance2([F.col(c) for c in z]))
         bins = near.withColumn("bin", F.least(F.lit(LAST_BIN), F.floor(F.log1p("__d2") * BINS_PER_UNIT)).cast("int")).groupBy("g", "start", "bin").agg(*_moments(z))
         upto = Window.partitionBy("g", "start").orderBy("bin")
         bins = bins.withColumn("__before", F.sum("n").over(upto) - F.col("n")).withColumn("__all", F.sum("n").over(Window.partitionBy("g", "start")))
@@ -189,8 +179,7 @@ def _with_starts(rows: DataFrame, state: DataFrame) -> DataFrame:
 
 def fit_quality(stats: DataFrame, min_rows: int = 60) -> DataFrame:
     """The model: a row for each group of min_rows distinct vectors or more, at the levels language and source, language, all."""
-    rows = vectors(stats.filter(~F.col("base_failed"))).withColumns(_level_keys())
-    rows = rows.select(F.explode(F.array("__g0", "__g1", "__g2")).alias("g"), *FEATURES).distinct()
+    rows = stats.filter(~F.col("base_failed")).select(F.explode(F.array(*levels())).alias("g"), *(c.alias(k) for k, c in features().items())).distinct()
     rows = write_table(rows, "vectors")
     sizes = cut(rows.groupBy("g").agg(F.count("*").alias("__n")).filter(F.col("__n") >= min_rows))
     return fit_mcd(join_small(rows, sizes, ["g"], "left_semi"), FEATURES)
@@ -201,34 +190,34 @@ def apply_quality(stats: DataFrame, model: DataFrame, quantile: float = 0.9999)
 
     The finest group that the model has is used: language and source, else language, else all.
     """
-    names, d = list(FEATURES), len(FEATURES)
-    out = vectors(stats).withColumns(_level_keys())
-    parts = model.select("g", F.struct(*(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i in range(d) for j in range(i + 1))).alias("__m"))
-    for k in range(3):
-        out = join_small(out, parts.select(F.col("g").alias(f"__g{k}"), F.col("__m").alias(f"__m{k}")), [f"__g{k}"], "left")
-    out = out.withColumn("__m", F.coalesce("__m0", "__m1", "__m2")).select("*", "__m.*").withColumn("__d2", _distance2(names))
-    out = out.withColumn("distance2", F.when(~F.col("base_failed"), F.col("__d2")))
+    d, out = len(FEATURES), stats.drop("distance2", "kept")
+    keys, fits = ([unused(out, f"__{x}{k}") for k in range(3)] for x in ("group", "fit"))
+    parts = model.select("g", F.struct(*(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i in range(d) for j in range(i + 1))).alias("fit"))
+    out = out.withColumns(dict(zip(keys, levels())))
+    for key, fit in zip(keys, fits):
+        out = join_small(out, parts.select(F.col("g").alias(key), F.col("fit").alias(fit)), [key], "left")
+    out = out.withColumn(fits[0], F.coalesce(*fits))
+    out = out.withColumn("distance2", F.when(~F.col("base_failed"), _distance2(list(features().values()), fits[0])))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= chi2_quantile(quantile, d), F.lit(True))
-    return out.withColumn("kept", kept).drop(*(c for c in out.columns if c.startswith("__")), *names, *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i in range(d) for j in range(i + 1)))
+    return out.withColumn("kept", kept).drop(*keys, *fits)
 
 
 #: What the rules add; a document column of such a name is replaced.
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "kept"]
 
 
-def quality_statistics_table(docs: DataFrame) -> DataFrame:
-    """The statistics of all documents without their texts, written once."""
-    return write_table(statistics(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
-
-
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """Documents with the statistics, distance2 and kept. Null text: 0 words, rejected. Null lang or source: a group of
-    their own. Empty table: empty result. Copies get equal verdicts. Columns named as those added are replaced."""
-    docs = docs.drop(*ADDED)
-    model = fit_quality(quality_statistics_table(docs))
-    return apply_quality(statistics(docs), model)
+    """Documents (text, lang, source and any other columns) with the statistics, distance2 and kept.
+
+    Null text: 0 words, rejected. Null lang or source: a group of their own. Empty table: empty result. Copies and repeated
+    rows get equal verdicts. Columns named as those added are replaced, any others pass. Very long texts are judged whole.
+    The documents are written once with their statistics, from which the model is fitted and applied.
+    """
+    stats = write_table(statistics(docs.drop(*ADDED)), "quality")
+    return apply_quality(stats, fit_quality(stats))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = quality_statistics_table(documents(spark, sf_dir))
+    """The statistics and verdict of every row of documents; cases as in quality_rules. Texts aren't written again."""
+    stats = write_table(statistics(documents(spark, sf_dir).select("doc_id", "text", "lang", "source")).drop("text"), "quality")
     return apply_quality(stats, fit_quality(stats)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")

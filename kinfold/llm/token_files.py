@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.bpe import encoder, slices, vocabulary_path
@@ -27,6 +27,8 @@ from kinfold.llm.common import documents, fresh_path, write_table
 MAGIC = b"KTF1"
 #: Ids in a block, about (a document stays whole).
 BLOCK = 1 << 18
+#: Ids in a file, about; a file is closed at FILE_BYTES at the latest, and its partition goes on in another.
+FILE_IDS, FILE_BYTES = 1 << 25, 1 << 28
 #: Lengths of the four values of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -97,8 +99,8 @@ def encode_ids(docs: DataFrame, path: str, end: int | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, ids binary")
 
 
-def id_frequencies(encoded: DataFrame) -> np.ndarray:
-    """Ids by falling frequency over all documents, ties to the smaller id; at most 65,536 of them, whatever the corpus."""
+def id_frequencies(encoded: DataFrame) -> pd.DataFrame:
+    """id and n by falling frequency over all documents, ties to the smaller id; at most 65,536 rows, whatever the corpus."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << 16, np.int64)
@@ -109,17 +111,23 @@ def id_frequencies(encoded: DataFrame) -> np.ndarray:
         yield pd.DataFrame({"id": at, "n": total[at]})
 
     rows = encoded.select("ids").mapInPandas(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    return rows.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.int64)
+    return rows.sort_values(["n", "id"], ascending=[False, True], ignore_index=True)
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str, end: int | None = None, partitions: int | None = None) -> np.ndarray:
-    """Encode docs (doc_id, text) and write files part-00000.ktf ... in ascending doc_id order; returns ids by rank.
+def write_token_files(docs: DataFrame, folder: str, path: str, end: int | None = None, file_ids: int = FILE_IDS, file_bytes: int = FILE_BYTES) -> None:
+    """Encode docs (doc_id, text; other columns are ignored) into files part-00000-00000.ktf ... in ascending doc_id order,
+    with the table of ids by rank in `ranks` and a row for each file in `manifest` beside them.
 
-    A task writes its own file under another name and then moves it, so a task that runs again leaves the same file.
-    Rows of equal doc_id are ordered by their ids; null doc_ids come first. No documents: no file with blocks.
+    Partitions are ranges of doc_id of about file_ids ids, so files grow in number and not in size. A task writes its files
+    under other names and then moves them, so a task that runs again leaves the same files. Rows of equal or null doc_id are
+    ordered by a hash of their ids, and so spread over files; null doc_ids come first. Null and empty texts have the end id
+    only; a very long text is one document in one file. No documents: no file. The folder must be one that pyarrow's and
+    Spark's file systems both know.
     """
+    spark = docs.sparkSession
     encoded = write_table(encode_ids(docs, path, end), "ids")
-    by_rank = id_frequencies(encoded)
+    counts = id_frequencies(encoded)
+    by_rank = counts["id"].to_numpy(np.int64)
     rank_of = np.zeros(1 << 16, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
 
@@ -129,35 +137,54 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int | None =
         fs, base = FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
         fs.create_dir(base, recursive=True)
-        name, temporary = f"{base}/part-{part:05d}.ktf", f"{base}/.part-{part:05d}-{uuid.uuid4().hex}"
-        count, held, ids = 0, [], []
-        with fs.open_output_stream(temporary) as out:
-            for pdf in batches:
-                for d, x in zip(pdf["doc_id"], pdf["ids"]):
-                    held.append(None if pd.isna(d) else int(d))
-                    ids.append(bytes(x))
-                    count += len(x) // 2
-                    if count >= BLOCK:
-                        out.write(block(held, ids, rank_of))
-                        count, held, ids = 0, [], []
-            if held:
-                out.write(block(held, ids, rank_of))
-        fs.move(temporary, name)
-        yield pd.DataFrame({"part": [part]})
+        number, held, ids, count, size, total, out = 0, [], [], 0, 0, 0, None
+        name = temporary = ""
+
+        def close() -> pd.DataFrame:
+            out.close()
+            fs.move(temporary, f"{base}/{name}")
+            return pd.DataFrame({"part": [name], "n": [total]})
+
+        def flush() -> int:
+            data = block(held, ids, rank_of)
+            out.write(data)
+            return len(data)
+
+        for pdf in batches:
+            for d, x in zip(pdf["doc_id"], pdf["ids"]):
+                if out is None:
+                    name, temporary = f"part-{part:05d}-{number:05d}.ktf", f"{base}/.part-{part:05d}-{uuid.uuid4().hex}"
+                    out, size, total = fs.open_output_stream(temporary), 0, 0
+                held.append(None if pd.isna(d) else int(d))
+                ids.append(bytes(x))
+                count += len(x) // 2
+                if count >= BLOCK:
+                    size, total = size + flush(), total + count
+                    count, held, ids = 0, [], []
+                    if size >= file_bytes:
+                        yield close()
+                        number, out = number + 1, None
+        if held:
+            flush()
+            total += count
+        if out is not None:
+            yield close()
 
     from pyarrow.fs import FileSystem
 
     fs, base = FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)  # also where no task writes a file
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = encoded.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInPandas(write, "part bigint").agg(F.count("*")).collect()
-    return by_rank
+    parts = max(1, -(-int(counts["n"].sum()) // file_ids))
+    ordered = encoded.withColumn("h", F.xxhash64("ids")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids")
+    ordered.select("doc_id", "ids").mapInPandas(write, "part string, n bigint").write.parquet(f"{folder}/manifest")
+    spark.createDataFrame(list(enumerate(by_rank.tolist())), "rank bigint, id bigint").coalesce(1).write.parquet(f"{folder}/ranks")
 
 
-def read_token_files(spark: SparkSession, folder: str, by_rank: np.ndarray) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens and start: the ids of all documents before it."""
     schema = "part string, doc_id bigint, n_tokens bigint, before bigint, ids binary"
+    ranks = spark.read.schema("rank bigint, id bigint").parquet(f"{folder}/ranks").orderBy("rank").limit(1 << 16).toPandas()
+    by_rank = ranks["id"].to_numpy(np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -171,25 +198,9 @@ def read_token_files(spark: SparkSession, folder: str, by_rank: np.ndarray) -> D
                     before += int(ends[-1])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ktf").load(folder).select("path", "content")
-    rows = files.mapInPandas(run, schema)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                at = total = 0
-                while at < len(content):  # block heads only
-                    docs, ranks, size = struct.unpack_from("<III", content, at + 4)
-                    at += 16 + 13 * docs + (ranks + 3) // 4 + size
-                    total += ranks
-                yield pd.DataFrame({"part": [name.rpartition("/")[2]], "n": [total]})
-
-    sizes = {r["part"]: r["n"] for r in files.mapInPandas(count, "part string, n bigint").collect()}  # a row a file
-    offsets, total = [], 0
-    for part in sorted(sizes):
-        offsets.append((part, total))
-        total += sizes[part]
-    table = spark.createDataFrame(offsets or [("", 0)], "part string, offset bigint")
-    return rows.join(F.broadcast(table), "part").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids")
+    manifest = spark.read.schema("part string, n bigint").parquet(f"{folder}/manifest").dropDuplicates(["part"])
+    offsets = manifest.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))  # a row a file
+    return files.mapInPandas(run, schema).join(F.broadcast(offsets), "part").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids")
 
 
 def crc32_of(rows: DataFrame) -> DataFrame:
@@ -198,6 +209,7 @@ def crc32_of(rows: DataFrame) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, encoded, written and read back; cases as in write_token_files."""
     folder = fresh_path(spark, "token-files")
-    by_rank = write_token_files(documents(spark, sf_dir), folder, vocabulary_path(), end=2)
-    return crc32_of(read_token_files(spark, folder, by_rank))
+    write_token_files(documents(spark, sf_dir), folder, vocabulary_path(), end=2)
+    return crc32_of(read_token_files(spark, folder))

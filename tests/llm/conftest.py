@@ -44,4 +44,7 @@ def none(spark):
 def folder(spark, docs, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables"))
     docs.write.parquet(f"{path}/documents.parquet")
+    r = random.Random(6)
+    vectors = [(i, [r.gauss(0, 1) for _ in range(64)], "x") for i in range(600)] + [(700, None, "x"), (750, [0.0] * 64, "x")]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, codes string").repartition(2).write.parquet(f"{path}/embeddings.parquet")
     return path

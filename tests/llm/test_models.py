@@ -108,6 +108,76 @@ def test_languages(spark, folder, docs):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def segmentations(word, ids, byte):
+    """Every way to cut a word into pieces, as lists of piece ids (a character without a piece is its bytes)."""
+    for cut in itertools.product([0, 1], repeat=len(word) - 1):
+        parts, last = [], 0
+        for i, c in enumerate((*cut, 1), 1):
+            if c:
+                parts.append(word[last:i])
+                last = i
+        if all(x in ids or len(x) == 1 for x in parts):
+            yield [y for x in parts for y in ([ids[x]] if x in ids else [byte[b] for b in x.encode()])]
+
+
+def test_expected_uses():
+    """What one round of expectation maximisation adds up, against all segmentations."""
+    path = vocabulary_path("piece_bpe_32k.model")
+    ids, byte = langid.pieces(path)
+    size = max(max(ids.values()), max(byte)) + 1
+    logp = np.log(np.random.default_rng(3).dirichlet(np.ones(size), 2).T)
+    for words, counts in ((["▁there", "▁under"], [3.0, 5.0]), (["▁x日☃"], [2.0])):
+        got, want = np.zeros(size), np.zeros(size)
+        langid.Lattice(logp, path).expected(words, np.array(counts), 1, got)
+        for word, n in zip(words, counts):
+            ways = list(segmentations(word, ids, byte))
+            p = np.exp([logp[w, 1].sum() for w in ways])
+            for w, q in zip(ways, p / p.sum()):
+                np.add.at(want, w, n * q)
+        assert np.allclose(got, want, atol=1e-6)
+
+
+def plain_scores(model, text):
+    """Log likelihood of a text in each language: one sum after the other, a plain forward pass over each word."""
+    ids, byte = langid.pieces(model.vocabulary)
+    total = np.zeros(len(model.languages))
+    for word in langid.marked(text):
+        a = [np.zeros(len(model.languages))]
+        for j in range(1, len(word) + 1):
+            ways = [a[i] + model.logp[ids[word[i:j]]].astype(float) for i in range(max(0, j - langid.LONGEST), j) if word[i:j] in ids]
+            if word[j - 1] not in ids:
+                ways.append(a[j - 1] + model.logp[[byte[b] for b in word[j - 1].encode()]].astype(float).sum(axis=0))
+            a.append(np.logaddexp.reduce(ways, axis=0))
+        total += a[-1]
+    return total
+
+
+def test_predictions(spark, folder, docs):
+    """lang_pred and score of the registered query against plain sums over the fitted model."""
+    model = langid.fit_languages(docs.filter(~langid.in_fold()))
+    got = {(r.doc_id, r.held_out): r for r in langid.op6_langid(spark, folder).collect()}
+    for r in docs.filter("text IS NOT NULL AND length(text) < 2000").limit(60).collect():
+        mine = got[r.doc_id, zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+        if not any(c.isalpha() for c in r.text):
+            assert mine.lang_pred == "und"
+            continue
+        ll = plain_scores(model, r.text)
+        assert mine.lang_pred == model.languages[int(ll.argmax())]
+        assert math.isclose(mine.score, 1 / np.exp(ll - ll.max()).sum(), rel_tol=1e-6)
+
+
+def test_long_runs_ties_and_clashes(spark, none):
+    path = vocabulary_path("piece_bpe_32k.model")
+    size = max(max(langid.pieces(path)[0].values()), max(langid.pieces(path)[1])) + 1
+    same = langid.Model(["aa", "bb"], np.full((size, 2), -5.0, np.float32), path)
+    rows = [(1, "word", "x"), (2, "日本" * 1_000_000, "x"), (3, "ab" * 1_000_000, "x"), (4, None, "x"), (5, "", "x"), (1, "word", "x")]
+    got = langid.identify_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang_pred string"), same).collect()
+    assert sorted((r.doc_id, r.lang_pred, r.score) for r in got) == [(1, "aa", 0.5), (1, "aa", 0.5), (2, "aa", 0.5), (3, "aa", 0.5), (4, "und", 0.0), (5, "und", 0.0)]
+    assert langid.identify_languages(none, same).count() == 0
+    parts = langid.marked("x" * 3000 + " y")
+    assert [len(p) for p in parts] == [1025, 1024, 952, 2] and "".join(parts) == "▁" + "x" * 3000 + "▁y"
+
+
 def test_no_languages(none, docs):
     model = langid.fit_languages(none)
     assert model.languages == []

@@ -3,6 +3,8 @@ from __future__ import annotations
 import numpy as np
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from kinfold.llm.bpe import vocabulary_path
 
@@ -23,9 +25,27 @@ def test_stages(spark, folder, docs):
             assert rows.count() == len(ids)
     library, texts = Tokenizer.from_file(vocabulary_path()), {r.doc_id: r.text for r in docs.collect()}
     for r in rows.collect():
+        assert r.round_trip
         assert np.frombuffer(bytes(r.token_ids), "<u4").tolist() == library.encode(texts[r.doc_id], add_special_tokens=False).ids
 
 
+def test_extra_columns(spark, docs):
+    """Columns named as an operator's own come out as they came in."""
+    mine = {c: F.lit(f"my {c}") for c in ("kept", "n_words", "score", "lang_pred", "copy", "shuffle_key", "n_tokens", "component_id")}
+    some = docs.filter("doc_id < 40 OR doc_id = 3000").withColumns(mine)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, some, "")
+        assert out.columns == some.columns and out.select(*mine).distinct().collect() == [tuple(f"my {c}" for c in mine)], name
+
+
+def test_rows_of_one_id(spark, docs):
+    """Equal rows are one; rows that share a doc_id and differ all stay, if it is the smallest of its group."""
+    a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, a, "en", "s", 1), (3, b + " c", "en", "s", 1), (None, a, "en", "s", 1), (4, None, "en", "s", 0), (5, "", "en", "s", 0)]
+    got = sorted((r.doc_id or 0, r.text or "") for r in P.keep_distinct(spark, spark.createDataFrame(rows, docs.schema), "").collect())
+    assert got == [(0, a), (1, a), (1, b), (4, ""), (5, "")]
+
+
 def test_empty(spark, none, folder):
     rows = none
     for k, (_, stage) in enumerate(P.STAGES):

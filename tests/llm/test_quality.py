@@ -53,6 +53,47 @@ def test_rules(docs):
     assert all(got[i].kept for i in range(120) if got[i].n_words >= 10)
 
 
+def test_query(spark, folder, docs):
+    """The registered query: counts by brute force, verdicts by distances that numpy finds from the fitted groups."""
+    texts = {(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()}
+    stats = quality.statistics(docs)
+    model = {r.g: r for r in quality.fit_quality(stats).collect()}
+    limit = quality.chi2_quantile(0.9999, 4)
+    want = Counter()
+    for d, text, lang, source in texts:
+        n, chars, symbols, lines, repeats = brute(text)
+        failed = n < 10 or 100 * repeats > 20 * n
+        name = lambda c: "-" if c is None else f"{len(c)}:{c}"
+        fit = next((model[g] for g in (f"s{name(lang)}{name(source)}", f"l{name(lang)}-", "a") if g in model), None)
+        kept = not failed
+        if kept and fit:
+            z = np.array([np.log((chars + 100) / (n + 20)), *(np.log1p(100 * x / n) for x in (symbols, lines, repeats))])
+            low = np.array([[fit[f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+            y = np.linalg.solve(low, z - [fit[f"m{i}"] for i in range(4)])
+            kept = bool(y @ y <= limit)
+        want[(d, n, chars, symbols, lines, repeats, failed, kept)] += 1
+    got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in quality.op1_quality(spark, folder).collect()}
+    assert got == set(want) and "a" in model
+
+
+def test_clashing_columns(docs):
+    """Names that the operator uses inside pass untouched."""
+    mine = {c: F.lit(7) for c in ("m0", "l00", "g", "__words", "__hashes", "__group0", "__fit0", "__x", "z_length", "n", "start")}
+    out = quality.quality_rules(docs.withColumns(mine))
+    assert set(mine) <= set(out.columns)
+    assert out.select(*mine).distinct().collect() == [tuple([7] * len(mine))]
+    plain = {(r.doc_id, r.text): r.kept for r in quality.quality_rules(docs).collect()}
+    assert plain == {(r.doc_id, r.text): r.kept for r in out.collect()}
+
+
+def test_long_text(spark, docs):
+    """A text of 300,000 different words has no repeated window; one repeated at its ends has ten words of them."""
+    words = [f"w{i}" for i in range(300_000)]
+    rows = [(1, " ".join(words), "en", "s", 1), (2, " ".join(words + words[:5]), "en", "s", 1)]
+    got = {r.doc_id: r.n_repeat_words for r in quality.statistics(spark.createDataFrame(rows, docs.schema)).collect()}
+    assert got == {1: 0, 2: 10}
+
+
 def test_symbols_are_rejected(spark, docs):
     junk = spark.createDataFrame([(8000 + i, " ".join(f"w{i}{j}***" for j in range(60)), "en", "hot", 1) for i in range(5)], docs.schema)
     got = quality.quality_rules(docs.union(junk)).filter("doc_id >= 8000 AND doc_id < 9000").collect()

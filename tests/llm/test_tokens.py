@@ -86,8 +86,39 @@ def test_round_trip(values):
 def test_empty_and_clashes(spark, none, docs, tmp_path):
     assert bpe.encode_chunked(none, bpe.vocabulary_path()).count() == 0
     assert bpe.encode_chunked(docs.withColumn("n_tokens", F.lit("x")), bpe.vocabulary_path(), decode=True).filter("n_tokens IS NULL").count() == 0
-    by_rank = token_files.write_token_files(none, f"file://{tmp_path}/none", bpe.vocabulary_path(), end=2)
-    assert token_files.read_token_files(spark, f"file://{tmp_path}/none", by_rank).count() == 0
+    token_files.write_token_files(none, f"file://{tmp_path}/none", bpe.vocabulary_path(), end=2)
+    assert token_files.read_token_files(spark, f"file://{tmp_path}/none").count() == 0
     odd = spark.createDataFrame([(None, "x"), (None, None), (-5, "y")], "doc_id bigint, text string")
-    by_rank = token_files.write_token_files(odd, f"file://{tmp_path}/odd", bpe.vocabulary_path(), end=2)
-    assert sorted((r.doc_id is None, r.start) for r in token_files.read_token_files(spark, f"file://{tmp_path}/odd", by_rank).collect()) == [(False, 3), (True, 0), (True, 1)]
+    token_files.write_token_files(odd.withColumn("ids", F.lit(1)), f"file://{tmp_path}/odd", bpe.vocabulary_path(), end=2)
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read_token_files(spark, f"file://{tmp_path}/odd").collect())
+    assert [d for _, d, _ in got] == [None, None, -5] and sorted(n for _, _, n in got) == [1, 2, 2] and got[2][0] == 3
+
+
+def test_many_files(spark, docs, library, tmp_path):
+    """Partitions by ids, and files closed at a size, give the same rows."""
+    folder = f"file://{tmp_path}/many"
+    token_files.BLOCK, before = 500, token_files.BLOCK
+    try:
+        token_files.write_token_files(docs, folder, bpe.vocabulary_path(), end=2, file_ids=6000, file_bytes=3000)
+        got = token_files.read_token_files(spark, folder).collect()
+    finally:
+        token_files.BLOCK = before
+    names = sorted(p.name for p in (tmp_path / "many").glob("*.ktf"))
+    assert len(names) > 5 and any(x.endswith("-00001.ktf") for x in names)
+    start = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == start
+        start += r.n_tokens
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == sorted(r.doc_id for r in docs.collect())
+    assert sorted(bytes(r.ids) for r in got) == sorted(ids_of(library, r.text) + np.array([2], "<u4").tobytes() for r in docs.collect())
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000 + "x", "a few words" + "\n" * 1_500_000 + "and more", "ab" * 1_000_000, "7" * 2_000_000, "日本" * 700_000])
+def test_long_runs_through_queries(spark, docs, library, tmp_path, text):
+    """Unbroken runs through both registered queries."""
+    spark.createDataFrame([(1, text, "en", "s", len(text)), (2, None, "en", "s", None)], docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    ids = ids_of(library, text)
+    got = {r.doc_id: r for r in bpe.op2_bpe(spark, str(tmp_path)).collect()}
+    assert got[1].ids_sha256 == hashlib.sha256(ids).hexdigest() and got[1].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and got[2].n_tokens == 0
+    read = {r.doc_id: r for r in token_files.op10_token_files(spark, str(tmp_path)).collect()}
+    assert read[1].ids_crc32 == zlib.crc32(ids + np.array([2], "<u4").tobytes()) and (read[2].start, read[2].n_tokens) == (len(ids) // 4 + 1, 1)
