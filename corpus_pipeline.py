@@ -2,47 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.bpe import encode_chunked, vocabulary_path
-from kinfold.llm.common import documents, write_table
+from kinfold.llm.common import cut, documents, unused, write_table
 from kinfold.llm.langid import fit_languages, identify_languages
 from kinfold.llm.mixing import mix_sources
 from kinfold.llm.ngram_join import near_duplicates
-from kinfold.llm.quality import quality_rules
+from kinfold.llm.quality import ADDED, quality_rules
+
+
+def _with_own_columns(docs: DataFrame, added: list[str], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of docs after a step that adds columns: those of docs that are named alike stand aside meanwhile."""
+    aside = {c: unused(docs, f"__own_{c}") for c in docs.columns if c in added}
+    return step(docs.withColumnsRenamed(aside)).select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+    """Documents that the quality rules keep. Null, empty and short texts go; repeated rows get one verdict; other columns,
+    those named as the rules' own too, pass. Empty table: empty result."""
+    return _with_own_columns(docs, ADDED, lambda d: quality_rules(d).filter("kept"))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows with a posterior of a half or more; a missing lang is filled in.
-    A table without any labelled document has no model, and all texts with a letter stay."""
+    A table without any labelled document has no model, and all texts with a letter stay. Null and empty texts go; columns
+    named as those that the operator adds pass. Empty table: empty result."""
     model = fit_languages(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    known = identify_languages(docs, model).filter("lang_pred <> 'und' AND score >= 0.5")
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    added = ["lang_pred", "score"]
+    return _with_own_columns(docs, added, lambda d: identify_languages(d, model).filter("lang_pred <> 'und' AND score >= 0.5").withColumn("lang", F.coalesce("lang", "lang_pred")))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates, one row of it; documents without a doc_id stay."""
-    first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    """The document of smallest doc_id of each group of near duplicates (five words, a similarity of 0.8). Equal rows of
+    it are kept once; rows that share its doc_id and differ all stay, as do rows without a doc_id. Texts without words are
+    like no other. Empty table: empty result."""
+    found = near_duplicates(docs, percent=80, width=5).filter("doc_id = component_id")
+    first = cut(found.groupBy("doc_id").agg(F.count("*").alias("rows")))
+    once = docs.join(first.filter("rows = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    often = docs.join(first.filter("rows > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).distinct()
+    return once.unionByName(often).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that a source's share goes with the square root of its size, in random order."""
-    return mix_sources(docs).select(*docs.columns)
+    """Documents repeated so that a source's share goes with the square root of its size, in random order. A null source is
+    a source; null texts and repeated rows are repeated as any other; columns named copy or shuffle_key pass. Empty table:
+    empty result."""
+    return _with_own_columns(docs, ["copy", "shuffle_key"], mix_sources)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, as little-endian unsigned 32-bit integers."""
-    return encode_chunked(docs, vocabulary_path()).select("doc_id", "lang", "source", "n_tokens", "token_ids")
+    """doc_id, lang, source, n_tokens, token_ids (little-endian unsigned 32-bit integers) of every document, and whether the
+    decoded ids are its text again (round_trip). Null and empty texts have no tokens; other columns go. Empty table: empty
+    result."""
+    out = encode_chunked(docs.select("doc_id", "text", "lang", "source"), vocabulary_path(), decode=True)
+    return out.select("doc_id", "lang", "source", "n_tokens", "token_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 STAGES = [
