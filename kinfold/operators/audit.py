@@ -130,3 +130,17 @@ def transition_check(jobs: DataFrame, states: list[str], max_attempts: int, asof
         "lease_in_the_past": (C("status") == "leased") & (C("lease_expires_at") < asof),
     }
     return jobs.select("id", F.explode(F.array_compact(F.array(*(F.when(cond, F.lit(k)) for k, cond in rules.items())))).alias("rule"))
+
+
+def storage_reconcile(expected: DataFrame, manifest: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(state of each expected row: ok, repair or missing_blob; one row of counts, orphan blobs among them).
+
+    expected: blob_path, checksum, projection_path; manifest: path, sha256 of the files there are; known: blob_path."""
+    files = lambda p: manifest.select(F.col("path").alias(f"{p}_path"), F.col("sha256").alias(f"__{p}"))
+    rows = expected.join(files("blob"), "blob_path", "left").join(files("projection"), "projection_path", "left")
+    state = F.when(~F.col("__blob").eqNullSafe(F.col("checksum")), "missing_blob").when(~F.col("__projection").eqNullSafe(F.col("checksum")), "repair").otherwise("ok")
+    rows = rows.select("blob_path", "projection_path", state.alias("state"))
+    count = lambda s: F.count_if(F.col("state") == s)
+    numbers = rows.agg(F.count("*").alias("checked"), count("ok").alias("ok"), count("repair").alias("repair"), count("missing_blob").alias("missing_blobs"))
+    orphans = files("blob").filter(F.col("blob_path").startswith("blobs/")).join(known.select("blob_path"), "blob_path", "left_anti").agg(F.count("*").alias("orphan_blobs"))
+    return rows, numbers.crossJoin(orphans)  # one row each

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,3 +164,57 @@ def mark_all_read(children: DataFrame, reading: DataFrame, series_id: int, asof:
     """Reading states (id, state, updated_at) with all children of a series read."""
     new = children.filter(C("series_id") == series_id).select("id", F.lit("read").alias("state"), asof.alias("updated_at"))
     return snapshot_upsert(reading, new, ["id"])
+
+
+def reroute_cooling(jobs: DataFrame, releases: DataFrame, cooling: DataFrame, keys: list[str], asof: Column) -> DataFrame:
+    """(id, action, release_id, source, due_at) of waiting jobs (id, status, source, release_id, preferred_only, attempted:
+    array of sources) of cooling sources (source, retry_after): moved to the best available release of the same keys from a
+    source not yet tried, due now, or waiting until the retry. Jobs for the preferred release only always wait."""
+    rows = jobs.filter(C("status").isin(*WAITING)).join(cooling.select("source", "retry_after"), "source").join(releases.select(C("id").alias("release_id"), *keys), "release_id")
+    tried = F.array_union(F.coalesce("attempted", F.array().cast("array<string>")), F.array("source"))
+    asked = rows.filter(~C("preferred_only")).select(C("id").alias("job"), *keys, tried.alias("tried"))
+    other = asked.join(releases.filter("available"), keys).filter(~F.array_contains("tried", C("source")))
+    best = first_row(other, ["job"], [preference().desc(), F.desc("quality"), F.desc("id")]).select(C("job").alias("id"), C("id").alias("__id"), C("source").alias("__source"))
+    out = rows.join(best, "id", "left")
+    moved = C("__id").isNotNull()
+    return out.select("id", F.when(moved, "rerouted").otherwise("wait").alias("action"), F.coalesce("__id", "release_id").alias("release_id"), F.coalesce("__source", "source").alias("source"), F.when(moved, asof).otherwise(C("retry_after")).alias("due_at"))
+
+
+#: Versions of payloads that can be brought up to date in place, and the current one.
+COMPATIBLE_VERSIONS, CURRENT_VERSION = (1, 2, 3), 3
+
+
+def audit_payload_versions(jobs: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """(id, version, action) of active jobs (id, status, payload: map of strings, group_key, workflow_key): blocked if a
+    required key is missing, rebuild (deferred while leased) if the version isn't compatible, regroup without group or
+    workflow, upgrade if older than the current version, else preserve. No version: 1; one that isn't a number: 0."""
+    said = F.nullif(C("payload")["version"], F.lit(""))
+    version = F.when(said.isNull(), 1).otherwise(F.coalesce(said.try_cast("int"), F.lit(0)))
+    missing = reduce(lambda a, b: a | b, (F.coalesce(C("payload")[k], F.lit("")) == "" for k in required))
+    blank = lambda c: F.coalesce(C(c), F.lit("")) == ""
+    action = (
+        F.when(missing, "blocked")
+        .when(~C("version").isin(*COMPATIBLE_VERSIONS), F.when(C("status") == "leased", "defer_rebuild").otherwise("rebuild"))
+        .when(blank("group_key") | blank("workflow_key"), "regroup")
+        .when(C("version") < CURRENT_VERSION, "upgrade")
+        .otherwise("preserve")
+    )
+    return jobs.filter(C("status").isin(*ACTIVE)).withColumn("version", version.cast("int")).select("id", "version", action.alias("action"))
+
+
+def normalize_payload(payload: Column, allowed: tuple[str, ...], defaults: dict[str, str]) -> Column:
+    """A payload (map of strings) with its allowed keys only, the current version, and defaults for what it lacks."""
+    kept = F.map_filter(payload, lambda k, v: k.isin(*allowed) & (k != "version") & v.isNotNull())
+    given = F.create_map(*(F.lit(x) for k, v in {**defaults, "version": str(CURRENT_VERSION)}.items() for x in (k, v)))
+    return F.map_concat(F.map_filter(given, lambda k, v: ~F.map_contains_key(kept, k)), kept)
+
+
+def untrack(series: DataFrame, plans: DataFrame, intents: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(plans (series_id, status), intents (id, series_id, state, job_id), jobs (id, status)) after series (id) are
+    untracked: plans and open intents cancelled, and their work where it waits (what is leased runs on)."""
+    gone = series.select(C("id").alias("series_id")).distinct().withColumn("__gone", F.lit(True))
+    plans = plans.join(gone, "series_id", "left").withColumn("status", F.when(C("__gone"), "cancelled").otherwise(C("status"))).drop("__gone")
+    hit = intents.join(gone, "series_id", "left").withColumn("__hit", F.coalesce(C("__gone") & C("state").isin("blocked", "pending", "queued"), F.lit(False)))
+    work = hit.filter("__hit AND job_id IS NOT NULL").select(C("job_id").alias("id")).distinct().withColumn("__stop", F.lit(True))
+    jobs = jobs.join(work, "id", "left").withColumn("status", F.when(C("__stop") & C("status").isin(*WAITING), "cancelled").otherwise(C("status"))).drop("__stop")
+    return plans, hit.withColumn("state", F.when(C("__hit"), "cancelled").otherwise(C("state"))).drop("__gone", "__hit"), jobs

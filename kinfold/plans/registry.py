@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinfold.plans import feed_queries, maintenance_queries, relational_queries, resolve_queries, scalar_queries
+from kinfold.plans import feed_queries, incoming_queries, maintenance_queries, relational_queries, resolve_queries, scalar_queries
 
-MODULES = [scalar_queries, relational_queries, resolve_queries, maintenance_queries, feed_queries]
+MODULES = [scalar_queries, relational_queries, resolve_queries, maintenance_queries, feed_queries, incoming_queries]
 
 QUERIES = {name: f for m in MODULES for name, f in m.Q.queries.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.Q.oracles.items()}
