@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -66,8 +69,18 @@ def observation_version(latest: Column, recent: Column) -> Column:
     return F.coalesce(F.nullif(latest, F.lit("")), keyed["n"], F.lit(""))
 
 
+#: Attributes of an image in the order in which they count, elements whose text isn't shown, and what may
+#: end an address within a script but isn't part of it.
+IMAGE_ATTRIBUTES = ("data-src", "data-lazy-src", "data-original", "data-url", "srcset", "src")
+HIDDEN = ("script", "style")
+AFTER_ADDRESS = "),];"
+
+_ADDRESS = re.compile(r"""https?://[^'"<>\s]+|(?<=")/?[^"\s<>:{}\[\]]+\.(?:%s)(?=")""" % "|".join(T.IMAGE_SUFFIXES), re.IGNORECASE)
+
+
 class _Links(HTMLParser):
-    """Links with their text, images, and the visible text of a page."""
+    """Links with their text, images (elements, then addresses and quoted image paths anywhere in the source), and the
+    visible text of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -79,18 +92,18 @@ class _Links(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
-        self.hidden += tag in ("script", "style")
+        self.hidden += tag in HIDDEN
         if tag == "a" and a.get("href"):
             self.links.append([a["href"], ""])
             self.inside = True
         elif tag == "img":
-            names = ("data-src", "data-lazy-src", "data-original", "data-url", "srcset", "src")
-            found = next((a[n] for n in names if a.get(n)), "")
+            name = next((n for n in IMAGE_ATTRIBUTES if a.get(n)), "src")
+            found = a.get(name, "")
             if found:
-                self.images.append(found.split(",")[0].strip().split(" ")[0])
+                self.images.append(found.split(",")[0].strip().split(" ")[0] if name == "srcset" else found)
 
     def handle_endtag(self, tag: str) -> None:
-        self.hidden -= tag in ("script", "style") and self.hidden > 0
+        self.hidden -= tag in HIDDEN and self.hidden > 0
         self.inside &= tag != "a"
 
     def handle_data(self, data: str) -> None:
@@ -101,23 +114,39 @@ class _Links(HTMLParser):
 
 
 #: Labels of links that lead to no item of their own.
-HELPERS = ("first chapter", "latest chapter", "first", "latest", "text mode")
+HELPERS = ("first chapter", "latest chapter", "first", "latest", "manhwa", "text mode")
+
+
+def script_addresses(html: str) -> list[str]:
+    """Addresses, and quoted paths of images, in the source of a page: scripts, data attributes and JSON among it."""
+    text = unescape(html).replace("\\/", "/")
+    return [x.rstrip(AFTER_ADDRESS) for x in _ADDRESS.findall(text)]
+
+
+def resolved(base: str, address: str) -> str:
+    try:
+        return urljoin(base, address)
+    except ValueError:
+        return address
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """page_id, visible text, links (array of href, text) and images of saved pages (page_id, html)."""
+    """page_id, visible text, links (array of href, text) and images of saved pages (page_id, html, and url, against
+    which images are resolved)."""
+    if "url" not in pages.columns:
+        pages = pages.withColumn("url", F.lit(""))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for key, html in zip(pdf["page_id"], pdf["html"]):
+            for key, base, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
                 p = _Links()
                 p.feed(html or "")
                 p.close()
-                out.append((key, " ".join(" ".join(p.text).split()), [{"href": h, "text": " ".join(t.split())} for h, t in p.links], p.images))
+                out.append((key, " ".join(" ".join(p.text).split()), [{"href": h, "text": " ".join(t.split())} for h, t in p.links], [resolved(base or "", x) for x in [*p.images, *script_addresses(html or "")]]))
             yield pd.DataFrame(out, columns=["page_id", "text", "links", "images"])
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id bigint, text string, links array<struct<href:string,text:string>>, images array<string>")
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id bigint, text string, links array<struct<href:string,text:string>>, images array<string>")
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
@@ -126,9 +155,10 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
 
 def page_flags(pages: DataFrame, words: tuple[str, ...] = ("premium", "early access", "locked")) -> DataFrame:
-    """Whether a page's visible text names a lock or holds a template placeholder."""
+    """Whether a page's visible text names a lock or holds a template placeholder, and its links to no item."""
     text = F.lower("text")
-    return parse_pages(pages).select("page_id", text.rlike("|".join(words)).alias("locked"), text.rlike(r"\{\{\s*(number|date)\s*\}\}").alias("template"))
+    helpers = F.size(F.filter("links", lambda x: F.lower(x["text"]).isin(*HELPERS))).cast("long")
+    return parse_pages(pages).select("page_id", text.rlike("|".join(words)).alias("locked"), text.rlike(r"\{\{\s*(number|date)\s*\}\}").alias("template"), helpers.alias("n_helpers"))
 
 
 def page_count_hint(pages: DataFrame) -> DataFrame:

@@ -22,7 +22,9 @@ Q.add("n05_dedupe_by_quality", lambda v: N.dedupe_by_quality(v("release"), ["ser
 Q.add("n06_merge_observations", lambda v: N.merge_observations(v("release").selectExpr("series_id AS id", "id AS position", "IF(id % 3 = 0, '', concat('t', id)) AS title", "quality AS popularity", "array(CAST(id % 9 AS STRING), CAST(id % 5 AS STRING)) AS recent")).select("id", "title", "popularity"), "SELECT series_id AS id, coalesce('t' || min(id) FILTER (id % 3 > 0), '') AS title, max(quality) AS popularity FROM {release} GROUP BY series_id")
 Q.add("n07_overlay_detail", lambda v: N.overlay_detail(v("identity").select("id", "title", "source"), v("identity").filter("id % 2 = 0").selectExpr("id", "IF(id % 4 = 0, '', upper(title)) AS title", "'z' AS source")), "SELECT id, CASE WHEN id % 4 = 2 THEN upper(title) ELSE title END AS title, CASE WHEN id % 2 = 0 THEN 'z' ELSE source END AS source FROM {identity}")
 Q.add("n08_extract_links", lambda v: N.extract_links(v("pages")))
-Q.add("n09_extract_image_urls", lambda v: N.extract_image_urls(v("pages").withColumn("html", F.concat("html", F.lit("<img src='https://i.test/p"), C("page_id").cast("string"), F.lit(".webp'><img src='/logo.png'>")))).select("page_id", "url"), "SELECT page_id, 'https://i.test/p' || page_id || '.webp' AS url FROM pages")
+# An image element, one that is no page, and addresses in a script: a whole one, an escaped one, and a path of this site.
+_IMAGES = """<img src='https://i.test/p{0}.webp'><img src='/logo.png'><script>var x = ["https:\\/\\/i.test\\/s{0}.jpg", "/r/a{0}.png", "https://i.test/p{0}.webp"];</script>"""
+Q.add("n09_extract_image_urls", lambda v: N.extract_image_urls(v("pages").withColumn("html", F.concat("html", F.replace(F.lit(_IMAGES), F.lit("{0}"), C("page_id").cast("string"))))).select("page_id", "url"), "SELECT page_id, unnest(['https://i.test/p' || page_id || '.webp', 'https://i.test/s' || page_id || '.jpg', regexp_extract(url, '^(https?://[^/]+)', 1) || '/r/a' || page_id || '.png']) AS url FROM pages")
 Q.add("n10_page_flags", lambda v: N.page_flags(v("pages")))
 Q.add("n11_page_count_hint", lambda v: N.page_count_hint(v("pages")))
 Q.add("n12_observation_version", lambda v: v("identity").selectExpr("id", "IF(id % 2 = 0, '', '7') AS latest", "array('3', CAST(size AS STRING), 'x') AS recent").select("id", N.observation_version(C("latest"), C("recent")).alias("version")), "SELECT id, CASE WHEN id % 2 = 1 THEN '7' ELSE greatest(3, size)::VARCHAR END AS version FROM {identity}")
@@ -45,3 +47,35 @@ Q.oracles["t01_status_counts"] = "SELECT event_type AS kind, count(*) AS n FROM
 Q.queries["t03_latency_windows"] = lambda spark, folder: T.run(T.latency_windows(_samples(spark, folder)), "complete", "latency")
 Q.oracles["t03_latency_windows"] = oracle("SELECT date_trunc('hour', ts) AS hour, 's' || (user_id % 4) AS source, count(*) AS n, count(*) FILTER (event_type = 'error') AS failures, round(avg(floor(value)), 6) AS mean FROM events GROUP BY 1, 2")
 Q.queries["t04_circuit_breaker"] = lambda spark, folder: T.circuit_breaker(_samples(spark, folder).select("id", "source", "at", "failed")).drop("batch")
+
+
+def _enriched(spark, folder):
+    jobs = spark.read.parquet(f"{folder}/customer.parquet").select(C("c_custkey").alias("job_id"), C("c_name").alias("job"))
+    events = _samples(spark, folder).select("id", "kind", (C("id") % 2000).alias("job_id"))
+    return T.run(T.enriched(events, jobs), "append", "enriched").select("id", "kind", "job")
+
+
+Q.queries["t01_enriched_events"] = _enriched
+Q.oracles["t01_enriched_events"] = "SELECT event_id AS id, event_type AS kind, c_name AS job FROM events LEFT JOIN customer ON c_custkey = event_id % 2000"
+
+
+def _changes(spark, folder):
+    listed = T.stream_table(spark, folder, "events").select(C("user_id").alias("id"), C("event_id").alias("version"))
+    known = spark.read.parquet(f"{folder}/events.parquet").filter("event_id % 3 = 0").groupBy(C("user_id").alias("id")).agg(F.max(C("event_id") * (C("user_id") % 2 * 2)).alias("version"))
+    return T.listing_changes(listed, known)[0]
+
+
+Q.queries["t02_listing_changes"] = _changes
+Q.oracles["t02_listing_changes"] = "WITH a AS (SELECT user_id AS id, event_id AS version FROM events UNION ALL SELECT user_id, event_id * (user_id % 2 * 2) FROM events WHERE event_id % 3 = 0) SELECT id, max(version) AS version FROM a GROUP BY id"
+
+
+def _polls(spark, folder):
+    e = T.stream_table(spark, folder, "events")
+    outcome = F.when(C("event_type") == "error", "failure").when(C("event_type") == "purchase", "change").otherwise("none")
+    return T.poll_cadence(e.select(F.concat(F.lit("s"), (C("user_id") % 4).cast("string")).alias("source"), C("event_id").alias("id"), outcome.alias("outcome"))).drop("batch")
+
+
+Q.queries["t05_poll_cadence"] = _polls
+# Which row of a key comes first is up to the stream; that there is one of each is not.
+Q.queries["t09_dedupe_active"] = lambda spark, folder: T.run(T.dedupe_active(_samples(spark, folder).select("source", "kind", "at"), ["source", "kind"], "3650 days"), "append", "dedupe").select("source", "kind")
+Q.oracles["t09_dedupe_active"] = "SELECT DISTINCT 's' || (user_id % 4) AS source, event_type AS kind FROM events"

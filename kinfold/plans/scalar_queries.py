@@ -73,13 +73,13 @@ Q.oracles.pop("f28_matching_title_similarity")
 Q.scalar("f29_text_similarity", "benchmark", "text, reverse(text) AS other", lambda: T.text_similarity(C("text"), C("other")), "NULL", key="item_id")
 Q.oracles.pop("f29_text_similarity")
 Q.scalar("f30_revision_hash", "identity", "url", lambda: T.revision_hash(F.lit("v3"), C("url")), "sha1('v3:' || url)[1:12]")
-_EVID = "named_struct('shared_external_id', id % 5 = 0, 'cover_state', CASE id % 4 WHEN 0 THEN 'match' WHEN 1 THEN 'likely' WHEN 2 THEN 'different' ELSE '' END, 'cover_match', id % 4 = 0, 'cover_compared', id % 2 = 0, 'inliers', CAST(id % 3 AS INT), 'title_match', id % 6 = 0, 'latest_compared', id % 2 = 0, 'latest_match', id % 4 = 0, 'latest_delta', CAST(id % 9 AS STRING)) AS e => source"
+_EVID = "named_struct('shared_external_id', id % 5 = 0, 'cover_state', CASE id % 4 WHEN 0 THEN 'match' WHEN 1 THEN 'likely' WHEN 2 THEN 'different' ELSE '' END, 'cover_match', id % 4 = 0, 'cover_compared', id % 2 = 0, 'inliers', CAST(id % 3 AS INT), 'title_match', id % 6 = 0, 'latest_compared', id % 2 = 0, 'latest_match', id % 4 = 0, 'latest_delta', CAST(id % 9 AS STRING), 'external_id', id % 7 = 0, 'cover_signature_invalid', id % 8 = 3, 'title_or_alias', id % 10 = 0, 'chapter_fingerprint', id % 11 = 0, 'policy', IF(id % 12 = 0, 'manual_review_required', NULL)) AS e => source"
 Q.scalar(
     "f31_human_evidence", "identity", _EVID, lambda: F.array_join(F.transform(T.human_evidence(C("e")), lambda x: x["label"]), ";"),
-    """concat_ws(';', CASE WHEN id % 5 = 0 THEN 'Shared external ID' END,
-       CASE id % 4 WHEN 0 THEN CASE WHEN id % 3 > 0 THEN 'Visual cover match · ' || (id % 3) || ' aligned features' ELSE 'Cover match' END WHEN 1 THEN 'Covers are likely similar' WHEN 2 THEN 'Cover artwork differs' ELSE 'Cover comparison pending' END,
-       CASE WHEN id % 6 = 0 THEN 'Strong title or alias match' END,
-       CASE WHEN id % 4 = 0 THEN 'Latest chapters align · Δ' || (id % 9) WHEN id % 2 = 0 THEN 'Latest chapters differ · Δ' || (id % 9) END)""",
+    """concat_ws(';', CASE WHEN id % 5 = 0 OR id % 7 = 0 THEN 'Shared external ID' END,
+       CASE id % 4 WHEN 0 THEN CASE WHEN id % 3 > 0 THEN 'Visual cover match · ' || (id % 3) || ' aligned features' ELSE 'Cover match' END WHEN 1 THEN 'Covers are likely similar' WHEN 2 THEN 'Cover artwork differs' ELSE CASE WHEN id % 8 = 3 THEN 'Cover signature needs refresh' ELSE 'Cover comparison pending' END END,
+       CASE WHEN id % 6 = 0 OR id % 10 = 0 THEN 'Strong title or alias match' END, CASE WHEN id % 11 = 0 THEN 'Chapter fingerprint match' END,
+       CASE WHEN id % 4 = 0 THEN 'Latest chapters align · Δ' || (id % 9) WHEN id % 2 = 0 THEN 'Latest chapters differ · Δ' || (id % 9) END, CASE WHEN id % 12 = 0 THEN 'Manual review required' END)""",
 )
 Q.scalar("f32_error_message", "job", "CASE id % 4 WHEN 0 THEN 'rate_limited' WHEN 1 THEN 'disk_full_now' ELSE '' END AS c, CASE WHEN id % 3 = 0 THEN 'Said so' ELSE ' ' END AS m", lambda: T.error_message(C("c"), C("m")), "CASE WHEN id % 3 = 0 THEN 'Said so' WHEN id % 4 = 0 THEN 'Provider rate limit reached; waiting for the shared cooldown.' WHEN id % 4 = 1 THEN 'Disk full now' ELSE '' END")
 Q.scalar("f33_failure_class", "job", "CAST(id % 600 AS INT) AS s, message AS m", lambda: F.concat_ws(",", *(T.failure_class(C("s"), C("m"))[k].cast("string") for k in ("transient", "origin", "forbidden"))), "(s IN (408, 425, 429, 500, 502, 503, 504) OR s BETWEEN 520 AND 527)::VARCHAR || ',' || (s BETWEEN 520 AND 527 OR m LIKE 'error ''52%')::VARCHAR || ',false'")

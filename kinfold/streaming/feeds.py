@@ -44,6 +44,35 @@ def status_counts(events: DataFrame, key: str) -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias("n"))
 
 
+def enriched(events: DataFrame, jobs: DataFrame) -> DataFrame:
+    """An event log (id, job_id) with what is known of each event's job (jobs: job_id and more; a static table, read
+    anew in each micro-batch). What was read is kept with the checkpoint, so a restart goes on after it."""
+    return events.join(jobs, "job_id", "left")
+
+
+def listing_changes(listings: DataFrame, known: DataFrame, name: str = "listing") -> tuple[DataFrame, DataFrame]:
+    """(the table of known listings after the stream, the change rows): each micro-batch of listings (id, version, at)
+    is reduced to the latest row of each id, compared with what is known (id, version, a number), and what is new or has
+    advanced is a change and becomes known. Both are tables by batch; a batch that runs again replaces what it wrote."""
+    spark = listings.sparkSession
+    path, schema = fresh_path(spark, name), "id bigint, version bigint, batch bigint"
+    latest = lambda rows: rows.groupBy("id").agg(F.max("version").alias("version"))
+
+    def put(batch: DataFrame, number: int) -> None:
+        here = batch.sparkSession
+        before = here.read.parquet(f"{path}/start")
+        if number:
+            before = before.unionByName(here.read.schema(schema).parquet(f"{path}/changes").filter(C("batch") < number).select("id", "version"))
+        old = latest(before).withColumnRenamed("version", "__old")
+        new = latest(batch).join(old, "id", "left").filter("__old IS NULL OR version > __old").select("id", "version")
+        new.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+
+    known.select("id", "version").write.parquet(f"{path}/start")
+    listings.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    changes = spark.read.schema(schema).parquet(f"{path}/changes")
+    return latest(spark.read.parquet(f"{path}/start").unionByName(changes.select("id", "version"))), changes
+
+
 def latency_windows(samples: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """By source and hour: requests, failures and mean latency (samples: source, at, latency, failed)."""
     hours = samples.withWatermark("at", late).groupBy(F.window("at", width).alias("w"), "source")
@@ -65,12 +94,6 @@ def breaker_step(state: tuple[int, float], at: float, failed: bool, threshold: i
     return (n, until) if at < until else (0, 0.0)
 
 
-def cadence_step(interval: float, base: float, outcome: str) -> float:
-    """T5: the next poll interval after a failure, a change or no change, within a minute and four times the base."""
-    factor = {"failure": 1.5, "change": 0.75}.get(outcome, 1.1)
-    return float(min(max(round(interval * factor), 60), 4 * base))
-
-
 #: From so many failures on every cooldown is the longest, with breaker_step's own values.
 LONGEST = 10
 _SUMMARY = "source string, first bigint, lead double, failures array<bigint>, until array<double>, reset array<boolean>"
@@ -152,7 +175,11 @@ def segments(samples: DataFrame) -> DataFrame:
             yield pd.DataFrame([{"source": source} | now])
 
     rows = samples.select("source", "id", (F.unix_micros("at") / 1e6).alias("at"), F.coalesce("failed", F.lit(False)).alias("failed"))
-    return rows.filter("source IS NOT NULL").repartitionByRange("source", "id").sortWithinPartitions("source", "id").mapInPandas(fold, _SUMMARY)
+    return _in_ranges(rows).mapInPandas(fold, _SUMMARY)
+
+
+def _in_ranges(rows: DataFrame) -> DataFrame:
+    return rows.filter("source IS NOT NULL").repartitionByRange("source", "id").sortWithinPartitions("source", "id")
 
 
 def circuit_breaker(samples: DataFrame) -> DataFrame:
@@ -182,3 +209,66 @@ def circuit_breaker(samples: DataFrame) -> DataFrame:
 
     samples.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     return samples.sparkSession.read.schema(schema).parquet(f"{path}/out")
+
+
+#: Factors of a poll interval after a failure and a change, without one, and per poll without one in a row (STREAK at most).
+FAILURE, CHANGE, UNCHANGED, PER_POLL, STREAK, LEAST = 1.5, 0.75, 1.1, 0.02, 5, 60
+
+
+def cadence_step(interval: np.ndarray, streak: np.ndarray, outcome: str, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """T5: the next poll intervals and numbers of polls in a row without a change (STREAK stands for all above it)."""
+    if outcome == "failure":
+        interval, streak = np.minimum(4 * base, np.round(np.maximum(interval, base) * FAILURE)), np.zeros_like(streak)
+    elif outcome == "change":
+        interval, streak = np.maximum(base // 2, np.round(interval * CHANGE)), np.zeros_like(streak)
+    else:
+        streak = np.minimum(streak + 1, STREAK)
+        interval = np.minimum(4 * base, np.round(interval * (UNCHANGED + streak * PER_POLL)))
+    return np.maximum(LEAST, interval).astype(np.int64), streak
+
+
+def poll_cadence(samples: DataFrame, base: int = 300) -> DataFrame:
+    """T5: interval and streak of each source after each micro-batch (samples: source, id, outcome), from base and 0 on.
+
+    There are few states (intervals of LEAST to 4 * base seconds, streaks up to STREAK), so a range of samples is folded for
+    all of them at once, on all tasks; a source's own task gets one row for each range only. Kept by batch as a table; a
+    batch that runs again replaces what it wrote.
+    """
+    spark = samples.sparkSession
+    path, schema = fresh_path(spark, "cadence"), "source string, interval bigint, streak bigint, batch bigint"
+    width = STREAK + 1
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = np.arange(LEAST, 4 * base + 1).repeat(width), np.tile(np.arange(width), 4 * base + 1 - LEAST)
+        source, now, first = None, every, 0
+        row = lambda: pd.DataFrame({"source": [source], "first": [first], "interval": [now[0]], "streak": [now[1]]})
+        for pdf in batches:
+            for key, n, outcome in zip(pdf["source"], pdf["id"], pdf["outcome"]):
+                if key != source:
+                    if source is not None:
+                        yield row()
+                    source, now, first = key, every, n
+                now = cadence_step(*now, outcome, base)
+                if len(now[0]) > 1 and (now[0] == now[0][0]).all() and (now[1] == now[1][0]).all():
+                    now = now[0][:1], now[1][:1]  # whatever the state was before
+        if source is not None:
+            yield row()
+
+    def join(key: tuple, parts: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        interval, streak = (int(before["interval"].iloc[0]), int(before["streak"].iloc[0])) if len(before) else (base, 0)
+        for p in parts.sort_values("first").itertuples():
+            i = (interval - LEAST) * width + streak if len(p.interval) > 1 else 0
+            interval, streak = int(p.interval[i]), int(p.streak[i])
+        return pd.DataFrame({"source": [key[0]], "interval": [interval], "streak": [streak]} if len(parts) else {"source": [], "interval": [], "streak": []})
+
+    def put(batch: DataFrame, number: int) -> None:
+        here, state = batch.sparkSession, "source string, interval bigint, streak bigint"
+        old = here.createDataFrame([], state)
+        if number:
+            old = here.read.schema(schema).parquet(f"{path}/out").filter(C("batch") < number)
+            old = old.groupBy("source").agg(F.max_by(F.struct("interval", "streak"), "batch").alias("x")).select("source", "x.*")
+        parts = _in_ranges(batch.select("source", "id", "outcome")).mapInPandas(fold, "source string, first bigint, interval array<bigint>, streak array<bigint>")
+        parts.groupBy("source").cogroup(old.groupBy("source")).applyInPandas(join, state).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    samples.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/out")
