@@ -33,19 +33,30 @@ def active_group_count(jobs: DataFrame) -> DataFrame:
     return jobs.filter(C("status").isin(*ACTIVE)).agg(F.count_distinct(group_name()).alias("groups"))
 
 
-def cycle_summary(jobs: DataFrame, cycle: str) -> DataFrame:
-    """A4: by cycle: active, unresolved, dismissed and superseded failures, and the total that still counts."""
+def cycle_summary(jobs: DataFrame, cycle: str, units: str | None = None, coalesced: Column | None = None, dismissed: Column | None = None) -> DataFrame:
+    """A4: by cycle, in units of work (1 a row without a column of them): active, succeeded, unresolved failed, cancelled,
+    superseded, and the total that counts. A failure that a later attempt followed, and what was merged into other work
+    (coalesced, of cancelled rows), is superseded; a failure that was dismissed (of cancelled rows) is cancelled."""
     open_failures = latest_unresolved_failures(jobs).select("id").withColumn("__open", F.lit(True))
     rows = jobs.join(open_failures, "id", "left")
+    n, no = (C(units) if units else F.lit(1)), F.lit(False)
+    of = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("long")
+    cancelled, merged, waived = C("status") == "cancelled", no if coalesced is None else coalesced, no if dismissed is None else dismissed
     out = rows.groupBy(cycle).agg(
-        F.count("*").alias("total"),
-        F.count_if(C("status").isin(*ACTIVE)).alias("active"),
-        F.count_if(C("status") == "failed").alias("failed"),
-        F.count_if(C("__open")).alias("unresolved"),
-        F.count_if(C("status") == "cancelled").alias("dismissed"),
+        of(F.lit(True)).alias("total"),
+        of(C("status").isin(*ACTIVE)).alias("active"),
+        of(C("status") == "succeeded").alias("succeeded"),
+        of((C("status") == "failed") | (cancelled & waived)).alias("failed"),
+        of(C("__open")).alias("unresolved"),
+        of(cancelled & waived).alias("dismissed"),
+        of(cancelled & merged).alias("coalesced"),
+        of(cancelled & ~waived).alias("withdrawn"),
     )
-    superseded = F.greatest(C("failed") - C("unresolved") - C("dismissed"), F.lit(0))
-    return out.withColumn("superseded", superseded).withColumn("effective_total", C("total") - C("superseded"))
+    positive = lambda c: F.greatest(c, F.lit(0))
+    out = out.withColumn("superseded", C("coalesced") + positive(C("failed") - C("unresolved") - C("dismissed")))
+    out = out.withColumn("cancelled", positive(C("withdrawn") - C("coalesced")) + C("dismissed"))
+    settled = C("succeeded") + C("unresolved") + C("cancelled") + C("superseded")
+    return out.withColumn("effective_total", F.greatest(C("total"), settled + C("active"))).drop("withdrawn", "failed")
 
 
 def retention_rollup(jobs: DataFrame, rollup: DataFrame, asof: Column, days: int = 14, batch: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -121,9 +132,14 @@ def reservation_summary(reservations: DataFrame, asof: Column, free: int, reserv
 
 
 def run_summary(samples: DataFrame) -> DataFrame:
-    """By run: requests, failures, successes, the first status that limits, in order, and the greatest latency."""
-    bad = C("status") >= 400
-    return samples.groupBy("run").agg(F.count("*").alias("requests"), F.count_if(bad).alias("failures"), F.count_if(~bad).alias("successes"), F.min_by(F.when(bad, C("id")), F.when(bad, C("id"))).alias("first_limit"), F.max("latency").alias("max_latency"))
+    """By run (samples: run, id, status, error_code, latency, retry_after): requests, failures (an error, or a status of
+    400 and more), successes, what limited it first, in order of id, and the greatest latency and retry-after."""
+    bad = (C("status") >= 400) | (F.coalesce("error_code", F.lit("")) != "")
+    signal = F.trim(F.concat_ws(" ", F.lit("HTTP"), C("status").cast("string"), F.coalesce("error_code", F.lit(""))))
+    return samples.groupBy("run").agg(
+        F.count("*").alias("requests"), F.count_if(bad).alias("failures"), F.count_if(~bad).alias("successes"), F.min(F.when(bad, C("id"))).alias("first_limit"),
+        F.coalesce(F.min_by(F.when(bad, signal), F.when(bad, C("id"))), F.lit("")).alias("limiting_signal"), F.max("latency").alias("max_latency"), F.max("retry_after").alias("max_retry_after"),
+    )
 
 
 def nested_series(series: DataFrame, identities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -149,7 +165,11 @@ def storage_health(artifacts: DataFrame, blobs: DataFrame, projections: DataFram
     return out
 
 
-def group_progress(jobs: DataFrame) -> DataFrame:
-    """By work group: done, total and percent, half to even."""
+def group_progress(jobs: DataFrame, plans: DataFrame | None = None) -> DataFrame:
+    """By work group: done, total and percent, half to even, over all statuses of its rows; where a plan stands for a
+    group (plans: work_group, satisfied, total), its counters take their place."""
     out = jobs.groupBy(group_name().alias("work_group")).agg(F.count_if(C("status").isin(*TERMINAL)).alias("done"), F.count("*").alias("total"))
+    if plans is not None:
+        counters = plans.select("work_group", C("satisfied").alias("__done"), C("total").alias("__total"))
+        out = out.join(counters, "work_group", "left").select("work_group", F.coalesce("__done", "done").alias("done"), F.coalesce("__total", "total").alias("total"))
     return out.withColumn("percent", F.bround(100.0 * C("done") / C("total"), 0).cast("int"))

@@ -106,6 +106,12 @@ def latest_similarity(a: Column, b: Column, buffer: float = 2, fade: float = 4)
     return F.coalesce(F.when(delta <= buffer, 1.0).when(delta <= buffer + fade, (1 - (delta - buffer) / fade).cast("double")).otherwise(0.0), F.lit(0.0))
 
 
+def latest_evidence(a: Column, b: Column, buffer: float = 2, fade: float = 4) -> Column:
+    """Struct of compared, delta, similarity and match (within the buffer); not compared if either is missing."""
+    delta = F.abs(a - b)
+    return F.struct(delta.isNotNull().alias("compared"), delta.alias("delta"), F.round(latest_similarity(a, b, buffer, fade), 6).alias("similarity"), F.coalesce(delta <= buffer, F.lit(False)).alias("match"))
+
+
 def cover_state(distance: Column, inliers: Column, good: Column) -> Column:
     """E11."""
     ratio = inliers / F.greatest(good, F.lit(1))
@@ -206,14 +212,18 @@ def clique_groups(edges: DataFrame, classes: DataFrame | None = None) -> DataFra
 
 
 def review_proposals(decisions: DataFrame, equivalences: DataFrame) -> DataFrame:
-    """Pending decisions collapsed to pairs of clusters: representative (highest confidence, lowest id), number of
-    decisions and members; pairs within a cluster are dropped."""
+    """Pending decisions collapsed to pairs of clusters: representative (highest confidence, lowest id), number and ids
+    of the decisions, and the members of both clusters; pairs within a cluster are dropped."""
     roots = connected_components(equivalences)
     out = decisions.filter("decision = 'pending'")
     for p in ("left", "right"):
         out = out.join(roots.select(C("node").alias(f"{p}_id"), C("root").alias(f"{p}_root")), f"{p}_id", "left").withColumn(f"{p}_c", F.coalesce(f"{p}_root", f"{p}_id"))
     out = out.filter("left_c <> right_c").withColumn("lo", F.least("left_c", "right_c")).withColumn("hi", F.greatest("left_c", "right_c"))
-    return out.groupBy("lo", "hi").agg(F.max_by("id", F.struct(C("confidence"), -C("id"))).alias("representative"), F.max("confidence").alias("confidence"), F.count("*").alias("decisions"))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    pairs = out.groupBy("lo", "hi").agg(F.max_by("id", F.struct(C("confidence"), -C("id"))).alias("representative"), F.max("confidence").alias("confidence"), F.count("*").alias("decisions"), listed("id").alias("decision_ids"))
+    ends = pairs.select("lo", "hi", F.explode(F.array("lo", "hi")).alias("root")).join(roots, "root", "left")
+    members = ends.groupBy("lo", "hi").agg(listed(F.coalesce("node", "root")).alias("members"))
+    return pairs.join(members, ["lo", "hi"])
 
 
 def proposal_components(proposals: DataFrame) -> DataFrame:
@@ -249,12 +259,14 @@ def hydrate(page: DataFrame, identities: DataFrame, columns: list[str]) -> DataF
 
 
 def knn_ratio_matches(pairs: DataFrame, descriptors: DataFrame, ratio: float = 0.78) -> DataFrame:
-    """For pairs (a, b): descriptors of a (id, d: 64 bits) whose nearest of b is clearly nearer than the second."""
-    own = descriptors.select("id", F.monotonically_increasing_id().alias("k"), "d")
-    each = pairs.select("a", "b").join(own.select(C("id").alias("a"), "k", C("d").alias("x")), "a").join(descriptors.select(C("id").alias("b"), C("d").alias("y")), "b")
-    two = each.groupBy("a", "b", "k").agg(F.slice(F.sort_array(F.collect_list(T.hamming64(C("x"), C("y")))), 1, 2).alias("n"))
-    good = (F.size("n") == 2) & (F.get("n", 0) < ratio * F.get("n", 1))
-    return two.groupBy("a", "b").agg(F.count_if(good).alias("good"))
+    """For pairs (a, b): descriptors of a (id, d: 64 bits, k: which of its own) whose nearest of b is clearly nearer
+    than the second. Distances are counted by value first, so that at most 65 numbers of a descriptor come together."""
+    each = pairs.select("a", "b").join(descriptors.select(C("id").alias("a"), "k", C("d").alias("x")), "a").join(descriptors.select(C("id").alias("b"), C("d").alias("y")), "b")
+    counts = each.groupBy("a", "b", "k", T.hamming64(C("x"), C("y")).alias("h")).agg(F.count("*").alias("n"))
+    n = counts.groupBy("a", "b", "k").agg(F.sort_array(F.collect_list(F.struct("h", "n"))).alias("n"))
+    first, second = F.get("n", 0), F.get("n", 1)
+    good = F.coalesce(first["h"] < ratio * F.when(first["n"] > 1, first["h"]).otherwise(second["h"]), F.lit(False))
+    return n.groupBy("a", "b").agg(F.count_if(good).alias("good"))
 
 
 def match_external(snapshot: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -278,11 +290,17 @@ def merge_candidates_ranked(shortlist: DataFrame, occupied: DataFrame, limit: in
     return out.orderBy(F.desc("score"), "title", "id").limit(limit)
 
 
-def batch_preview(proposals: DataFrame, reasons: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Selected, eligible and blocked numbers of a queue (id) but for exclusions (id); reasons: id, blockers."""
-    rows = proposals.select("id").join(excluded.select("id"), "id", "left_anti").join(reasons, "id", "left")
-    free = F.coalesce(F.size("blockers"), F.lit(0)) <= 0
-    return rows.agg(F.count("*").alias("selected"), F.count_if(free).alias("eligible"), F.count_if(~free).alias("blocked"))
+def batch_preview(proposals: DataFrame, reasons: DataFrame, excluded: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Selected, eligible and blocked numbers of the chosen proposals (id), or of the whole queue (id) but for exclusions
+    (id); reasons: id, blockers. With columns lo and hi, proposals that share a series stand together: a reason against one of
+    those selected is one against all of them."""
+    rows = proposals.join(chosen.select("id"), "id", "left_semi") if chosen is not None else proposals.join(excluded.select("id"), "id", "left_anti")
+    rows = rows.join(reasons, "id", "left").withColumn("bad", F.coalesce(F.size("blockers"), F.lit(0)) > 0)
+    if "lo" in proposals.columns:
+        batches = proposal_components(rows.select("lo", "hi").distinct())
+        rows = rows.join(batches, ["lo", "hi"])
+        rows = rows.select("id", "batch").join(rows.groupBy("batch").agg(F.bool_or("bad").alias("bad")), "batch")
+    return rows.agg(F.count("*").alias("selected"), F.count_if(~C("bad")).alias("eligible"), F.count_if("bad").alias("blocked"))
 
 
 def first_per_pair(rows: DataFrame, pair: list[str], order: list[str]) -> DataFrame:

@@ -26,6 +26,13 @@ def portable_selection(series: DataFrame, artifacts: DataFrame, identities: Data
     return reduce(DataFrame.union, parts).distinct()
 
 
+def portable_separations(decisions: DataFrame, identities: DataFrame, exported: DataFrame) -> DataFrame:
+    """Rejected pairs whose series (exported: id) are both exported, as two identities."""
+    side = lambda p: identities.join(exported.select(C("id").alias("series_id")), "series_id", "left_semi").select(C("id").alias(f"__{p}"), C("source").alias(f"{p}_source"), C("source_id").alias(f"{p}_id"))
+    rows = decisions.filter("decision = 'rejected'").select(C("left_id").alias("__left"), C("right_id").alias("__right"))
+    return rows.join(side("left"), "__left").join(side("right"), "__right").select("left_source", "left_id", "right_source", "right_id")
+
+
 def orphan_paths(stored: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """U3."""
     return stored.join(known.select(key), key, "left_anti")

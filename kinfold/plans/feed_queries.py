@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from kinfold.operators import feeds as N
 from kinfold.operators import sets as U
 from kinfold.plans.build import Queries
-from kinfold.plans.fixtures import oracle
+from kinfold.plans.fixtures import oracle, view
+from kinfold.session import fresh_path
 from kinfold.sources import files as S
 from kinfold.streaming import feeds as T
 
@@ -28,13 +29,72 @@ Q.add("n09_extract_image_urls", lambda v: N.extract_image_urls(v("pages").withCo
 Q.add("n10_page_flags", lambda v: N.page_flags(v("pages")))
 Q.add("n11_page_count_hint", lambda v: N.page_count_hint(v("pages")))
 Q.add("n12_observation_version", lambda v: v("identity").selectExpr("id", "IF(id % 2 = 0, '', '7') AS latest", "array('3', CAST(size AS STRING), 'x') AS recent").select("id", N.observation_version(C("latest"), C("recent")).alias("version")), "SELECT id, CASE WHEN id % 2 = 1 THEN '7' ELSE greatest(3, size)::VARCHAR END AS version FROM {identity}")
-Q.add("s02_json_feed", lambda v: v("job").select("id", F.from_json("payload", "k bigint").alias("x")).select("id", "x.k"), "SELECT id, json_extract(payload, '$.k')::BIGINT AS k FROM {job}")
-Q.add("s04_legacy_catalog", lambda v: v("series").join(v("release").select(C("series_id").alias("id"), "source").distinct(), "id").join(v("reading").select(C("series_id").alias("id")).distinct(), "id").groupBy("id", "title").agg(F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources")), "SELECT s.id, s.title, string_agg(DISTINCT r.source, ',' ORDER BY r.source) AS sources FROM {series} s JOIN {release} r ON r.series_id = s.id WHERE s.id IN (SELECT series_id FROM {reading}) GROUP BY ALL")
+
+
+def _feed(spark, folder):
+    """The identities as a provider's JSON documents, ten entries each, read back by the feed reader."""
+    v = view(spark, folder, "identity")
+    entry = F.expr("struct(CAST(id AS STRING) AS id, struct(map('en', title) AS title, CAST(size AS STRING) AS chapter, size AS pages, array('en') AS translatedLanguage) AS attributes, array(struct('author' AS type, source AS id, source AS name)) AS relationships, 'x' AS junk)")
+    path = fresh_path(spark, "feed")
+    v.groupBy(F.floor(C("id") / 10).alias("page")).agg(F.collect_list(entry).alias("data")).select(F.to_json(F.struct("data")).alias("value")).write.text(path)
+    return S.read_json_feed(spark, path, lines=True).selectExpr("CAST(id AS BIGINT) AS id", "attributes.title['en'] AS title", "attributes.pages AS pages", "relationships[0].name AS author")
+
+
+Q.queries["s02_json_feed"] = _feed
+Q.oracles["s02_json_feed"] = oracle("SELECT id, title, size AS pages, source AS author FROM {identity}")
+Q.add("s02_job_payload", lambda v: v("job").select("id", F.from_json("payload", "k bigint").alias("x")).select("id", "x.k"), "SELECT id, json_extract(payload, '$.k')::BIGINT AS k FROM {job}")
+Q.add("s04_legacy_catalog", lambda v: S.legacy_catalog(v("series"), v("release"), v("release").selectExpr("id AS child_id", "id AS release_id", "id % 4 < 3 AS active"), v("release").selectExpr("id", "id % 150 AS identity_id"), v("identity")), "WITH r AS (SELECT DISTINCT series_id, id % 150 AS identity_id FROM {release} WHERE id % 4 < 3) SELECT s.id, s.title, s.status, string_agg(DISTINCT source || ':' || source_id, ',' ORDER BY source || ':' || source_id) AS identities FROM {series} s JOIN r ON r.series_id = s.id JOIN {identity} i ON i.id = identity_id GROUP BY ALL")
+
+
+def _manifest(spark, folder):
+    """Lists of customers by nation, written as one file each; half of the hashes are known, and only the others are read."""
+    path = fresh_path(spark, "manifest")
+    names = spark.read.parquet(f"{folder}/customer.parquet").groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list("c_name")), ";").alias("value"))
+    names.repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    first = S.read_manifest(spark, path)
+    known = first.filter("bytes % 2 = 0").withColumn("sha256", F.concat(F.lit("known-"), "sha256"))
+    return S.read_manifest(spark, path, known).select("bytes", "sha256")
+
+
+Q.queries["s05_manifest"] = _manifest
+Q.oracles["s05_manifest"] = "WITH t AS (SELECT string_agg(c_name, ';' ORDER BY c_name) || chr(10) AS x FROM customer GROUP BY c_nationkey) SELECT length(x) AS bytes, CASE WHEN length(x) % 2 = 0 THEN 'known-' ELSE '' END || sha256(x) AS sha256 FROM t"
+
+
+def _export(v):
+    series, active = v("series"), v("artifact").filter("state = 'active'").select(C("series_id").alias("id")).distinct().withColumn("__held", F.lit(True))
+    out = U.portable_selection(series, v("artifact"), v("identity"), v("decision")).join(series.select("id", "title", "status"), "id").join(active, "id", "left")
+    out = out.withColumn("status", F.when((C("status") == "untracked") & C("__held"), "interested").otherwise(C("status")))
+    own = v("identity").select(C("series_id").alias("id"), C("id").alias("identity_id"), "source", "source_id", "url")
+    sources = own.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("source", "source_id", "url"))).alias("sources"))
+    aliases = v("alias").join(own, "identity_id").groupBy("id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    reading = v("reading").groupBy(C("series_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(C("release_id").alias("number"), "state"))).alias("reading"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    out = out.join(sources, "id", "left").join(aliases, "id", "left").join(reading, "id", "left")
+    return out.select("id", "title", "status", none("aliases", "array<string>"), none("sources", "array<struct<source:string,source_id:string,url:string>>"), none("reading", "array<struct<number:bigint,state:string>>"))
+
+
+_SERIES = """k AS (SELECT id FROM {series} WHERE status <> 'untracked' UNION SELECT series_id FROM {artifact} WHERE state = 'active' UNION SELECT series_id FROM {identity} GROUP BY series_id HAVING count(*) > 1 UNION SELECT unnest([left_id, right_id]) FROM {decision} WHERE decision = 'rejected'),
+    x AS (SELECT s.id, title, CASE WHEN status = 'untracked' AND s.id IN (SELECT series_id FROM {artifact} WHERE state = 'active') THEN 'interested' ELSE status END AS status FROM {series} s JOIN k USING (id)),
+    src AS (SELECT series_id AS id, string_agg('{"source":"' || source || '","source_id":"' || source_id || '","url":"' || url || '"}', ',' ORDER BY source, source_id, url) AS j FROM {identity} GROUP BY 1), ali AS (SELECT series_id AS id, string_agg(DISTINCT '"' || alias || '"', ',' ORDER BY '"' || alias || '"') AS j FROM {alias} JOIN {identity} i ON i.id = identity_id GROUP BY 1),
+    rd AS (SELECT series_id AS id, string_agg('{"number":' || release_id || ',"state":"' || state || '"}', ',' ORDER BY release_id) AS j FROM {reading} GROUP BY 1)"""
+Q.add("x01_export_portable", lambda v: S.portable_json(_export(v)), "WITH " + _SERIES + """ SELECT x.id, '{"title":"' || title || '","status":"' || status || '","aliases":[' || coalesce(ali.j, '') || '],"sources":[' || coalesce(src.j, '') || '],"reading":[' || coalesce(rd.j, '') || ']}' AS document FROM x LEFT JOIN src USING (id) LEFT JOIN ali USING (id) LEFT JOIN rd USING (id)""")
+Q.add("x01_export_separations", lambda v: U.portable_separations(v("decision"), v("identity"), _export(v).select("id")), "WITH " + _SERIES.split("),\n")[0] + ") SELECT l.source AS left_source, l.source_id AS left_id, r.source AS right_source, r.source_id AS right_id FROM {decision} JOIN {identity} l ON l.id = left_id JOIN {identity} r ON r.id = right_id WHERE decision = 'rejected' AND l.series_id IN (SELECT k.id FROM k JOIN {series} USING (id)) AND r.series_id IN (SELECT k.id FROM k JOIN {series} USING (id))")
+
+
+def _round_trip(spark, folder):
+    """The exported documents, written and read again."""
+    path = fresh_path(spark, "portable")
+    S.portable_document(_export(lambda x: view(spark, folder, x)), "2024-01-31T00:00:00Z").write.text(path)
+    return S.load_portable(spark, path).select("version", F.size("unknown").alias("unknown"), "title", "status", F.size("sources").alias("sources"), F.size("aliases").alias("aliases"), F.size("reading").alias("reading"))
+
+
+Q.queries["s08_portable_round_trip"] = _round_trip
+Q.oracles["s08_portable_round_trip"] = oracle("WITH " + _SERIES.split(",\n    src AS")[0] + ", src AS (SELECT series_id AS id, count(*) AS n FROM {identity} GROUP BY 1), ali AS (SELECT series_id AS id, count(DISTINCT alias) AS n FROM {alias} JOIN {identity} i ON i.id = identity_id GROUP BY 1), rd AS (SELECT series_id AS id, count(*) AS n FROM {reading} GROUP BY 1) SELECT 1 AS version, 0 AS unknown, title, status, coalesce(src.n, 0) AS sources, coalesce(ali.n, 0) AS aliases, coalesce(rd.n, 0) AS reading FROM x LEFT JOIN src USING (id) LEFT JOIN ali USING (id) LEFT JOIN rd USING (id)")
 Q.add("k01_training_jsonl", lambda v: S.training_jsonl(v("decision").filter("decision <> 'pending'").selectExpr("id AS decision_id", "left_id", "right_id", "IF(decision = 'accepted', 1, 0) AS label")), """SELECT id AS decision_id, '{"decision_id":' || id || ',"label":' || CASE WHEN decision = 'accepted' THEN 1 ELSE 0 END || ',"left_id":' || left_id || ',"right_id":' || right_id || '}' AS value FROM {decision} WHERE decision <> 'pending'""")
 Q.add("k03_audit_markdown", lambda v: S.audit_markdown(U.table_counts({"series": v("series"), "release": v("release")})), "SELECT 'series' AS name, '| series | ' || count(*) || ' |' AS line FROM {series} UNION ALL SELECT 'release', '| release | ' || count(*) || ' |' FROM {release}")
+Q.add("k03_audit_json", lambda v: S.audit_json(U.table_counts({"series": v("series"), "release": v("release")})), """SELECT chr(123) || '"ok":' || (a = 0 AND b = 0)::VARCHAR || ',"checks":' || chr(123) || '"release":' || a || ',"series":' || b || chr(125) || chr(125) AS document FROM (SELECT (SELECT count(*) FROM {release}) AS a, (SELECT count(*) FROM {series}) AS b)""")
 Q.add("k04_action_report", lambda v: S.action_report(v("decision"), "decision"), "SELECT decision, count(*) AS n FROM {decision} GROUP BY 1")
 Q.add("k05_prometheus_lines", lambda v: S.prometheus_lines(v("job").groupBy("kind", "status").agg(F.count("*").alias("n")), "jobs", ["kind", "status"], "n"), """SELECT 'jobs{kind="' || kind || '",status="' || status || '"} ' || count(*) AS line FROM {job} GROUP BY kind, status""")
-Q.add("x01_export_portable", lambda v: S.portable_json(U.portable_selection(v("series"), v("artifact"), v("identity"), v("decision")).join(v("series"), "id").select("id", "title", "status", F.array().cast("array<string>").alias("sources"))), """WITH k AS (SELECT id FROM {series} WHERE status <> 'untracked' UNION SELECT series_id FROM {artifact} WHERE state = 'active' UNION SELECT series_id FROM {identity} GROUP BY series_id HAVING count(*) > 1 UNION SELECT unnest([left_id, right_id]) FROM {decision} WHERE decision = 'rejected') SELECT s.id, '{"title":"' || title || '","status":"' || status || '","sources":[]}' AS document FROM {series} s JOIN k USING (id)""")
 
 
 def _samples(spark, folder):

@@ -74,10 +74,12 @@ Q.add("a01_job_groups", lambda v: A.job_groups(v("job")), f"SELECT {_GROUP} AS w
 Q.add("a02_status_counts", lambda v: A.counts_by(v("job"), "kind", "source", "status", "error_code"), "SELECT kind, source, status, error_code, count(*) AS n FROM {job} GROUP BY ALL")
 Q.add("a03_active_group_count", lambda v: A.active_group_count(v("job")), f"SELECT count(DISTINCT {_GROUP}) AS groups FROM {{job}} WHERE status IN {_ACTIVE}")
 Q.add(
-    "a04_cycle_summary", lambda v: A.cycle_summary(v("job").withColumn("cycle", C("id") % 40), "cycle"),
-    f"""WITH o AS (SELECT *, id % 40 AS cycle, status = 'failed' AND id = max(id) OVER (PARTITION BY kind, dedupe_key) AS open FROM {{job}}),
-    t AS (SELECT cycle, count(*) AS total, count(*) FILTER (status IN {_ACTIVE}) AS active, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (open) AS unresolved, count(*) FILTER (status = 'cancelled') AS dismissed FROM o GROUP BY cycle)
-    SELECT *, greatest(failed - unresolved - dismissed, 0) AS superseded, total - greatest(failed - unresolved - dismissed, 0) AS effective_total FROM t""",
+    "a04_cycle_summary", lambda v: A.cycle_summary(v("job").withColumns({"cycle": C("id") % 40, "units": C("id") % 3 + 1}), "cycle", "units", C("id") % 4 == 1, C("id") % 4 == 3),
+    f"""WITH o AS (SELECT *, id % 40 AS cycle, id % 3 + 1 AS u, status = 'failed' AND id = max(id) OVER (PARTITION BY kind, dedupe_key) AS open, status = 'cancelled' AND id % 4 = 1 AS merged, status = 'cancelled' AND id % 4 = 3 AS waived FROM {{job}}),
+    t AS (SELECT cycle, sum(u) AS total, coalesce(sum(u) FILTER (status IN {_ACTIVE}), 0) AS active, coalesce(sum(u) FILTER (status = 'succeeded'), 0) AS succeeded, coalesce(sum(u) FILTER (status = 'failed' OR waived), 0) AS failed, coalesce(sum(u) FILTER (open), 0) AS unresolved,
+          coalesce(sum(u) FILTER (waived), 0) AS dismissed, coalesce(sum(u) FILTER (merged), 0) AS coalesced, coalesce(sum(u) FILTER (status = 'cancelled' AND NOT waived), 0) AS withdrawn FROM o GROUP BY cycle),
+    s AS (SELECT *, coalesced + greatest(failed - unresolved - dismissed, 0) AS superseded, greatest(withdrawn - coalesced, 0) + dismissed AS cancelled FROM t)
+    SELECT cycle, total::BIGINT AS total, active::BIGINT AS active, succeeded::BIGINT AS succeeded, unresolved::BIGINT AS unresolved, dismissed::BIGINT AS dismissed, coalesced::BIGINT AS coalesced, superseded::BIGINT AS superseded, cancelled::BIGINT AS cancelled, greatest(total, succeeded + unresolved + cancelled + superseded + active)::BIGINT AS effective_total FROM s""",
 )
 _OLD = f"status IN ('succeeded', 'failed', 'cancelled') AND completed_at < {_ASOF} - INTERVAL 14 DAY"
 _ROLL = "SELECT completed_at::DATE AS day, kind, source, status, error_code, count(*) AS n, sum(attempts)::BIGINT AS attempts, sum(greatest(floor(epoch_us(completed_at) / 1e6 - epoch_us(created_at) / 1e6), 0))::BIGINT AS seconds FROM {job}"
@@ -99,11 +101,12 @@ Q.add("a10_progress_counts", lambda v: A.progress_counts(v("release"), v("readin
 Q.add("a11_plan_progress", lambda v: A.plan_progress(v("release").selectExpr(*[x.strip() for x in ("series_id AS plan_id", "id", "IF(id % 3 = 0, 'priority', 'backfill') AS tier", "CASE id % 4 WHEN 1 THEN 'cancelled' WHEN 2 THEN 'blocked' ELSE 'satisfied' END AS state")])), "WITH i AS (SELECT series_id AS plan_id, id % 3 = 0 AS p, CASE id % 4 WHEN 1 THEN 'cancelled' WHEN 2 THEN 'blocked' ELSE 'satisfied' END AS state FROM {release}) SELECT plan_id, count(*) AS total, count(*) FILTER (state = 'satisfied') AS satisfied, count(*) FILTER (state = 'blocked') AS attention, coalesce(bool_and(state <> 'blocked') FILTER (p), true) AS priority_done, bool_and(state <> 'blocked') AS complete FROM i GROUP BY plan_id")
 Q.add("a12_multi_provider_series", lambda v: A.multi_provider_series(v("identity")), "SELECT series_id, count(*) AS n FROM {identity} GROUP BY series_id HAVING count(*) > 1")
 Q.add("a13_reservation_summary", lambda v: A.reservation_summary(v("job").selectExpr("lease_expires_at AS expires_at", "priority AS bytes"), mid(), 100_000, 1_000), f"SELECT r AS reserved, 100000 - r < 1000 AS paused, CASE WHEN 100000 - r < 1000 THEN 'low_space' ELSE '' END AS reason FROM (SELECT coalesce(sum(priority) FILTER (lease_expires_at > {_MID}), 0)::BIGINT AS r FROM {{job}})")
-Q.add("a14_run_summary", lambda v: A.run_summary(v("request_sample")), "SELECT run, count(*) AS requests, count(*) FILTER (status >= 400) AS failures, count(*) FILTER (status < 400) AS successes, min(id) FILTER (status >= 400) AS first_limit, max(latency) AS max_latency FROM {request_sample} GROUP BY run")
+Q.add("a14_run_summary", lambda v: A.run_summary(v("request_sample").withColumns({"error_code": F.when(C("id") % 9 == 0, "timeout"), "retry_after": F.when(C("id") % 7 == 0, C("id") % 60)})), "WITH t AS (SELECT *, CASE WHEN id % 9 = 0 THEN 'timeout' ELSE '' END AS e, CASE WHEN id % 7 = 0 THEN id % 60 END AS r FROM {request_sample}), b AS (SELECT *, status >= 400 OR e <> '' AS bad FROM t) SELECT run, count(*) AS requests, count(*) FILTER (bad) AS failures, count(*) FILTER (NOT bad) AS successes, min(id) FILTER (bad) AS first_limit, coalesce(arg_min(trim('HTTP ' || status || ' ' || e), id) FILTER (bad), '') AS limiting_signal, max(latency) AS max_latency, max(r) AS max_retry_after FROM b GROUP BY run")
 Q.add("a15_nested_series", lambda v: A.nested_series(_series(v), v("identity"), _aliases(v)), f"WITH s AS ({_SERIES}), a AS ({_ALIASES}) SELECT s.id, s.title, (SELECT string_agg(source || ':' || i.id, ',' ORDER BY source, i.id) FROM {{identity}} i WHERE i.series_id = s.id) AS sources, coalesce((SELECT string_agg(DISTINCT alias, ',' ORDER BY alias) FROM a WHERE a.series_id = s.id), '') AS aliases FROM s")
 Q.add("a16_revision_consensus", lambda v: A.revision_consensus(v("identity").selectExpr("source", "CAST(size % 5 AS STRING) AS revision", "series_id AS item", "id AS position"), 3), "WITH n AS (SELECT source, (size % 5)::VARCHAR AS revision, count(DISTINCT series_id) AS n, min(id) AS p FROM {identity} GROUP BY ALL) SELECT source, arg_max(revision, (n, -p)) AS revision, max(n) AS n FROM n GROUP BY source HAVING max(n) >= 3")
 Q.add("a17_storage_health", lambda v: A.storage_health(v("artifact"), v("blob"), v("projection")), "SELECT count(*) FILTER (state = 'active') AS active, count(*) FILTER (checksum NOT IN (SELECT checksum FROM {blob})) AS without_blob, count(*) FILTER (state = 'active' AND id NOT IN (SELECT artifact_id FROM {projection})) AS without_projection FROM {artifact}")
 Q.add("a18_group_progress", lambda v: A.group_progress(v("job")), f"SELECT {_GROUP} AS work_group, count(*) FILTER (status IN ('succeeded', 'failed', 'cancelled')) AS done, count(*) AS total, round_even(100.0 * count(*) FILTER (status IN ('succeeded', 'failed', 'cancelled')) / count(*), 0)::INT AS percent FROM {{job}} GROUP BY 1")
+Q.add("a18_download_progress", lambda v: A.group_progress(v("job"), v("job").filter("group_key <> ''").select(C("group_key").alias("work_group")).distinct().selectExpr("work_group", "CAST(length(work_group) AS BIGINT) AS satisfied", "20L AS total").filter("work_group LIKE '%1%'")), f"SELECT {_GROUP} AS work_group, CASE WHEN any_value(group_key) LIKE '%1%' THEN length(any_value(group_key)) ELSE count(*) FILTER (status IN ('succeeded', 'failed', 'cancelled')) END AS done, CASE WHEN any_value(group_key) LIKE '%1%' THEN 20 ELSE count(*) END AS total, round_even(100.0 * CASE WHEN any_value(group_key) LIKE '%1%' THEN length(any_value(group_key)) ELSE count(*) FILTER (status IN ('succeeded', 'failed', 'cancelled')) END / CASE WHEN any_value(group_key) LIKE '%1%' THEN 20 ELSE count(*) END, 0)::INT AS percent FROM {{job}} GROUP BY 1")
 
 _PREF = "CASE source WHEN 'alpha' THEN 4 WHEN 'beta' THEN 3 WHEN 'gamma' THEN 2 WHEN 'delta' THEN 1 ELSE 0 END"
 

@@ -46,6 +46,7 @@ Q.add(
     SELECT * EXCLUDE (sc), sc AS strong_children, identity_equivalent OR (title_agrees AND sc AND NOT conflict) OR (distance <= 8 AND tokens_agree AND sc AND NOT conflict) AS equivalent FROM q""",
 )
 Q.add("e09_title_score", lambda v: E.title_score(_pairs(v), v("identity").select("id", "title").unionByName(v("alias").selectExpr("identity_id AS id", "alias AS title"))))
+Q.add("e10_latest_evidence", lambda v: v("identity").selectExpr("id", "size AS a", "CASE WHEN id % 7 > 0 THEN CAST(id % 50 AS INT) END AS b").select("id", E.latest_evidence(C("a"), C("b")).alias("x")).select("id", "x.*"), "SELECT id, id % 7 > 0 AS compared, CASE WHEN id % 7 > 0 THEN abs(size - id % 50) END AS delta, CASE WHEN id % 7 = 0 THEN 0 WHEN abs(size - id % 50) <= 2 THEN 1 WHEN abs(size - id % 50) <= 6 THEN 1 - (abs(size - id % 50) - 2) / 4.0 ELSE 0 END::DOUBLE AS similarity, id % 7 > 0 AND abs(size - id % 50) <= 2 AS match FROM {identity}")
 Q.add("e10_latest_similarity", lambda v: v("identity").selectExpr("id", "size AS a", "CASE WHEN id % 7 > 0 THEN CAST(id % 50 AS INT) END AS b").select("id", E.latest_similarity(C("a"), C("b")).alias("latest")), "SELECT id, CASE WHEN id % 7 = 0 THEN 0 WHEN abs(size - id % 50) <= 2 THEN 1 WHEN abs(size - id % 50) <= 6 THEN 1 - (abs(size - id % 50) - 2) / 4.0 ELSE 0 END::DOUBLE AS latest FROM {identity}")
 _COVER = "SELECT id, CAST(id % 33 AS INT) AS distance, CAST(id % 17 AS INT) AS inliers, CAST(id % 17 + id % 5 AS INT) AS good FROM {identity}"
 _STATE = "CASE WHEN (inliers >= 12 AND r >= 0.65 AND distance <= 18) OR (inliers >= 4 AND r >= 0.6 AND distance <= 4) THEN 'match' WHEN (inliers >= 8 AND r >= 0.5 AND distance <= 22) OR (inliers >= 4 AND r >= 0.5 AND distance <= 10) THEN 'likely' WHEN distance >= 28 AND inliers < 4 THEN 'different' ELSE 'inconclusive' END"
@@ -73,7 +74,7 @@ Q.add(
     z AS (SELECT *, CASE state WHEN 'match' THEN greatest(raw, 0.98) WHEN 'likely' THEN least(greatest(raw, 0.7), 0.89) WHEN 'different' THEN least(raw, 0.15) ELSE least(raw, 0.6) END AS c FROM y)
     SELECT a, b, round(c::DOUBLE, 6) AS cover, state, l, r FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY c DESC, l, r) AS rn FROM z) WHERE rn = 1""",
 )
-Q.add("e14_knn_ratio_matches", lambda v: E.knn_ratio_matches(_pairs(v), v("signature").selectExpr("id", "explode(array(hash, shiftright(hash, 3), hash & 65535)) AS d")), f"WITH p AS ({_P}), d AS (SELECT id, unnest([hash, hash >> 3, hash & 65535]) AS d, unnest([1, 2, 3]) AS k FROM {{signature}}), x AS (SELECT a, b, l.k, bit_count(xor(l.d, r.d)) AS h, row_number() OVER (PARTITION BY a, b, l.k ORDER BY bit_count(xor(l.d, r.d))) AS rn FROM p JOIN d l ON l.id = a JOIN d r ON r.id = b), t AS (SELECT a, b, k, max(h) FILTER (rn = 1) AS n1, max(h) FILTER (rn = 2) AS n2 FROM x GROUP BY ALL) SELECT a, b, count(*) FILTER (n1 < 0.78 * n2) AS good FROM t GROUP BY a, b")
+Q.add("e14_knn_ratio_matches", lambda v: E.knn_ratio_matches(_pairs(v), v("signature").selectExpr("id", "posexplode(array(hash, shiftright(hash, 3), hash & 65535)) AS (k, d)")), f"WITH p AS ({_P}), d AS (SELECT id, unnest([hash, hash >> 3, hash & 65535]) AS d, unnest([1, 2, 3]) AS k FROM {{signature}}), x AS (SELECT a, b, l.k, bit_count(xor(l.d, r.d)) AS h, row_number() OVER (PARTITION BY a, b, l.k ORDER BY bit_count(xor(l.d, r.d))) AS rn FROM p JOIN d l ON l.id = a JOIN d r ON r.id = b), t AS (SELECT a, b, k, max(h) FILTER (rn = 1) AS n1, max(h) FILTER (rn = 2) AS n2 FROM x GROUP BY ALL) SELECT a, b, count(*) FILTER (n1 < 0.78 * n2) AS good FROM t GROUP BY a, b")
 Q.add("e15_combined_score", lambda v: v("identity").select("id", F.round(E.combined_score((C("id") % 11) / 10, (C("id") % 7) / 10, F.lit(0.1), (C("id") % 3) / 2, F.when(C("id") % 4 == 0, 1.0).otherwise(0.5), C("id") % 5 == 0), 6).alias("score")), "WITH t AS (SELECT id, id % 11 / 10 AS ti, 0.2 * (id % 11 / 10) + 0.55 * (id % 7 / 10) + 0.08 * 0.1 + 0.05 * (id % 3 / 2) + 0.12 * CASE WHEN id % 4 = 0 THEN 1 ELSE 0.5 END AS s FROM {identity}) SELECT id, round(CASE WHEN id % 5 > 0 THEN s WHEN id % 4 = 0 OR ti >= 0.75 THEN greatest(s, 0.9) ELSE greatest(s, 0.86) END::DOUBLE, 6) AS score FROM t")
 
 
@@ -97,7 +98,7 @@ Q.add("e20_clique_groups", lambda v: E.clique_groups(v("decision").limit(0).sele
 Q.add("e21_connected_components", lambda v: connected_components(_edges(v)))
 Q.oracles["e21_connected_components"] = oracle(f"WITH {_CC.replace('{edges}', _EDGES)} SELECT * FROM cc").replace("WITH ", "WITH RECURSIVE ", 1)
 Q.add("e22_review_proposals", lambda v: E.review_proposals(v("decision"), _edges(v)))
-Q.oracles["e22_review_proposals"] = oracle(f"WITH {_CC.replace('{edges}', _EDGES)}, p AS (SELECT d.*, coalesce(x.root, left_id) AS l, coalesce(y.root, right_id) AS h FROM {{decision}} d LEFT JOIN cc x ON x.node = left_id LEFT JOIN cc y ON y.node = right_id WHERE decision = 'pending') SELECT least(l, h) AS lo, greatest(l, h) AS hi, arg_max(id, (confidence, -id)) AS representative, max(confidence) AS confidence, count(*) AS decisions FROM p WHERE l <> h GROUP BY 1, 2").replace("WITH ", "WITH RECURSIVE ", 1)
+Q.oracles["e22_review_proposals"] = oracle(f"WITH {_CC.replace('{edges}', _EDGES)}, p AS (SELECT d.*, coalesce(x.root, left_id) AS l, coalesce(y.root, right_id) AS h FROM {{decision}} d LEFT JOIN cc x ON x.node = left_id LEFT JOIN cc y ON y.node = right_id WHERE decision = 'pending') SELECT least(l, h) AS lo, greatest(l, h) AS hi, arg_max(id, (confidence, -id)) AS representative, max(confidence) AS confidence, count(*) AS decisions, string_agg(id, ',' ORDER BY id) AS decision_ids, array_to_string(list_sort(list_distinct(list_concat(any_value(lm), any_value(hm)))), ',') AS members FROM (SELECT p.*, coalesce((SELECT list(node) FROM cc WHERE root = l), [l]) AS lm, coalesce((SELECT list(node) FROM cc WHERE root = h), [h]) AS hm FROM p) WHERE l <> h GROUP BY 1, 2").replace("WITH ", "WITH RECURSIVE ", 1)
 Q.add("e23_proposal_components", lambda v: E.proposal_components(E.review_proposals(v("decision"), _edges(v))))
 Q.add("e24_provider_conflicts", lambda v: E.provider_conflicts(v("identity").selectExpr("CAST(id / 8 AS BIGINT) AS group_id", "series_id").distinct(), v("identity"), v("chapter")), f"WITH g AS (SELECT DISTINCT id // 8 AS group_id, series_id FROM {{identity}}), m AS (SELECT group_id, id, source, {_KEY} AS k, {_URL} AS u FROM g JOIN {{identity}} i USING (series_id)), s AS (SELECT x.group_id, x.id AS a, y.id AS b, x.k = y.k OR x.u = y.u AS key FROM m x JOIN m y ON x.group_id = y.group_id AND x.source = y.source AND x.id < y.id), p AS (SELECT DISTINCT a, b FROM s), {_OVER} SELECT group_id, bool_or(NOT key AND (coalesce(common, 0) < 2 OR (least(coalesce(na.n, 0), coalesce(nb.n, 0)) > 0 AND common / least(na.n, nb.n) < 0.5))) AS conflict FROM s LEFT JOIN c USING (a, b) LEFT JOIN n na ON na.i = a LEFT JOIN n nb ON nb.i = b GROUP BY group_id")
 Q.add("e25_blockers", lambda v: E.blockers(v("decision").selectExpr("id", "explode(array(left_id, right_id)) AS series_id"), v("decision").filter("id % 5 = 0").select("id"), v("job").filter("status = 'leased'").select("series_id"), v("identity").filter("size = 7").select("series_id")).select("id", F.array_join("blockers", ",").alias("blockers")), "WITH p AS (SELECT id, unnest([left_id, right_id]) AS s FROM {decision}) SELECT id, concat_ws(',', CASE WHEN id % 5 = 0 THEN 'provider_conflict' END, CASE WHEN bool_or(s IN (SELECT series_id FROM {job} WHERE status = 'leased')) THEN 'active_work' END, CASE WHEN bool_or(s IN (SELECT series_id FROM {identity} WHERE size = 7)) THEN 'reserved' END) AS blockers FROM p GROUP BY id")
@@ -110,6 +111,11 @@ Q.add("e31_recovery_match", lambda v: E.recovery_match(v("identity").selectExpr(
 Q.add("e32_recovery_review_pairs", lambda v: E.first_per_pair(v("decision").selectExpr("id", "left_id - left_id % 2 AS a", "right_id - right_id % 2 AS b"), ["a", "b"], ["id"]), "SELECT id, a, b FROM (SELECT id, left_id - left_id % 2 AS a, right_id - right_id % 2 AS b, row_number() OVER (PARTITION BY left_id - left_id % 2, right_id - right_id % 2 ORDER BY id) AS rn FROM {decision}) WHERE rn = 1")
 Q.add("e33_batch_preview", lambda v: E.batch_preview(v("decision").select("id"), v("decision").selectExpr("id", "IF(id % 3 = 0, array('x'), array()) AS blockers"), v("decision").filter("id % 4 = 0")), "SELECT count(*) AS selected, count(*) FILTER (id % 3 > 0) AS eligible, count(*) FILTER (id % 3 = 0) AS blocked FROM {decision} WHERE id % 4 > 0")
 
+# Every second proposal is chosen; a reason against one stands against all that share a series with it.
+_CHOSEN = "SELECT left_id AS a, right_id AS b FROM {decision} WHERE id % 2 = 0"
+Q.add("e33_batch_of_components", lambda v: E.batch_preview(v("decision").select("id", C("left_id").alias("lo"), C("right_id").alias("hi")), v("decision").selectExpr("id", "IF(id % 5 = 0, array('x'), array()) AS blockers"), v("decision").limit(0), v("decision").filter("id % 2 = 0")))
+Q.oracles["e33_batch_of_components"] = oracle(f"WITH {_CC.replace('{edges}', _CHOSEN)}, t AS (SELECT id, id % 5 = 0 AS bad, root FROM {{decision}} JOIN cc ON node = left_id WHERE id % 2 = 0), g AS (SELECT root, bool_or(bad) AS bad FROM t GROUP BY root) SELECT count(*) AS selected, count(*) FILTER (NOT g.bad) AS eligible, count(*) FILTER (g.bad) AS blocked FROM t JOIN g USING (root)").replace("WITH ", "WITH RECURSIVE ", 1)
+
 # Names of the first round for queries over whole tables: they are the same queries.
 for _all, _one in {"e01_exact_title_all": "e01_block_exact_title", "e02_identity_key_all": "e02_block_identity_key", "e04_title_or_alias_all": "e04_block_title_or_alias", "e07_evidence_all": "e07_duplicate_evidence", "e14_ratio_matches_all": "e14_knn_ratio_matches", "e31_recovery_all": "e31_recovery_match"}.items():
     Q.queries[_all], Q.oracles[_all] = Q.queries[_one], Q.oracles[_one]

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 C = F.col
 FEED = "data array<struct<id:string,attributes:struct<title:map<string,string>,chapter:string,pages:bigint,readableAt:string,translatedLanguage:string>,relationships:array<struct<type:string,id:string,name:string>>>>"
-PORTABLE = "format string, version int, series array<struct<title:string,status:string,aliases:array<string>,sources:array<struct<source:string,source_id:string,url:string>>>>"
+PORTABLE = "format string, version int, series array<struct<title:string,status:string,aliases:array<string>,sources:array<struct<source:string,source_id:string,url:string>>,reading:array<struct<number:bigint,state:string>>>>"
 
 
-def read_json_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Documents {data: [...]} as a row for each entry; unknown fields are ignored, broken documents give none."""
-    return spark.read.schema(FEED).option("multiLine", True).json(path).select(F.explode("data").alias("x")).select("x.*")
+def read_json_feed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Documents {data: [...]}, one a file or one a line, as a row for each entry; unknown fields are ignored, broken
+    documents give none."""
+    return spark.read.schema(FEED).option("multiLine", not lines).json(path).select(F.explode("data").alias("x")).select("x.*")
 
 
 def read_manifest(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
@@ -49,14 +50,37 @@ def read_archive_members(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, member string, bytes bigint, ok boolean")
 
 
+#: The keys that a portable document may have.
+PORTABLE_KEYS = ("format", "version", "exported_at", "series", "separations", "providers")
+
+
 def load_portable(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each series of portable documents."""
-    return spark.read.schema(PORTABLE).option("multiLine", True).json(path).select("version", F.explode("series").alias("s")).select("version", "s.*")
+    """Portable documents, one a line: version, a row for each series of it, and the keys it shouldn't have (unknown)."""
+    rows = spark.read.text(path).filter("trim(value) <> ''")
+    keys = F.map_keys(F.from_json("value", "map<string,string>"))
+    rows = rows.select(F.from_json("value", PORTABLE).alias("d"), F.array_sort(F.array_except(keys, F.lit(list(PORTABLE_KEYS)))).alias("unknown"))
+    return rows.select(C("d.version").alias("version"), "unknown", F.explode("d.series").alias("s")).select("version", "unknown", "s.*")
+
+
+def portable_document(series: DataFrame, exported_at: str) -> DataFrame:
+    """K2: versioned documents of series (title, status, aliases, sources, reading), one a line, ready for write.text; a reader
+    takes all lines together, so no task has to hold the catalog."""
+    one = F.struct("title", "status", "aliases", "sources", "reading")
+    return series.select(F.to_json(F.struct(F.lit("catalog").alias("format"), F.lit(1).alias("version"), F.lit(exported_at).alias("exported_at"), F.array(one).alias("series"))).alias("value"))
 
 
 def portable_json(series: DataFrame) -> DataFrame:
-    """K2: one document of all series (id, title, status, sources: array of structs), each on a line of its own."""
-    return series.select("id", F.to_json(F.struct("title", "status", "sources")).alias("document"))
+    """Each series (id, title, status, aliases, sources, reading) as a JSON document."""
+    return series.select("id", F.to_json(F.struct("title", "status", "aliases", "sources", "reading")).alias("document"))
+
+
+def legacy_catalog(series: DataFrame, children: DataFrame, files: DataFrame, releases: DataFrame, identities: DataFrame) -> DataFrame:
+    """Series (id, title, status) that have a stored file, with the identities (source:source_id, sorted) its files came
+    from. children: id, series_id; files: child_id, release_id, active; releases: id, identity_id."""
+    rows = files.filter("active").select("child_id", "release_id").join(children.select(C("id").alias("child_id"), "series_id"), "child_id").join(releases.select(C("id").alias("release_id"), "identity_id"), "release_id")
+    rows = rows.select("series_id", "identity_id").distinct().join(identities.select(C("id").alias("identity_id"), "source", "source_id"), "identity_id")
+    named = rows.groupBy(C("series_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "source", "source_id"))), ",").alias("identities"))
+    return series.select("id", "title", "status").join(named, "id")
 
 
 def training_jsonl(labels: DataFrame, key: str = "decision_id") -> DataFrame:
@@ -69,6 +93,12 @@ def audit_markdown(report: DataFrame) -> DataFrame:
     return report.select("name", F.concat(F.lit("| "), "name", F.lit(" | "), C("n").cast("string"), F.lit(" |")).alias("line"))
 
 
+def audit_json(report: DataFrame) -> DataFrame:
+    """K3: an audit report (name, n: a few rows) as one JSON document: whether all is well, and the checks by name."""
+    checks = F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "n"))))
+    return report.agg(F.to_json(F.struct((F.sum("n") == 0).alias("ok"), checks.alias("checks"))).alias("document"))
+
+
 def action_report(rows: DataFrame, action: str = "action") -> DataFrame:
     """K4: numbers by action."""
     return rows.groupBy(action).agg(F.count("*").alias("n"))
