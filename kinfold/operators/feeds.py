@@ -32,7 +32,7 @@ def chapters_from_feed(items: DataFrame) -> DataFrame:
 def best_release_per_number(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The best row of each number by (quality, published_at, id), and the ids of the others, best first."""
     each = F.sort_array(F.collect_list(F.struct("quality", "published_at", "id")), asc=False)
-    return rows.groupBy(*keys).agg(each.alias("x")).select(*keys, F.get("x", 0)["id"].alias("id"), F.array_join(F.transform(F.slice("x", 2, 1 << 20), lambda s: s["id"]), ",").alias("others"))
+    return rows.groupBy(*keys).agg(each.alias("x")).select(*keys, F.get("x", 0)["id"].alias("id"), F.array_join(F.transform(F.slice("x", 2, F.size("x")), lambda s: s["id"]), ",").alias("others"))
 
 
 def dedupe_first(rows: DataFrame, keys: list[str], position: str) -> DataFrame:

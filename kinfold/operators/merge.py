@@ -63,6 +63,15 @@ def merge_identities(identities: DataFrame) -> DataFrame:
     return out.withColumn("description", F.coalesce(F.nullif("description", F.lit("")), "__d", F.lit(""))).drop("__d")
 
 
+def move_children(children: DataFrame, identities: DataFrame, key: str = "number") -> DataFrame:
+    """M7: children (identity_id, key) after identities (id, series_id, source) of one series and source have become the
+    least of them: the keeper's own child of a key stays, else that of the least identity moves to it."""
+    keeper = identities.groupBy("series_id", "source").agg(F.min("id").alias("keeper"))
+    to = identities.join(keeper, ["series_id", "source"]).select(C("id").alias("identity_id"), "keeper")
+    rows = children.join(to, "identity_id", "left").withColumn("keeper", F.coalesce("keeper", "identity_id"))
+    return rows.groupBy(C("keeper").alias("identity_id"), key).agg(F.min("identity_id").alias("moved_from"))
+
+
 def rewrite_json_refs(rows: DataFrame, mapping: DataFrame, column: str, field: str) -> DataFrame:
     """M8: an id inside JSON payloads through a mapping (old, new)."""
     ref = F.get_json_object(column, f"$.{field}").try_cast("bigint")
@@ -72,8 +81,12 @@ def rewrite_json_refs(rows: DataFrame, mapping: DataFrame, column: str, field: s
 
 
 def merge_preview(members: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """M9: survivor of each cluster and whether it can be merged (conflicts: cluster, conflict)."""
-    return survivor(members).join(conflicts, "cluster", "left").withColumn("can_merge", ~F.coalesce("conflict", F.lit(False))).drop("conflict")
+    """M9: survivor of each cluster, its members (id, source and number of children of each, by id), the conflicts against it
+    (conflicts: cluster, conflict, which may be true alone or a text), and whether it can be merged."""
+    each = members.groupBy("cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "source", "children"))), lambda m: F.concat_ws(":", m["id"], m["source"], m["children"])), ",").alias("summary"))
+    against = conflicts.groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_set(C("conflict").cast("string"))), ",").alias("conflicts"))
+    out = survivor(members).join(each, "cluster").join(against, "cluster", "left").withColumn("conflicts", F.coalesce("conflicts", F.lit("")))
+    return out.withColumn("can_merge", C("conflicts") == "")
 
 
 def close_obsolete(decisions: DataFrame, identities: DataFrame) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import text as T
 from kinfold.operators.relational import ACTIVE, WAITING, latest_unresolved_failures
-from kinfold.operators.windows import best_release, first_row, latest_release, preference
+from kinfold.operators.windows import best_release, first_row, latest_release, preference, with_positions
 
 C = F.col
 
@@ -79,8 +79,7 @@ def merge_repair_requests(requests: DataFrame) -> DataFrame:
 
 def bounded_backlog(jobs: DataFrame, limit: int, pool: str = "kind") -> DataFrame:
     """Leased rows and the oldest waiting ones stay, the others are cancelled."""
-    place = F.row_number().over(Window.partitionBy(pool).orderBy((C("status") != "leased").cast("int"), "created_at", "id"))
-    out = jobs.filter(C("status").isin(*ACTIVE)).withColumn("__p", place)
+    out = with_positions(jobs.filter(C("status").isin(*ACTIVE)), [pool], [(C("status") != "leased").cast("int"), C("created_at"), C("id")], "__p")
     return out.withColumn("status", F.when((C("status") != "leased") & (C("__p") > limit), "cancelled").otherwise(C("status"))).drop("__p")
 
 

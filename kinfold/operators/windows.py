@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,25 @@ def first_row(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__rn = 1").drop("__rn")
 
 
+def with_positions(rows: DataFrame, keys: list[str], order: list[Column], name: str = "position") -> DataFrame:
+    """Add each row's place among those of its keys, for keys that may hold a large share of all rows: the table is dealt by
+    ranges of (keys, order), places are counted within each range, and ranges are moved on by the numbers before them. The
+    order must end in something unique. The dealt table is written once, as two steps need the same ranges."""
+    from kinfold.session import write_table
+
+    marks = {f"__o{i}": o for i, o in enumerate(order)}
+    ordering = [C(k) for k in marks]
+    dealt = rows.withColumns(marks).repartitionByRange(*keys, *ordering).withColumn("__range", F.spark_partition_id())
+    dealt = write_table(dealt, "ranges")
+    counts = dealt.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("__before", before).select(*(C(k).alias(f"__k{i}") for i, k in enumerate(keys)), C("__range").alias("__r"), "__before")
+    place = F.row_number().over(Window.partitionBy("__range", *keys).orderBy(*ordering))
+    same = reduce(lambda a, b: a & b, (C(k).eqNullSafe(C(f"__k{i}")) for i, k in enumerate(keys)))
+    out = dealt.withColumn(name, place).join(counts, (C("__range") == C("__r")) & same)
+    return out.withColumn(name, (C(name) + C("__before")).cast("int")).drop(*marks, "__range", "__r", "__before", *(f"__k{i}" for i in range(len(keys))))
+
+
 def latest_release(releases: DataFrame, key: str = "series_id") -> DataFrame:
     """Numeric ones first, greatest number; by time only without a number; greatest id."""
     order = [C("number").isNull().cast("int"), F.desc("number"), F.when(C("number").isNull(), C("published_at")).desc_nulls_last(), F.desc("id")]
@@ -27,8 +48,7 @@ def latest_release(releases: DataFrame, key: str = "series_id") -> DataFrame:
 
 def queue_position(jobs: DataFrame, pool: str = "kind") -> DataFrame:
     """Place of waiting rows in their pool."""
-    w = Window.partitionBy(pool).orderBy("priority", "due_at", "id")
-    return jobs.filter(C("status").isin("queued", "retrying")).withColumn("position", F.row_number().over(w))
+    return with_positions(jobs.filter(C("status").isin("queued", "retrying")), [pool], [C("priority"), C("due_at"), C("id")])
 
 
 def group_representative(jobs: DataFrame, group: Column) -> DataFrame:
@@ -70,11 +90,12 @@ def rolling_admission(intents: DataFrame, active: DataFrame, window: int, key: s
 def stable_frontier_cut(listing: DataFrame, needed: int, key: str = "source", position: str = "position") -> DataFrame:
     """Changed rows up to where so many stable ones have been seen. listing has stable (boolean); rows without a sentinel
     have it null and count as changed; fewer sentinels than needed ask for all of them, none for everything."""
-    per = Window.partitionBy(key)
-    out = listing.withColumn("__known", F.count_if(C("stable").isNotNull()).over(per))
-    seen = F.count_if(F.coalesce("stable", F.lit(False))).over(per.orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = out.withColumn("__seen", seen)
-    return out.filter(~F.coalesce("stable", F.lit(False)) & ((C("__known") == 0) | (C("__seen") < F.least(F.lit(needed), C("__known"))))).drop("__known", "__seen")
+    known = listing.groupBy(key).agg(F.count_if(C("stable").isNotNull()).alias("__known"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(position))
+    stable = listing.filter("stable").select(key, position).withColumn("__place", place).filter(C("__place") <= needed)  # a few of each key
+    cut = stable.join(known, key).filter(C("__place") == F.least(F.lit(needed), C("__known"))).select(key, C(position).alias("__cut"))
+    out = listing.filter(~F.coalesce("stable", F.lit(False))).join(cut, key, "left")
+    return out.filter(C("__cut").isNull() | (C(position) < C("__cut"))).drop("__cut")
 
 
 def listing_frontier(listing: DataFrame, limit: int, key: str = "source", position: str = "position") -> DataFrame:

@@ -65,7 +65,8 @@ Q.add("m05_merge_artifacts", lambda v: M.merge_artifacts(v("artifact"), ["series
 Q.add("m06_merge_aliases", lambda v: M.merge_aliases(v("alias").selectExpr("CAST(identity_id / 30 AS BIGINT) AS series_id", "alias", "identity_id % 2 = 0 AS own").distinct()), f"WITH a AS (SELECT DISTINCT identity_id // 30 AS series_id, alias, identity_id % 2 = 0 AS own FROM {{alias}}) SELECT series_id, alias, own FROM (SELECT *, row_number() OVER (PARTITION BY series_id, {_norm('alias')} ORDER BY own DESC, alias) AS rn FROM a) WHERE rn = 1")
 Q.add("m07_merge_identities", lambda v: M.merge_identities(v("identity").selectExpr("id", "CAST(id / 12 AS BIGINT) AS series_id", "source", "CASE WHEN id % 5 = 0 THEN title ELSE '' END AS description")), "WITH t AS (SELECT id, id // 12 AS series_id, source, CASE WHEN id % 5 = 0 THEN title ELSE '' END AS d FROM {identity}) SELECT series_id, source, min(id) AS id, coalesce(arg_min(d, id) FILTER (d <> ''), '') AS description, string_agg(id, ',' ORDER BY id) AS all_ids FROM t GROUP BY series_id, source")
 Q.add("m08_rewrite_json_refs", lambda v: M.rewrite_json_refs(v("job").select("id", "payload"), v("series").filter("id < 50").selectExpr("id AS old", "id + 1000 AS new"), "payload", "k").select("id", F.get_json_object("payload", "$.k").cast("bigint").alias("k")), "SELECT id, k + CASE WHEN k < 50 AND k IN (SELECT id FROM {series}) THEN 1000 ELSE 0 END AS k FROM (SELECT id, json_extract(payload, '$.k')::BIGINT AS k FROM {job})")
-Q.add("m09_merge_preview", lambda v: M.merge_preview(_members(v), v("identity").selectExpr("CAST(id / 6 AS BIGINT) AS cluster", "true AS conflict").filter("cluster % 4 = 0").distinct()).select("cluster", "survivor", "can_merge"), f"SELECT id // 6 AS cluster, arg_max(id, ({_PREF}, size % 4, size, -id)) AS survivor, (id // 6) % 4 <> 0 AS can_merge FROM {{identity}} GROUP BY id // 6")
+Q.add("m07_move_children", lambda v: M.move_children(v("chapter"), v("identity").selectExpr("id", "CAST(id / 12 AS BIGINT) AS series_id", "source")), "WITH t AS (SELECT id, min(id) OVER (PARTITION BY id // 12, source) AS keeper FROM {identity}) SELECT coalesce(keeper, identity_id) AS identity_id, number, min(identity_id) AS moved_from FROM {chapter} LEFT JOIN t ON t.id = identity_id GROUP BY 1, 2")
+Q.add("m09_merge_preview", lambda v: M.merge_preview(_members(v), v("identity").selectExpr("CAST(id / 6 AS BIGINT) AS cluster", "concat('same_', source) AS conflict").filter("cluster % 4 = 0").distinct()).select("cluster", "survivor", "summary", "conflicts", "can_merge"), f"SELECT id // 6 AS cluster, arg_max(id, ({_PREF}, size % 4, size, -id)) AS survivor, string_agg(id || ':' || source || ':' || size, ',' ORDER BY id) AS summary, CASE WHEN (id // 6) % 4 = 0 THEN string_agg(DISTINCT 'same_' || source, ',' ORDER BY 'same_' || source) ELSE '' END AS conflicts, (id // 6) % 4 <> 0 AS can_merge FROM {{identity}} GROUP BY id // 6")
 Q.add("m10_close_obsolete", lambda v: M.close_obsolete(v("decision").select("id", "left_id", "right_id", "decision"), v("identity").selectExpr("id", "CAST(id / 100 AS BIGINT) AS series_id")), "SELECT id, left_id, right_id, CASE WHEN decision = 'pending' AND left_id // 100 = right_id // 100 THEN 'accepted' ELSE decision END AS decision FROM {decision}")
 Q.add("m11_label_reviewed", lambda v: M.label_reviewed(v("decision"), v("identity"), v("decision").filter("id % 2 = 0").selectExpr("id AS decision_id", "1 AS label")), "SELECT d.id AS decision_id, (decision = 'accepted')::INT AS label, l.title AS left_title, r.title AS right_title FROM {decision} d JOIN {identity} l ON l.id = left_id JOIN {identity} r ON r.id = right_id WHERE decision <> 'pending' AND NOT (d.id % 2 = 0 AND decision = 'accepted')")
 Q.add("m12_activate_artifact", lambda v: M.activate_artifact(v("artifact").filter("state <> 'active'").select("id", "series_id", "chapter", "checksum"), W.first_row(v("artifact").filter("state = 'active'"), ["series_id", "chapter"], [C("id")])), "SELECT q.id, q.series_id, q.chapter, q.checksum, CASE WHEN a.c IS NULL THEN 'activated' WHEN a.c = q.checksum THEN 'duplicate' ELSE 'conflict' END AS verdict FROM {artifact} q LEFT JOIN (SELECT series_id, chapter, arg_min(checksum, id) AS c FROM {artifact} WHERE state = 'active' GROUP BY ALL) a USING (series_id, chapter) WHERE state <> 'active'")
