@@ -248,8 +248,9 @@ def chunk_encoder(path: str) -> ChunkEncoder:
 def encode_chunked(docs: DataFrame, path: str, decode: bool = False, text: str = "text") -> DataFrame:
     """Add token_ids (binary: little-endian unsigned 32-bit integers), n_tokens (bigint) and, if asked for, decoded (string).
 
-    Null and empty texts have no tokens. Columns of these names are replaced. Every row is encoded where it is read: no
-    shuffle, and a text's length bounds what a worker holds.
+    Null and empty texts have no tokens; repeated rows are encoded each; an empty table gives an empty result. Columns of
+    these names are replaced, any others pass. Every row is encoded where it is read: no shuffle, and a text's length bounds
+    what a worker holds.
     """
     added = "token_ids binary, n_tokens bigint" + ", decoded string" * decode
     docs = docs.drop("token_ids", "n_tokens", "decoded")
@@ -267,5 +268,6 @@ def encode_chunked(docs: DataFrame, path: str, decode: bool = False, text: str =
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents encoded and decoded, as digests; cases as in encode_chunked."""
     out = encode_chunked(documents(spark, sf_dir).select("doc_id", "text"), vocabulary_path(), decode=True)
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

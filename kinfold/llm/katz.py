@@ -35,6 +35,8 @@ from kinfold.llm.common import documents, write_table
 from kinfold.llm.ngram_join import mix
 
 SLICE_CHARS, HOT, BUCKET_TOKENS = 16_000_000, 1000, 2_000_000
+#: Documents of a slice beyond which it ends (many may be empty; a batch goes in whole): a document's place in it has 24 bits.
+SLICE_DOCS = 1 << 22
 #: Counts up to here are discounted; ids of the end and of the start; the id of unknown words.
 K, END, START, UNKNOWN = 5, 0, 1, -1
 _U = np.uint64
@@ -66,7 +68,7 @@ def _words(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[int, pd
             hashes.append(pd.util.hash_array(flat, categorize=False) if len(flat) else np.empty(0, _U))
             held.append(pd.DataFrame({"doc_id": pdf["doc_id"].iloc[part], "train": pdf["train"].iloc[part], "n_words": [len(s) for s in split]}))
             chars += sum(map(len, texts[part]))
-            if chars >= most:
+            if chars >= most or sum(map(len, held)) >= SLICE_DOCS:
                 yield number, pd.concat(held, ignore_index=True), np.concatenate(hashes)
                 number, held, hashes, chars = number + 1, [], [], 0
     if held:
@@ -299,8 +301,9 @@ def score_katz(docs: DataFrame, train: str = "train", slice_chars: int = SLICE_C
     column that says which rows train the model).
 
     A null or empty text is one end token. Repeated rows are scored, and counted, each. No training rows: every token is
-    unknown with probability 1 and base_score takes N = V = 0. docs must give the same rows in the same order when read
-    twice (a table does). Words are told apart by 64-bit hashes.
+    unknown with probability 1 and base_score takes N = V = 0. Empty table: empty result. Texts of any length are scored
+    whole; other columns are ignored. docs must give the same rows in the same order when read twice (a table does). Words
+    are told apart by 64-bit hashes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col(train), F.lit(False)).alias("train"))
     buckets = min(4096, max(8, docs.rdd.getNumPartitions()))
@@ -355,6 +358,7 @@ def _untrained(docs: DataFrame) -> DataFrame:
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every row of documents, learnt from the rows of the other folds; cases as in score_katz."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(True))
     docs = documents(spark, sf_dir).select("doc_id", "text", (~held).alias("train"))
     return score_katz(docs).select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
