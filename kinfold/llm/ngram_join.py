@@ -36,12 +36,13 @@ C = F.col
 _U = np.uint64
 #: A key with more classes than this in different components goes to crowds().
 CROWD = 16
-#: Most sets that are compared with each other in one block, and how often a larger crowd is keyed again.
-BLOCK_ROWS, LEVELS = 2048, 3
+#: Most sets that are compared with each other in one block, how many such blocks a crowd may have that is compared at
+#: once, and how often a larger one is keyed again.
+BLOCK_ROWS, DIRECT_BLOCKS, LEVELS = 8192, 4, 3
 #: A key that HOT_LEAST rows of a sample (one in HOT_SHARE documents) have is dealt over SALTS tasks; HOT_MOST keys at most.
 HOT_SHARE, HOT_LEAST, HOT_MOST, SALTS = 32, 64, 100_000, 256
 #: Bits of the smallest and the greatest sketch.
-LEAST_BITS, MOST_BITS = 1 << 8, 1 << 18
+LEAST_BITS, MOST_BITS = 1 << 8, 1 << 17
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
 
@@ -318,19 +319,21 @@ class Join:
     def crowds(self, rows: DataFrame) -> DataFrame:
         """Candidates (a < b) among the classes (rep, label) of each key, for keys that many of them share.
 
-        Keys of one hub are taken together. Up to BLOCK_ROWS classes meet in one block; more are keyed again, LEVELS times
-        at most (a passage that all share gives few common keys there), and what is then left meets block by block.
+        Keys of one hub are taken together. Up to BLOCK_ROWS classes meet in one block, DIRECT_BLOCKS times as many block by
+        block; still more are keyed again, LEVELS times at most (a passage that all share gives few common keys there), and
+        what is then left meets block by block.
         """
         t, found = self.tables, []
         crowd = rows.join(rows.groupBy("key").agg(F.min("rep").alias("g")), "key").select(C("g").alias("key"), "rep", "label", F.lit(True).alias("own"), F.lit(True).alias("ask"))
+        most = BLOCK_ROWS * DIRECT_BLOCKS
         for level in range(1, LEVELS + 2):
             crowd = t.write(crowd.groupBy("key", "rep", "label").agg(F.bool_or("own").alias("own"), F.bool_or("ask").alias("ask")), f"crowd-{level}")
             sizes = crowd.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.bool_or("own").alias("o"), F.bool_or("ask").alias("q"))
             sized = t.write(crowd.join(sizes.filter("l0 <> l1 AND o AND q").select("key", "c"), "key"), f"sized-{level}")
             t.drop(f"crowd-{level}")
             last = level > LEVELS
-            found.append(t.write(self.compare(sized if last else sized.filter(C("c") <= BLOCK_ROWS)), f"found-{level}"))
-            big = sized.filter(C("c") > BLOCK_ROWS)
+            found.append(t.write(self.compare(sized if last else sized.filter(C("c") <= most)), f"found-{level}"))
+            big = sized.filter(C("c") > most)
             if last or not big.limit(1).count():
                 t.drop(f"sized-{level}")
                 break

@@ -78,10 +78,10 @@ def crowd_rows(n=60, passages=2):
     return rows
 
 
-@pytest.mark.parametrize("block,levels,hot", [(3, 1, 1), (8, 3, 4), (2048, 3, 64)])
-def test_crowds(spark, monkeypatch, block, levels, hot):
+@pytest.mark.parametrize("block,direct,levels,hot", [(3, 1, 1, 1), (8, 2, 3, 4), (2048, 4, 3, 64)])
+def test_crowds(spark, monkeypatch, block, direct, levels, hot):
     """Keys that many documents share: in small blocks, keyed again, block by block, and dealt over tasks."""
-    for name, value in {"CROWD": 2, "BLOCK_ROWS": block, "LEVELS": levels, "HOT_LEAST": hot, "HOT_SHARE": 1}.items():
+    for name, value in {"CROWD": 2, "BLOCK_ROWS": block, "DIRECT_BLOCKS": direct, "LEVELS": levels, "HOT_LEAST": hot, "HOT_SHARE": 1}.items():
         monkeypatch.setattr(J, name, value)
     rows = crowd_rows()
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
