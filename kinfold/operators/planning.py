@@ -217,3 +217,30 @@ def untrack(series: DataFrame, plans: DataFrame, intents: DataFrame, jobs: DataF
     work = hit.filter("__hit AND job_id IS NOT NULL").select(C("job_id").alias("id")).distinct().withColumn("__stop", F.lit(True))
     jobs = jobs.join(work, "id", "left").withColumn("status", F.when(C("__stop") & C("status").isin(*WAITING), "cancelled").otherwise(C("status"))).drop("__stop")
     return plans, hit.withColumn("state", F.when(C("__hit"), "cancelled").otherwise(C("state"))).drop("__gone", "__hit"), jobs
+
+
+#: Requests that make a run worth learning from, and days until the next one by how a run ended.
+USEFUL_REQUESTS, NEXT_DAYS = 100, {"limited": 30, "succeeded": 7, "inconclusive": 1}
+
+
+def learn_policies(runs: DataFrame, policies: DataFrame, asof: Column) -> DataFrame:
+    """Policies after one closed run of each source (runs: source, tier, requests, limited, max_retry_after; policies:
+    source, job_limit, page_limit, interval, cooldown, clean_runs; a source without one starts from the least).
+
+    A limited run puts the limits below its tier, doubles the interval and raises the cooldown to the longest retry-after;
+    one of enough requests raises the limits to its tier and shortens the interval; any other changes nothing."""
+    out = runs.join(policies, "source", "left")
+    given = {"job_limit": 1, "page_limit": 2, "interval": 0.0, "cooldown": 0, "clean_runs": 0}
+    out = out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in given.items()})
+    out = out.withColumn("state", F.when(C("limited"), "limited").when(C("requests") >= USEFUL_REQUESTS, "succeeded").otherwise("inconclusive"))
+    case = lambda limited, good, other: F.when(C("state") == "limited", limited).when(C("state") == "succeeded", good).otherwise(other)
+    one, below = F.lit(1), C("tier") - 1
+    return out.select(
+        "source", "state",
+        case(F.greatest(one, below), F.greatest("job_limit", "tier"), C("job_limit")).cast("int").alias("job_limit"),
+        case(F.greatest(one, F.least("page_limit", F.greatest(F.lit(2), below * 2))), F.greatest("page_limit", C("tier") * 2), C("page_limit")).cast("int").alias("page_limit"),
+        case(F.greatest(F.lit(0.5), C("interval") * 2), F.round(C("interval") * 0.8, 3), C("interval")).alias("interval"),
+        case(F.greatest("cooldown", F.coalesce("max_retry_after", "cooldown")), C("cooldown"), C("cooldown")).cast("long").alias("cooldown"),
+        case(F.lit(0), C("clean_runs") + 1, F.lit(0)).cast("int").alias("clean_runs"),
+        (asof + F.make_dt_interval(case(*map(F.lit, NEXT_DAYS.values())))).alias("next_run"),
+    )

@@ -145,8 +145,9 @@ def combined_score(title: Column, cover: Column, description: Column, children:
     return F.when(cover_match, F.when(strong, F.greatest(score, F.lit(0.90))).otherwise(F.greatest(score, F.lit(0.86)))).otherwise(score)
 
 
-def score_pairs(pairs: DataFrame, identities: DataFrame, aliases: DataFrame, children: DataFrame, external: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs of series (a, b) with all evidence and a score: 0.99 with a shared external id, else at most 0.98."""
+def score_pairs(pairs: DataFrame, identities: DataFrame, aliases: DataFrame, children: DataFrame, external: DataFrame, signatures: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
+    """Pairs of series (a, b) with all evidence and a score: 0.99 with a shared external id, else at most 0.98.
+    descriptions: id (of a series, one row each), text; a pair without both has a description similarity of 0."""
     of_series = identities.select(C("id").alias("identity_id"), "series_id")
     kids = children.join(of_series, "identity_id").select(C("series_id").alias("identity_id"), "number").distinct()
     ids = external.join(of_series, "identity_id").select(C("series_id").alias("identity_id"), "provider", "value")
@@ -158,10 +159,16 @@ def score_pairs(pairs: DataFrame, identities: DataFrame, aliases: DataFrame, chi
     for p in ("a", "b"):
         out = out.join(last.select(C("identity_id").alias(p), C("last").alias(f"{p}_last")), p, "left")
     out = out.withColumn("latest", latest_similarity(C("a_last"), C("b_last")))
+    out = out.withColumn("description", F.lit(0.0))
+    if descriptions is not None:
+        told = descriptions.select("id", "text")
+        for p in ("a", "b"):
+            out = out.join(told.select(C("id").alias(p), C("text").alias(f"__{p}")), p, "left")
+        out = out.withColumn("description", T.text_similarity(F.coalesce("__a", F.lit("")), F.coalesce("__b", F.lit(""))))
     match = F.coalesce(C("state") == "match", F.lit(False))
-    score = combined_score(C("title"), F.coalesce("cover", F.lit(0.0)), F.lit(0.0), C("jaccard"), C("latest"), match)
+    score = combined_score(C("title"), F.coalesce("cover", F.lit(0.0)), C("description"), C("jaccard"), C("latest"), match)
     shared = F.coalesce(C("shared"), F.lit(0)) > 0
-    return out.select("a", "b", F.bround("title", 6).alias("title"), F.bround(F.coalesce("cover", F.lit(0.0)), 6).alias("cover"), F.bround("jaccard", 6).alias("children"), F.bround("latest", 6).alias("latest"), shared.alias("shared_external_id"), match.alias("cover_match"), F.when(shared, 0.99).otherwise(F.bround(F.least(score, F.lit(0.98)), 6)).alias("score"))
+    return out.select("a", "b", F.bround("title", 6).alias("title"), F.bround(F.coalesce("cover", F.lit(0.0)), 6).alias("cover"), F.bround("jaccard", 6).alias("children"), F.bround("latest", 6).alias("latest"), F.bround("description", 6).alias("description"), (C("a_last").isNotNull() & C("b_last").isNotNull()).alias("latest_compared"), F.abs(C("a_last") - C("b_last")).alias("latest_delta"), F.coalesce("state", F.lit("")).alias("cover_state"), "l", "r", shared.alias("shared_external_id"), match.alias("cover_match"), F.when(shared, 0.99).otherwise(F.bround(F.least(score, F.lit(0.98)), 6)).alias("score"))
 
 
 def best_selected(scored: DataFrame, candidate: str = "b", selected: str = "a") -> DataFrame:

@@ -239,3 +239,24 @@ def _stored(v):
 _STATE = "CASE WHEN id % 11 = 0 OR id % 19 = 0 THEN 'missing_blob' WHEN id % 13 = 0 OR id % 23 = 0 THEN 'repair' ELSE 'ok' END"
 Q.add("i11_storage_states", lambda v: _stored(v)[0], f"SELECT 'blobs/' || checksum AS blob_path, 'library/' || id AS projection_path, {_STATE} AS state FROM {{artifact}} WHERE state = 'active'")
 Q.add("i11_storage_reconcile", lambda v: _stored(v)[1], f"WITH t AS (SELECT {_STATE} AS s FROM {{artifact}} WHERE state = 'active') SELECT count(*) AS checked, count(*) FILTER (s = 'ok') AS ok, count(*) FILTER (s = 'repair') AS repair, count(*) FILTER (s = 'missing_blob') AS missing_blobs, (SELECT count(*) FROM {{artifact}} WHERE id % 11 <> 0 AND id % 5 = 0) AS orphan_blobs FROM t")
+Q.add("i19_identity_repair_audit", lambda v: I.identity_repair_audit(v("identity").selectExpr("id", "series_id", "source", "regexp_extract(source_id, '^(.*)-[^-]*$', 1) AS stable", "title", "CAST(size % 3 AS STRING) AS cover"), v("chapter"), 0.3))
+
+
+# Benchmark runs of providers close, and their policies learn from them.
+def _runs(v):
+    return v("request_sample").groupBy("source").agg(F.count("*").alias("requests"), (F.count_if(C("status") >= 400) > 0).alias("limited"), F.max(C("id") % 900).alias("max_retry_after")).withColumns({"tier": F.length("source"), "limited": C("limited") & (C("source") != "beta"), "requests": F.when(C("source") == "gamma", 50).otherwise(C("requests"))})
+
+
+def _policies(v):
+    return v("source_state").select("source").filter("source <> 'delta'").selectExpr("source", "2 AS job_limit", "6 AS page_limit", "IF(source = 'alpha', 0.0D, 0.25D) AS interval", "300L AS cooldown", "1 AS clean_runs")
+
+
+Q.add(
+    "t07_benchmark_learning", lambda v: P.learn_policies(_runs(v), _policies(v), mid()),
+    """WITH r AS (SELECT source, CASE WHEN source = 'gamma' THEN 50 ELSE count(*) END AS n, count(*) FILTER (status >= 400) > 0 AND source <> 'beta' AS bad, max(id % 900) AS retry, length(source) AS tier FROM {request_sample} GROUP BY source),
+    p AS (SELECT source, 2 AS job_limit, 6 AS page_limit, CASE WHEN source = 'alpha' THEN 0.0 ELSE 0.25 END::DOUBLE AS i, 300 AS cooldown, 1 AS clean_runs FROM {source_state} WHERE source <> 'delta'),
+    j AS (SELECT r.source, tier, retry, coalesce(job_limit, 1) AS jl, coalesce(page_limit, 2) AS pl, coalesce(i, 0) AS i, coalesce(cooldown, 0) AS cd, coalesce(clean_runs, 0) AS cr, CASE WHEN bad THEN 'limited' WHEN n >= 100 THEN 'succeeded' ELSE 'inconclusive' END AS state FROM r LEFT JOIN p USING (source))
+    SELECT source, state, CASE state WHEN 'limited' THEN greatest(1, tier - 1) WHEN 'succeeded' THEN greatest(jl, tier) ELSE jl END::INT AS job_limit, CASE state WHEN 'limited' THEN greatest(1, least(pl, greatest(2, (tier - 1) * 2))) WHEN 'succeeded' THEN greatest(pl, tier * 2) ELSE pl END::INT AS page_limit,
+           CASE state WHEN 'limited' THEN greatest(0.5, i * 2) WHEN 'succeeded' THEN round(i * 0.8, 3) ELSE i END::DOUBLE AS interval, CASE state WHEN 'limited' THEN greatest(cd, retry) ELSE cd END::BIGINT AS cooldown, CASE state WHEN 'succeeded' THEN cr + 1 ELSE 0 END::INT AS clean_runs,
+           TIMESTAMP '2024-01-15' + CASE state WHEN 'limited' THEN INTERVAL 30 DAY WHEN 'succeeded' THEN INTERVAL 7 DAY ELSE INTERVAL 1 DAY END AS next_run FROM j""",
+)

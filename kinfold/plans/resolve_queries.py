@@ -79,7 +79,8 @@ Q.add("e15_combined_score", lambda v: v("identity").select("id", F.round(E.combi
 
 
 def flagship(v):
-    return E.score_pairs(_series_pairs(v), v("identity"), v("alias"), v("chapter"), v("external_id"), v("signature"))
+    told = v("identity").groupBy(C("series_id").alias("id")).agg(F.concat_ws(" / ", F.min("title"), F.max("source_id"), F.min("source")).alias("text"))
+    return E.score_pairs(_series_pairs(v), v("identity"), v("alias"), v("chapter"), v("external_id"), v("signature"), told)
 
 
 Q.add("e16_score_pairs", flagship)

@@ -64,6 +64,7 @@ Q.scalar("f22_redact_text", "job", "message || ' https://u.test/a?b=' || payload
 Q.add("f22_redact_documents", lambda v: v("documents").select("doc_id", F.sha2(T.redact_text(C("text"), 1 << 30), 256).alias("result")))
 Q.scalar("f23_hamming64", "identity", "id AS a, id * 2654435761 AS b", lambda: T.hamming64(C("a"), C("b")), "bit_count(xor(a, b))")
 Q.scalar("f24_hash_bands", "identity", "sha2(CAST(id AS STRING), 256) AS h => sha256(CAST(id AS STRING)) AS h", lambda: F.array_join(T.hash_bands(C("h")), "-"), "h[1:4] || '-' || h[5:8] || '-' || h[9:12] || '-' || h[13:16]")
+Q.add("f25_dhash", lambda v: v("embeddings").select("vec_id", F.lpad(F.bin(T.dhash(F.concat("embedding", F.slice("embedding", 1, 8)))), 64, "0").alias("bits")), "SELECT vec_id, list_reduce(list_transform(range(64), lambda k: CASE WHEN p[k // 8 * 9 + k % 8 + 1] > p[k // 8 * 9 + k % 8 + 2] THEN '1' ELSE '0' END), lambda a, b: a || b) AS bits FROM (SELECT vec_id, list_concat(embedding, embedding[1:8]) AS p FROM embeddings)")
 Q.scalar("f26_title_tokens", "identity", _TITLED, lambda: F.array_join(F.array_sort(T.title_tokens(C("title"))), " "), f"array_to_string(list_sort(list_distinct(list_filter(string_split({_norm('title')}, ' '), lambda t: len(t) > 1 AND t NOT IN ('an', 'and', 'of', 'the', 'to')))), ' ')")
 _NEXT = "title, source || ' ' || upper(title) || CASE WHEN id % 3 = 0 THEN ' of Old' ELSE '' END AS other"
 Q.scalar("f27_title_similarity", "identity", _NEXT, lambda: T.title_similarity(C("title"), C("other")), "NULL")

@@ -95,7 +95,7 @@ def test_redacted_documents(spark, tables):
         assert got[r.doc_id] == hashlib.sha256(text.encode()).hexdigest(), r.doc_id
 
 
-def score_of(tables):
+def score_of(tables, told=True):
     """Evidence and score of pairs of series, from whole tables."""
     identities = tables("identity")
     series, hashes = {r.id: r.series_id for r in identities}, {r.id: r.hash for r in tables("signature")}
@@ -111,7 +111,13 @@ def score_of(tables):
     for r in tables("external_id"):
         ids[series[r.identity_id]].add((r.provider, r.value))
 
+    about = {}
+    for s in own:
+        mine = [r for r in identities if r.series_id == s]
+        about[s] = " / ".join((min(r.title for r in mine), max(r.source_id for r in mine), min(r.source for r in mine))).lower()
+
     def score(a, b):
+        description = seq(" ".join(about.get(a, "").split()), " ".join(about.get(b, "").split())) if told else 0.0
         title = max((matching(x, y) for x in titles[a] for y in titles[b] if x and y), default=0.0)
         cover, state = 0.0, None
         for x in own[a]:
@@ -129,10 +135,10 @@ def score_of(tables):
         if kids[a] and kids[b]:
             delta = abs(max(kids[a]) - max(kids[b]))
             latest = 1.0 if delta <= 2 else 1 - (delta - 2) / 4 if delta <= 6 else 0.0
-        total = 0.20 * title + 0.55 * cover + 0.05 * children + 0.12 * latest
+        total = 0.20 * title + 0.55 * cover + 0.08 * description + 0.05 * children + 0.12 * latest
         if state == "match":
-            total = max(total, 0.9 if latest == 1.0 or title >= 0.75 else 0.86)
-        return (title, cover, children, latest, 0.99 if ids[a] & ids[b] else min(total, 0.98))
+            total = max(total, 0.9 if latest == 1.0 or max(title, description) >= 0.75 else 0.86)
+        return (title, cover, children, latest, description, 0.99 if ids[a] & ids[b] else min(total, 0.98))
 
     return score
 
@@ -143,7 +149,7 @@ def test_scores(spark, tables):
     got = {(r.a, r.b): r for r in ask(spark, "e16_score_pairs")}
     assert set(got) == {p for p in pairs if p[0] != p[1]}
     for (a, b), r in got.items():
-        assert all(map(near, (r.title, r.cover, r.children, r.latest, r.score), score(a, b))), (a, b)
+        assert all(map(near, (r.title, r.cover, r.children, r.latest, r.description, r.score), score(a, b))), (a, b)
     best = {}
     for (a, b), r in got.items():
         best[b] = max(best.get(b, (-1.0, 0)), (r.score, -a))
@@ -151,7 +157,7 @@ def test_scores(spark, tables):
 
 
 def test_rescored_decisions(spark, tables):
-    score, series = score_of(tables), {r.id: r.series_id for r in tables("identity")}
+    score, series = score_of(tables, told=False), {r.id: r.series_id for r in tables("identity")}
     got = {r.id: r for r in ask(spark, "e19_rescore_all_evidence")}
     changed = 0
     for r in tables("decision"):
@@ -172,6 +178,26 @@ def test_title_scores(spark, tables):
         assert near(r.title, max((matching(x, y) for x in own[r.a] for y in own[r.b] if x and y), default=0.0))
 
 
+def test_identity_repair(spark, tables):
+    """Groups of revisions: least title similarity and overlap over all pairs."""
+    kids, groups = defaultdict(set), defaultdict(list)
+    for r in tables("chapter"):
+        kids[r.identity_id].add(r.number)
+    for r in tables("identity"):
+        groups[r.source, r.source_id.rsplit("-", 1)[0]].append(r)
+    want = {}
+    for (source, stable), rows in groups.items():
+        pairs = [(a, b) for i, a in enumerate(rows) for b in rows[i + 1 :]]
+        title = min((min(similar(a.title, b.title), similar(b.title, a.title)) for a, b in pairs), default=1.0)
+        common = min((len(kids[a.id] & kids[b.id]) for a, b in pairs), default=0)
+        one, cover = len({r.series_id for r in rows}) == 1, len({r.size % 3 for r in rows}) == 1
+        want[source, stable] = (len(rows), round(title, 4), common, cover, "consolidate" if title >= 0.3 and (common >= 1 or cover or one) else "quarantine")
+    got = {(r.source, r.stable): (r.identities, r.title, r.common, r.cover_agrees, r.action) for r in ask(spark, "i19_identity_repair_audit")}
+    assert got.keys() == want.keys()
+    for k, g in got.items():
+        assert abs(g[1] - want[k][1]) < 2e-4 and (g[0], *g[2:]) == (want[k][0], *want[k][2:]), k
+
+
 def test_cover_shortlist(spark, tables):
     rows, hashes = {r.id: r for r in tables("identity")}, {r.id: r.hash for r in tables("signature")}
     blocked = {(r.a, r.b) for r in ask(spark, "e05_block_cover_band")}
