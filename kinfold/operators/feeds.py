@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import text as T
-from kinfold.operators.windows import first_row
+from kinfold.operators.windows import first_few, first_row
 
 C = F.col
 
@@ -49,11 +49,10 @@ def dedupe_by_quality(rows: DataFrame, keys: list[str], quality: str, position:
 def merge_observations(rows: DataFrame, key: str = "id", most: int = 6) -> DataFrame:
     """Repeated sightings (position, title, popularity, recent: array of numbers) as one row each: the first recent
     numbers, the first title that isn't empty, the greatest popularity."""
-    seen = F.sort_array(F.collect_list(F.struct("position", "title", "recent")))
-    out = rows.groupBy(key).agg(seen.alias("s"), F.max("popularity").alias("popularity"))
-    recent = F.slice(F.array_distinct(F.flatten(F.transform("s", lambda x: x["recent"]))), 1, most)
-    title = F.get(F.filter(F.transform("s", lambda x: x["title"]), lambda t: t != ""), 0)
-    return out.select(key, F.coalesce(title, F.lit("")).alias("title"), "popularity", F.array_join(recent, ",").alias("recent"))
+    titled = F.when(C("title") != "", C("position"))
+    out = rows.groupBy(key).agg(F.coalesce(F.min_by("title", titled), F.lit("")).alias("title"), F.max("popularity").alias("popularity"))
+    numbers = rows.select(key, "position", F.posexplode("recent").alias("i", "number")).groupBy(key, "number").agg(F.min(F.struct("position", "i")).alias("at"))
+    return out.join(first_few(numbers, [key], "at", "number", most).withColumnRenamed("few", "recent"), key, "left").withColumn("recent", F.coalesce("recent", F.lit("")))
 
 
 def overlay_detail(listing: DataFrame, detail: DataFrame, key: str = "id") -> DataFrame:

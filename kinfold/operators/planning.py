@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import text as T
 from kinfold.operators.relational import ACTIVE, WAITING, latest_unresolved_failures
-from kinfold.operators.windows import best_release, first_row, latest_release, preference, with_positions
+from kinfold.operators.windows import best_release, first_few, first_row, latest_release, preference, with_positions
 
 C = F.col
 
@@ -68,8 +68,10 @@ def preferred_upgrades(held: DataFrame, releases: DataFrame, keys: list[str]) ->
 
 def coalesce_work(jobs: DataFrame, most: int = 100) -> DataFrame:
     """One active row of each kind and key: the newest id, the least priority, all batch ids in order of arrival."""
-    rows = jobs.filter(C("status").isin(*ACTIVE)).groupBy("kind", "dedupe_key").agg(F.max("id").alias("id"), F.min("priority").alias("priority"), F.sort_array(F.collect_list(F.struct("id", "batch"))).alias("b"))
-    return rows.select("kind", "dedupe_key", "id", "priority", F.array_join(F.slice(F.array_distinct(F.transform("b", lambda x: x["batch"])), 1, most), ",").alias("batches"))
+    rows, keys = jobs.filter(C("status").isin(*ACTIVE)), ["kind", "dedupe_key"]
+    batches = rows.filter(C("batch").isNotNull()).groupBy(*keys, "batch").agg(F.min("id").alias("at"))
+    out = rows.groupBy(*keys).agg(F.max("id").alias("id"), F.min("priority").alias("priority"))
+    return out.join(first_few(batches, keys, "at", "batch", most).withColumnRenamed("few", "batches"), keys, "left").withColumn("batches", F.coalesce("batches", F.lit("")))
 
 
 def merge_repair_requests(requests: DataFrame) -> DataFrame:

@@ -21,6 +21,14 @@ def first_row(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__rn = 1").drop("__rn")
 
 
+def first_few(rows: DataFrame, keys: list[str], order: str, value: str, most: int) -> DataFrame:
+    """keys and few: the first values of each group, `most` at most, separated by commas. No group is gathered whole."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    few = rows.withColumn("__place", place).filter(C("__place") <= most)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("__place", C(value).cast("string").alias("v")))), lambda x: x["v"])
+    return few.groupBy(*keys).agg(F.array_join(listed, ",").alias("few"))
+
+
 def with_positions(rows: DataFrame, keys: list[str], order: list[Column], name: str = "position") -> DataFrame:
     """Add each row's place among those of its keys, for keys that may hold a large share of all rows: the table is dealt by
     ranges of (keys, order), places are counted within each range, and ranges are moved on by the numbers before them. The

@@ -20,7 +20,7 @@ Q.add("n02_chapters_from_feed", lambda v: N.chapters_from_feed(v("identity").sel
 Q.add("n03_best_release_per_number", lambda v: N.best_release_per_number(v("release").filter("number IS NOT NULL"), ["series_id", "number"]), "WITH t AS (SELECT *, row_number() OVER (PARTITION BY series_id, number ORDER BY quality DESC, published_at DESC, id DESC) AS rn FROM {release} WHERE number IS NOT NULL) SELECT series_id, number, min(id) FILTER (rn = 1) AS id, coalesce(string_agg(id, ',' ORDER BY rn) FILTER (rn > 1), '') AS others FROM t GROUP BY ALL")
 Q.add("n04_dedupe_first", lambda v: N.dedupe_first(v("conversations"), ["text"], "conv_id").select("text", "conv_id"), "SELECT text, min(conv_id) AS conv_id FROM conversations GROUP BY text")
 Q.add("n05_dedupe_by_quality", lambda v: N.dedupe_by_quality(v("release"), ["series_id", "number"], "quality", "id").select("series_id", "number", "id", "quality").filter("number IS NOT NULL"), "SELECT series_id, number, min(id) AS id, max(quality) AS quality FROM {release} WHERE number IS NOT NULL GROUP BY ALL")
-Q.add("n06_merge_observations", lambda v: N.merge_observations(v("release").selectExpr("series_id AS id", "id AS position", "IF(id % 3 = 0, '', concat('t', id)) AS title", "quality AS popularity", "array(CAST(id % 9 AS STRING), CAST(id % 5 AS STRING)) AS recent")).select("id", "title", "popularity"), "SELECT series_id AS id, coalesce('t' || min(id) FILTER (id % 3 > 0), '') AS title, max(quality) AS popularity FROM {release} GROUP BY series_id")
+Q.add("n06_merge_observations", lambda v: N.merge_observations(v("release").selectExpr("series_id AS id", "id AS position", "IF(id % 3 = 0, '', concat('t', id)) AS title", "quality AS popularity", "array(CAST(id % 9 AS STRING), CAST(id % 5 AS STRING)) AS recent")).select("id", "title", "popularity", "recent"), "WITH e AS (SELECT series_id, id, unnest([id % 9, id % 5]) AS n, unnest([1, 2]) AS i FROM {release}), f AS (SELECT series_id, n, min((id, i)) AS p FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY p) AS rn FROM f), l AS (SELECT series_id, string_agg(n, ',' ORDER BY rn) AS recent FROM r WHERE rn <= 6 GROUP BY 1) SELECT r.series_id AS id, coalesce('t' || min(id) FILTER (id % 3 > 0), '') AS title, max(quality) AS popularity, any_value(recent) AS recent FROM {release} r JOIN l USING (series_id) GROUP BY r.series_id")
 Q.add("n07_overlay_detail", lambda v: N.overlay_detail(v("identity").select("id", "title", "source"), v("identity").filter("id % 2 = 0").selectExpr("id", "IF(id % 4 = 0, '', upper(title)) AS title", "'z' AS source")), "SELECT id, CASE WHEN id % 4 = 2 THEN upper(title) ELSE title END AS title, CASE WHEN id % 2 = 0 THEN 'z' ELSE source END AS source FROM {identity}")
 Q.add("n08_extract_links", lambda v: N.extract_links(v("pages")))
 # An image element, one that is no page, and addresses in a script: a whole one, an escaped one, and a path of this site.
