@@ -168,3 +168,40 @@ def identity_repair_audit(identities: DataFrame, children: DataFrame, least_titl
     out = groups.join(worst, keys, "left").join(overlap, keys, "left").withColumns({"title": F.coalesce("title", F.lit(1.0)), "common": F.coalesce("common", F.lit(0)), "cover_agrees": C("covers") == 1})
     safe = (C("title") >= least_title) & ((C("common") >= 1) | C("cover_agrees") | (C("series") == 1))
     return out.select(*keys, "identities", F.round("title", 4).alias("title"), "common", "cover_agrees", F.when(safe, "consolidate").otherwise("quarantine").alias("action"))
+
+
+def archive_check(archives: DataFrame, members: DataFrame, metadata: DataFrame, expected: DataFrame, checked: DataFrame) -> DataFrame:
+    """(path, rule) of stored archives (path, checksum, readable) that weren't checked yet (checksum): unreadable, without
+    page images (members: path, member), without metadata or with another series or number than the catalog's (metadata,
+    expected: path, series_id, number), in the catalog not exactly once, or of one page and a fractional number (to review)."""
+    from kinfold.functions import text as T
+
+    C = F.col
+    pages = members.filter(T.is_page_image(F.concat(F.lit("https://archive.test/"), "member"))).groupBy("path").agg(F.count("*").alias("pages"))
+    told = metadata.groupBy("path").agg(F.min(F.struct(C("series_id").alias("s"), C("number").alias("n"))).alias("told"))
+    known = expected.groupBy("path").agg(F.count("*").alias("places"), F.min(F.struct(C("series_id").alias("s"), C("number").alias("n"))).alias("known"))
+    rows = archives.join(checked.select("checksum").distinct(), "checksum", "left_anti").join(pages, "path", "left").join(told, "path", "left").join(known, "path", "left")
+    n, places = F.coalesce("pages", F.lit(0)), F.coalesce("places", F.lit(0))
+    rules = {
+        "unreadable": ~C("readable"),
+        "no_images": C("readable") & (n == 0),
+        "no_metadata": C("readable") & C("told").isNull(),
+        "metadata_differs": C("readable") & C("told").isNotNull() & (places == 1) & ~C("told").eqNullSafe(C("known")),
+        "places": places != 1,
+        "review_single_page": C("readable") & (n == 1) & (C("known.n") % 1 != 0),
+    }
+    return rows.select("path", F.explode(F.array_compact(F.array(*(F.when(cond, F.lit(k)) for k, cond in rules.items())))).alias("rule"))
+
+
+def import_records(files: DataFrame, completed: DataFrame, breaches: DataFrame, active: DataFrame) -> DataFrame:
+    """(id, status, reason) of legacy files (id, path, series_id, chapter, checksum): resumed if completed before (id),
+    invalid with the rules it breaks (breaches: path, rule; a review alone is none), else the verdict of M12 on activating it
+    beside the active artifacts (series_id, chapter, checksum)."""
+    from kinfold.operators.merge import activate_artifact
+
+    C = F.col
+    reasons = breaches.filter(~C("rule").startswith("review")).groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("reason"))
+    done = completed.select("id").distinct().withColumn("__done", F.lit(True))
+    out = activate_artifact(files, active).join(done, "id", "left").join(reasons, "path", "left")
+    status = F.when(C("__done"), "resumed").when(C("reason").isNotNull(), "invalid").otherwise(C("verdict"))
+    return out.select("id", status.alias("status"), F.when(status == "invalid", C("reason")).otherwise("").alias("reason"))

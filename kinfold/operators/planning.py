@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions import text as T
@@ -246,3 +246,30 @@ def learn_policies(runs: DataFrame, policies: DataFrame, asof: Column) -> DataFr
         case(F.lit(0), C("clean_runs") + 1, F.lit(0)).cast("int").alias("clean_runs"),
         (asof + F.make_dt_interval(case(*map(F.lit, NEXT_DAYS.values())))).alias("next_run"),
     )
+
+
+#: Minutes until the next probe by failures so far, seconds after a lone success, successes in a row that end a
+#: recovery, and the factor and bounds (in seconds) of the cooldown that it teaches.
+PROBE_MINUTES, PROBE_AGAIN, PROBE_SUCCESSES, PROBE_FACTOR, PROBE_COOLDOWN = (1, 2, 5, 10, 20, 40, 60), 30, 2, 1.2, (60, 21_600)
+
+
+def recovery_probes(probes: DataFrame) -> DataFrame:
+    """What each probe (source, id, at, ok), in order of id, leads to: (source, id, wait, cooldown). A failure waits by
+    the ladder of failures since the last recovery, a first success half a minute; the second in a row is a recovery: no wait,
+    and a cooldown of 1.2 times the time since the first failure, within bounds (null without a failure). Running windows by
+    source: the probes of a source are few, as each waits for the one before."""
+    order = Window.partitionBy("source").orderBy("id")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = probes.select("source", "id", "at", F.coalesce("ok", F.lit(False)).alias("ok"))
+    rows = rows.withColumn("__run", F.count_if(~C("ok")).over(upto))
+    run = Window.partitionBy("source", "__run").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__back", C("ok") & (F.count_if("ok").over(run) % PROBE_SUCCESSES == 0))
+    rows = rows.withColumn("__epoch", F.coalesce(F.count_if("__back").over(before), F.lit(0)))
+    since = Window.partitionBy("source", "__epoch").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.least(F.count_if(~C("ok")).over(since), F.lit(len(PROBE_MINUTES) - 1))
+    started = F.min(F.when(~C("ok"), F.unix_micros("at"))).over(since)
+    low, high = PROBE_COOLDOWN
+    learnt = F.greatest(F.lit(low), F.least(F.lit(high), F.floor(F.floor((F.unix_micros("at") - started) / 1_000_000) * PROBE_FACTOR))).cast("long")
+    wait = F.when(C("__back"), F.lit(0)).when(C("ok"), PROBE_AGAIN).otherwise(F.get(F.lit(list(PROBE_MINUTES)), step.cast("int")) * 60)
+    return rows.select("source", "id", wait.cast("long").alias("wait"), F.when(C("__back") & started.isNotNull(), learnt).alias("cooldown"))

@@ -260,3 +260,32 @@ Q.add(
            CASE state WHEN 'limited' THEN greatest(0.5, i * 2) WHEN 'succeeded' THEN round(i * 0.8, 3) ELSE i END::DOUBLE AS interval, CASE state WHEN 'limited' THEN greatest(cd, retry) ELSE cd END::BIGINT AS cooldown, CASE state WHEN 'succeeded' THEN cr + 1 ELSE 0 END::INT AS clean_runs,
            TIMESTAMP '2024-01-15' + CASE state WHEN 'limited' THEN INTERVAL 30 DAY WHEN 'succeeded' THEN INTERVAL 7 DAY ELSE INTERVAL 1 DAY END AS next_run FROM j""",
 )
+Q.add(
+    "t06_recovery_probes", lambda v: P.recovery_probes(v("request_sample").select("source", "id", C("sampled_at").alias("at"), (C("id") % 7 < 3).alias("ok"))),
+    """WITH a AS (SELECT source, id, sampled_at AS t, id % 7 < 3 AS ok, count(*) FILTER (id % 7 >= 3) OVER (PARTITION BY source ORDER BY id) AS run FROM {request_sample}),
+    b AS (SELECT *, ok AND count(*) FILTER (ok) OVER (PARTITION BY source, run ORDER BY id) % 2 = 0 AS back FROM a),
+    c AS (SELECT *, coalesce(count(*) FILTER (back) OVER (PARTITION BY source ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM b),
+    d AS (SELECT *, least(count(*) FILTER (NOT ok) OVER (PARTITION BY source, epoch ORDER BY id), 6) AS step, min(epoch_us(t)) FILTER (NOT ok) OVER (PARTITION BY source, epoch ORDER BY id) AS started FROM c)
+    SELECT source, id, CASE WHEN back THEN 0 WHEN ok THEN 30 ELSE 60 * [1, 2, 5, 10, 20, 40, 60][step + 1] END::BIGINT AS wait, CASE WHEN back AND started IS NOT NULL THEN greatest(60, least(21600, floor(floor((epoch_us(t) - started) / 1000000) * 1.2))) END::BIGINT AS cooldown FROM d""",
+)
+
+
+# Artifacts as archives: some unreadable, empty, without metadata, or with another number than the catalog's.
+def _breaches(v):
+    a = v("artifact").withColumn("path", F.concat(F.lit("a/"), C("id").cast("string")))
+    members = a.filter("id % 9 <> 0").selectExpr("path", "explode(IF(id % 8 = 0, array('1.jpg'), array('1.jpg', '2.png', 'info.xml', 'logo.png'))) AS member")
+    told = a.filter("id % 10 <> 0").selectExpr("path", "series_id", "CAST(chapter AS DOUBLE) / 2 + IF(id % 21 = 0, 1, 0) AS number")
+    known = a.filter("id % 25 <> 0").selectExpr("path", "series_id", "CAST(chapter AS DOUBLE) / 2 AS number")
+    return I.archive_check(a.selectExpr("path", "checksum", "id % 12 <> 0 AS readable"), members, told, known, a.filter("id % 6 = 1").select("checksum"))
+
+
+_FACTS = """f AS (SELECT id, 'a/' || id AS path, id % 12 <> 0 AS readable, CASE WHEN id % 9 = 0 THEN 0 WHEN id % 8 = 0 THEN 1 ELSE 2 END AS pages, id % 10 <> 0 AS told, id % 21 = 0 AS wrong, id % 25 <> 0 AS placed, chapter % 2 = 1 AS half FROM {artifact} WHERE id % 6 <> 1),
+    b AS (SELECT path, unnest(list_filter([CASE WHEN NOT readable THEN 'unreadable' END, CASE WHEN readable AND pages = 0 THEN 'no_images' END, CASE WHEN readable AND NOT told THEN 'no_metadata' END, CASE WHEN readable AND told AND placed AND wrong THEN 'metadata_differs' END, CASE WHEN NOT placed THEN 'places' END,
+                 CASE WHEN readable AND pages = 1 AND placed AND half THEN 'review_single_page' END], lambda x: x IS NOT NULL)) AS rule FROM f)"""
+Q.add("i10_archive_check", _breaches, f"WITH {_FACTS} SELECT path, rule FROM b")
+Q.add(
+    "x04_import_records", lambda v: I.import_records(v("artifact").withColumn("path", F.concat(F.lit("a/"), C("id").cast("string"))).select("id", "path", "series_id", "chapter", "checksum"), v("artifact").filter("id % 14 = 0"), _breaches(v), v("artifact").filter("id % 4 = 2").groupBy("series_id", "chapter").agg(F.min("checksum").alias("checksum"))),
+    f"""WITH {_FACTS}, r AS (SELECT path, string_agg(DISTINCT rule, ',' ORDER BY rule) AS reason FROM b WHERE rule NOT LIKE 'review%' GROUP BY path), n AS (SELECT series_id, chapter, min(checksum) AS now FROM {{artifact}} WHERE id % 4 = 2 GROUP BY ALL)
+    SELECT id, CASE WHEN id % 14 = 0 THEN 'resumed' WHEN reason IS NOT NULL THEN 'invalid' WHEN now IS NULL THEN 'activated' WHEN now = checksum THEN 'duplicate' ELSE 'conflict' END AS status, CASE WHEN id % 14 <> 0 THEN coalesce(reason, '') ELSE '' END AS reason
+    FROM {{artifact}} a LEFT JOIN n USING (series_id, chapter) LEFT JOIN r ON r.path = 'a/' || a.id""",
+)
