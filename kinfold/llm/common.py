@@ -17,9 +17,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = 200_000, salts: int = 32) -> DataFrame:
     """Join a table of few rows per key: broadcast if a count proves it has max_rows at most; else a shuffle join in which
-    every key of the big side is dealt over salts, so that a key with a third of all rows spreads out. `small` has one row a key."""
+    every key of the big side is dealt over salts, so that a key with a third of all rows spreads out. `small` has one row a
+    key; max_rows is for rows of some 200 bytes, and callers with wider or narrower ones give their own."""
     if small.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(small), on, how)
+    if salts == 1:  # a key of the big side has few rows
+        return big.join(small, on, how)
     salted = big.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")

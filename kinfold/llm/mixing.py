@@ -58,7 +58,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     docs = docs.drop("copy", "shuffle_key")
     table = with_cdf(rates(docs, weights, temperature, epochs))
     table = table.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("__key"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
-    out = join_small(docs.withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))), table, ["__key"])
+    out = join_small(docs.withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))), table, ["__key"], max_rows=20_000)  # 82 numbers a source
     draw = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("__parts")), F.lit(0), lambda a, j: a + _inverse(uniform(F.lit(seed), F.col("doc_id"), j)))
     out = out.withColumn("__n", draw).filter("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__key", "__parts", "__cdf", "__n")
     key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("order"), F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("copy"))), 1, 15), 16, 10).cast("long")

@@ -267,7 +267,7 @@ class Join:
 
     def texts_of(self, ids: DataFrame, how: str = "left_semi") -> DataFrame:
         """The documents whose doc_id is (or, left_anti, is not) in ids (doc_id, distinct)."""
-        return join_small(self.docs, ids, ["doc_id"], how, max_rows=1_000_000)
+        return join_small(self.docs, ids, ["doc_id"], how, max_rows=1_000_000, salts=1)
 
     def keys_of(self, docs: DataFrame, level: int) -> DataFrame:
         """key, doc, code (size * 4 + own * 2 + ask)."""
@@ -279,7 +279,7 @@ class Join:
         of a, which has few partners, to the task of b, of which there are fewer."""
 
         def of(side: str, name: str) -> DataFrame:
-            needed = join_small(sets, pairs.select(C(side).alias("doc")).distinct(), ["doc"], "left_semi")
+            needed = join_small(sets, pairs.select(C(side).alias("doc")).distinct(), ["doc"], "left_semi", salts=1)
             return needed.select(C("doc").alias(side), C("s").alias(name), C("n").alias(f"n{name}"))
 
         return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y", "nx", "ny")
@@ -351,7 +351,7 @@ class Join:
         rows = rows.withColumn("blocks", F.ceil(C("c") / BLOCK_ROWS).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), C("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), C("blocks") - 1))).select("key", "rep", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         buckets = max(1, -(-rows.count() // BLOCK_ROWS))
-        known = join_small(self.sketches, rows.select(C("rep").alias("doc")).distinct(), ["doc"], "left_semi")
+        known = join_small(self.sketches, rows.select(C("rep").alias("doc")).distinct(), ["doc"], "left_semi", salts=1)
         rows = rows.join(known.withColumnRenamed("doc", "rep"), "rep").withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)))
         return rows.groupBy("bucket").applyInPandas(lambda pdf: _blocks(pdf, percent), "a bigint, b bigint").distinct()
 
@@ -394,8 +394,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 4) -> DataF
     near = join.sift(cross)
     if left.filter("crowd").limit(1).count():
         near = near.union(join.crowds(left.filter("crowd").select("key", "rep", "label"))).distinct().join(tried, ["a", "b"], "left_anti")
-    more = join.links(t.write(near, "cross-near"), "cross-links")
-    labels = connected_components(links.union(more))
+    near = t.write(near, "cross-near")
+    if near.limit(1).count():
+        labels = connected_components(links.union(join.links(near, "cross-links")))
 
     whole = member.join(labels.selectExpr("node AS rep", "root"), "rep", "left").selectExpr("doc AS doc_id", "n AS n_shingles", "coalesce(root, rep) AS component_id")
     rest = sizes.filter("n = 0 OR doc_id IS NULL").selectExpr("doc_id", "n AS n_shingles", "doc_id AS component_id")
