@@ -28,7 +28,7 @@ MAGIC = b"KTF1"
 #: Ids in a block, about (a document stays whole).
 BLOCK = 1 << 18
 #: Ids in a file, about; a file is closed at FILE_BYTES at the latest, and its partition goes on in another.
-FILE_IDS, FILE_BYTES = 1 << 25, 1 << 28
+FILE_IDS, FILE_BYTES = 1 << 24, 1 << 28
 #: Lengths of the four values of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
