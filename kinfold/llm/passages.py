@@ -29,22 +29,15 @@ SHORT, LONG = 4, 16
 #: Windows of a super-k-mer at most: texts that repeat one word have runs without end.
 RUN = 64
 #: Bytes of text that a worker takes in at a time, of strings that a map task combines, and of windows that are sorted at once.
-STEP_BYTES, TABLE_BYTES, SORT_BYTES = 1 << 22, 1 << 25, 1 << 26
+STEP_BYTES, TABLE_BYTES, SORT_BYTES = 1 << 20, 1 << 23, 1 << 25
 #: Words of the sample for each partition; a shingle is frequent if it would be a tenth of a partition's super-k-mers.
 SAMPLE_WORDS, SAMPLE_LEAST, FREQUENT_SHARE, FREQUENT_LEAST = 3600, 400_000, 150, 16
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
+BLANK = np.isin(np.arange(256), (0x20, *range(0x09, 0x0E)))
+#: Random numbers of bytes (0 for a blank) and of places in a word, from which words are hashed.
+_BYTES, _PLACES = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, (2, 4096), np.uint64)
+_BYTES = np.where(np.arange(4096) == 32, np.uint64(0), _BYTES)[:256]
 
 
 def pieces(text: str | None) -> Iterator[bytes]:
@@ -59,17 +52,20 @@ def pieces(text: str | None) -> Iterator[bytes]:
     yield data[at:] if at else data
 
 
-def batches_of_words(texts: list, overlap: int) -> Iterator[list[tuple[int, int, list[bytes]]]]:
-    """Lists of (number of the text, number of the first word, words), each of about STEP_BYTES. A part of a long text begins
+def batches_of_pieces(texts: list, overlap: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (number of the text, number of the first word, bytes), each of about STEP_BYTES. A part of a long text begins
     with the last `overlap` words of the part before."""
     out, size = [], 0
     for i, text in enumerate(texts):
-        first, tail = 0, []
-        for data in pieces(text if isinstance(text, str) else None):
-            words = tail + data.split()  # bytes.split() knows exactly the blanks of the pattern
-            out.append((i, first, words))
-            first += max(0, len(words) - overlap)
-            tail = words[len(words) - min(len(words), overlap) :] if overlap else []
+        first, tail = 0, b""
+        for k, data in enumerate(pieces(text if isinstance(text, str) else None)):
+            if k:  # bytes.split() knows exactly the blanks of the pattern
+                words = before.split() if overlap else []
+                tail = b" ".join(words[max(0, len(words) - overlap) :])
+                first += max(0, len(words) - overlap) if overlap else len(before.split())
+                data = tail + b" " + data
+            out.append((i, first, data))
+            before = data
             size += len(data)
             if size >= STEP_BYTES:
                 yield out
@@ -78,6 +74,21 @@ def batches_of_words(texts: list, overlap: int) -> Iterator[list[tuple[int, int,
         yield out
 
 
+def normalised(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of all parts with one blank after each (but perhaps the last), where each begins and ends, and how many words
+    each part has."""
+    raw = np.frombuffer(b" ".join(datas), np.uint8)
+    blank = BLANK[raw]
+    after = np.append(False, ~blank[:-1])[: len(raw)]
+    keep = ~blank | after
+    begin = np.flatnonzero(~blank & ~after)
+    norm = np.where(blank, np.uint8(32), raw)[keep]
+    starts = (np.cumsum(keep) - 1)[begin]
+    stops = np.append(starts[1:] - 1, len(norm) - int(len(norm) > 0 and norm[-1] == 32))[: len(starts)]
+    edges = np.searchsorted(begin, np.cumsum([len(d) + 1 for d in datas]))
+    return norm, starts, stops, np.diff(edges, prepend=0)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A 63-bit number of each hash."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -85,11 +96,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) >> np.uint64(1)
 
 
-def shingle_ranks(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def shingle_ranks(norm: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ranks of the shingles of SHORT and of LONG words that begin at each word, cyclically; callers mind the ends."""
-    if len(_hashes) > 1_000_000:
-        _hashes.clear()
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    place = np.arange(len(norm)) - np.repeat(starts, np.diff(starts, append=len(norm)))
+    h = np.add.reduceat(_BYTES[norm] * _PLACES[place % len(_PLACES)], starts) if len(starts) else np.empty(0, np.uint64)
     have, out = 1, []
     for size in (SHORT, LONG):
         while have < size:  # both are powers of two
@@ -108,19 +118,18 @@ def _sliding_min(x: np.ndarray, span: int) -> np.ndarray:
     return x
 
 
-def super_kmers(parts: list[tuple[int, int, list[bytes]]], width: int, frequent: np.ndarray) -> pd.DataFrame:
+def super_kmers(parts: list[tuple[int, int, bytes]], width: int, frequent: np.ndarray) -> pd.DataFrame:
     """text (its number), start (of the first window, in words), minimiser, packed (the words, joined by one blank) and again
     (the minimiser occurs twice in it) of each super-k-mer."""
-    words = [w for _, _, ws in parts for w in ws]
-    sizes = np.array([len(ws) for _, _, ws in parts], np.int64)
+    norm, begin, stop, sizes = normalised([data for _, _, data in parts])
     ends = np.cumsum(sizes)
     part = np.repeat(np.arange(len(parts)), sizes)
-    n = len(words)
+    n = len(begin)
     starts = np.flatnonzero(np.arange(n) + width <= ends[part]) if n else np.empty(0, np.int64)
     if not len(starts):
         return pd.DataFrame({"text": [], "start": [], "minimiser": [], "packed": [], "again": []})
     none = np.uint64(1 << 63)
-    short, long = shingle_ranks(words)
+    short, long = shingle_ranks(norm, begin)
     if len(frequent):
         short = np.where(frequent[np.minimum(np.searchsorted(frequent, short), len(frequent) - 1)] == short, none, short)
     low = _sliding_min(short, width - SHORT + 1)[starts]
@@ -140,9 +149,7 @@ def super_kmers(parts: list[tuple[int, int, list[bytes]]], width: int, frequent:
             left = first[some] + (rank[first[some, None] + span] == low[some, None]).argmax(axis=1)
             right = last[some] + span[-1] - (rank[last[some, None] + span[::-1]] == low[some, None]).argmax(axis=1)
             again[some] = left != right
-    joined = b" ".join(words)
-    stop = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    begin = np.append(0, stop[:-1] + 1)
+    joined = norm.tobytes()
     packed = [joined[x:y] for x, y in zip(begin[first].tolist(), stop[last + width - 1].tolist())]
     number, offset = np.array([i for i, _, _ in parts]), np.array([f for _, f, _ in parts]) - (ends - sizes)
     minimiser = np.where(rare, low.astype(np.int64), -1 - low.astype(np.int64))
@@ -163,10 +170,10 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for parts in batches_of_words(pdf["text"].tolist(), 0):
-                for _, _, words in parts:
-                    if len(words) >= SHORT:
-                        yield pd.DataFrame({"rank": shingle_ranks(words)[0][: len(words) - SHORT + 1].astype(np.int64)})
+            for parts in batches_of_pieces(pdf["text"].tolist(), 0):
+                norm, begin, _, sizes = normalised([data for _, _, data in parts])
+                whole = np.arange(len(begin)) + SHORT <= np.repeat(np.cumsum(sizes), sizes)
+                yield pd.DataFrame({"rank": shingle_ranks(norm, begin)[0][whole].astype(np.int64)})
 
     counts = sample.select("text").mapInPandas(count, "rank bigint").groupBy("rank").agg(F.count("*").alias("n"))
     least = max(FREQUENT_LEAST, int(min(size / 6.0, wanted)) // (FREQUENT_SHARE * partitions))
@@ -246,7 +253,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, tables: Tables | None = Non
             return pd.DataFrame({"minimiser": [m for m, _, _ in table], "packed": [p for _, p, _ in table], "again": [x for _, _, x in table], "n": list(table.values())})
 
         for pdf in batches:
-            for parts in batches_of_words(pdf["text"].tolist(), width - 1):
+            for parts in batches_of_pieces(pdf["text"].tolist(), width - 1):
                 found = super_kmers(parts, width, frequent.value)
                 table.update(zip(found["minimiser"].tolist(), found["packed"].tolist(), found["again"].tolist()))
                 size += sum(map(len, found["packed"]))
@@ -281,22 +288,15 @@ def remove_repeats(docs: DataFrame, width: int = 35, tables: Tables | None = Non
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             k, h = pdf["k"].to_numpy(), pdf["h"].to_numpy()
-            for parts in batches_of_words(pdf["text"].tolist(), width - 1):
+            for parts in batches_of_pieces(pdf["text"].tolist(), width - 1):
                 found = super_kmers(parts, width, frequent.value)
                 text = found["text"].to_numpy(np.int64)
                 yield pd.DataFrame({"minimiser": found["minimiser"], "digest": [_digest(p) for p in found["packed"]], "k": k[text], "h": h[text], "start": found["start"]})
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "n_words", "n_removed", "kept"]
         for pdf in batches:
-            out, size = [], 0
-            for doc_id, text, marks in zip(pdf["doc_id"], pdf["text"], pdf["marks"]):
-                out.append((doc_id, *kept_words(text, marks, width)))
-                size += len(out[-1][-1])
-                if size >= STEP_BYTES:
-                    yield pd.DataFrame(out, columns=names)
-                    out, size = [], 0
-            yield pd.DataFrame(out, columns=names)
+            kept = kept_words(pdf["text"].tolist(), pdf["marks"].tolist(), width)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].tolist(), **dict(zip(("n_words", "n_removed", "kept"), zip(*kept)))})
 
     strings = docs.select("text").mapInPandas(gather, "minimiser bigint, packed binary, again boolean, n bigint")
     dealt = strings.repartition("minimiser").sortWithinPartitions("minimiser", "packed")
@@ -309,29 +309,40 @@ def remove_repeats(docs: DataFrame, width: int = 35, tables: Tables | None = Non
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def kept_words(text: str | None, marks: list[bytes] | None, width: int) -> tuple[int, int, str]:
-    """Number of words, number of those that go and the others joined by a blank. A mark: 8 bytes of the first word's number
-    (big-endian), then a bit for each window from there on, 1 for those that go."""
-    gone = None
-    if marks is not None and len(marks):
-        starts = np.concatenate([int.from_bytes(m[:8], "big") + np.flatnonzero(np.unpackbits(np.frombuffer(m[8:], np.uint8))) for m in marks])
-        step = np.zeros(int(starts.max()) + width + 1, np.int64)
-        np.add.at(step, starts, 1)
-        np.add.at(step, starts + width, -1)
-        gone = np.cumsum(step) > 0
-    total = stay = 0
-    kept = []
-    for data in pieces(text if isinstance(text, str) else None):
-        words = data.split()
-        if gone is not None:
-            here = gone[total : total + len(words)].tolist()
-            total += len(words)
-            words = [w for w, g in zip(words, here) if not g] + words[len(here) :]
-        else:
-            total += len(words)
-        stay += len(words)
-        kept += [b" ".join(words)] if words else []
-    return total, total - stay, b" ".join(kept).decode()
+def _gone(marks: list[bytes] | None, width: int) -> np.ndarray | None:
+    """Which words windows cover. A mark: 8 bytes of the first word's number (big-endian), then a bit for each window from
+    there on, 1 for those that go."""
+    if marks is None or not len(marks):
+        return None
+    starts = np.concatenate([int.from_bytes(m[:8], "big") + np.flatnonzero(np.unpackbits(np.frombuffer(m[8:], np.uint8))) for m in marks])
+    step = np.zeros(int(starts.max()) + width + 1, np.int64)
+    np.add.at(step, starts, 1)
+    np.add.at(step, starts + width, -1)
+    return np.cumsum(step[:-1]) > 0
+
+
+def kept_words(texts: list, marks: list, width: int) -> list[tuple[int, int, str]]:
+    """Of each text, the number of words, of those that go, and the others joined by one blank."""
+    gone = [_gone(m, width) for m in marks]
+    out: list[list] = [[0, 0, []] for _ in texts]
+    for parts in batches_of_pieces(texts, 0):
+        norm, begin, _, sizes = normalised([data for _, _, data in parts])
+        ends = np.cumsum(sizes)
+        stay = np.ones(len(begin), bool)
+        for (i, first, _), end, size in zip(parts, ends.tolist(), sizes.tolist()):
+            if gone[i] is not None:
+                here = gone[i][first : first + size]
+                stay[end - size : end - size + len(here)] = ~here
+        kept = np.repeat(stay, np.diff(begin, append=len(norm)))
+        joined = norm[kept].tobytes()
+        bytes_before = np.append(0, np.cumsum(kept))[np.append(begin, len(norm))]
+        stays_before = np.append(0, np.cumsum(stay))
+        for (i, _, _), end, size in zip(parts, ends.tolist(), sizes.tolist()):
+            data = joined[bytes_before[end - size] : bytes_before[end]].rstrip(b" ")
+            out[i][0] += size
+            out[i][1] += size - int(stays_before[end] - stays_before[end - size])
+            out[i][2] += [data] if data else []
+    return [(n, m, b" ".join(kept).decode()) for n, m, kept in out]
 
 
 def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
