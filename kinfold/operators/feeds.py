@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import text as T
@@ -171,3 +171,33 @@ def extract_image_urls(pages: DataFrame) -> DataFrame:
     """Page images of pages (page_id, html) in order, first of equal ones."""
     rows = parse_pages(pages).select("page_id", F.posexplode("images").alias("position", "url")).filter(T.is_page_image(C("url")))
     return dedupe_first(rows, ["page_id", "url"], "position")
+
+
+@F.udtf(returnType="position int, href string, text string")
+class HtmlLinks:
+    """The links of one page in order, for LATERAL html_links(html); none for a null page."""
+
+    def eval(self, html: str) -> Iterator[tuple]:
+        p = _Links()
+        p.feed(html or "")
+        p.close()
+        for i, (href, text) in enumerate(p.links):
+            yield i, href, " ".join(text.split())
+
+
+@F.udtf(returnType="position int, url string")
+class HtmlImages:
+    """The images of one page, resolved against its address, for LATERAL html_images(html, url)."""
+
+    def eval(self, html: str, url: str) -> Iterator[tuple]:
+        p = _Links()
+        p.feed(html or "")
+        p.close()
+        for i, x in enumerate([*p.images, *script_addresses(html or "")]):
+            yield i, resolved(url or "", x)
+
+
+def register_page_functions(spark: SparkSession) -> None:
+    """html_links(html) and html_images(html, url) for SQL."""
+    spark.udtf.register("html_links", HtmlLinks)
+    spark.udtf.register("html_images", HtmlImages)

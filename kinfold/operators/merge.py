@@ -110,3 +110,46 @@ def activate_artifact(incoming: DataFrame, active: DataFrame, replace: bool = Fa
     now = active.select("series_id", "chapter", C("checksum").alias("__sum"))
     verdict = F.when(C("__sum").isNull(), "activated").when(C("__sum") == C("checksum"), "duplicate").when(F.lit(replace), "activated").otherwise("conflict")
     return incoming.join(now, ["series_id", "chapter"], "left").withColumn("verdict", verdict).drop("__sum")
+
+
+def merge_identity_tables(identities: DataFrame, alternates: DataFrame, releases: DataFrame, aliases: DataFrame, external_ids: DataFrame, decisions: DataFrame, current: int | None = None) -> dict[str, DataFrame]:
+    """M7: all tables after the identities (id, series_id, source, source_id, url, title, description, cover_url, metadata) of each
+    series and source have become the least of them (columns `keeper` in `map`: old, new).
+
+    Empty columns of a keeper are filled from the least other that has them. Each other is an alternate listing (primary_id,
+    source, source_id, title, url) of its keeper afterwards, and so are its own alternates; a source's id is listed once.
+    Releases (id, identity_id, release_key), external ids (identity_id, provider, value) move to the keeper unless it has one of
+    their key or provider, the least identity first; `release_map` (old, new) says which releases stand for those that don't
+    move. Of aliases (id, series_id, identity_id, alias) of one normalised value in a series that the others share, one stays,
+    those of identities that stay first. Decisions (id, left_id, right_id) about identities that go are dropped but for
+    `current`.
+    """
+    same = ["series_id", "source"]
+    keeper = identities.groupBy(*same).agg(F.min("id").alias("new"))
+    mapping = identities.join(keeper, same).filter("id <> new").select(C("id").alias("old"), "new", "source", "source_id", "title", "url")
+    filled = {c: F.min_by(F.nullif(c, F.lit("")), F.when(F.nullif(c, F.lit("")).isNotNull(), C("id"))).alias(f"__{c}") for c in ("description", "cover_url", "metadata")}
+    fill = identities.groupBy(*same).agg(F.min("id").alias("id"), *filled.values()).drop(*same)
+    kept = identities.join(fill, "id").select(*(F.coalesce(F.nullif(c, F.lit("")), f"__{c}", c).alias(c) if c in filled else C(c) for c in identities.columns))
+
+    to = mapping.select(C("old").alias("__old"), C("new").alias("__new"))
+    moved = lambda df, c: df.join(to, df[c] == C("__old"), "left").withColumn("__from", C(c)).withColumn(c, F.coalesce("__new", c)).drop("__old")
+    own = mapping.select(C("new").alias("primary_id"), "source", "source_id", "title", "url", F.lit(0).alias("__order"), C("old").alias("__from"))
+    listed = moved(alternates, "primary_id").select("primary_id", "source", "source_id", "title", "url", F.lit(1).alias("__order"), "__from")
+    listed = first_row(own.unionByName(listed), ["source", "source_id"], [C("__order"), C("__from")]).drop("__order", "__from")
+
+    rows = moved(releases, "identity_id")
+    best = rows.groupBy("identity_id", "release_key").agg(F.min(F.struct(C("__new").isNotNull(), C("__from"), C("id"))).alias("x"))
+    rows = rows.join(best.select(C("identity_id").alias("__i"), C("release_key").alias("__r"), C("x.id").alias("__best")), (C("identity_id") == C("__i")) & C("release_key").eqNullSafe(C("__r")), "left")
+    stays = C("__new").isNull() | C("release_key").isNull() | (C("id") == C("__best"))
+    ids = first_row(moved(external_ids, "identity_id"), ["identity_id", "provider"], [C("__new").isNotNull(), C("__from")])
+    names = moved(aliases, "identity_id").withColumn("__n", T.normalize_title(C("alias")))
+    first = names.groupBy("series_id", "__n").agg(F.min(F.struct(C("__new").isNotNull(), C("id"))).alias("x")).select("series_id", "__n", C("x.id").alias("__best"))
+    names = names.join(first, ["series_id", "__n"]).filter("__new IS NULL OR id = __best")
+    gone = mapping.select(C("old").alias("__gone"))
+    touched = decisions.select("id", F.explode(F.array("left_id", "right_id")).alias("__gone")).join(gone, "__gone", "left_semi").select("id").distinct()
+    return {
+        "map": mapping.select("old", "new"), "identities": kept, "alternates": listed,
+        "releases": rows.filter(stays).select(*releases.columns), "release_map": rows.filter(~stays).select(C("id").alias("old"), C("__best").alias("new")),
+        "external_ids": ids.select(*external_ids.columns), "aliases": names.select(*aliases.columns),
+        "decisions": decisions.join(touched.filter(C("id") != F.lit(current)) if current is not None else touched, "id", "left_anti"),
+    }

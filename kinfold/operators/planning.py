@@ -67,16 +67,35 @@ def preferred_upgrades(held: DataFrame, releases: DataFrame, keys: list[str]) ->
 
 
 def coalesce_work(jobs: DataFrame, most: int = 100) -> DataFrame:
-    """One active row of each kind and key: the newest id, the least priority, all batch ids in order of arrival."""
+    """One active row of each kind and key: the leased one if there is one, else the newest, with the least priority.
+    batches: the batch ids that it holds, in order of arrival; those of a leased row are in flight, and what else came in waits
+    in `pending`, without them. `most` ids at most in each, as a request has."""
     rows, keys = jobs.filter(C("status").isin(*ACTIVE)), ["kind", "dedupe_key"]
-    batches = rows.filter(C("batch").isNotNull()).groupBy(*keys, "batch").agg(F.min("id").alias("at"))
-    out = rows.groupBy(*keys).agg(F.max("id").alias("id"), F.min("priority").alias("priority"))
-    return out.join(first_few(batches, keys, "at", "batch", most).withColumnRenamed("few", "batches"), keys, "left").withColumn("batches", F.coalesce("batches", F.lit("")))
-
-
-def merge_repair_requests(requests: DataFrame) -> DataFrame:
-    """By series: all obsolete keys, and the reason of highest priority (requests: id, series_id, reason, rank, key)."""
-    return requests.groupBy("series_id").agg(F.array_join(F.array_sort(F.collect_set("key")), ",").alias("keys"), F.max_by("reason", F.struct(C("rank"), -C("id"))).alias("reason"))
+    leased = C("status") == "leased"
+    out = rows.groupBy(*keys).agg(F.min(F.when(leased, C("id"))).alias("__leased"), F.max("id").alias("__newest"), F.min("priority").alias("priority"))
+    batches = rows.filter(C("batch").isNotNull()).groupBy(*keys, "batch").agg(F.min("id").alias("at"), F.max(leased).alias("flying"))
+    batches = batches.join(out.select(*keys, C("__leased").isNotNull().alias("held")), keys)
+    few = lambda df, name: first_few(df, keys, "at", "batch", most).withColumnRenamed("few", name)
+    out = out.select(*keys, F.coalesce("__leased", "__newest").alias("id"), "priority")
+    out = out.join(few(batches.filter("flying OR NOT held"), "batches"), keys, "left").join(few(batches.filter("held AND NOT flying"), "pending"), keys, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("batches", "pending")})
+
+
+def merge_repair_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Active requests (id, status, series_id, reason, rank, key) as one a series: (requests (series_id, id, status, reason,
+    pending, cancelled), keys (series_id, key, pending)). The leased request is kept as it runs, else the first; the reason is
+    `merge` if there are obsolete keys, else that of the highest rank. Keys that a leased request doesn't hold itself wait for
+    its next run (pending), and the request has one then."""
+    rows = requests.filter(C("status").isin(*ACTIVE) & C("series_id").isNotNull()).withColumn("key", F.nullif("key", F.lit("")))
+    leased = C("status") == "leased"
+    keep = rows.groupBy("series_id").agg(
+        F.min(F.struct(~leased, "id", "status")).alias("x"), F.count_distinct("id").alias("n"), F.count("key").alias("keys"), F.max_by("reason", F.struct(C("rank"), -C("id"))).alias("reason")
+    )
+    keep = keep.select("series_id", C("x.id").alias("id"), C("x.status").alias("status"), F.when(C("keys") > 0, "merge").otherwise(C("reason")).alias("reason"), (C("n") - 1).alias("cancelled"))
+    held = rows.join(keep.select("series_id", C("id").alias("__id"), (C("status") == "leased").alias("__leased")), "series_id").filter("key IS NOT NULL")
+    keys = held.groupBy("series_id", "key").agg((F.max("__leased") & ~F.max(C("id") == C("__id"))).alias("pending"))
+    waits = keys.filter("pending").select("series_id", F.lit(True).alias("__waits")).distinct()
+    return keep.join(waits, "series_id", "left").withColumn("pending", F.coalesce("__waits", F.lit(False))).drop("__waits"), keys
 
 
 def bounded_backlog(jobs: DataFrame, limit: int, pool: str = "kind") -> DataFrame:
@@ -103,16 +122,48 @@ def due_polls(states: DataFrame, policies: DataFrame, asof: Column) -> DataFrame
     return rows.filter(C("polled_at").isNull() | (F.unix_micros(C("polled_at")) + C("interval_seconds").cast("bigint") * 1_000_000 <= F.unix_micros(asof))).select("source")
 
 
-def effective_limit(base: Column, learned: Column, clean_hours: Column, override: Column, most: Column) -> Column:
-    """An override, else the learned limit plus one for each clean hour, within 1 and the greatest."""
-    return F.coalesce(override, F.greatest(F.lit(1), F.least(most, F.coalesce(learned, base) + F.floor(clean_hours).cast("int"))))
+def effective_limit(limit: Column, policy: dict[str, Column], asof: Column, window: float = 60.0) -> Column:
+    """How much may run at once at a source. limit: what the network allows (null: no bound); policy: columns known (whether
+    there is one), expires_at, interval (seconds between requests), learned, limited_at, clean_since, cooldown (seconds),
+    tier and explore_until.
+
+    Without a policy, or with one that has expired, the limit. Else no more than the interval lets through in a window; after
+    a limit signal no more than was learnt, and one more for each cooldown (five minutes at least) without a further one since;
+    and during an exploration at least its tier."""
+    p = policy
+    seconds = lambda c: F.unix_micros(c) / 1e6
+    paced = F.least(limit, F.when(p["interval"] > 0, F.greatest(F.lit(1), F.floor(F.lit(window) / p["interval"]).cast("int"))))
+    grown = F.when(p["clean_since"] > p["limited_at"], F.floor(F.greatest(F.lit(0.0), seconds(asof) - seconds(p["clean_since"])) / F.greatest(F.coalesce(p["cooldown"], F.lit(0)), F.lit(300))).cast("int")).otherwise(0)
+    learnt = F.least(paced, F.when(p["limited_at"].isNotNull(), F.greatest(F.lit(1), p["learned"]) + grown))
+    explored = F.greatest(F.coalesce(F.nullif(learnt, F.lit(0)), F.lit(1)), F.coalesce(F.nullif(p["tier"], F.lit(0)), learnt, F.lit(1)))
+    valid = F.coalesce(p["known"], F.lit(False)) & ~F.coalesce(p["expires_at"] <= asof, F.lit(False))
+    return F.when(valid, F.when(p["explore_until"] > asof, explored).otherwise(learnt)).otherwise(limit)
+
+
+#: Statuses that the user sets, which reading doesn't change.
+BY_HAND = ("paused", "untracked")
+
+
+def child_states(progress: DataFrame, known: DataFrame, asof: Column) -> DataFrame:
+    """P20: reading states (child_id, state, read_at, updated_at) after progress (child_id, pages, pages_read): read with all of
+    some pages, reading with a few, else unread. The time of the first reading stays while a child is read. Children without
+    progress keep what is known of them."""
+    out = known.join(progress.select("child_id", "pages", "pages_read", F.lit(True).alias("__p")), "child_id", "full")
+    whole = (C("pages") > 0) & (C("pages_read") >= C("pages"))
+    state = F.when(C("__p").isNull(), C("state")).when(whole, "read").when(C("pages_read") > 0, "reading").otherwise("unread")
+    read_at = F.when(C("__p").isNull(), C("read_at")).when(whole, F.coalesce("read_at", asof))
+    return out.select("child_id", state.alias("state"), read_at.alias("read_at"), F.when(C("__p").isNull(), C("updated_at")).otherwise(asof).alias("updated_at"))
 
 
-def reading_state(progress: DataFrame) -> DataFrame:
-    """P20: by series: how many are read, and the status it earns (progress: series_id, pages, pages_read)."""
-    state = F.when(C("pages_read") >= C("pages"), "read").when(C("pages_read") > 0, "reading").otherwise("unread")
-    out = progress.withColumn("state", state).groupBy("series_id").agg(F.count_if(C("state") == "read").alias("read"), F.count_if(C("state") == "reading").alias("reading"), F.count("*").alias("total"))
-    return out.withColumn("status", F.when(C("read") == C("total"), "caught_up").when((C("read") > 0) | (C("reading") > 0), "reading").otherwise("interested"))
+def reading_state(series: DataFrame, children: DataFrame, states: DataFrame, progress: DataFrame) -> DataFrame:
+    """P20: series (id, status) after states of their children (id, series_id), and how many are read and reading: caught_up with
+    all read, reading with any begun, else interested; paused and untracked series, and those of which no child has progress
+    (child_id), keep their status."""
+    rows = children.select(C("id").alias("child_id"), "series_id").join(states.select("child_id", "state"), "child_id", "left").join(progress.select("child_id", F.lit(True).alias("__p")), "child_id", "left")
+    of = rows.groupBy(C("series_id").alias("id")).agg(F.count_if(C("state") == "read").alias("read"), F.count_if(C("state") == "reading").alias("reading"), F.count("*").alias("total"), F.count("__p").alias("told"))
+    out = series.select("id", "status").join(of, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("read", "reading", "total", "told")})
+    earned = F.when(C("read") == C("total"), "caught_up").when((C("read") > 0) | (C("reading") > 0), "reading").otherwise("interested")
+    return out.select("id", "read", "reading", "total", F.when((C("told") == 0) | C("status").isin(*BY_HAND), C("status")).otherwise(earned).alias("status"))
 
 
 def backfill_latest(series: DataFrame, releases: DataFrame) -> DataFrame:
@@ -167,18 +218,22 @@ def mark_all_read(children: DataFrame, reading: DataFrame, series_id: int, asof:
     return snapshot_upsert(reading, new, ["id"])
 
 
-def reroute_cooling(jobs: DataFrame, releases: DataFrame, cooling: DataFrame, keys: list[str], asof: Column) -> DataFrame:
-    """(id, action, release_id, source, due_at) of waiting jobs (id, status, source, release_id, preferred_only, attempted:
-    array of sources) of cooling sources (source, retry_after): moved to the best available release of the same keys from a
-    source not yet tried, due now, or waiting until the retry. Jobs for the preferred release only always wait."""
+def reroute_cooling(jobs: DataFrame, releases: DataFrame, cooling: DataFrame, keys: list[str], asof: Column) -> tuple[DataFrame, DataFrame]:
+    """(actions (id, action, release_id, source, due_at, attempted), attempts) of waiting jobs (id, status, source, release_id,
+    preferred_only, attempted: array of sources) of cooling sources (source, retry_after): moved to the best available release
+    of the same keys from a source not yet tried, due now, or waiting until the retry. Jobs for the preferred release only
+    always wait. attempts has a row for each move: keys, release_id, job_id, source, outcome, retry_after, and the source and
+    release that it bypasses."""
     rows = jobs.filter(C("status").isin(*WAITING)).join(cooling.select("source", "retry_after"), "source").join(releases.select(C("id").alias("release_id"), *keys), "release_id")
-    tried = F.array_union(F.coalesce("attempted", F.array().cast("array<string>")), F.array("source"))
-    asked = rows.filter(~C("preferred_only")).select(C("id").alias("job"), *keys, tried.alias("tried"))
+    rows = rows.withColumn("tried", F.array_sort(F.array_union(F.coalesce("attempted", F.array().cast("array<string>")), F.array("source"))))
+    asked = rows.filter(~C("preferred_only")).select(C("id").alias("job"), *keys, "tried")
     other = asked.join(releases.filter("available"), keys).filter(~F.array_contains("tried", C("source")))
     best = first_row(other, ["job"], [preference().desc(), F.desc("quality"), F.desc("id")]).select(C("job").alias("id"), C("id").alias("__id"), C("source").alias("__source"))
     out = rows.join(best, "id", "left")
     moved = C("__id").isNotNull()
-    return out.select("id", F.when(moved, "rerouted").otherwise("wait").alias("action"), F.coalesce("__id", "release_id").alias("release_id"), F.coalesce("__source", "source").alias("source"), F.when(moved, asof).otherwise(C("retry_after")).alias("due_at"))
+    actions = out.select("id", F.when(moved, "rerouted").otherwise("wait").alias("action"), F.coalesce("__id", "release_id").alias("release_id"), F.coalesce("__source", "source").alias("source"), F.when(moved, asof).otherwise(C("retry_after")).alias("due_at"), F.when(moved, C("tried")).otherwise(C("attempted")).alias("attempted"))
+    attempts = out.filter(moved).select(*keys, C("__id").alias("release_id"), C("id").alias("job_id"), C("__source").alias("source"), F.lit("fallback_queued").alias("outcome"), "retry_after", C("source").alias("bypassed_source"), C("release_id").alias("bypassed_release_id"))
+    return actions, attempts
 
 
 #: Versions of payloads that can be brought up to date in place, and the current one.

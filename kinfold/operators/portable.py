@@ -16,8 +16,9 @@ from kinfold.functions import text as T
 from kinfold.operators.components import connected_components
 
 C = F.col
-#: Statuses of series and reading states, each stronger than the one before.
+#: Statuses of series; the same by strength in an import, and reading states, each stronger than the one before.
 STATUSES = ("untracked", "interested", "reading", "caught_up", "paused")
+IMPORT_STATUSES = ("untracked", "paused", "caught_up", "interested", "reading")
 READING = ("unread", "reading", "read")
 
 
@@ -106,7 +107,7 @@ def apply_import(series: DataFrame, sources: DataFrame, reading: DataFrame, sepa
     apart = resolve_sources(of, identities).filter("l <> id").select(F.least("l", "id").alias("left_id"), F.greatest("l", "id").alias("right_id")).distinct()
     kept = decisions.select("left_id", "right_id", "decision").join(apart, ["left_id", "right_id"], "left_anti").unionByName(apart.withColumn("decision", F.lit("rejected")))
     return (
-        status.groupBy("id").agg(stronger("status", STATUSES).alias("status")),
+        status.groupBy("id").agg(stronger("status", IMPORT_STATUSES).alias("status")),
         states.groupBy(C("id").alias("series_id"), "number").agg(stronger("state", READING).alias("state")),
         kept,
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import text as T
 from kinfold.operators.components import connected_components
 from kinfold.operators.sets import set_overlap
+from kinfold.session import cut
 
 C = F.col
 
@@ -65,6 +66,7 @@ def external_conflicts(pairs: DataFrame, external: DataFrame) -> DataFrame:
 
 def duplicate_evidence(pairs: DataFrame, identities: DataFrame, children: DataFrame, external: DataFrame, signatures: DataFrame, least: int = 5, ratio: float = 0.9, distance: int = 8) -> DataFrame:
     """Evidence on pairs (a, b) of one provider, and whether they are the same work."""
+    pairs = cut(pairs)  # overlaps, ids and sides start from them
     side = lambda p: identities.select(C("id").alias(p), C("source").alias(f"{p}_source"), T.normalize_title(C("title")).alias(f"{p}_title"), T.title_tokens(C("title")).alias(f"{p}_tokens"), T.normalize_source_id(C("source_id")).alias(f"{p}_key"), T.canonical_url(C("url")).alias(f"{p}_url"))
     out = set_overlap(pairs, children).join(side("a"), "a").join(side("b"), "b")
     out = out.join(external_conflicts(pairs, external), ["a", "b"], "left")
@@ -153,18 +155,20 @@ def score_pairs(pairs: DataFrame, identities: DataFrame, aliases: DataFrame, chi
     ids = external.join(of_series, "identity_id").select(C("series_id").alias("identity_id"), "provider", "value")
     titles = identities.select(C("series_id").alias("id"), "title").unionByName(aliases.join(of_series, "identity_id").select(C("series_id").alias("id"), C("alias").alias("title")))
     last = kids.groupBy("identity_id").agg(F.max("number").alias("last"))
-    pairs = pairs.select("a", "b").distinct()
-    out = pairs.join(title_score(pairs, titles), ["a", "b"]).join(set_overlap(pairs, kids).select("a", "b", "jaccard"), ["a", "b"])
-    out = out.join(external_conflicts(pairs, ids), ["a", "b"], "left").join(best_cover_pair(pairs, identities, signatures), ["a", "b"], "left")
+    pairs = cut(pairs.select("a", "b").distinct())  # four kinds of evidence start from them
+    facts = last.select(C("identity_id").alias("id"), "last")
+    facts = facts.join(descriptions.select("id", "text"), "id", "full") if descriptions is not None else facts.withColumn("text", F.lit(""))
+    cover = best_cover_pair(pairs, identities, signatures)
+    parts = [
+        title_score(pairs, titles).select("a", "b", "title"), set_overlap(pairs, kids).select("a", "b", "jaccard"),
+        external_conflicts(pairs, ids).select("a", "b", "shared"), cover.select("a", "b", F.struct("cover", "state", "l", "r").alias("__cover")),
+    ]
+    together = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    out = together.groupBy("a", "b").agg(F.max("title").alias("title"), F.max("jaccard").alias("jaccard"), F.max("shared").alias("shared"), F.max("__cover").alias("__cover")).select("a", "b", "title", "jaccard", "shared", "__cover.*")
     for p in ("a", "b"):
-        out = out.join(last.select(C("identity_id").alias(p), C("last").alias(f"{p}_last")), p, "left")
+        out = out.join(facts.select(C("id").alias(p), C("last").alias(f"{p}_last"), C("text").alias(f"__{p}")), p, "left")
     out = out.withColumn("latest", latest_similarity(C("a_last"), C("b_last")))
-    out = out.withColumn("description", F.lit(0.0))
-    if descriptions is not None:
-        told = descriptions.select("id", "text")
-        for p in ("a", "b"):
-            out = out.join(told.select(C("id").alias(p), C("text").alias(f"__{p}")), p, "left")
-        out = out.withColumn("description", T.text_similarity(F.coalesce("__a", F.lit("")), F.coalesce("__b", F.lit(""))))
+    out = out.withColumn("description", F.lit(0.0) if descriptions is None else T.text_similarity(F.coalesce("__a", F.lit("")), F.coalesce("__b", F.lit(""))))
     match = F.coalesce(C("state") == "match", F.lit(False))
     score = combined_score(C("title"), F.coalesce("cover", F.lit(0.0)), C("description"), C("jaccard"), C("latest"), match)
     shared = F.coalesce(C("shared"), F.lit(0)) > 0
@@ -267,26 +271,30 @@ def hydrate(page: DataFrame, identities: DataFrame, columns: list[str]) -> DataF
 
 def knn_ratio_matches(pairs: DataFrame, descriptors: DataFrame, ratio: float = 0.78) -> DataFrame:
     """For pairs (a, b): descriptors of a (id, d: 64 bits, k: which of its own) whose nearest of b is clearly nearer
-    than the second. Distances are counted by value first, so that at most 65 numbers of a descriptor come together."""
-    each = pairs.select("a", "b").join(descriptors.select(C("id").alias("a"), "k", C("d").alias("x")), "a").join(descriptors.select(C("id").alias("b"), C("d").alias("y")), "b")
-    counts = each.groupBy("a", "b", "k", T.hamming64(C("x"), C("y")).alias("h")).agg(F.count("*").alias("n"))
-    n = counts.groupBy("a", "b", "k").agg(F.sort_array(F.collect_list(F.struct("h", "n"))).alias("n"))
-    first, second = F.get("n", 0), F.get("n", 1)
-    good = F.coalesce(first["h"] < ratio * F.when(first["n"] > 1, first["h"]).otherwise(second["h"]), F.lit(False))
-    return n.groupBy("a", "b").agg(F.count_if(good).alias("good"))
+    than the second. The descriptors of one picture, some hundred, are one array, so a pair is one row."""
+    packed = descriptors.groupBy("id").agg(F.collect_list("d").alias("d"))
+    each = pairs.select("a", "b").join(packed.select(C("id").alias("a"), C("d").alias("x")), "a").join(packed.select(C("id").alias("b"), C("d").alias("y")), "b")
+
+    def two(x: Column) -> Column:
+        """The least and the second least distance of x to y."""
+        start = F.struct(F.lit(65).alias("n"), F.lit(65).alias("m"))
+        closer = lambda s, h: F.struct(F.least(s["n"], h).alias("n"), F.least(s["m"], F.greatest(s["n"], h)).alias("m"))
+        return F.aggregate("y", start, lambda s, y: closer(s, F.bit_count(x.bitwiseXOR(y))))
+
+    good = F.size(F.filter(F.transform("x", two), lambda s: (s["m"] < 65) & (s["n"] < ratio * s["m"])))
+    return each.select("a", "b", good.cast("long").alias("good"))
 
 
 def match_external(snapshot: DataFrame, candidates: DataFrame) -> DataFrame:
     """Each snapshot row (id, hint, ext, folder, title) to the one candidate (cid, ext, folder, title) of the first
-    tier with exactly one: the hinted one if its title or external id agrees, external id, folder, title."""
-    s, c = snapshot, candidates
-    tiers = [
-        s.join(c, (s["hint"] == c["cid"]) & ((s["ext"] == c["ext"]) | (T.normalize_title(s["title"]) == T.normalize_title(c["title"])))),
-        s.join(c, s["ext"] == c["ext"]),
-        s.join(c, s["folder"] == c["folder"]),
-        s.join(c.withColumn("__t", T.normalize_title(c["title"])), T.normalize_title(s["title"]) == C("__t")),
-    ]
-    found = [t.groupBy(s["id"]).agg(F.count_distinct("cid").alias("n"), F.min("cid").alias("cid")).filter("n = 1").select("id", "cid", F.lit(i).alias("tier")) for i, t in enumerate(tiers)]
+    tier with exactly one: the hinted one if its title or external id agrees, external id, folder, title. Candidates are
+    counted by key before anything is joined, so a folder or title of many gives one row."""
+    s, c = snapshot.withColumn("t", T.normalize_title(C("title"))), candidates.withColumn("t", T.normalize_title(C("title")))
+    hinted = s.join(c.select(C("cid").alias("hint"), C("ext").alias("__ext"), C("t").alias("__t")), "hint").filter((C("ext") == C("__ext")) | (C("t") == C("__t")))
+    found = [hinted.select("id", C("hint").alias("cid"), F.lit(0).alias("tier")).distinct()]
+    for i, key in enumerate(("ext", "folder", "t")):
+        only = c.filter(C(key).isNotNull()).groupBy(key).agg(F.count_distinct("cid").alias("n"), F.min("cid").alias("cid")).filter("n = 1")
+        found.append(s.select("id", key).join(only, key).select("id", "cid", F.lit(i + 1).alias("tier")))
     best = reduce(DataFrame.unionByName, found).groupBy("id").agg(F.min_by(F.struct("cid", "tier"), "tier").alias("x")).select("id", "x.*")
     return s.select("id").join(best, "id", "left")
 
@@ -317,11 +325,17 @@ def first_per_pair(rows: DataFrame, pair: list[str], order: list[str]) -> DataFr
 
 def recovery_match(legacy: DataFrame, by_identity: DataFrame, by_title: DataFrame) -> DataFrame:
     """Legacy rows (id, key, title) to current series: all that share an identity (key, series_id), else those of the
-    normalised title (title, series_id); action by the number of matches."""
-    a = legacy.join(by_identity, "key").groupBy("id").agg(F.count_distinct("series_id").alias("n"), F.min("series_id").alias("series_id"))
-    titled = legacy.withColumn("t", T.normalize_title(C("title"))).join(by_title.select(T.normalize_title(C("title")).alias("t"), C("series_id").alias("sid")).distinct(), "t")
-    b = titled.groupBy("id").agg(F.count_distinct("sid").alias("tn"), F.min("sid").alias("tsid"))
+    normalised title (title, series_id); action by the number of matches. Series are counted by key before anything is joined:
+    whether there are none, one or more is all that counts."""
+    def matches(rows: DataFrame, series: DataFrame, key: str) -> DataFrame:
+        of = series.groupBy(key).agg(F.min("series_id").alias("lo"), F.max("series_id").alias("hi"))
+        found = rows.select("id", key).join(of, key).groupBy("id").agg(F.min("lo").alias("series_id"), F.max("hi").alias("hi"))
+        return found.select("id", "series_id", (C("series_id") < C("hi")).alias("more"))
+
+    titled = legacy.withColumn("t", T.normalize_title(C("title")))
+    a = matches(legacy, by_identity, "key").withColumnRenamed("more", "a_more")
+    b = matches(titled, by_title.withColumn("t", T.normalize_title(C("title"))), "t").select("id", C("series_id").alias("other"), C("more").alias("b_more"))
     out = legacy.select("id").join(a, "id", "left").join(b, "id", "left")
-    n = F.coalesce("n", "tn", F.lit(0))
-    action = F.when(n == 0, "create_track").when(n > 1, "review_merge").when(C("n").isNotNull(), "verified").otherwise("track")
-    return out.select("id", F.coalesce("series_id", "tsid").alias("series_id"), action.alias("action"))
+    to, more = F.coalesce("series_id", "other"), F.when(C("series_id").isNotNull(), C("a_more")).otherwise(C("b_more"))
+    action = F.when(to.isNull(), "create_track").when(more, "review_merge").when(C("series_id").isNotNull(), "verified").otherwise("track")
+    return out.select("id", to.alias("series_id"), action.alias("action"))

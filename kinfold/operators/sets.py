@@ -16,12 +16,13 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def portable_selection(series: DataFrame, artifacts: DataFrame, identities: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Series that are tracked, have an active artifact, have several identities, or are touched by a rejected decision."""
+    """Series that are tracked, have an active artifact, have several identities, or have
+    one that a rejected decision is about."""
     parts = [
         series.filter("status <> 'untracked'").select("id"),
         artifacts.filter("state = 'active'").select(C("series_id").alias("id")),
         identities.groupBy("series_id").agg(F.count("*").alias("n")).filter("n > 1").select(C("series_id").alias("id")),
-        decisions.filter("decision = 'rejected'").select(F.explode(F.array("left_id", "right_id")).alias("id")),
+        decisions.filter("decision = 'rejected'").select(F.explode(F.array("left_id", "right_id")).alias("__i")).join(identities.select(C("id").alias("__i"), C("series_id").alias("id")), "__i").select("id"),
     ]
     return reduce(DataFrame.union, parts).distinct()
 

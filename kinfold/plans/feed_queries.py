@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from kinfold.functions.text import is_page_image
 from kinfold.operators import feeds as N
 from kinfold.operators import sets as U
 from kinfold.plans.build import Queries
 from kinfold.plans.fixtures import oracle, view
 from kinfold.session import fresh_path
 from kinfold.sources import files as S
+from kinfold.sources import images as IMG
+from kinfold.sources.snapshots import SnapshotTable
 from kinfold.streaming import feeds as T
+from kinfold.streaming import runs as R
 
 Q = Queries()
 C = F.col
@@ -26,6 +31,50 @@ Q.add("n08_extract_links", lambda v: N.extract_links(v("pages")))
 # An image element, one that is no page, and addresses in a script: a whole one, an escaped one, and a path of this site.
 _IMAGES = """<img src='https://i.test/p{0}.webp'><img src='/logo.png'><script>var x = ["https:\\/\\/i.test\\/s{0}.jpg", "/r/a{0}.png", "https://i.test/p{0}.webp"];</script>"""
 Q.add("n09_extract_image_urls", lambda v: N.extract_image_urls(v("pages").withColumn("html", F.concat("html", F.replace(F.lit(_IMAGES), F.lit("{0}"), C("page_id").cast("string"))))).select("page_id", "url"), "SELECT page_id, unnest(['https://i.test/p' || page_id || '.webp', 'https://i.test/s' || page_id || '.jpg', regexp_extract(url, '^(https?://[^/]+)', 1) || '/r/a' || page_id || '.png']) AS url FROM pages")
+
+
+def _by_sql(v, pages, text):
+    """SQL over pages with the table functions."""
+    spark = v("region").sparkSession
+    N.register_page_functions(spark)
+    return spark.sql(text, pages=pages)
+
+
+Q.add("d05_html_links", lambda v: _by_sql(v, v("pages"), f"SELECT p.page_id, l.position, l.href, l.text FROM {{pages}} p, LATERAL html_links(p.html) l WHERE lower(l.text) NOT IN ({', '.join(map(repr, N.HELPERS))})"))
+Q.add("d05_html_images", lambda v: _by_sql(v, v("pages").withColumn("html", F.concat("html", F.replace(F.lit(_IMAGES), F.lit("{0}"), C("page_id").cast("string")))), "SELECT p.page_id, i.url FROM {pages} p, LATERAL html_images(p.html, p.url) i").filter(is_page_image(C("url"))).distinct(), "SELECT page_id, unnest(['https://i.test/p' || page_id || '.webp', 'https://i.test/s' || page_id || '.jpg', regexp_extract(url, '^(https?://[^/]+)', 1) || '/r/a' || page_id || '.png']) AS url FROM pages")
+
+
+def _bitmap(values):
+    """A bitmap file of 13 x 11 pixels, colours from the signs and sizes of 64 numbers."""
+    at = (np.arange(11)[:, None] * 13 + np.arange(13)) % len(values)
+    x = np.clip(np.round((np.asarray(values, np.float64) + 1) * 127), 0, 255).astype(np.uint8)
+    rgb = np.stack([x[at], x[(at * 7 + 3) % len(values)], x[(at * 5 + 1) % len(values)]], axis=2)
+    return IMG.bitmap_file(rgb)
+
+
+def _covers(v):
+    """Vectors as pictures: written as bitmap files, read by the JVM, hashed."""
+    spark = v("region").sparkSession
+    folder = fresh_path(spark, "pictures")
+    rows = v("embeddings").select("vec_id", C("embedding").cast("array<double>").alias("x"))
+
+    def write(batches):
+        from pyarrow.fs import FileSystem
+
+        fs, base = FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        for pdf in batches:
+            for i, x in zip(pdf["vec_id"], pdf["x"]):
+                with fs.open_output_stream(f"{base}/{i}.bmp") as out:
+                    out.write(_bitmap(x))
+            yield pdf[["vec_id"]]
+
+    rows.mapInPandas(write, "vec_id bigint").write.parquet(fresh_path(spark, "pictures-written"))
+    hashes = IMG.cover_hashes(IMG.read_images(spark, folder))
+    return hashes.select(F.regexp_extract("origin", r"(\d+)\.bmp$", 1).cast("bigint").alias("vec_id"), *(C("hashes")[k].alias(f"h{k}") for k in range(len(IMG.MARGINS))))
+
+
+Q.add("f25_cover_hashes", _covers)
 Q.add("n10_page_flags", lambda v: N.page_flags(v("pages")))
 Q.add("n11_page_count_hint", lambda v: N.page_count_hint(v("pages")))
 Q.add("n12_observation_version", lambda v: v("identity").selectExpr("id", "IF(id % 2 = 0, '', '7') AS latest", "array('3', CAST(size AS STRING), 'x') AS recent").select("id", N.observation_version(C("latest"), C("recent")).alias("version")), "SELECT id, CASE WHEN id % 2 = 1 THEN '7' ELSE greatest(3, size)::VARCHAR END AS version FROM {identity}")
@@ -73,7 +122,7 @@ def _export(v):
     return out.select("id", "title", "status", none("aliases", "array<string>"), none("sources", "array<struct<source:string,source_id:string,url:string>>"), none("reading", "array<struct<number:bigint,state:string>>"))
 
 
-_SERIES = """k AS (SELECT id FROM {series} WHERE status <> 'untracked' UNION SELECT series_id FROM {artifact} WHERE state = 'active' UNION SELECT series_id FROM {identity} GROUP BY series_id HAVING count(*) > 1 UNION SELECT unnest([left_id, right_id]) FROM {decision} WHERE decision = 'rejected'),
+_SERIES = """k AS (SELECT id FROM {series} WHERE status <> 'untracked' UNION SELECT series_id FROM {artifact} WHERE state = 'active' UNION SELECT series_id FROM {identity} GROUP BY series_id HAVING count(*) > 1 UNION SELECT i.series_id FROM {decision} JOIN {identity} i ON i.id IN (left_id, right_id) WHERE decision = 'rejected'),
     x AS (SELECT s.id, title, CASE WHEN status = 'untracked' AND s.id IN (SELECT series_id FROM {artifact} WHERE state = 'active') THEN 'interested' ELSE status END AS status FROM {series} s JOIN k USING (id)),
     src AS (SELECT series_id AS id, string_agg('{"source":"' || source || '","source_id":"' || source_id || '","url":"' || url || '"}', ',' ORDER BY source, source_id, url) AS j FROM {identity} GROUP BY 1), ali AS (SELECT series_id AS id, string_agg(DISTINCT '"' || alias || '"', ',' ORDER BY '"' || alias || '"') AS j FROM {alias} JOIN {identity} i ON i.id = identity_id GROUP BY 1),
     rd AS (SELECT series_id AS id, string_agg('{"number":' || release_id || ',"state":"' || state || '"}', ',' ORDER BY release_id) AS j FROM {reading} GROUP BY 1)"""
@@ -106,9 +155,6 @@ Q.queries["t01_status_counts"] = lambda spark, folder: T.run(T.status_counts(_sa
 Q.oracles["t01_status_counts"] = "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1"
 Q.queries["t03_latency_windows"] = lambda spark, folder: T.run(T.latency_windows(_samples(spark, folder)), "complete", "latency")
 Q.oracles["t03_latency_windows"] = oracle("SELECT date_trunc('hour', ts) AS hour, 's' || (user_id % 4) AS source, count(*) AS n, count(*) FILTER (event_type = 'error') AS failures, round(avg(floor(value)), 6) AS mean FROM events GROUP BY 1, 2")
-Q.queries["t04_circuit_breaker"] = lambda spark, folder: T.circuit_breaker(_samples(spark, folder).select("id", "source", "at", "failed")).drop("batch")
-
-
 def _enriched(spark, folder):
     jobs = spark.read.parquet(f"{folder}/customer.parquet").select(C("c_custkey").alias("job_id"), C("c_name").alias("job"))
     events = _samples(spark, folder).select("id", "kind", (C("id") % 2000).alias("job_id"))
@@ -119,23 +165,113 @@ Q.queries["t01_enriched_events"] = _enriched
 Q.oracles["t01_enriched_events"] = "SELECT event_id AS id, event_type AS kind, c_name AS job FROM events LEFT JOIN customer ON c_custkey = event_id % 2000"
 
 
-def _changes(spark, folder):
-    listed = T.stream_table(spark, folder, "events").select(C("user_id").alias("id"), C("event_id").alias("version"))
-    known = spark.read.parquet(f"{folder}/events.parquet").filter("event_id % 3 = 0").groupBy(C("user_id").alias("id")).agg(F.max(C("event_id") * (C("user_id") % 2 * 2)).alias("version"))
-    return T.listing_changes(listed, known)[0]
+def _events(spark, folder):
+    """The event log as a table."""
+    e = spark.read.parquet(f"{folder}/events.parquet")
+    return e.select(C("event_id").alias("id"), C("user_id").alias("user"), F.concat(F.lit("s"), (C("user_id") % 4).cast("string")).alias("source"), C("ts").cast("timestamp").alias("at"), (C("event_type") == "error").alias("failed"), C("event_type").alias("kind"))
+
+
+#: The log arrives in three parts, each a run of its own that goes on where the one before stopped.
+_PARTS = ("at < TIMESTAMP '2024-01-08'", "at >= TIMESTAMP '2024-01-08' AND at < TIMESTAMP '2024-01-21'", "at >= TIMESTAMP '2024-01-21' OR at IS NULL")
+
+
+def _in_runs(rows, step, parts=_PARTS):
+    spark = rows.sparkSession
+    folder, out = fresh_path(spark, "parts"), None
+    for p in parts:
+        rows.filter(p).write.mode("append").parquet(folder)
+        out = step(spark.readStream.schema(rows.schema).parquet(folder))
+    return out
+
+
+def _state(spark, schema, keys, **more):
+    return SnapshotTable(spark, fresh_path(spark, "state"), schema, keys, **more), fresh_path(spark, "stream")
+
 
+def _resumed(spark, folder):
+    home, rows = fresh_path(spark, "stream"), _events(spark, folder).select("id", "kind", "at", (C("id") % 2000).alias("job_id"))
+    jobs = spark.read.parquet(f"{folder}/customer.parquet").select(C("c_custkey").alias("job_id"), C("c_name").alias("job"))
+    return _in_runs(rows, lambda stream: T.follow_events(stream, rows, jobs, home, after=3, last="10")).select("id", "kind", "job")
+
+
+Q.queries["t01_resumed_events"] = _resumed
+Q.oracles["t01_resumed_events"] = "SELECT event_id AS id, event_type AS kind, c_name AS job FROM events LEFT JOIN customer ON c_custkey = event_id % 2000 WHERE event_id > 10"
 
-Q.queries["t02_listing_changes"] = _changes
-Q.oracles["t02_listing_changes"] = "WITH a AS (SELECT user_id AS id, event_id AS version FROM events UNION ALL SELECT user_id, event_id * (user_id % 2 * 2) FROM events WHERE event_id % 3 = 0) SELECT id, max(version) AS version FROM a GROUP BY id"
+
+def _breaker(spark, folder):
+    table, home = _state(spark, T.BREAKER, ["source"])
+    return _in_runs(_events(spark, folder).select("id", "source", "at", "failed"), lambda stream: T.circuit_breaker(stream, table, home)).read()
 
 
 def _polls(spark, folder):
-    e = T.stream_table(spark, folder, "events")
-    outcome = F.when(C("event_type") == "error", "failure").when(C("event_type") == "purchase", "change").otherwise("none")
-    return T.poll_cadence(e.select(F.concat(F.lit("s"), (C("user_id") % 4).cast("string")).alias("source"), C("event_id").alias("id"), outcome.alias("outcome"))).drop("batch")
+    table, home = _state(spark, T.CADENCE, ["source"])
+    outcome = F.when(C("kind") == "error", "failure").when(C("kind") == "purchase", "change").otherwise("none")
+    return _in_runs(_events(spark, folder).select("id", "source", "at", outcome.alias("outcome")), lambda stream: T.poll_cadence(stream, table, home)).read()
 
 
+Q.queries["t04_circuit_breaker"] = _breaker
 Q.queries["t05_poll_cadence"] = _polls
-# Which row of a key comes first is up to the stream; that there is one of each is not.
-Q.queries["t09_dedupe_active"] = lambda spark, folder: T.run(T.dedupe_active(_samples(spark, folder).select("source", "kind", "at"), ["source", "kind"], "3650 days"), "append", "dedupe").select("source", "kind")
-Q.oracles["t09_dedupe_active"] = "SELECT DISTINCT 's' || (user_id % 4) AS source, event_type AS kind FROM events"
+
+_SLICES = [f"id % 4 = {k}" for k in range(4)]
+
+
+def _listed(spark, folder):
+    """Listings in four parts; users 3, 10, 17, ... are alternates of users 0, 7, 14, ... unless known themselves."""
+    table, home = _state(spark, "id bigint, version bigint, detailed_at timestamp", ["id"], compact_every=2)
+    rows = _events(spark, folder)
+    known = rows.filter("user % 5 = 0").select(C("user").alias("id"), F.lit(100).cast("bigint").alias("version"), F.expr("IF(user % 2 = 0, TIMESTAMP '2024-01-10 00:00:00', NULL)").alias("detailed_at")).distinct()
+    table.commit(known, -1)
+    alternates = rows.filter("user % 7 = 3").select(C("user").alias("id"), (C("user") - 3).alias("primary")).distinct()
+    changes = _in_runs(rows, lambda stream: T.listing_changes(stream.select(C("user").alias("id"), (C("id") % 1000).alias("version"), "at"), table, home, alternates), _SLICES)
+    return table.read(), changes
+
+
+_LISTED = "e AS (SELECT event_id % 4 AS k, user_id AS u, event_id % 1000 AS version, ts AS when_at FROM events), s0 AS (SELECT DISTINCT user_id AS id, 100::BIGINT AS version, CASE WHEN user_id % 2 = 0 THEN TIMESTAMP '2024-01-10 00:00:00' END AS detailed_at FROM events WHERE user_id % 5 = 0)" + "".join(
+    f""", m{k} AS (SELECT CASE WHEN s.id IS NULL AND u % 7 = 3 THEN u - 3 ELSE u END AS id, e.version, when_at FROM e LEFT JOIN s{k} s ON s.id = u WHERE k = {k}),
+    l{k} AS (SELECT * FROM m{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC, when_at DESC) = 1),
+    c{k} AS (SELECT * FROM (SELECT l.id, greatest(l.version, s.version) AS version, when_at, CASE WHEN s.id IS NULL THEN 'new' WHEN l.version > s.version THEN 'advanced' WHEN detailed_at IS NULL OR detailed_at < when_at - INTERVAL 7 DAY THEN 'stale' END AS reason FROM l{k} l LEFT JOIN s{k} s USING (id)) WHERE reason IS NOT NULL),
+    s{k + 1} AS (SELECT * FROM s{k} WHERE id NOT IN (SELECT id FROM c{k}) UNION ALL SELECT id, version, when_at FROM c{k})"""
+    for k in range(4)
+)
+Q.queries["t02_listing_changes"] = lambda spark, folder: _listed(spark, folder)[0]
+Q.oracles["t02_listing_changes"] = f"WITH {_LISTED} FROM s4"
+Q.queries["t02_change_rows"] = lambda spark, folder: _listed(spark, folder)[1].select("id", "version", "at", "reason")
+Q.oracles["t02_change_rows"] = f"WITH {_LISTED} " + " UNION ALL ".join(f'SELECT id, version, when_at AS "at", reason FROM c{k}' for k in range(4))
+
+
+def _active(spark, folder):
+    """Three events of each piece of work: it waits, runs, and ends or tries again."""
+    table, home = _state(spark, "kind string, dedupe_key string, id bigint, seq bigint", ["kind", "dedupe_key"])
+    rows = _events(spark, folder).selectExpr("at", "CAST(id DIV 3 % 4 AS STRING) AS kind", "CAST(id DIV 3 % 211 AS STRING) AS dedupe_key", "id DIV 3 AS id", "id AS seq", "CASE WHEN id % 3 = 0 THEN 'queued' WHEN id % 3 = 1 THEN 'leased' WHEN id DIV 3 % 6 = 0 THEN 'retrying' ELSE 'succeeded' END AS status")
+    _in_runs(rows, lambda stream: T.dedupe_active(stream, table, home))
+    return table.read()
+
+
+Q.queries["t09_dedupe_active"] = _active
+Q.oracles["t09_dedupe_active"] = """WITH e AS (SELECT (event_id // 3 % 4)::VARCHAR AS kind, (event_id // 3 % 211)::VARCHAR AS dedupe_key, event_id // 3 AS id, event_id AS seq, event_id % 3 < 2 OR event_id // 3 % 6 = 0 AS active FROM events),
+    a AS (SELECT kind, dedupe_key, arg_max(id, seq) AS id, max(seq) AS seq FROM e WHERE active GROUP BY ALL) SELECT a.* FROM a WHERE NOT EXISTS (SELECT 1 FROM e WHERE NOT active AND e.id = a.id AND e.seq > a.seq)"""
+
+
+def _runs(spark, folder):
+    """Requests five a second, with limit signals now and then."""
+    home, e = fresh_path(spark, "runs"), _events(spark, folder)
+    rows = e.select("source", "id", F.timestamp_micros(F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + C("id") * 200_000).alias("at"), "failed", (C("failed") & (C("user") % 25 == 0)).alias("limited"), (C("user") % 900).alias("retry_after"))
+    n = rows.count()
+    return _in_runs(rows, lambda stream: R.closed_runs(stream, home), (f"id < {n // 3}", f"id >= {n // 3} AND id < {n // 2}", f"id >= {n // 2}"))
+
+
+Q.queries["t07_closed_runs"] = lambda spark, folder: _runs(spark, folder).drop("batch")
+
+
+def _versions(spark, folder):
+    """The latest release of a series by slices of releases, as versions; slice 1 comes twice, and some series go at the end."""
+    table = SnapshotTable(spark, fresh_path(spark, "versions"), "series_id bigint, release_id bigint", ["series_id"], compact_every=2)
+    rows = view(spark, folder, "release")
+    for k in (0, 1, 1, 2, 3):
+        gone = rows.filter("series_id % 17 = 0").select("series_id").distinct() if k == 3 else None
+        table.commit(rows.filter((C("id") % 4 == k) & ~((C("series_id") % 17 == 0) & F.lit(k == 3))).groupBy("series_id").agg(F.max("id").alias("release_id")), k, gone)
+    return table.read()
+
+
+Q.queries["k06_versions"] = _versions
+Q.oracles["k06_versions"] = oracle("WITH t AS (SELECT series_id, id % 4 AS k, max(id) AS id FROM {release} WHERE series_id % 17 <> 0 GROUP BY ALL) SELECT series_id, arg_max(id, k) AS release_id FROM t GROUP BY 1")

@@ -174,7 +174,7 @@ def _applied(v, k):
 
 
 _MINE = f"{_DOCUMENT}, hit AS (SELECT key, min(id - id % 2) AS id FROM s WHERE NOT fresh GROUP BY key)"
-_RANK = "list_position(['untracked', 'interested', 'reading', 'caught_up', 'paused'], status)"
+_RANK = "list_position(['untracked', 'paused', 'caught_up', 'interested', 'reading'], status)"
 Q.add(
     "x03_import_statuses", lambda v: _applied(v, 0),
     f"WITH {_MINE}, a AS (SELECT DISTINCT id - id % 2 AS id, CASE (id - id % 2) % 5 WHEN 0 THEN 'reading' WHEN 1 THEN 'paused' ELSE 'untracked' END AS status FROM {{identity}} UNION ALL SELECT id, CASE key % 3 WHEN 0 THEN 'interested' WHEN 1 THEN 'paused' ELSE 'untracked' END FROM hit) SELECT id, arg_max(status, {_RANK}) AS status FROM a GROUP BY id",
@@ -195,12 +195,20 @@ def _waiting(v):
 
 
 _RETRY = "TIMESTAMP '2024-02-01 00:00:00'"
+
+
+def _rerouted(v):
+    return P.reroute_cooling(_waiting(v), v("release"), v("source_state").filter("cooldown_until IS NOT NULL").selectExpr("source", f"{_RETRY} AS retry_after"), ["series_id", "number"], mid())
+
+
+_REROUTED = f"""j AS (SELECT r.id + 1 AS id, r.id AS release_id, series_id, number, source, r.id % 5 = 0 AS preferred, CASE WHEN r.id % 3 = 0 THEN ['alpha'] ELSE [] END AS attempted FROM {{release}} r WHERE r.id % 2 = 0 AND source IN ('beta', 'gamma')),
+    o AS (SELECT j.id, r.id AS other, r.source, row_number() OVER (PARTITION BY j.id ORDER BY {_PREF.replace('source', 'r.source')} DESC, quality DESC, r.id DESC) AS rn FROM j JOIN {{release}} r ON r.series_id = j.series_id AND r.number = j.number AND available AND NOT list_contains(attempted, r.source) AND r.source <> j.source WHERE NOT preferred)"""
 Q.add(
-    "p09_reroute_cooling", lambda v: P.reroute_cooling(_waiting(v), v("release"), v("source_state").filter("cooldown_until IS NOT NULL").selectExpr("source", f"{_RETRY} AS retry_after"), ["series_id", "number"], mid()),
-    f"""WITH j AS (SELECT r.id + 1 AS id, r.id AS release_id, series_id, number, source, r.id % 5 = 0 AS preferred, CASE WHEN r.id % 3 = 0 THEN ['alpha', source] ELSE [source] END AS tried FROM {{release}} r WHERE r.id % 2 = 0 AND source IN ('beta', 'gamma')),
-    o AS (SELECT j.id, r.id AS other, r.source, row_number() OVER (PARTITION BY j.id ORDER BY {_PREF.replace('source', 'r.source')} DESC, quality DESC, r.id DESC) AS rn FROM j JOIN {{release}} r ON r.series_id = j.series_id AND r.number = j.number AND available AND NOT list_contains(tried, r.source) WHERE NOT preferred)
-    SELECT j.id, CASE WHEN other IS NULL THEN 'wait' ELSE 'rerouted' END AS action, coalesce(other, release_id) AS release_id, coalesce(o.source, j.source) AS source, CASE WHEN other IS NULL THEN {_RETRY} ELSE TIMESTAMP '2024-01-15' END AS due_at FROM j LEFT JOIN o ON o.id = j.id AND rn = 1""",
+    "p09_reroute_cooling", lambda v: _rerouted(v)[0].withColumn("attempted", F.array_join("attempted", ",")),
+    f"""WITH {_REROUTED} SELECT j.id, CASE WHEN other IS NULL THEN 'wait' ELSE 'rerouted' END AS action, coalesce(other, release_id) AS release_id, coalesce(o.source, j.source) AS source, CASE WHEN other IS NULL THEN {_RETRY} ELSE TIMESTAMP '2024-01-15' END AS due_at,
+    array_to_string(CASE WHEN other IS NULL THEN attempted ELSE list_sort(list_concat(attempted, [j.source])) END, ',') AS attempted FROM j LEFT JOIN o ON o.id = j.id AND rn = 1""",
 )
+Q.add("p09_attempts", lambda v: _rerouted(v)[1], f"WITH {_REROUTED} SELECT series_id, number, other AS release_id, j.id AS job_id, o.source, 'fallback_queued' AS outcome, {_RETRY} AS retry_after, j.source AS bypassed_source, release_id AS bypassed_release_id FROM j JOIN o ON o.id = j.id AND rn = 1")
 _VERSION = "CASE id % 6 WHEN 0 THEN '' WHEN 1 THEN '2' WHEN 2 THEN '3' WHEN 3 THEN 'x' WHEN 4 THEN '9' ELSE '1' END"
 Q.add(
     "p14_audit_payload_versions", lambda v: P.audit_payload_versions(v("job").selectExpr("id", "status", f"map('version', {_VERSION.replace('id %', '(id div 6) %')}, 'source_id', IF(id % 11 = 0, '', kind)) AS payload", "group_key", "IF(id % 7 = 0, '', 'w') AS workflow_key"), ("source_id",)),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.operators import aggregates as A
@@ -9,7 +12,10 @@ from kinfold.operators import pages as L
 from kinfold.operators import relational as R
 from kinfold.operators import sets as U
 from kinfold.operators import windows as W
+from kinfold.operators.search import TrigramIndex, search_indexed, searched_texts
 from kinfold.plans.build import Queries
+from kinfold.plans.scalar_queries import _norm
+from kinfold.session import fresh_path
 
 Q = Queries()
 C = F.col
@@ -42,6 +48,21 @@ def _aliases(v):
 _ALIASES = "SELECT i.series_id, a.alias FROM {alias} a JOIN {identity} i ON i.id = a.identity_id"
 
 Q.add("r01_search", lambda v: R.search(_series(v), _aliases(v), v("identity"), "red%GE", ["alpha", "gamma"]), f"WITH s AS ({_SERIES}), a AS ({_ALIASES}) SELECT * FROM s WHERE (title ILIKE '%red%GE%' OR id IN (SELECT series_id FROM a WHERE alias ILIKE '%red%GE%')) AND id IN (SELECT series_id FROM {{identity}} WHERE source IN ('alpha', 'gamma'))")
+
+
+def _index(v):
+    described = _series(v).withColumn("description", F.concat(F.lit("about "), F.reverse("title")))
+    return described, TrigramIndex(v("region").sparkSession, fresh_path(v("region").sparkSession, "search")).build(searched_texts(described, _aliases(v)))
+
+
+def _found(v, terms, sources):
+    """Series found for each term over one index."""
+    series, index = _index(v)
+    return reduce(DataFrame.unionByName, (search_indexed(series, v("identity"), index, t, sources).select("id", "title").withColumn("term", F.lit(t)) for t in terms))
+
+
+_TERMS = [" red ", "e%GE", "ge_r", "oo", "zzz", "a_e", "uobA"]
+Q.add("r01_search_indexed", lambda v: _found(v, _TERMS, ["alpha", "gamma"]), f"WITH s AS ({_SERIES}), a AS ({_ALIASES}) SELECT s.id, title, term FROM s, (SELECT unnest({_TERMS}) AS term) WHERE (title ILIKE '%' || trim(term) || '%' OR {_norm('title')} ILIKE '%' || trim(term) || '%' OR 'about ' || reverse(title) ILIKE '%' || trim(term) || '%' OR id IN (SELECT series_id FROM a WHERE alias ILIKE '%' || trim(term) || '%')) AND id IN (SELECT series_id FROM {{identity}} WHERE source IN ('alpha', 'gamma'))")
 Q.add("r02_latest_unresolved_failures", lambda v: R.latest_unresolved_failures(v("job")).select("id", "kind", "dedupe_key"), "SELECT id, kind, dedupe_key FROM {job} j WHERE status = 'failed' AND NOT EXISTS (SELECT 1 FROM {job} k WHERE k.kind = j.kind AND k.dedupe_key = j.dedupe_key AND k.id > j.id)")
 Q.add("r03_merge_blocking_work", lambda v: R.merge_blocking_work(v("job"), ["click", "view"], "$.k", "7").select("id", "status"), f"SELECT id, status FROM {{job}} WHERE status IN {_ACTIVE} AND kind IN ('click', 'view') AND coalesce(json_extract_string(payload, '$.k'), '') <> '7'")
 _BLOCKED = "SELECT source FROM {source_state} WHERE NOT enabled OR cooldown_until > TIMESTAMP '2024-01-15'"
@@ -139,6 +160,6 @@ Q.add("s09_tail_events", lambda v: L.tail_events(v("job"), 500, 100).select("id"
 Q.add("s01_read_table", lambda v: v("lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.min("l_shipdate").alias("first")), "SELECT l_returnflag, l_linestatus, count(*) AS n, min(l_shipdate) AS first FROM lineitem GROUP BY ALL")
 
 Q.add("u01_table_counts", lambda v: U.table_counts({"series": v("series"), "release": v("release"), "active": v("artifact").filter("state = 'active'")}), "SELECT 'series' AS name, count(*) AS n FROM {series} UNION ALL SELECT 'release', count(*) FROM {release} UNION ALL SELECT 'active', count(*) FROM {artifact} WHERE state = 'active'")
-Q.add("u02_portable_selection", lambda v: U.portable_selection(v("series"), v("artifact"), v("identity"), v("decision")), "SELECT id FROM {series} WHERE status <> 'untracked' UNION SELECT series_id FROM {artifact} WHERE state = 'active' UNION SELECT series_id FROM {identity} GROUP BY series_id HAVING count(*) > 1 UNION SELECT unnest([left_id, right_id]) FROM {decision} WHERE decision = 'rejected'")
+Q.add("u02_portable_selection", lambda v: U.portable_selection(v("series"), v("artifact"), v("identity"), v("decision")), "SELECT id FROM {series} WHERE status <> 'untracked' UNION SELECT series_id FROM {artifact} WHERE state = 'active' UNION SELECT series_id FROM {identity} GROUP BY series_id HAVING count(*) > 1 UNION SELECT i.series_id FROM {decision} JOIN {identity} i ON i.id IN (left_id, right_id) WHERE decision = 'rejected'")
 Q.add("u03_orphan_paths", lambda v: U.orphan_paths(v("artifact").select("checksum"), v("blob"), "checksum"), "SELECT checksum FROM {artifact} EXCEPT SELECT checksum FROM {blob}")
 Q.add("u04_set_overlap", lambda v: U.set_overlap(v("decision").selectExpr("left_id AS a", "right_id AS b").distinct(), v("chapter")), "WITH p AS (SELECT DISTINCT left_id AS a, right_id AS b FROM {decision}), n AS (SELECT identity_id AS k, count(*) AS n FROM {chapter} GROUP BY 1), c AS (SELECT a, b, count(*) AS common FROM p JOIN {chapter} x ON x.identity_id = a JOIN {chapter} y ON y.identity_id = b AND x.number = y.number GROUP BY a, b), t AS (SELECT p.a, p.b, coalesce(common, 0) AS common, coalesce(x.n, 0) AS na, coalesce(y.n, 0) AS nb FROM p LEFT JOIN c USING (a, b) LEFT JOIN n x ON x.k = p.a LEFT JOIN n y ON y.k = p.b) SELECT *, least(na, nb) AS smaller, CASE WHEN least(na, nb) = 0 THEN 0.0 ELSE common / least(na, nb) END::DOUBLE AS ratio, CASE WHEN na + nb - common = 0 THEN 0.0 ELSE common / (na + nb - common) END::DOUBLE AS jaccard FROM t")

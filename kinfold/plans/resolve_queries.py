@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kinfold.operators import blocking as B
 from kinfold.operators import resolve as E
 from kinfold.operators.components import connected_components
 from kinfold.plans.build import Queries
@@ -36,7 +37,7 @@ _OVER = "n AS (SELECT identity_id AS i, count(*) AS n FROM {chapter} GROUP BY 1)
 Q.add(
     "e07_duplicate_evidence",
     lambda v: E.duplicate_evidence(E.block_exact_title(v("identity")).union(_pairs(v)).distinct(), v("identity"), v("chapter"), v("external_id"), v("signature")),
-    f"""WITH d AS (SELECT *, {_norm('title')} AS t, {_KEY} AS k, {_URL} AS u, {_TOK} AS toks FROM {{identity}}),
+    _EVIDENCE := f"""WITH d AS (SELECT *, {_norm('title')} AS t, {_KEY} AS k, {_URL} AS u, {_TOK} AS toks FROM {{identity}}),
     p AS (SELECT x.id AS a, y.id AS b FROM d x JOIN d y ON x.source = y.source AND x.t = y.t AND x.id < y.id UNION {_P}), {_OVER},
     e AS (SELECT a, b, bool_or(x.value <> y.value) AS bad FROM p JOIN {{external_id}} x ON x.identity_id = a JOIN {{external_id}} y ON y.identity_id = b AND x.provider = y.provider GROUP BY a, b),
     r AS (SELECT p.a, p.b, coalesce(common, 0) AS common, least(coalesce(na.n, 0), coalesce(nb.n, 0)) AS smaller, x.source = y.source AND (x.k = y.k OR x.u = y.u) AS identity_equivalent, x.t = y.t AS title_agrees,
@@ -117,6 +118,27 @@ _CHOSEN = "SELECT left_id AS a, right_id AS b FROM {decision} WHERE id % 2 = 0"
 Q.add("e33_batch_of_components", lambda v: E.batch_preview(v("decision").select("id", C("left_id").alias("lo"), C("right_id").alias("hi")), v("decision").selectExpr("id", "IF(id % 5 = 0, array('x'), array()) AS blockers"), v("decision").limit(0), v("decision").filter("id % 2 = 0")))
 Q.oracles["e33_batch_of_components"] = oracle(f"WITH {_CC.replace('{edges}', _CHOSEN)}, t AS (SELECT id, id % 5 = 0 AS bad, root FROM {{decision}} JOIN cc ON node = left_id WHERE id % 2 = 0), g AS (SELECT root, bool_or(bad) AS bad FROM t GROUP BY root) SELECT count(*) AS selected, count(*) FILTER (NOT g.bad) AS eligible, count(*) FILTER (g.bad) AS blocked FROM t JOIN g USING (root)").replace("WITH ", "WITH RECURSIVE ", 1)
 
-# Names of the first round for queries over whole tables: they are the same queries.
-for _all, _one in {"e01_exact_title_all": "e01_block_exact_title", "e02_identity_key_all": "e02_block_identity_key", "e04_title_or_alias_all": "e04_block_title_or_alias", "e07_evidence_all": "e07_duplicate_evidence", "e14_ratio_matches_all": "e14_knn_ratio_matches", "e31_recovery_all": "e31_recovery_match"}.items():
-    Q.queries[_all], Q.oracles[_all] = Q.queries[_one], Q.oracles[_one]
+# Pairs by classes, expanded: the rows of the pairs made one by one.
+Q.add("e01_exact_title_all", lambda v: B.expand(B.title_classes(v("identity"))))
+Q.add("e02_identity_key_all", lambda v: B.expand(B.key_classes(v("identity"))))
+Q.oracles["e01_exact_title_all"], Q.oracles["e02_identity_key_all"] = Q.oracles["e01_block_exact_title"], Q.oracles["e02_block_identity_key"]
+
+
+def _title_evidence(v):
+    """Evidence on identities of one title, by profile: (pairs of profiles, members, evidence)."""
+    pairs, members = B.class_pairs(B.title_classes(v("identity")), B.evidence_profiles(v("identity"), v("chapter"), v("external_id"), v("signature")))
+    return pairs, members, E.duplicate_evidence(pairs.select("a", "b").distinct(), v("identity"), v("chapter"), v("external_id"), v("signature"))
+
+
+Q.add("e07_evidence_of_classes", lambda v: B.expand_evidence(*_title_evidence(v)))
+Q.oracles["e07_evidence_of_classes"] = oracle(_EVIDENCE.replace(f" UNION {_P}", ""))
+# Every identity four times over: profiles are shared, and rows stay as many as the pairs of profiles.
+Q.add(
+    "e07_profile_pairs", lambda v: (lambda c: B.class_pairs(B.title_classes(c), B.evidence_profiles(c, v("chapter").limit(0), v("external_id").limit(0), v("signature").limit(0)))[0].groupBy("class").agg(F.count("*").alias("rows"), F.sum("n").alias("pairs")))(v("identity").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("id", C("id") * 4 + C("k")).drop("k")),
+    f"WITH n AS ({_N}), c AS (SELECT source, t, 4 * min(id) AS class, count(*) AS m, count(DISTINCT (k, u)) AS p FROM n WHERE t <> '' GROUP BY ALL) SELECT class, (p * (p - 1) // 2 + p)::BIGINT AS rows, 4 * m * (4 * m - 1) // 2 AS pairs FROM c",
+)
+_NEAR = f"WITH n AS (SELECT i.id, source, {_TOK} AS toks, s.hash FROM {{identity}} i JOIN {{signature}} s ON s.id = i.id) SELECT x.id AS a, y.id AS b FROM n x JOIN n y ON x.source = y.source AND x.id < y.id AND len(list_intersect(x.toks, y.toks)) >= 2 AND bit_count(xor(x.hash, y.hash)) <= "
+Q.add("e03_near_token_pairs", lambda v: B.near_token_pairs(v("identity"), v("signature"), 8, bits=24), _NEAR + "8")
+Q.add("e03_wider_token_pairs", lambda v: B.near_token_pairs(v("identity"), v("signature"), 11, 4, bits=24), _NEAR + "11")
+# A third of all hashes under one title: near ones are found without all pairs of it.
+Q.add("j08_near_hashes", lambda v: B.near_pairs(v("signature").withColumn("t", F.when(C("id") % 3 == 0, "hot").otherwise((C("id") % 50).cast("string"))), ["t"], 3, bits=24).select("a", "b", "distance"), "WITH s AS (SELECT id, hash, CASE WHEN id % 3 = 0 THEN 'hot' ELSE (id % 50)::VARCHAR END AS t FROM {signature}) SELECT x.id AS a, y.id AS b, bit_count(xor(x.hash, y.hash)) AS distance FROM s x JOIN s y ON x.t = y.t AND x.id < y.id AND bit_count(xor(x.hash, y.hash)) <= 3")

@@ -29,6 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def named_path(spark: SparkSession, name: str) -> str:
+    """The path under the shared folder that a name stands for, in this session and in later ones."""
+    return f"{shared_dir(spark)}/kinfold/named/{name}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/kinfold/{name}-{uuid.uuid4().hex}"
@@ -50,6 +55,11 @@ def _write(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_table_at(df: DataFrame, path: str) -> DataFrame:
+    """Write df as Parquet to a path under the shared folder that holds nothing yet."""
+    return _write(df, path)
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
     return _write(df, fresh_path(df.sparkSession, name))

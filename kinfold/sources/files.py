@@ -69,6 +69,75 @@ def portable_document(series: DataFrame, exported_at: str) -> DataFrame:
     return series.select(F.to_json(F.struct(F.lit("catalog").alias("format"), F.lit(1).alias("version"), F.lit(exported_at).alias("exported_at"), F.array(one).alias("series"))).alias("value"))
 
 
+#: Fields of a portable document, and of its series and their sources.
+SERIES_KEYS = ("title", "status", "downloaded_on_export", "description", "aliases", "sources", "reading")
+SOURCE_KEYS = ("source", "source_id", "title", "url", "description", "revision_override", "aliases", "external_ids", "alternates")
+_SOURCE = "struct<source:string,source_id:string,title:string,url:string,description:string,revision_override:string,aliases:array<string>,external_ids:map<string,string>,alternates:array<struct<source_id:string,title:string,url:string>>>"
+_END = "struct<source:string,source_id:string>"
+DOCUMENT = f"format string, version int, exported_at string, series array<struct<title:string,status:string,downloaded_on_export:boolean,description:string,aliases:array<string>,sources:array<{_SOURCE}>,reading:array<struct<chapter:string,status:string,read_at:string>>>>, separations array<struct<left:{_END},right:{_END}>>, providers array<struct<source:string,enabled:boolean>>"
+_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
+def document_lines(d: dict[str, DataFrame], exported_at: str) -> DataFrame:
+    """K2: the tables of a document (see catalog_io) as versioned JSON documents, ready for write.text: one for each series with
+    its sources, aliases, external ids, alternates and reading states, and one for each separation and preference. A reader
+    takes all lines together, so no task holds the catalog; a series' own rows meet, as they are one document."""
+    at = ["key", "source"]
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    of = lambda df, keys, col, name: df.groupBy(*keys).agg(F.array_sort(F.collect_set(col)).alias(name))
+    ids = d["external_ids"].groupBy(*at).agg(F.sort_array(F.collect_set(F.struct("provider", "value"))).alias("external_ids"))
+    src = d["sources"].join(of(d["source_aliases"], at, "alias", "aliases"), at, "left").join(ids, at, "left")
+    src = src.join(of(d["alternates"].withColumn("one", F.struct("source_id", "title", "url")), at, "one", "alternates"), at, "left")
+    one = F.struct("source", "source_id", "title", "url", "description", C("revision").alias("revision_override"), none("aliases", "array<string>"), none("external_ids", "array<struct<provider:string,value:string>>"), none("alternates", "array<struct<source_id:string,title:string,url:string>>"))
+    named = [f for f in SOURCE_KEYS if f not in ("external_ids", "alternates")]  # ids become a map once the sources are sorted
+    mapped = lambda x: F.struct(*(x[f].alias(f) for f in named), F.map_from_entries(x["external_ids"]).alias("external_ids"), x["alternates"].alias("alternates"))
+    nested = of(src.withColumn("one", one), ["key"], "one", "sources").withColumn("sources", F.transform("sources", mapped))
+    rows = d["series"].join(of(d["series_aliases"], ["key"], "alias", "aliases"), "key", "left").join(nested, "key", "left")
+    state = F.struct("chapter", C("state").alias("status"), F.date_format("read_at", _TIME).alias("read_at"))
+    rows = rows.join(of(d["reading"].withColumn("one", state), ["key"], "one", "reading"), "key", "left")
+    kind = DOCUMENT.split("series ", 1)[1].split(", separations")[0].removeprefix("array<").removesuffix(">")
+    whole = F.struct("title", "status", C("downloaded").alias("downloaded_on_export"), "description", none("aliases", "array<string>"), none("sources", f"array<{_SOURCE}>"), none("reading", "array<struct<chapter:string,status:string,read_at:string>>")).cast(kind)
+    apart = F.struct(F.struct(C("left_source").alias("source"), C("left_id").alias("source_id")).alias("left"), F.struct(C("right_source").alias("source"), C("right_id").alias("source_id")).alias("right"))
+    empty = {"series": f"array<{kind}>", "separations": f"array<struct<left:{_END},right:{_END}>>", "providers": "array<struct<source:string,enabled:boolean>>"}
+
+    def line(df: DataFrame, field: str, value) -> DataFrame:
+        parts = [F.array(value).cast(k).alias(f) if f == field else F.array().cast(k).alias(f) for f, k in empty.items()]
+        return df.select(F.to_json(F.struct(F.lit("catalog").alias("format"), F.lit(1).alias("version"), F.lit(exported_at).alias("exported_at"), *parts)).alias("value"))
+
+    return line(rows, "series", whole).unionByName(line(d["separations"], "separations", apart)).unionByName(line(d["providers"], "providers", F.struct("source", "enabled")))
+
+
+def load_document(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables of portable documents, one a line, and the fields they shouldn't have (row_key, name). A series' key is the
+    least of its sources' identities, else its title; a null line or one that isn't JSON has the field `value`."""
+    rows = spark.read.text(path).filter("trim(value) <> ''")
+    d = rows.select("value", F.from_json("value", DOCUMENT).alias("d"), F.from_json("value", "map<string,string>").alias("m"))
+    own = F.array_min(F.transform("s.sources", lambda x: F.concat_ws(":", x["source"], F.trim(x["source_id"]))))
+    key = F.coalesce(own, F.concat(F.lit("title:"), C("s.title"))).alias("key")
+    series = d.select(F.explode("d.series").alias("s")).select(key, "s")
+    src = series.select("key", F.explode("s.sources").alias("x"))
+    at = lambda p: C(f"p.{p}")
+    tables = {
+        "series": series.select("key", C("s.title").alias("title"), C("s.status").alias("status"), F.coalesce("s.description", F.lit("")).alias("description"), F.coalesce("s.downloaded_on_export", F.lit(False)).alias("downloaded")),
+        "series_aliases": series.select("key", F.explode("s.aliases").alias("alias")),
+        "sources": src.select("key", *(C(f"x.{f}").alias(f) for f in ("source", "source_id", "title", "url")), F.coalesce("x.description", F.lit("")).alias("description"), F.coalesce("x.revision_override", F.lit("")).alias("revision")),
+        "source_aliases": src.select("key", "x.source", F.explode("x.aliases").alias("alias")),
+        "external_ids": src.select("key", "x.source", F.explode("x.external_ids").alias("provider", "value")),
+        "alternates": src.select("key", "x.source", F.explode("x.alternates").alias("p")).select("key", "source", at("source_id"), F.coalesce(at("title"), F.lit("")).alias("title"), F.coalesce(at("url"), F.lit("")).alias("url")),
+        "reading": series.select("key", F.explode("s.reading").alias("p")).select("key", at("chapter"), at("status").alias("state"), F.to_timestamp(at("read_at"), _TIME).alias("read_at")),
+        "separations": d.select(F.explode("d.separations").alias("p")).select(at("left.source").alias("left_source"), at("left.source_id").alias("left_id"), at("right.source").alias("right_source"), at("right.source_id").alias("right_id")),
+        "providers": d.select(F.explode("d.providers").alias("p")).select(at("source"), at("enabled")),
+    }
+    listed = lambda keys: F.lit(list(keys))
+    extra = lambda m, keys: F.explode(F.array_except(F.map_keys(m), listed(keys))).alias("name")
+    parts = F.from_json(C("m")["series"], "array<map<string,string>>")
+    inner = d.select(F.explode(parts).alias("m"))
+    unknown = d.filter("m IS NOT NULL").select(F.lit("document").alias("row_key"), extra(C("m"), PORTABLE_KEYS))
+    unknown = unknown.union(d.filter("m IS NULL").select(F.lit("document"), F.lit("value"))).union(inner.select(F.concat(F.lit("series:"), F.coalesce(C("m")["title"], F.lit(""))), extra(C("m"), SERIES_KEYS)))
+    unknown = unknown.union(inner.select(F.explode(F.from_json(C("m")["sources"], "array<map<string,string>>")).alias("m")).select(F.concat(F.lit("source:"), F.coalesce(C("m")["source_id"], F.lit(""))), extra(C("m"), SOURCE_KEYS)))
+    return tables, unknown
+
+
 def portable_json(series: DataFrame) -> DataFrame:
     """Each series (id, title, status, aliases, sources, reading) as a JSON document."""
     return series.select("id", F.to_json(F.struct("title", "status", "aliases", "sources", "reading")).alias("document"))

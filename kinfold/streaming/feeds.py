@@ -1,5 +1,9 @@
-"""Change-driven parts on Structured Streaming. Each function takes a streaming frame; run() drives one until its input is used up;
-circuit_breaker() drives its own."""
+"""Change-driven parts on Structured Streaming. Each function takes a streaming frame and uses up what it holds now.
+
+Those with a `home` keep their place there: a later call with the same home goes on after what was read. Those that keep
+state keep it in a SnapshotTable: each micro-batch is one commit by its number, so a batch that runs again changes nothing,
+and what a batch reads is the state, not the batches before.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.session import fresh_path
+from kinfold.sources.snapshots import SnapshotTable
 
 C = F.col
 
@@ -26,10 +31,10 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.withColumns({c: C(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
 
 
-def run(stream: DataFrame, mode: str, name: str, each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+def run(stream: DataFrame, mode: str, name: str, each: Callable[[DataFrame, int], None] | None = None, home: str | None = None) -> DataFrame:
     """Run over what there is now; the result as a table. A batch that runs again replaces what it wrote."""
     spark = stream.sparkSession
-    path = fresh_path(spark, name)
+    path = home or fresh_path(spark, name)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={number}")
@@ -39,6 +44,19 @@ def run(stream: DataFrame, mode: str, name: str, each: Callable[[DataFrame, int]
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def fold_into(stream: DataFrame, table: SnapshotTable, home: str, step: Callable[[DataFrame, DataFrame, int], tuple[DataFrame, DataFrame | None]]) -> SnapshotTable:
+    """Each micro-batch of a stream into a table: step(batch, the table's rows, number) gives changed rows and keys to remove.
+    One stream a table, as its batches are known by number."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        if not table.done(number):
+            changed, gone = step(batch, table.read(), number)
+            table.commit(changed, number, gone)
+
+    stream.writeStream.option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return table
+
+
 def status_counts(events: DataFrame, key: str) -> DataFrame:
     """Running counts of an event log."""
     return events.groupBy(key).agg(F.count("*").alias("n"))
@@ -50,27 +68,46 @@ def enriched(events: DataFrame, jobs: DataFrame) -> DataFrame:
     return events.join(jobs, "job_id", "left")
 
 
-def listing_changes(listings: DataFrame, known: DataFrame, name: str = "listing") -> tuple[DataFrame, DataFrame]:
-    """(the table of known listings after the stream, the change rows): each micro-batch of listings (id, version, at)
-    is reduced to the latest row of each id, compared with what is known (id, version, a number), and what is new or has
-    advanced is a change and becomes known. Both are tables by batch; a batch that runs again replaces what it wrote."""
-    spark = listings.sparkSession
-    path, schema = fresh_path(spark, name), "id bigint, version bigint, batch bigint"
-    latest = lambda rows: rows.groupBy("id").agg(F.max("version").alias("version"))
+def resume_cursor(after: int, last: str | None, most: int | None) -> int:
+    """Where a reader goes on: the greater of two cursors that it names, but no further than there are events, as a
+    database that was set up anew starts from low ids again. A cursor that isn't a number doesn't count."""
+    said = int(last) if last and last.strip().lstrip("-").isdigit() else 0
+    return min(max(after, said, 0), max(most or 0, 0))
 
-    def put(batch: DataFrame, number: int) -> None:
-        here = batch.sparkSession
-        before = here.read.parquet(f"{path}/start")
-        if number:
-            before = before.unionByName(here.read.schema(schema).parquet(f"{path}/changes").filter(C("batch") < number).select("id", "version"))
-        old = latest(before).withColumnRenamed("version", "__old")
-        new = latest(batch).join(old, "id", "left").filter("__old IS NULL OR version > __old").select("id", "version")
-        new.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
 
-    known.select("id", "version").write.parquet(f"{path}/start")
-    listings.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    changes = spark.read.schema(schema).parquet(f"{path}/changes")
-    return latest(spark.read.parquet(f"{path}/start").unionByName(changes.select("id", "version"))), changes
+def follow_events(events: DataFrame, known: DataFrame, jobs: DataFrame, home: str, after: int = 0, last: str | None = None) -> DataFrame:
+    """All events (id, job_id) so far read at this home, with what is known of each one's job. known: the event log as a
+    table, for its greatest id; events up to the cursor are left out."""
+    most = known.agg(F.max("id").alias("id")).first()["id"]
+    return run(enriched(events.filter(C("id") > resume_cursor(after, last, most)), jobs), "append", "events", home=home)
+
+
+def listing_changes(listings: DataFrame, table: SnapshotTable, home: str, alternates: DataFrame | None = None, days: int = 7) -> DataFrame:
+    """Listings (id, version, at) into the table of known ones (id, version, detailed_at), and the change rows (id, version,
+    at, reason, batch) so far.
+
+    Each micro-batch is reduced to the latest row of each id. Listed ids that aren't known may be alternates (id, primary) of
+    ones that are. A listing is a change if it is new, has advanced, or its detail is older than `days` before it (or was
+    never taken); changes become known, with their detail as of now. A version never goes back. Null ids are left out.
+    """
+    spark, schema = listings.sparkSession, "id bigint, version bigint, at timestamp, reason string, batch bigint"
+
+    def step(batch: DataFrame, old: DataFrame, number: int) -> tuple[DataFrame, None]:
+        rows = batch.filter("id IS NOT NULL").select("id", "version", "at")
+        if alternates is not None:
+            rows = rows.join(old.select("id", F.lit(True).alias("__known")), "id", "left").join(alternates.select("id", "primary").dropDuplicates(["id"]), "id", "left")
+            rows = rows.withColumn("id", F.when(C("__known"), C("id")).otherwise(F.coalesce("primary", "id")))
+        last = rows.groupBy("id").agg(F.max(F.struct("version", "at")).alias("x")).select("id", "x.*")
+        old = old.select("id", C("version").alias("__old"), "detailed_at", F.lit(True).alias("__known"))
+        stale = C("detailed_at").isNull() | (C("detailed_at") < C("at") - F.make_dt_interval(F.lit(days)))
+        reason = F.when(C("__known").isNull(), "new").when(C("__old").isNull() | (C("version") > C("__old")), "advanced").when(stale, "stale")
+        out = last.join(old, "id", "left").withColumn("reason", reason).filter("reason IS NOT NULL")
+        out.select("id", F.greatest("version", "__old").alias("version"), "at", "reason").write.mode("overwrite").parquet(f"{home}/changes/batch={number}")
+        out = batch.sparkSession.read.schema(schema).parquet(f"{home}/changes").filter(C("batch") == number)
+        return out.select("id", "version", C("at").alias("detailed_at")), None
+
+    fold_into(listings, table, home, step)
+    return spark.read.schema(schema).parquet(f"{home}/changes")
 
 
 def latency_windows(samples: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -79,9 +116,31 @@ def latency_windows(samples: DataFrame, width: str = "1 hour", late: str = "2 ho
     return hours.agg(F.count("*").alias("n"), F.count_if("failed").alias("failures"), F.round(F.avg("latency"), 6).alias("mean")).select(C("w.start").alias("hour"), "source", "n", "failures", "mean")
 
 
-def dedupe_active(rows: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """The first row of each key within the watermark."""
-    return rows.withWatermark("at", late).dropDuplicatesWithinWatermark(keys)
+def dedupe_active(rows: DataFrame, table: SnapshotTable, home: str, active: tuple[str, ...] = ("queued", "leased", "retrying")) -> DataFrame:
+    """A stream of states of work (kind, dedupe_key, id, status, seq) into the table of active rows (kind, dedupe_key, id,
+    seq), one a key at most, and what happened to keys by batch (kind, dedupe_key, id, action, batch).
+
+    In order of seq, a row that is active takes its key over from any other, and the end of the row that holds a key frees it;
+    ends of others mean nothing. The table holds live keys only, so it doesn't grow with the stream. Rows without a key, id or
+    seq are left out; batches come in order of seq.
+    """
+    spark, schema, key = rows.sparkSession, "kind string, dedupe_key string, id bigint, action string, batch bigint", ["kind", "dedupe_key"]
+
+    def step(batch: DataFrame, old: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+        here = batch.filter("kind IS NOT NULL AND dedupe_key IS NOT NULL AND id IS NOT NULL AND seq IS NOT NULL").withColumn("__on", F.coalesce(C("status").isin(*active), F.lit(False)))
+        touched = old.join(here.select(*key).distinct(), key, "left_semi")
+        both = here.select(*key, "id", "seq", "__on").unionByName(touched.select(*key, "id", "seq", F.lit(True).alias("__on")))
+        ids = both.groupBy(*key, "id").agg(F.max(F.when(C("__on"), C("seq"))).alias("seq"), F.max(F.when(~C("__on"), C("seq"))).alias("ended"))
+        last = ids.groupBy(*key).agg(F.max(F.when(C("seq").isNotNull(), F.struct("seq", "id", "ended"))).alias("x")).filter("x IS NOT NULL").select(*key, "x.*")
+        before = touched.select(*key, C("id").alias("__was"))
+        out = last.join(before, key, "left").withColumn("live", C("ended").isNull() | (C("ended") < C("seq")))
+        action = F.when(~C("live"), F.when(C("__was").isNull(), "passed").otherwise("closed")).when(C("__was").isNull(), "opened").when(C("__was") == C("id"), "kept").otherwise("replaced")
+        out.select(*key, "id", "seq", "live", action.alias("action")).write.mode("overwrite").parquet(f"{home}/actions/batch={number}")
+        out = batch.sparkSession.read.schema(schema + ", seq bigint, live boolean").parquet(f"{home}/actions").filter(C("batch") == number)
+        return out.filter("live").select(*key, "id", "seq"), out.filter("NOT live").select(*key)
+
+    fold_into(rows, table, home, step)
+    return spark.read.schema(schema).parquet(f"{home}/actions")
 
 
 def breaker_step(state: tuple[int, float], at: float, failed: bool, threshold: int = 3, base: float = 300.0, most: float = 21_600.0) -> tuple[int, float]:
@@ -182,14 +241,15 @@ def _in_ranges(rows: DataFrame) -> DataFrame:
     return rows.filter("source IS NOT NULL").repartitionByRange("source", "id").sortWithinPartitions("source", "id")
 
 
-def circuit_breaker(samples: DataFrame) -> DataFrame:
-    """T4: state of each source after each micro-batch (samples: source, id, at, failed), rows of a batch in order of id.
+#: Columns of the tables that circuit_breaker() and poll_cadence() keep, by source.
+BREAKER, CADENCE = "source string, failures bigint, cooling_until double", "source string, interval bigint, streak bigint"
+
+
+def circuit_breaker(samples: DataFrame, table: SnapshotTable, home: str) -> SnapshotTable:
+    """T4: the state of each source (columns BREAKER) after samples (source, id, at, failed), rows of a batch in order of id.
 
     A batch is folded in ranges of (source, id) on all tasks; a source's own task gets one row for each range only.
-    States are kept by batch as a table; a batch that runs again replaces what it wrote.
     """
-    spark = samples.sparkSession
-    path, schema = fresh_path(spark, "breaker"), "source string, failures bigint, cooling_until double, batch bigint"
 
     def fold(key: tuple, parts: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         state = (int(before["failures"].iloc[0]), float(before["cooling_until"].iloc[0])) if len(before) else (0, 0.0)
@@ -197,18 +257,10 @@ def circuit_breaker(samples: DataFrame) -> DataFrame:
             state = _after(state, s)
         return pd.DataFrame({"source": [key[0]], "failures": [state[0]], "cooling_until": [state[1]]} if len(parts) else {"source": [], "failures": [], "cooling_until": []})
 
-    def put(batch: DataFrame, number: int) -> None:
-        here = batch.sparkSession
-        if number:
-            old = here.read.schema(schema).parquet(f"{path}/out").filter(C("batch") < number)
-            old = old.groupBy("source").agg(F.max_by(F.struct("failures", "cooling_until"), "batch").alias("x")).select("source", "x.*")
-        else:
-            old = here.createDataFrame([], "source string, failures bigint, cooling_until double")
-        new = segments(batch).groupBy("source").cogroup(old.groupBy("source")).applyInPandas(fold, "source string, failures bigint, cooling_until double")
-        new.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+    def step(batch: DataFrame, old: DataFrame, number: int) -> tuple[DataFrame, None]:
+        return segments(batch).groupBy("source").cogroup(old.groupBy("source")).applyInPandas(fold, BREAKER), None
 
-    samples.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return samples.sparkSession.read.schema(schema).parquet(f"{path}/out")
+    return fold_into(samples, table, home, step)
 
 
 #: Factors of a poll interval after a failure and a change, without one, and per poll without one in a row (STREAK at most).
@@ -227,19 +279,17 @@ def cadence_step(interval: np.ndarray, streak: np.ndarray, outcome: str, base: i
     return np.maximum(LEAST, interval).astype(np.int64), streak
 
 
-def poll_cadence(samples: DataFrame, base: int = 300) -> DataFrame:
-    """T5: interval and streak of each source after each micro-batch (samples: source, id, outcome), from base and 0 on.
+def poll_cadence(samples: DataFrame, table: SnapshotTable, home: str, base: int = 300) -> SnapshotTable:
+    """T5: interval and streak of each source (columns CADENCE) after samples (source, id, outcome), from base (LEAST seconds at
+    least) and 0 on.
 
     There are few states (intervals of LEAST to 4 * base seconds, streaks up to STREAK), so a range of samples is folded for
-    all of them at once, on all tasks; a source's own task gets one row for each range only. Kept by batch as a table; a
-    batch that runs again replaces what it wrote.
+    all of them at once, on all tasks; a source's own task gets one row for each range only.
     """
-    spark = samples.sparkSession
-    path, schema = fresh_path(spark, "cadence"), "source string, interval bigint, streak bigint, batch bigint"
-    width = STREAK + 1
+    width, most = STREAK + 1, max(LEAST, 4 * base)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every = np.arange(LEAST, 4 * base + 1).repeat(width), np.tile(np.arange(width), 4 * base + 1 - LEAST)
+        every = np.arange(LEAST, most + 1).repeat(width), np.tile(np.arange(width), most + 1 - LEAST)
         source, now, first = None, every, 0
         row = lambda: pd.DataFrame({"source": [source], "first": [first], "interval": [now[0]], "streak": [now[1]]})
         for pdf in batches:
@@ -255,20 +305,14 @@ def poll_cadence(samples: DataFrame, base: int = 300) -> DataFrame:
             yield row()
 
     def join(key: tuple, parts: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        interval, streak = (int(before["interval"].iloc[0]), int(before["streak"].iloc[0])) if len(before) else (base, 0)
+        interval, streak = (int(before["interval"].iloc[0]), int(before["streak"].iloc[0])) if len(before) else (max(LEAST, base), 0)
         for p in parts.sort_values("first").itertuples():
             i = (interval - LEAST) * width + streak if len(p.interval) > 1 else 0
             interval, streak = int(p.interval[i]), int(p.streak[i])
         return pd.DataFrame({"source": [key[0]], "interval": [interval], "streak": [streak]} if len(parts) else {"source": [], "interval": [], "streak": []})
 
-    def put(batch: DataFrame, number: int) -> None:
-        here, state = batch.sparkSession, "source string, interval bigint, streak bigint"
-        old = here.createDataFrame([], state)
-        if number:
-            old = here.read.schema(schema).parquet(f"{path}/out").filter(C("batch") < number)
-            old = old.groupBy("source").agg(F.max_by(F.struct("interval", "streak"), "batch").alias("x")).select("source", "x.*")
+    def step(batch: DataFrame, old: DataFrame, number: int) -> tuple[DataFrame, None]:
         parts = _in_ranges(batch.select("source", "id", "outcome")).mapInPandas(fold, "source string, first bigint, interval array<bigint>, streak array<bigint>")
-        parts.groupBy("source").cogroup(old.groupBy("source")).applyInPandas(join, state).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        return parts.groupBy("source").cogroup(old.groupBy("source")).applyInPandas(join, CADENCE), None
 
-    samples.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{path}/out")
+    return fold_into(samples, table, home, step)

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kinfold.sources.snapshots import SnapshotTable
 from kinfold.streaming import feeds as T
 
 START = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
@@ -60,7 +61,8 @@ def test_breaker_of_many_interleaved_rows(spark, tmp_path):
     df = spark.createDataFrame(rows, "id bigint, source string, s bigint, failed boolean").withColumn("at", F.timestamp_seconds(F.col("s") + int(START.timestamp())))
     df.select("id", "source", "at", "failed").orderBy(F.rand(1)).repartition(6).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("id bigint, source string, at timestamp, failed boolean").parquet(f"{tmp_path}/in")
-    got = {r.source: (r.failures, r.cooling_until) for r in T.circuit_breaker(stream).collect()}
+    table = SnapshotTable(spark, f"{tmp_path}/state", T.BREAKER, ["source"])
+    got = {r.source: (r.failures, r.cooling_until) for r in T.circuit_breaker(stream, table, f"{tmp_path}/home").read().collect()}
     assert got == brute(rows)
 
 
@@ -70,6 +72,7 @@ def test_breaker_of_several_batches(spark, tmp_path):
     for k in range(3):
         df.select("id", "source", "at", "failed").filter(F.floor(F.col("id") / 300) == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("id bigint, source string, at timestamp, failed boolean").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    out = T.circuit_breaker(stream).collect()
-    want = [(s, *x) for k in range(3) for s, x in brute([r for r in rows if r[0] < 300 * (k + 1)]).items()]
-    assert sorted((r.batch, r.source, r.failures, r.cooling_until) for r in out) == sorted((i // 2, *x) for i, x in enumerate(want))
+    table = T.circuit_breaker(stream, SnapshotTable(spark, f"{tmp_path}/state", T.BREAKER, ["source"]), f"{tmp_path}/home")
+    for k in range(3):
+        want = brute([r for r in rows if r[0] < 300 * (k + 1)])
+        assert {r.source: (r.failures, r.cooling_until) for r in table.read(k + 1).collect()} == want
