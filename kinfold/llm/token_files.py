@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.bpe import encoder, slices, vocabulary_path
-from kinfold.llm.common import documents, fresh_path, write_table
+from kinfold.llm.common import cut, documents, fresh_path, join_small, write_table
 
 MAGIC = b"KTF1"
 #: Ids in a block, about (a document stays whole).
@@ -115,8 +115,9 @@ def id_frequencies(encoded: DataFrame) -> pd.DataFrame:
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end: int | None = None, file_ids: int = FILE_IDS, file_bytes: int = FILE_BYTES) -> None:
-    """Encode docs (doc_id, text; other columns are ignored) into files part-00000-00000.ktf ... in ascending doc_id order,
-    with the table of ids by rank in `ranks` and a row for each file in `manifest` beside them.
+    """Encode docs (doc_id, text; other columns, whatever their names, are ignored) into files part-<partition>-<number>.ktf in
+    ascending doc_id order, with the table of ids by rank in `ranks` and a row for each file in `manifest` beside them. Files
+    are in order of these two numbers, which the manifest holds as such; in names they have ten digits.
 
     Partitions are ranges of doc_id of about file_ids ids, so files grow in number and not in size. A task writes its files
     under other names and then moves them, so a task that runs again leaves the same files. Rows of equal or null doc_id are
@@ -143,7 +144,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int | None =
         def close() -> pd.DataFrame:
             out.close()
             fs.move(temporary, f"{base}/{name}")
-            return pd.DataFrame({"part": [name], "n": [total]})
+            return pd.DataFrame({"part": [part], "number": [number], "n": [total]})
 
         def flush() -> int:
             data = block(held, ids, rank_of)
@@ -153,7 +154,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int | None =
         for pdf in batches:
             for d, x in zip(pdf["doc_id"], pdf["ids"]):
                 if out is None:
-                    name, temporary = f"part-{part:05d}-{number:05d}.ktf", f"{base}/.part-{part:05d}-{uuid.uuid4().hex}"
+                    name, temporary = file_name(part, number), f"{base}/.part-{part}-{uuid.uuid4().hex}"
                     out, size, total = fs.open_output_stream(temporary), 0, 0
                 held.append(None if pd.isna(d) else int(d))
                 ids.append(bytes(x))
@@ -176,31 +177,48 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int | None =
     fs.create_dir(base, recursive=True)  # also where no task writes a file
     parts = max(1, -(-int(counts["n"].sum()) // file_ids))
     ordered = encoded.withColumn("h", F.xxhash64("ids")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids")
-    ordered.select("doc_id", "ids").mapInPandas(write, "part string, n bigint").write.parquet(f"{folder}/manifest")
+    ordered.select("doc_id", "ids").mapInPandas(write, _FILE).write.parquet(f"{folder}/manifest")
     spark.createDataFrame(list(enumerate(by_rank.tolist())), "rank bigint, id bigint").coalesce(1).write.parquet(f"{folder}/ranks")
 
 
+_FILE = "part bigint, number bigint, n bigint"
+
+
+def file_name(part: int, number: int) -> str:
+    return f"part-{part:010d}-{number:010d}.ktf"
+
+
+def offsets_of(manifest: DataFrame) -> DataFrame:
+    """part, number and offset of each file: the ids of all files before it. Files are dealt by ranges of their numbers, so no
+    task sees all; the driver gets one sum for each range."""
+    files = manifest.dropDuplicates(["part", "number"]).repartitionByRange("part", "number").withColumn("range", F.spark_partition_id())
+    files = cut(files)
+    sums = files.groupBy("range").agg(F.sum("n").alias("n")).toPandas().sort_values("range")  # a row a shuffle partition
+    before = manifest.sparkSession.createDataFrame(list(zip(sums["range"].tolist(), (sums["n"].cumsum() - sums["n"]).tolist())), "range int, before bigint")
+    own = F.sum("n").over(Window.partitionBy("range").orderBy("part", "number")) - F.col("n")
+    return files.withColumn("own", own).join(F.broadcast(before), "range").select("part", "number", (F.col("own") + F.col("before")).alias("offset"))
+
+
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens and start: the ids of all documents before it."""
-    schema = "part string, doc_id bigint, n_tokens bigint, before bigint, ids binary"
+    schema = "part bigint, number bigint, doc_id bigint, n_tokens bigint, before bigint, ids binary"
     ranks = spark.read.schema("rank bigint, id bigint").parquet(f"{folder}/ranks").orderBy("rank").limit(1 << 16).toPandas()
     by_rank = ranks["id"].to_numpy(np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"]):
-                before = 0
+                before, (part, number) = 0, map(int, name.rpartition("/")[2].removesuffix(".ktf").split("-")[1:])
                 for doc_ids, lengths, ids in blocks(bytes(content), by_rank):
                     ends = np.cumsum(lengths.astype(np.int64))
-                    rows = {"part": name.rpartition("/")[2], "doc_id": pd.array(doc_ids, "Int64"), "n_tokens": lengths.astype(np.int64), "before": before + ends - lengths}
+                    rows = {"part": part, "number": number, "doc_id": pd.array(doc_ids, "Int64"), "n_tokens": lengths.astype(np.int64), "before": before + ends - lengths}
                     data = ids.astype("<u4").tobytes()
                     yield pd.DataFrame(rows | {"ids": [data[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths.tolist())]})
                     before += int(ends[-1])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ktf").load(folder).select("path", "content")
-    manifest = spark.read.schema("part string, n bigint").parquet(f"{folder}/manifest").dropDuplicates(["part"])
-    offsets = manifest.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))  # a row a file
-    return files.mapInPandas(run, schema).join(F.broadcast(offsets), "part").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids")
+    offsets = offsets_of(spark.read.schema(_FILE).parquet(f"{folder}/manifest"))
+    return join_small(files.mapInPandas(run, schema), offsets, ["part", "number"], salts=1).select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids")
 
 
 def crc32_of(rows: DataFrame) -> DataFrame:

@@ -94,6 +94,18 @@ def test_empty_and_clashes(spark, none, docs, tmp_path):
     assert [d for _, d, _ in got] == [None, None, -5] and sorted(n for _, _, n in got) == [1, 2, 2] and got[2][0] == 3
 
 
+def test_offsets_go_by_numbers(spark):
+    """Beyond any padding of names, and whatever the order of the rows: 100000 comes after 99999, file 10 after file 9."""
+    files = [(p, k, 1 + (p * 7 + k) % 5) for p in (99_999, 100_000, 10**10, 3, 1_000_000) for k in (0, 1, 9, 10)]
+    manifest = spark.createDataFrame([*files, files[0]][::-1], "part bigint, number bigint, n bigint").repartition(5)
+    total, want = 0, []
+    for p, k, n in sorted(files):
+        want.append((p, k, total))
+        total += n
+    assert sorted(map(tuple, token_files.offsets_of(manifest).collect())) == want
+    assert token_files.offsets_of(manifest.limit(0)).count() == 0
+
+
 def test_many_files(spark, docs, library, tmp_path):
     """Partitions by ids, and files closed at a size, give the same rows."""
     folder = f"file://{tmp_path}/many"
@@ -104,7 +116,7 @@ def test_many_files(spark, docs, library, tmp_path):
     finally:
         token_files.BLOCK = before
     names = sorted(p.name for p in (tmp_path / "many").glob("*.ktf"))
-    assert len(names) > 5 and any(x.endswith("-00001.ktf") for x in names)
+    assert len(names) > 5 and any(x.endswith("-0000000001.ktf") for x in names)
     start = 0
     for r in sorted(got, key=lambda r: r.start):
         assert r.start == start
