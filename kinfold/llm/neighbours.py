@@ -59,8 +59,15 @@ def probes(x: np.ndarray, table: int, fine: int, count: int) -> np.ndarray:
     return np.argsort(total, axis=1, kind="stable")[:, :count]
 
 
-def unit(vectors: pd.Series) -> np.ndarray:
+def stacked(vectors: pd.Series) -> np.ndarray:
+    """Rows of doubles, each times a power of two that brings its greatest component near one: cosines stay the same, and no
+    square over- or underflows."""
     x = np.stack(vectors.to_numpy()).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def unit(vectors: pd.Series) -> np.ndarray:
+    x = stacked(vectors)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -76,7 +83,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def _best(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best candidates of each query within one block, scored in double precision one pair at a time."""
-    x, y = (np.stack(t["v"].to_numpy()).astype(np.float64) for t in (q, c))
+    x, y = stacked(q["v"]), stacked(c["v"])
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     near = (x / nx[:, None]) @ (y / ny[:, None]).T
     qid, cid = q["vec_id"].to_numpy(), c["vec_id"].to_numpy()
@@ -105,34 +112,36 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
 PROBES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
 
 
-def tune(vectors: DataFrame, queries: DataFrame, k: int, tables: int, fine: int, recall: float, sample: int) -> int:
-    """Probes of each table with which a hash-chosen sample of queries finds the asked share of its exact neighbours.
+def tune(vectors: DataFrame, queries: DataFrame, k: int, tables: int, fine: int, recall: float, sample: int) -> tuple[int, float]:
+    """Probes of each table with which a hash-chosen sample of queries finds the asked share of its exact neighbours, and the
+    share that it finds; with fewer than asked, no number of PROBES is enough.
 
     The sample has `sample` queries at most, whatever the size of the tables; its exact neighbours come from one scan.
     """
     asked = queries.orderBy(F.xxhash64(F.lit("tune"), "vec_id"), "vec_id").limit(sample)
     truth = scan(vectors, asked, k)
     if truth is None:
-        return PROBES[0]
+        return PROBES[0], 1.0
     ends = truth.select("query_id", "vec_id").toPandas()  # sample * k rows
     known = vectors.join(F.broadcast(truth.select("vec_id").union(truth.select("query_id")).distinct()), "vec_id", "left_semi").dropDuplicates(["vec_id"]).toPandas()
     if not len(ends):
-        return PROBES[0]
+        return PROBES[0], 1.0
     at = pd.Series(np.arange(len(known)), known["vec_id"])
     x, q, c = unit(known["v"]), at[ends["query_id"]].to_numpy(), at[ends["vec_id"]].to_numpy()
     place = np.full(len(ends), np.iinfo(np.int64).max)  # of the candidate's bucket among the query's probes, in the best table
     for t in range(tables):
         order = np.argsort(probes(x, t, fine, 1 << 30), axis=1)
         place = np.minimum(place, order[q, bucket(x, t, fine)[c]])
-    return next((p for p in PROBES if (place < p).mean() >= recall), PROBES[-1])
+    count = next((p for p in PROBES if (place < p).mean() >= recall), PROBES[-1])
+    return count, float((place < count).mean())
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 32, rows_per_bucket: int = 1000, block_rows: int = 4096, block_queries: int = 512, recall: float = 0.96, sample: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of vectors (vec_id, embedding) found for each row of queries.
 
     Buckets hold about rows_per_bucket rows: past 2 * dimensions buckets a second rotation splits them. How many buckets of
-    each table a query probes is measured (see tune): as many as give the asked recall on a sample of `sample` queries. A
-    bucket of more than block_rows rows or block_queries queries (a common vector) is dealt over several tasks, none is cut
+    each table a query probes is measured (see tune): as many as give the asked recall on a sample of `sample` queries. If even
+    the most probes don't, all queries are answered by a scan of all rows, in blocks: the answer is then exact. A bucket of more than block_rows rows or block_queries queries (a common vector) is dealt over several tasks, none is cut
     off. Queries for which the buckets hold fewer than k others are answered by a scan of all rows, in blocks. Rows of equal
     vec_id count as one vector at several places. A query never finds its own vec_id. Ties go to the smaller vec_id. Other
     columns are ignored. Empty tables give an empty result.
@@ -144,7 +153,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 32
     axis_count = 2 << max(0, math.ceil(math.log2(max(1, d["d"] if d else 1))))
     fine = max(0, math.floor(math.log2(max(1, n / (axis_count * rows_per_bucket)))))
     fine = min(fine, axis_count.bit_length() - 2)
-    count = min(tune(vectors, queries, k, tables, fine, recall, sample), axis_count << fine)
+    count, reached = tune(vectors, queries, k, tables, fine, recall, sample)
+    if reached < recall:
+        return scan(vectors, queries, k, block_queries)
+    count = min(count, axis_count << fine)
     step = max(1, (1 << 22) // max(axis_count << fine, tables * count))  # rows whose buckets are ordered at once
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -211,3 +211,29 @@ def test_few_vectors(spark):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(0, 1, 50), (0, 2, 3), (50, 1, 0), (50, 2, 3)]
     none = df.limit(0)
     assert N.nearest(none, none).count() == 0
+
+
+def test_a_recall_out_of_reach_is_answered_by_a_scan(spark):
+    """Where no number of probes finds what is asked, the answer is exact, and of all queries."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for row in N.nearest(df, df.filter("vec_id % 20 = 0"), tables=1, rows_per_bucket=10, recall=1.1).collect():
+        got.setdefault(row.query_id, []).append((row["rank"], row.vec_id))
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 400, 20):
+        near = y @ y[q]
+        near[q] = -2
+        assert [i for _, i in sorted(got[q])] == np.argsort(-near)[:5].tolist()
+
+
+def test_vectors_at_the_ends_of_doubles(spark):
+    """Lengths that over- or underflow as such still have cosines."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(60, 8))
+    scales = np.where(np.arange(60) % 3 == 0, 1e200, np.where(np.arange(60) % 3 == 1, 1e-200, 1.0))
+    df = spark.createDataFrame([(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(x, scales))], "vec_id bigint, embedding array<double>")
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for row in N.nearest(df, df.filter("vec_id % 20 = 0")).collect():
+        assert abs(row.score - float(y[row.query_id] @ y[row.vec_id])) < 1e-9
