@@ -24,8 +24,8 @@ from kinfold.llm.common import documents, write_table
 WORDS = re.compile(r"[^\W\d_]+")
 #: Longest piece of the vocabulary that is used, in characters.
 LONGEST = 16
-#: A longer run of letters is cut into parts of this length, each summed over its segmentations by itself: a lattice then
-#: has a bound, whatever the text.
+#: Longer runs of letters are summed with the last LONGEST values of the forward sum in hand, a block of letters at a time, so
+#: memory has a bound, whatever the text. They take no part in fitting.
 LONG_WORD = 1024
 #: Most languages of a model, which is sent to every task: vocabulary x languages numbers.
 MOST_LANGUAGES = 500
@@ -111,6 +111,29 @@ class Lattice:
         """Log probability of each word (all of one length) in each language."""
         return self._forward(self._weights(self._edges(words)))[:, -1]
 
+    def forward_long(self, word: str, block: int = 4096) -> np.ndarray:
+        """Log probability of one word of any length in each language, as forward() has it."""
+        langs = self.logp.shape[1]
+        steps = np.arange(LONGEST)
+        parts = np.full((LONGEST, LONGEST, langs), -np.inf)  # by end, modulo LONGEST, and length of the last piece
+        now = np.zeros(langs)
+        for first in range(0, len(word), block):
+            some = word[first : first + block + LONGEST - 1]
+            weight = self._weights(self._edges([some]))[0]
+            for i in range(min(block, len(word) - first)):
+                at = first + i
+                if at:
+                    now = self._sum(parts[at % LONGEST])
+                    parts[at % LONGEST] = -np.inf
+                n = weight.shape[1]
+                parts[(at + 1 + steps[:n]) % LONGEST, steps[:n]] = now + weight[i]
+        return self._sum(parts[len(word) % LONGEST])
+
+    @staticmethod
+    def _sum(parts: np.ndarray) -> np.ndarray:
+        top = np.maximum(parts.max(axis=0), -1e300)
+        return top + np.log(np.exp(parts - top).sum(axis=0))
+
     @staticmethod
     def _forward(weight: np.ndarray) -> np.ndarray:
         count, n, longest, langs = weight.shape
@@ -160,12 +183,8 @@ def by_length(words: list[str], most: int = 400_000) -> Iterator[list[int]]:
 
 
 def marked(text: str) -> list[str]:
-    """The words of a text in lower case, each with the mark that begins a word in the vocabulary; long ones in parts."""
-    out = []
-    for w in WORDS.findall(text.lower()):
-        out.append("▁" + w[:LONG_WORD])
-        out += [w[i : i + LONG_WORD] for i in range(LONG_WORD, len(w), LONG_WORD)]
-    return out
+    """The words of a text in lower case, each with the mark that begins a word in the vocabulary."""
+    return ["▁" + w for w in WORDS.findall(text.lower())]
 
 
 def has_letter(text: str) -> bool:
@@ -177,7 +196,7 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, texts in pdf.groupby("lang")["text"]:
             texts = texts.tolist()
             for part in slices(texts):
-                counts = Counter(w for t in texts[part] for w in marked(t))
+                counts = Counter(w for t in texts[part] for w in marked(t) if len(w) <= LONG_WORD)
                 yield pd.DataFrame({"lang": lang, "word": list(counts), "n": list(counts.values())})
 
 
@@ -234,9 +253,13 @@ class Scorer:
             self.known, self.rows = {}, self.rows[:0]
         new = [w for w in set().union(*split) if w not in self.known]
         if new:
+            new.sort(key=len)
             rows = np.empty((len(new), self.rows.shape[1]))
-            for at in by_length(new):
+            short = sum(len(w) <= LONG_WORD for w in new)
+            for at in by_length(new[:short]):
                 rows[at] = self.lattice.forward([new[i] for i in at])
+            for i in range(short, len(new)):
+                rows[i] = self.lattice.forward_long(new[i])
             self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
             self.rows = np.vstack([self.rows, rows])
         return np.stack([self.rows[list(map(self.known.__getitem__, s))].sum(axis=0) for s in split]) if split else self.rows[:0]

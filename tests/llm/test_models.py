@@ -170,12 +170,24 @@ def test_long_runs_ties_and_clashes(spark, none):
     path = vocabulary_path("piece_bpe_32k.model")
     size = max(max(langid.pieces(path)[0].values()), max(langid.pieces(path)[1])) + 1
     same = langid.Model(["aa", "bb"], np.full((size, 2), -5.0, np.float32), path)
-    rows = [(1, "word", "x"), (2, "日本" * 1_000_000, "x"), (3, "ab" * 1_000_000, "x"), (4, None, "x"), (5, "", "x"), (1, "word", "x")]
+    rows = [(1, "word", "x"), (2, "日本" * 100_000, "x"), (3, "ab" * 100_000, "x"), (4, None, "x"), (5, "", "x"), (1, "word", "x")]
     got = langid.identify_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang_pred string"), same).collect()
     assert sorted((r.doc_id, r.lang_pred, r.score) for r in got) == [(1, "aa", 0.5), (1, "aa", 0.5), (2, "aa", 0.5), (3, "aa", 0.5), (4, "und", 0.0), (5, "und", 0.0)]
     assert langid.identify_languages(none, same).count() == 0
-    parts = langid.marked("x" * 3000 + " y")
-    assert [len(p) for p in parts] == [1025, 1024, 952, 2] and "".join(parts) == "▁" + "x" * 3000 + "▁y"
+
+
+@pytest.mark.parametrize("length", [1, 15, 1024, 1025, 1500, 4095, 4096, 4097, 9000])
+def test_long_runs_are_summed_whole(length):
+    """Over all segmentations, those across any block of letters among them: the sum of the plain forward pass."""
+    path = vocabulary_path("piece_bpe_32k.model")
+    size = max(max(langid.pieces(path)[0].values()), max(langid.pieces(path)[1])) + 1
+    r = np.random.default_rng(length)
+    logp = np.log(r.dirichlet(np.full(size, 0.3), 3).T + 1e-12).astype(np.float32)
+    model = langid.Model(["aa", "bb", "cc"], logp, path)
+    text = "".join(r.choice(list("theandingßж本"), length))
+    want = plain_scores(model, text)
+    assert np.allclose(langid.Scorer(model).score([text])[0], want, rtol=1e-9)
+    assert np.allclose(langid.Lattice(logp, path).forward_long("▁" + text, block=100), want, rtol=1e-9)
 
 
 def test_no_languages(none, docs):
