@@ -181,7 +181,7 @@ def _tokens(text: pd.DataFrame, words: pd.DataFrame, uni: Unigrams, buckets: int
     alone = (ch == 0) * np.log10(uni.p(cw))
     sums = np.stack([np.add.reduceat(np.log10(cw + 0.5), first), np.add.reduceat(alone, first)])
     number = int(row["slice"])
-    out = [(number % buckets, number, "doc", row["doc_id"], row["null_id"], pack(n + 1), pack(np.add.reduceat((cw > 0).astype(np.int64), first) * 2 + train), pack(sums.reshape(-1)))]
+    out = [(int(mix(np.array([number], _U))[0] % _U(buckets)), number, "doc", row["doc_id"], row["null_id"], pack(n + 1), pack(np.add.reduceat((cw > 0).astype(np.int64), first) * 2 + train), pack(sums.reshape(-1)))]
     use = np.flatnonzero(ch > 0)
     w, cw, h, ch, doc = w[use], cw[use], h[use], ch[use], doc[use]
     hot = ch * HOT > uni.tokens
@@ -306,7 +306,7 @@ def score_katz(docs: DataFrame, train: str = "train", slice_chars: int = SLICE_C
     are told apart by 64-bit hashes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col(train), F.lit(False)).alias("train"))
-    buckets = min(4096, max(8, docs.rdd.getNumPartitions()))
+    buckets = max(8, docs.rdd.getNumPartitions())  # as many as partitions: a bucket's words don't grow with the corpus
     totals = docs.agg(F.count("*").alias("n"), F.count(F.when(F.col("train"), 1)).alias("train")).first()
 
     dictionaries = docs.mapInPandas(lambda it: _dictionaries(it, buckets, slice_chars), "slice bigint, bucket bigint, words binary, counts binary")
