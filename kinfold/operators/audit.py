@@ -151,9 +151,11 @@ def identity_repair_audit(identities: DataFrame, children: DataFrame, least_titl
     title similarity and the least number of common children of any two, whether they share one cover, and whether to
     consolidate them (alike titles, and common children, a cover or a series) or to quarantine them.
 
-    Titles are compared once for each two different ones, both ways, as the ratio of sequences has a direction. Overlaps need no pairs where one child is common to all.
+    Titles are compared once for each two different ones, both ways, as the ratio of sequences has a direction. Identities
+    with the same children count as one in pairs.
     """
     from kinfold.functions import text as T
+    from kinfold.operators.blocking import child_profiles
     from kinfold.operators.sets import set_overlap
 
     keys, C = ["source", "stable"], F.col
@@ -162,9 +164,11 @@ def identity_repair_audit(identities: DataFrame, children: DataFrame, least_titl
     two = titles.alias("x").join(titles.alias("y"), F.expr("x.source = y.source AND x.stable = y.stable AND x.title <> y.title")).select("x.source", "x.stable", C("x.title").alias("a"), C("y.title").alias("b"))
     scored = two.select("a", "b").distinct().withColumn("s", T.title_similarity(C("a"), C("b")))
     worst = two.join(scored, ["a", "b"]).groupBy(*keys).agg(F.min("s").alias("title"))
-    rows = identities.select("id", *keys)
+    rows = identities.select("id", *keys).join(child_profiles(children), "id", "left").groupBy(*keys, "kids").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     pairs = rows.alias("x").join(rows.alias("y"), F.expr("x.source = y.source AND x.stable = y.stable AND x.id < y.id")).select("x.source", "x.stable", C("x.id").alias("a"), C("y.id").alias("b"))
-    overlap = pairs.join(set_overlap(pairs.select("a", "b"), children).select("a", "b", "common"), ["a", "b"]).groupBy(*keys).agg(F.min("common").alias("common"))
+    apart = pairs.join(set_overlap(pairs.select("a", "b"), children).select("a", "b", "common"), ["a", "b"]).select(*keys, "common")
+    alike = rows.filter("n > 1").select(*keys, F.coalesce("kids.n", F.lit(0)).alias("common"))  # two of one set have all of it in common
+    overlap = apart.unionByName(alike).groupBy(*keys).agg(F.min("common").alias("common"))
     out = groups.join(worst, keys, "left").join(overlap, keys, "left").withColumns({"title": F.coalesce("title", F.lit(1.0)), "common": F.coalesce("common", F.lit(0)), "cover_agrees": C("covers") == 1})
     safe = (C("title") >= least_title) & ((C("common") >= 1) | C("cover_agrees") | (C("series") == 1))
     return out.select(*keys, "identities", F.round("title", 4).alias("title"), "common", "cover_agrees", F.when(safe, "consolidate").otherwise("quarantine").alias("action"))

@@ -91,12 +91,22 @@ def expand(members: DataFrame) -> DataFrame:
     return members.alias("x").join(members.alias("y"), F.expr("x.class = y.class AND x.id < y.id")).select(C("x.id").alias("a"), C("y.id").alias("b")).distinct()
 
 
+def _set_of(columns: list[str]) -> Column:
+    """A set of rows by its size and 128 bits of hashes of its members, whatever their order."""
+    both = (F.sum(F.xxhash64(F.lit(k), *map(C, columns)).cast("decimal(38,0)")) for k in (1, 2))
+    return F.struct(F.count("*").alias("n"), *(x.alias(f"h{k}") for k, x in enumerate(both)))
+
+
+def child_profiles(children: DataFrame) -> DataFrame:
+    """(id, kids): identities (identity_id, number) of equal kids have the same set of numbers."""
+    return children.select("identity_id", "number").distinct().groupBy(C("identity_id").alias("id")).agg(_set_of(["number"]).alias("kids"))
+
+
 def evidence_profiles(identities: DataFrame, children: DataFrame, external_ids: DataFrame, signatures: DataFrame) -> DataFrame:
     """(id, profile): identities of one profile are alike in all that evidence of pairs looks at: source, normalised title, id and
     address, title tokens, hash, children and external ids. Sets count by 128 bits of hashes of their members."""
-    both = lambda c: (F.sum(F.xxhash64(F.lit(1), *c).cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit(2), *c).cast("decimal(38,0)")))
-    kids = children.select("identity_id", "number").distinct().groupBy(C("identity_id").alias("id")).agg(F.struct(F.count("*"), *both([C("number")])).alias("kids"))
-    ids = external_ids.select("identity_id", "provider", "value").distinct().groupBy(C("identity_id").alias("id")).agg(F.struct(F.count("*"), *both([C("provider"), C("value")])).alias("ids"))
+    kids = child_profiles(children)
+    ids = external_ids.select("identity_id", "provider", "value").distinct().groupBy(C("identity_id").alias("id")).agg(_set_of(["provider", "value"]).alias("ids"))
     own = identities.select("id", F.struct("source", T.normalize_title(C("title")).alias("t"), T.normalize_source_id(C("source_id")).alias("k"), T.canonical_url(C("url")).alias("u"), F.array_sort(T.title_tokens(C("title"))).alias("w")).alias("own"))
     rows = own.join(kids, "id", "left").join(ids, "id", "left").join(signatures.select("id", "hash"), "id", "left")
     return rows.select("id", F.sha2(F.to_json(F.struct("own", "kids", "ids", "hash")), 256).alias("profile"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import text as T
+from kinfold.operators.blocking import evidence_profiles
 from kinfold.operators.resolve import duplicate_evidence
 from kinfold.operators.windows import first_row
 
@@ -16,16 +17,22 @@ C = F.col
 
 def equivalent_listing(incoming: DataFrame, identities: DataFrame, children: DataFrame, external: DataFrame) -> DataFrame:
     """(incoming, identity, ratio, common): the identity of the same source and title that an incoming row is another
-    listing of: greatest child ratio, then overlap, then least id. Both have id (disjoint), source, title, source_id, url;
+    listing of: greatest child ratio, then overlap, then least id. Identities that are alike in all that evidence looks at are
+    compared once, as their least id would win, and so are incoming rows. Both have id (disjoint), source, title, source_id, url;
     children and external ids name either. Rows without a title or without children match none."""
-    named = lambda df, p: df.select(C("id").alias(p), "source", T.normalize_title(C("title")).alias("t")).filter("t <> ''")
-    with_children = incoming.join(children.select(C("identity_id").alias("id")), "id", "left_semi")
-    pairs = named(identities, "a").join(named(with_children, "b"), ["source", "t"]).select("a", "b")
-    none = identities.limit(0).select("id", F.lit(0).cast("bigint").alias("hash"))
     columns = ["id", "source", "title", "source_id", "url"]
-    evidence = duplicate_evidence(pairs, identities.select(*columns).unionByName(incoming.select(*columns)), children, external, none)
+    every = identities.select(*columns).unionByName(incoming.select(*columns))
+    none = identities.limit(0).select("id", F.lit(0).cast("bigint").alias("hash"))
+    profiles = evidence_profiles(every, children, external, none)
+    named = lambda df: df.select("id", "source", T.normalize_title(C("title")).alias("t")).filter("t <> ''").join(profiles, "id")
+    with_children = named(incoming.join(children.select(C("identity_id").alias("id")), "id", "left_semi"))
+    key = ["source", "t", "profile"]
+    mine, theirs = (df.groupBy(*key).agg(F.min("id").alias(p)) for df, p in ((named(identities), "a"), (with_children, "b")))
+    pairs = mine.drop("profile").join(theirs.drop("profile"), ["source", "t"]).select("a", "b")
+    evidence = duplicate_evidence(pairs, every, children, external, none)
     best = F.max_by(F.struct("a", "ratio", "common"), F.struct(C("ratio"), C("common"), -C("a")))
-    return evidence.filter("equivalent").groupBy(C("b").alias("incoming")).agg(best.alias("x")).select("incoming", C("x.a").alias("identity"), "x.ratio", "x.common")
+    found = evidence.filter("equivalent").groupBy("b").agg(best.alias("x"))
+    return with_children.join(theirs, key).join(found, "b").select(C("id").alias("incoming"), C("x.a").alias("identity"), "x.ratio", "x.common")
 
 
 def resolve_identity(incoming: DataFrame, identities: DataFrame, alternates: DataFrame, equivalents: DataFrame, external: DataFrame, incoming_external: DataFrame) -> DataFrame:
@@ -64,16 +71,30 @@ def sync_external_ids(current: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def block_cover_band(probes: DataFrame, identities: DataFrame, signatures: DataFrame, most: int = 200, prefix: int = 12) -> DataFrame:
     """E5: (a, b): for each probe (id) its first `most` identities by id, of another source and series, that share a band
-    of the cover hash (signatures: id, bands) or begin with the same letters of the normalised title."""
+    of the cover hash (signatures: id, bands) or begin with the same letters of the normalised title. Of a key and source only
+    the rows that can be among the first are joined."""
     rows = identities.select("id", "source", "series_id", F.substring(T.normalize_title(C("title")), 1, prefix).alias("t")).join(signatures.select("id", "bands"), "id", "left")
     titled = F.when(C("t") != "", F.concat(F.lit("t:"), "t"))
     keys = F.array_append(F.transform(F.coalesce("bands", F.array().cast("array<string>")), lambda b, i: F.when(b != "", F.concat_ws(":", i.cast("string"), b))), titled)
     rows = rows.select("id", "source", "series_id", F.explode(F.array_compact(keys)).alias("k"))
     own = rows.join(probes.select("id").distinct(), "id", "left_semi")
-    met = own.alias("x").join(rows.alias("y"), F.expr("x.k = y.k AND x.source <> y.source AND x.series_id <> y.series_id")).select(C("x.id").alias("a"), C("y.id").alias("b")).distinct()
+    few = _first_of_keys(_first_of_keys(rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))), most, ["k", "source", "salt"]), most, ["k", "source"])
+    met = own.alias("x").join(few.alias("y"), F.expr("x.k = y.k AND x.source <> y.source AND x.series_id <> y.series_id")).select(C("x.id").alias("a"), C("y.id").alias("b")).distinct()
     return first_rows(met, ["a"], [C("b")], most)
 
 
+def _first_of_keys(rows: DataFrame, most: int, group: list[str]) -> DataFrame:
+    """The rows of each group that may be among the first `most` by id for anybody who leaves out one series, some 2 * most at
+    most: a row isn't if `most` rows of its own series come before it, or if `most` rows come before it whichever series is
+    left out. Groups within a key may be thinned first, and what is left then together."""
+    from pyspark.sql import Window
+
+    rows = rows.withColumn("__c", F.row_number().over(Window.partitionBy(*group, "series_id").orderBy("id"))).filter(C("__c") <= most)
+    order = Window.partitionBy(*group).orderBy("id", "series_id")
+    before = F.row_number().over(order) - 1 - F.coalesce(F.max("__c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("__b", before).filter(C("__b") < most).drop("__b", "__c")
+
+
 def first_rows(rows: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:
     from pyspark.sql import Window
 

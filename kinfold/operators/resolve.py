@@ -245,12 +245,18 @@ def proposal_components(proposals: DataFrame) -> DataFrame:
 
 def provider_conflicts(groups: DataFrame, identities: DataFrame, children: DataFrame) -> DataFrame:
     """Groups (group_id, series_id) with two identities of one source that share neither key nor enough children
-    (two of them, and half of the smaller side)."""
-    rows = groups.join(identities, "series_id").select("group_id", "id", "source", T.normalize_source_id(C("source_id")).alias("k"), T.canonical_url(C("url")).alias("u"))
+    (two of them, and half of the smaller side). Identities of a group and source that are alike in keys and children count
+    as one, as they don't conflict and others conflict with all or none of them."""
+    from kinfold.operators.blocking import child_profiles
+
+    rows = groups.join(identities, "series_id").select("group_id", "id", "source", T.normalize_source_id(C("source_id")).alias("k"), T.canonical_url(C("url")).alias("u")).join(child_profiles(children), "id", "left")
+    shared = rows.groupBy("group_id", "source").agg(F.count("*").alias("n")).filter("n > 1").select("group_id").distinct()
+    rows = rows.groupBy("group_id", "source", "k", "u", "kids").agg(F.min("id").alias("id"))
     same = rows.alias("x").join(rows.alias("y"), F.expr("x.group_id = y.group_id AND x.source = y.source AND x.id < y.id")).select(C("x.group_id").alias("group_id"), C("x.id").alias("a"), C("y.id").alias("b"), ((C("x.k") == C("y.k")) | (C("x.u") == C("y.u"))).alias("key"))
     over = set_overlap(same.select("a", "b").distinct(), children)
     bad = ~C("key") & ((C("common") < 2) | ((C("smaller") > 0) & (C("ratio") < 0.5)))
-    return same.join(over, ["a", "b"]).groupBy("group_id").agg(F.bool_or(bad).alias("conflict"))
+    found = same.join(over, ["a", "b"]).groupBy("group_id").agg(F.bool_or(bad).alias("conflict"))
+    return shared.join(found, "group_id", "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
 
 
 def blockers(proposals: DataFrame, conflicts: DataFrame, active: DataFrame, reserved: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import os
 import re
@@ -269,3 +270,42 @@ def test_poll_cadence(spark, tables):
     for r in ask(spark, "t05_poll_cadence"):
         got[r.source] = (r.interval, r.streak)
     assert got == state
+
+
+def test_circuit_breaker(spark, tables):
+    """Failures and the end of the cooldown of each source, sample by sample."""
+    state = {}
+    for r in sorted(tables("events"), key=lambda r: r.event_id):
+        n, until = state.get(source := f"s{r.user_id % 4}", (0, 0.0))
+        at = r.ts.replace(tzinfo=datetime.UTC).timestamp()
+        if r.event_type == "error":
+            n += 1
+            until = at + min(360 * 60, 300 * 2 ** min(n - 3, 60)) if n >= 3 else until
+        elif at >= until:
+            n, until = 0, 0.0
+        state[source] = (n, until)
+    got = {r.source: (r.failures, r.cooling_until) for r in ask(spark, "t04_circuit_breaker")}
+    assert got.keys() == state.keys() and all(got[s][0] == n and abs(got[s][1] - u) < 1e-3 for s, (n, u) in state.items())
+
+
+def test_closed_runs(spark, tables):
+    """Runs of requests, five a second, closed by a signal, by number or by time; those still open at the end aren't rows."""
+    open_runs, learnt, out = {}, {}, []
+    rows = sorted(tables("events"), key=lambda r: r.event_id)
+    for r in rows:
+        source, at = f"s{r.user_id % 4}", r.event_id * 200_000
+        if source in open_runs and at >= open_runs[source][3] + 600_000_000:
+            out.append((source, *open_runs.pop(source)[:3], "time"))
+        tier, n, bad, began = open_runs.get(source) or (min(8, learnt.get(source, 1) + 1), 0, 0, at)
+        failed = r.event_type == "error"
+        open_runs[source] = (tier, n + 1, bad + failed, began)
+        limited = failed and r.user_id % 25 == 0
+        if limited or n + 1 == 500:
+            out.append((source, tier, n + 1, bad + failed, "limit" if limited else "requests"))
+            learnt[source] = max(1, tier - 1) if limited else max(learnt.get(source, 1), tier)
+            del open_runs[source]
+        elif source not in learnt:
+            learnt[source] = 1
+    got = sorted((r.source, r.tier, r.requests, r.failures, r.reason) for r in ask(spark, "t07_closed_runs"))
+    timed = [x for x in out if x[4] == "time"]
+    assert got and not timed and got == sorted(out)
