@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinfold.operators import audit as I
+from kinfold.operators import catalog_io as IO
 from kinfold.operators import incoming as R
 from kinfold.operators import planning as P
 from kinfold.operators import portable as X
@@ -14,6 +15,8 @@ from kinfold.plans.build import Queries
 from kinfold.plans.relational_queries import _PREF, mid
 from kinfold.plans.resolve_queries import _KEY, _URL, _series_pairs
 from kinfold.plans.scalar_queries import _norm
+from kinfold.session import Tables, fresh_path
+from kinfold.sources import files as S
 
 Q = Queries()
 C = F.col
@@ -297,3 +300,61 @@ Q.add(
     SELECT id, CASE WHEN id % 14 = 0 THEN 'resumed' WHEN reason IS NOT NULL THEN 'invalid' WHEN now IS NULL THEN 'activated' WHEN now = checksum THEN 'duplicate' ELSE 'conflict' END AS status, CASE WHEN id % 14 <> 0 THEN coalesce(reason, '') ELSE '' END AS reason
     FROM {{artifact}} a LEFT JOIN n USING (series_id, chapter) LEFT JOIN r ON r.path = 'a/' || a.id""",
 )
+
+
+# A whole catalog as a document, written, read, checked, and imported where there is nothing yet.
+def _whole(v):
+    i = v("identity").filter("id % 7 <> 3").selectExpr("id", "id - id % 2 AS series_id", "source", "concat(source_id, '-', id) AS source_id", "title", "url", "'' AS description", "IF(id % 10 = 0, 'r1', '') AS revision")
+    kept = i.select(C("id").alias("identity_id"), "series_id")
+    status = "CASE series_id % 5 WHEN 0 THEN 'untracked' WHEN 1 THEN 'interested' WHEN 2 THEN 'reading' WHEN 3 THEN 'caught_up' ELSE 'paused' END"
+    chapters = v("chapter").join(kept, "identity_id").selectExpr("series_id * 100 + number AS id", "series_id", "CAST(number AS STRING) AS number").distinct()
+    return {
+        "series": i.groupBy("series_id").agg(F.min("title").alias("title")).selectExpr("series_id AS id", "title", "concat('about ', series_id) AS description", f"{status} AS status"), "identities": i,
+        "aliases": v("alias").join(kept, "identity_id").select("series_id", "identity_id", "alias").unionByName(i.filter("id % 8 = 0").selectExpr("series_id", "CAST(NULL AS BIGINT) AS identity_id", "concat('own ', id) AS alias")),
+        "external_ids": v("external_id").join(kept, "identity_id").selectExpr("identity_id", "provider", "concat(value, '-', identity_id) AS value"),
+        "alternates": i.filter("id % 6 = 0").selectExpr("id AS identity_id", "source", "concat('alt-', id) AS source_id", "title", "url"), "chapters": chapters,
+        "reading": chapters.filter("id % 3 = 0").selectExpr("id AS chapter_id", "CASE id % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'reading' ELSE 'unread' END AS state", "IF(id % 4 = 0 OR id % 5 = 0, TIMESTAMP '2024-01-03 04:05:06', NULL) AS read_at"),
+        "artifacts": chapters.filter("id % 11 = 0").selectExpr("id AS chapter_id", "IF(id % 2 = 0, 'active', 'quarantined') AS state"), "decisions": v("decision").select("left_id", "right_id", "decision"), "providers": v("source_state").select("source", "enabled"),
+    }
+
+
+def _written(v):
+    """The exported document through its file."""
+    spark = v("region").sparkSession
+    path = fresh_path(spark, "document")
+    S.document_lines(IO.export_catalog(_whole(v)), "2024-01-31T00:00:00Z").write.text(path)
+    return S.load_document(spark, path)
+
+
+def _created(v):
+    spark = v("region").sparkSession
+    empty = {k: df.limit(0) for k, df in _whole(v).items()}
+    return IO.import_catalog(_written(v)[0], empty, Tables(spark, "import"))
+
+
+_CAT = """i AS (SELECT id, id - id % 2 AS s, source, source_id || '-' || id AS source_id, title, url FROM {identity} WHERE id % 7 <> 3), ch AS (SELECT DISTINCT s * 100 + number AS id, s, number FROM {chapter} JOIN i ON i.id = identity_id),
+    held AS (SELECT DISTINCT s FROM ch WHERE id % 11 = 0 AND id % 2 = 0), k AS (SELECT s FROM i WHERE s % 5 <> 0 UNION SELECT s FROM held UNION SELECT s FROM i GROUP BY s HAVING count(*) > 1 UNION SELECT i.s FROM {decision} JOIN i ON i.id IN (left_id, right_id) WHERE decision = 'rejected'),
+    x AS (SELECT s, min(title) AS title, CASE WHEN s % 5 = 0 THEN CASE WHEN s IN (FROM held) THEN 'interested' ELSE 'untracked' END ELSE ['interested', 'reading', 'caught_up', 'paused'][s % 5] END AS status FROM i JOIN k USING (s) GROUP BY s),
+    r AS (SELECT s, number, CASE id % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'reading' ELSE 'unread' END AS state, CASE WHEN id % 4 = 0 OR id % 5 = 0 THEN TIMESTAMP '2024-01-03 04:05:06' END AS read_at FROM ch JOIN k USING (s) WHERE id % 3 = 0),
+    n AS (SELECT i.id, (SELECT count(*) FROM {alias} a WHERE a.identity_id = i.id) AS aliases, (SELECT count(DISTINCT provider) FROM {external_id} e WHERE e.identity_id = i.id) AS ids, (i.id % 6 = 0)::BIGINT AS alternates FROM i)"""
+
+
+def _belongings(sources, aliases, ids, alternates, on):
+    of = lambda df, name: df.groupBy(*on).agg(F.count("*").alias(name))
+    out = sources.join(of(aliases, "aliases"), on, "left").join(of(ids, "ids"), on, "left").join(of(alternates, "alternates"), on, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("aliases", "ids", "alternates")})
+
+
+Q.add("x01_catalog_series", lambda v: IO.export_catalog(_whole(v))["series"], f"WITH {_CAT} SELECT s::VARCHAR AS key, title, status, 'about ' || s AS description, s IN (FROM held) AS downloaded FROM x")
+Q.add("x01_catalog_reading", lambda v: IO.export_catalog(_whole(v))["reading"], f"WITH {_CAT} SELECT s::VARCHAR AS key, number::VARCHAR AS chapter, state, read_at FROM r WHERE state <> 'unread' OR read_at IS NOT NULL")
+Q.add(
+    "k02_document_sources", lambda v: (lambda d: _belongings(d["sources"].join(d["series"].select("key", C("title").alias("series"), "status"), "key"), d["source_aliases"], d["external_ids"], d["alternates"], ["key", "source"]).select("series", "status", "source", "source_id", "revision", "aliases", "ids", "alternates"))(_written(v)[0]),
+    f"WITH {_CAT} SELECT x.title AS series, status, source, source_id, CASE WHEN i.id % 10 = 0 THEN 'r1' ELSE '' END AS revision, aliases, ids, alternates FROM i JOIN x USING (s) JOIN n USING (id)",
+)
+Q.add("p03_document_is_sound", lambda v: (lambda d, u: IO.validate(d, ("alpha", "beta", "gamma", "delta"), u))(*_written(v)), "SELECT '' AS row_key, '' AS rule FROM {region} WHERE false")
+Q.add(
+    "x03_created_identities", lambda v: (lambda c: _belongings(c["identities"].withColumnRenamed("id", "identity_id").join(c["series"].select(C("id").alias("series_id"), C("title").alias("series"), "status"), "series_id"), c["aliases"].filter("identity_id IS NOT NULL"), c["external_ids"], c["alternates"], ["identity_id"]).select("series", "status", "source", "source_id", "ids", "alternates"))(_created(v)),
+    f"WITH {_CAT} SELECT x.title AS series, status, source, source_id, ids, alternates FROM i JOIN x USING (s) JOIN n USING (id)",
+)
+Q.add("x03_created_reading", lambda v: (lambda c: c["reading"].join(c["chapters"].select(C("id").alias("chapter_id"), "series_id", "number"), "chapter_id").join(c["series"].select(C("id").alias("series_id"), "title"), "series_id").select("title", "number", "state", "read_at"))(_created(v)), f"WITH {_CAT} SELECT title, number::VARCHAR AS number, state, read_at FROM r JOIN x USING (s) WHERE state <> 'unread' OR read_at IS NOT NULL")
+Q.add("x03_created_separations", lambda v: (lambda c: (lambda i: c["decisions"].join(i.selectExpr("id AS left_id", "n AS l"), "left_id").join(i.selectExpr("id AS right_id", "n AS r"), "right_id").select(F.least("l", "r").alias("lo"), F.greatest("l", "r").alias("hi"), "decision").distinct())(c["identities"].selectExpr("id", "concat(source, ':', source_id) AS n")))(_created(v)), f"WITH {_CAT}, d AS (SELECT l.source || ':' || l.source_id AS l, r.source || ':' || r.source_id AS r FROM {{decision}} JOIN i l ON l.id = left_id JOIN i r ON r.id = right_id WHERE decision = 'rejected') SELECT DISTINCT least(l, r) AS lo, greatest(l, r) AS hi, 'rejected' AS decision FROM d")
