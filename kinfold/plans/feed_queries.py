@@ -260,6 +260,17 @@ def _runs(spark, folder):
     return _in_runs(rows, lambda stream: R.closed_runs(stream, home), (f"id < {n // 3}", f"id >= {n // 3} AND id < {n // 2}", f"id >= {n // 2}"))
 
 
+def _probes(spark, folder):
+    home = fresh_path(spark, "probes")
+    rows = _events(spark, folder).select("source", "id", "at", (C("id") % 7 < 3).alias("ok"))
+    return _in_runs(rows, lambda stream: R.probe_steps(stream, home))
+
+
+Q.queries["t06_probe_stream"] = lambda spark, folder: _probes(spark, folder).drop("batch")
+Q.oracles["t06_probe_stream"] = """WITH a AS (SELECT 's' || (user_id % 4) AS source, event_id AS id, ts AS t, event_id % 7 < 3 AS ok FROM events), r AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY source ORDER BY id) AS run FROM a),
+    b AS (SELECT *, ok AND count(*) FILTER (ok) OVER (PARTITION BY source, run ORDER BY id) % 2 = 0 AS back FROM r), c AS (SELECT *, coalesce(count(*) FILTER (back) OVER (PARTITION BY source ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM b),
+    d AS (SELECT *, least(count(*) FILTER (NOT ok) OVER (PARTITION BY source, epoch ORDER BY id), 6) AS step, min(epoch_us(t)) FILTER (NOT ok) OVER (PARTITION BY source, epoch ORDER BY id) AS started FROM c)
+    SELECT source, id, CASE WHEN back THEN 0 WHEN ok THEN 30 ELSE 60 * [1, 2, 5, 10, 20, 40, 60][step + 1] END::BIGINT AS wait, CASE WHEN back AND started IS NOT NULL THEN greatest(60, least(21600, floor(floor((epoch_us(t) - started) / 1000000) * 1.2))) END::BIGINT AS cooldown FROM d"""
 Q.queries["t07_closed_runs"] = lambda spark, folder: _runs(spark, folder).drop("batch")
 
 

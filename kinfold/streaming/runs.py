@@ -1,4 +1,5 @@
-"""Benchmark runs of providers, closed while samples come in: keyed state with event-time timers."""
+"""Benchmark runs of providers, closed while samples come in, and probes of providers that recover: keyed state, with event-time
+timers where nothing else ends a run."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from kinfold.operators.planning import NEXT_DAYS, USEFUL_REQUESTS
+from kinfold.operators.planning import NEXT_DAYS, PROBE_AGAIN, PROBE_COOLDOWN, PROBE_FACTOR, PROBE_MINUTES, PROBE_SUCCESSES, USEFUL_REQUESTS
 from kinfold.session import fresh_path
 
 C = F.col
@@ -123,13 +124,66 @@ def closed_runs(samples: DataFrame, home: str | None = None, ceiling: int = 8, r
     rows = rows.select("source", "id", "at", F.unix_micros("at").alias("us"), flag("failed"), flag("limited"), C("retry_after").cast("bigint").alias("retry_after"))
     closed = rows.groupBy("source").transformWithStateInPandas(statefulProcessor=CloseRuns(ceiling, requests, seconds), outputStructType=CLOSED, outputMode="Append", timeMode="EventTime")
 
+    return _kept(closed, path, CLOSED)
+
+
+def _kept(rows: DataFrame, path: str, schema: str) -> DataFrame:
+    """Run over what there is now with state in RocksDB; the rows of all batches so far, a batch that runs again once."""
+    spark = rows.sparkSession
+
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        closed.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+        rows.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     finally:
         spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
-    return spark.read.schema(CLOSED).parquet(f"{path}/out")
+    return spark.read.schema(schema).parquet(f"{path}/out")
+
+
+#: State of a source that is probed: failures since it was last well, successes since the last of them, and when they began (-1:
+#: none did).
+PROBED, STEPS = "failures bigint, successes bigint, started bigint", "source string, id bigint, wait bigint, cooldown bigint"
+
+
+class FollowProbes(StatefulProcessor):
+    """The rules of recovery_probes, probe by probe."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("probed", PROBED)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = pd.concat(rows).sort_values("id", kind="stable")
+        failures, successes, started = self.state.get() if self.state.exists() else (0, 0, -1)
+        low, high = PROBE_COOLDOWN
+        out = []
+        for i, at, ok in zip(pdf["id"].tolist(), pdf["us"].tolist(), pdf["ok"].tolist()):
+            wait, cooldown = PROBE_AGAIN, None
+            if not ok:
+                failures, successes, started = failures + 1, 0, at if started < 0 else min(started, at)
+                wait = PROBE_MINUTES[min(failures, len(PROBE_MINUTES) - 1)] * 60
+            else:
+                successes += 1
+                if successes % PROBE_SUCCESSES == 0:
+                    wait = 0
+                    if started >= 0:
+                        cooldown = max(low, min(high, int((at - started) // 1_000_000 * PROBE_FACTOR)))
+                    failures, started = 0, -1
+            out.append((key[0], i, wait, cooldown))
+        self.state.update((failures, successes, started))
+        yield pd.DataFrame(out, columns=["source", "id", "wait", "cooldown"]).astype({"cooldown": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def probe_steps(probes: DataFrame, home: str | None = None) -> DataFrame:
+    """T6 on a stream: what each probe (source, id, at, ok) so far led to (source, id, wait, cooldown), as recovery_probes says.
+    Batches come in order of id; probes without source or time are left out, a null ok is a failure. With the same home, a later
+    call goes on from the state of each source. Times are after 1970."""
+    path = home or fresh_path(probes.sparkSession, "probes")
+    rows = probes.filter("source IS NOT NULL AND at IS NOT NULL").select("source", "id", F.unix_micros("at").alias("us"), F.coalesce("ok", F.lit(False)).alias("ok"))
+    steps = rows.groupBy("source").transformWithStateInPandas(statefulProcessor=FollowProbes(), outputStructType=STEPS, outputMode="Append", timeMode="None")
+    return _kept(steps, path, STEPS)

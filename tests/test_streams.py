@@ -194,3 +194,17 @@ def test_cadence_below_a_minute(spark):
     t, home = table(spark, T.CADENCE, ["source"]), fresh_path(spark, "cadence")
     in_runs(spark, df, ["seq < 2", "seq >= 2"], lambda stream: T.poll_cadence(stream, t, home, base=30))
     assert rows_of(t.read()) == [("s", 120, 0)]
+
+
+@pytest.mark.parametrize("parts", [["true"], ["id < 40", "id >= 40 AND id < 41", "id >= 41"]])
+def test_probes(spark, parts):
+    """The stream gives the rows of the table operator, in one batch and through restarts."""
+    r, at, rows = random.Random(5), 0, []
+    for i in range(300):
+        at += r.choice([1, 40, 900, 7000])
+        rows.append((i, r.choice("ab"), START + datetime.timedelta(seconds=at), r.choice([True, True, False, None])))
+    df, home = spark.createDataFrame(rows, "id bigint, source string, at timestamp, ok boolean"), fresh_path(spark, "probes")
+    out = in_runs(spark, df, parts, lambda stream: R.probe_steps(stream, home)).drop("batch")
+    want = P.recovery_probes(df).select("source", "id", "wait", "cooldown")
+    key = lambda t: tuple(-1 if x is None else x for x in t)
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
