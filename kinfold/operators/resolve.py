@@ -222,21 +222,38 @@ def clique_groups(edges: DataFrame, classes: DataFrame | None = None) -> DataFra
     return members.unionByName(groups.join(classes.select("id"), "id", "left_anti"))
 
 
+def _cluster_pairs(decisions: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pending decisions between two clusters, lo and hi the least ids of these."""
+    out = decisions.filter("decision = 'pending'")
+    for p in ("left", "right"):
+        out = out.join(roots.select(C("node").alias(f"{p}_id"), C("root").alias(f"{p}_root")), f"{p}_id", "left").withColumn(f"{p}_c", F.coalesce(f"{p}_root", f"{p}_id"))
+    return out.filter("left_c <> right_c").withColumn("lo", F.least("left_c", "right_c")).withColumn("hi", F.greatest("left_c", "right_c"))
+
+
+def _members(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(lo, hi, member) of pairs of clusters; what belongs to no cluster is one of its own."""
+    ends = pairs.select("lo", "hi").distinct().select("lo", "hi", F.explode(F.array("lo", "hi")).alias("root")).join(roots, "root", "left")
+    return ends.select("lo", "hi", F.coalesce("node", "root").alias("member"))
+
+
 def review_proposals(decisions: DataFrame, equivalences: DataFrame) -> DataFrame:
     """Pending decisions collapsed to pairs of clusters: representative (highest confidence, lowest id), number and ids
     of the decisions, and the members of both clusters; pairs within a cluster are dropped."""
     roots = connected_components(equivalences)
-    out = decisions.filter("decision = 'pending'")
-    for p in ("left", "right"):
-        out = out.join(roots.select(C("node").alias(f"{p}_id"), C("root").alias(f"{p}_root")), f"{p}_id", "left").withColumn(f"{p}_c", F.coalesce(f"{p}_root", f"{p}_id"))
-    out = out.filter("left_c <> right_c").withColumn("lo", F.least("left_c", "right_c")).withColumn("hi", F.greatest("left_c", "right_c"))
+    out = _cluster_pairs(decisions, roots)
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     pairs = out.groupBy("lo", "hi").agg(F.max_by("id", F.struct(C("confidence"), -C("id"))).alias("representative"), F.max("confidence").alias("confidence"), F.count("*").alias("decisions"), listed("id").alias("decision_ids"))
-    ends = pairs.select("lo", "hi", F.explode(F.array("lo", "hi")).alias("root")).join(roots, "root", "left")
-    members = ends.groupBy("lo", "hi").agg(listed(F.coalesce("node", "root")).alias("members"))
+    members = _members(pairs, roots).groupBy("lo", "hi").agg(listed("member").alias("members"))
     return pairs.join(members, ["lo", "hi"])
 
 
+def proposal_rows(decisions: DataFrame, equivalences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """E22 without lists, for clusters of any size: (members (lo, hi, member), decisions (lo, hi, id))."""
+    roots = connected_components(equivalences)
+    out = _cluster_pairs(decisions, roots).select("lo", "hi", "id")
+    return _members(out, roots), out
+
+
 def proposal_components(proposals: DataFrame) -> DataFrame:
     """Proposals (lo, hi) that share a series are one batch: (lo, hi, batch)."""
     roots = connected_components(proposals.select(C("lo").alias("a"), C("hi").alias("b")))

@@ -101,6 +101,11 @@ Q.add("e21_connected_components", lambda v: connected_components(_edges(v)))
 Q.oracles["e21_connected_components"] = oracle(f"WITH {_CC.replace('{edges}', _EDGES)} SELECT * FROM cc").replace("WITH ", "WITH RECURSIVE ", 1)
 Q.add("e22_review_proposals", lambda v: E.review_proposals(v("decision"), _edges(v)))
 Q.oracles["e22_review_proposals"] = oracle(f"WITH {_CC.replace('{edges}', _EDGES)}, p AS (SELECT d.*, coalesce(x.root, left_id) AS l, coalesce(y.root, right_id) AS h FROM {{decision}} d LEFT JOIN cc x ON x.node = left_id LEFT JOIN cc y ON y.node = right_id WHERE decision = 'pending') SELECT least(l, h) AS lo, greatest(l, h) AS hi, arg_max(id, (confidence, -id)) AS representative, max(confidence) AS confidence, count(*) AS decisions, string_agg(id, ',' ORDER BY id) AS decision_ids, array_to_string(list_sort(list_distinct(list_concat(any_value(lm), any_value(hm)))), ',') AS members FROM (SELECT p.*, coalesce((SELECT list(node) FROM cc WHERE root = l), [l]) AS lm, coalesce((SELECT list(node) FROM cc WHERE root = h), [h]) AS hm FROM p) WHERE l <> h GROUP BY 1, 2").replace("WITH ", "WITH RECURSIVE ", 1)
+_PENDING = "p AS (SELECT d.id, coalesce(x.root, left_id) AS l, coalesce(y.root, right_id) AS h FROM {decision} d LEFT JOIN cc x ON x.node = left_id LEFT JOIN cc y ON y.node = right_id WHERE decision = 'pending'), q AS (SELECT id, least(l, h) AS lo, greatest(l, h) AS hi FROM p WHERE l <> h)"
+Q.add("e22_proposal_members", lambda v: E.proposal_rows(v("decision"), _edges(v))[0])
+Q.oracles["e22_proposal_members"] = oracle(f"WITH {_CC.replace('{edges}', _EDGES)}, {_PENDING}, z AS (SELECT DISTINCT lo, hi, unnest([lo, hi]) AS root FROM q) SELECT lo, hi, coalesce(node, z.root) AS member FROM z LEFT JOIN cc ON cc.root = z.root").replace("WITH ", "WITH RECURSIVE ", 1)
+Q.add("e22_proposal_decisions", lambda v: E.proposal_rows(v("decision"), _edges(v))[1])
+Q.oracles["e22_proposal_decisions"] = oracle(f"WITH {_CC.replace('{edges}', _EDGES)}, {_PENDING} SELECT lo, hi, id FROM q").replace("WITH ", "WITH RECURSIVE ", 1)
 Q.add("e23_proposal_components", lambda v: E.proposal_components(E.review_proposals(v("decision"), _edges(v))))
 Q.add("e24_provider_conflicts", lambda v: E.provider_conflicts(v("identity").selectExpr("CAST(id / 8 AS BIGINT) AS group_id", "series_id").distinct(), v("identity"), v("chapter")), f"WITH g AS (SELECT DISTINCT id // 8 AS group_id, series_id FROM {{identity}}), m AS (SELECT group_id, id, source, {_KEY} AS k, {_URL} AS u FROM g JOIN {{identity}} i USING (series_id)), s AS (SELECT x.group_id, x.id AS a, y.id AS b, x.k = y.k OR x.u = y.u AS key FROM m x JOIN m y ON x.group_id = y.group_id AND x.source = y.source AND x.id < y.id), p AS (SELECT DISTINCT a, b FROM s), {_OVER} SELECT group_id, bool_or(NOT key AND (coalesce(common, 0) < 2 OR (least(coalesce(na.n, 0), coalesce(nb.n, 0)) > 0 AND common / least(na.n, nb.n) < 0.5))) AS conflict FROM s LEFT JOIN c USING (a, b) LEFT JOIN n na ON na.i = a LEFT JOIN n nb ON nb.i = b GROUP BY group_id")
 Q.add("e25_blockers", lambda v: E.blockers(v("decision").selectExpr("id", "explode(array(left_id, right_id)) AS series_id"), v("decision").filter("id % 5 = 0").select("id"), v("job").filter("status = 'leased'").select("series_id"), v("identity").filter("size = 7").select("series_id")).select("id", F.array_join("blockers", ",").alias("blockers")), "WITH p AS (SELECT id, unnest([left_id, right_id]) AS s FROM {decision}) SELECT id, concat_ws(',', CASE WHEN id % 5 = 0 THEN 'provider_conflict' END, CASE WHEN bool_or(s IN (SELECT series_id FROM {job} WHERE status = 'leased')) THEN 'active_work' END, CASE WHEN bool_or(s IN (SELECT series_id FROM {identity} WHERE size = 7)) THEN 'reserved' END) AS blockers FROM p GROUP BY id")
