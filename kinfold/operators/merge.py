@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions import text as T
@@ -42,10 +42,11 @@ def merge_reading(states: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge_artifacts(artifacts: DataFrame, keys: list[str]) -> DataFrame:
-    """M5: of several active artifacts the lowest id stays active, the others are put aside."""
-    first = first_row(artifacts.filter("state = 'active'"), keys, [C("id")]).select("id").withColumn("__first", F.lit(True))
-    out = artifacts.join(first, "id", "left")
-    return out.withColumn("state", F.when((C("state") == "active") & C("__first").isNull(), "quarantined").otherwise(C("state"))).drop("__first")
+    """M5: of several active artifacts of one key the lowest id stays active, the others are put aside. Artifacts of other keys
+    may have the same id."""
+    place = F.row_number().over(Window.partitionBy(*keys, "state").orderBy("id"))
+    out = artifacts.withColumn("__place", place)
+    return out.withColumn("state", F.when((C("state") == "active") & (C("__place") > 1), "quarantined").otherwise(C("state"))).drop("__place")
 
 
 def merge_aliases(aliases: DataFrame, key: str = "series_id") -> DataFrame:
