@@ -174,17 +174,18 @@ def identity_repair_audit(identities: DataFrame, children: DataFrame, least_titl
     return out.select(*keys, "identities", F.round("title", 4).alias("title"), "common", "cover_agrees", F.when(safe, "consolidate").otherwise("quarantine").alias("action"))
 
 
-def archive_check(archives: DataFrame, members: DataFrame, metadata: DataFrame, expected: DataFrame, checked: DataFrame) -> DataFrame:
+def archive_check(archives: DataFrame, members: DataFrame, metadata: DataFrame, expected: DataFrame, checked: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """(path, rule) of stored archives (path, checksum, readable) that weren't checked yet (checksum): unreadable, without
     page images (members: path, member), without metadata or with another series or number than the catalog's (metadata,
-    expected: path, series_id, number), in the catalog not exactly once, or of one page and a fractional number (to review)."""
+    expected: path, series_id, number), in the catalog not exactly once, or of one page and a fractional number (to review).
+    keys tell archives apart; where a path may hold several, all tables but the last have their checksum too, and keys names it."""
     from kinfold.functions import text as T
 
-    C = F.col
-    pages = members.filter(T.is_page_image(F.concat(F.lit("https://archive.test/"), "member"))).groupBy("path").agg(F.count("*").alias("pages"))
-    told = metadata.groupBy("path").agg(F.min(F.struct(C("series_id").alias("s"), C("number").alias("n"))).alias("told"))
-    known = expected.groupBy("path").agg(F.count("*").alias("places"), F.min(F.struct(C("series_id").alias("s"), C("number").alias("n"))).alias("known"))
-    rows = archives.join(checked.select("checksum").distinct(), "checksum", "left_anti").join(pages, "path", "left").join(told, "path", "left").join(known, "path", "left")
+    C, of = F.col, list(keys)
+    pages = members.filter(T.is_page_image(F.concat(F.lit("https://archive.test/"), "member"))).groupBy(*of).agg(F.count("*").alias("pages"))
+    told = metadata.groupBy(*of).agg(F.min(F.struct(C("series_id").alias("s"), C("number").alias("n"))).alias("told"))
+    known = expected.groupBy(*of).agg(F.count("*").alias("places"), F.min(F.struct(C("series_id").alias("s"), C("number").alias("n"))).alias("known"))
+    rows = archives.join(checked.select("checksum").distinct(), "checksum", "left_anti").join(pages, of, "left").join(told, of, "left").join(known, of, "left")
     n, places = F.coalesce("pages", F.lit(0)), F.coalesce("places", F.lit(0))
     rules = {
         "unreadable": ~C("readable"),

@@ -284,10 +284,10 @@ Q.add(
 # Artifacts as archives: some unreadable, empty, without metadata, or with another number than the catalog's.
 def _breaches(v):
     a = v("artifact").withColumn("path", F.concat(F.lit("a/"), C("id").cast("string")))
-    members = a.filter("id % 9 <> 0").selectExpr("path", "explode(IF(id % 8 = 0, array('1.jpg'), array('1.jpg', '2.png', 'info.xml', 'logo.png'))) AS member")
-    told = a.filter("id % 10 <> 0").selectExpr("path", "series_id", "CAST(chapter AS DOUBLE) / 2 + IF(id % 21 = 0, 1, 0) AS number")
-    known = a.filter("id % 25 <> 0").selectExpr("path", "series_id", "CAST(chapter AS DOUBLE) / 2 AS number")
-    return I.archive_check(a.selectExpr("path", "checksum", "id % 12 <> 0 AS readable"), members, told, known, a.filter("id % 6 = 1").select("checksum"))
+    members = a.filter("id % 9 <> 0").selectExpr("path", "checksum", "explode(IF(id % 8 = 0, array('1.jpg'), array('1.jpg', '2.png', 'info.xml', 'logo.png'))) AS member")
+    told = a.filter("id % 10 <> 0").selectExpr("path", "checksum", "series_id", "CAST(chapter AS DOUBLE) / 2 + IF(id % 21 = 0, 1, 0) AS number")
+    known = a.filter("id % 25 <> 0").selectExpr("path", "checksum", "series_id", "CAST(chapter AS DOUBLE) / 2 AS number")
+    return I.archive_check(a.selectExpr("path", "checksum", "id % 12 <> 0 AS readable"), members, told, known, a.filter("id % 6 = 1").select("checksum"), ("path", "checksum"))
 
 
 _FACTS = """f AS (SELECT id, 'a/' || id AS path, id % 12 <> 0 AS readable, CASE WHEN id % 9 = 0 THEN 0 WHEN id % 8 = 0 THEN 1 ELSE 2 END AS pages, id % 10 <> 0 AS told, id % 21 = 0 AS wrong, id % 25 <> 0 AS placed, chapter % 2 = 1 AS half FROM {artifact} WHERE id % 6 <> 1),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kinfold.operators import audit as I
 from kinfold.operators import merge as M
 
 
@@ -13,3 +14,12 @@ def test_artifacts_of_one_id_in_two_series(spark):
     a = spark.createDataFrame([(1, 10, 1, "active"), (2, 10, 1, "active"), (2, 20, 1, "active"), (1, 20, 2, "active"), (3, 20, 1, "active"), (3, 30, 1, "lost")], "id bigint, series_id bigint, chapter bigint, state string")
     got = rows(M.merge_artifacts(a, ["series_id", "chapter"]).select("series_id", "chapter", "id", "state"))
     assert got == [(10, 1, 1, "active"), (10, 1, 2, "quarantined"), (20, 1, 2, "active"), (20, 1, 3, "quarantined"), (20, 2, 1, "active"), (30, 1, 3, "lost")]
+
+
+def test_archives_of_one_path(spark):
+    archives = spark.createDataFrame([("a/1", "x", True), ("a/1", "y", True), ("a/2", "z", True)], "path string, checksum string, readable boolean")
+    members = spark.createDataFrame([("a/1", "x", "1.jpg"), ("a/1", "y", "1.jpg"), ("a/1", "y", "2.jpg"), ("a/2", "z", "1.jpg")], "path string, checksum string, member string")
+    told = spark.createDataFrame([("a/1", "x", 10, 1.5), ("a/1", "y", 20, 2.5), ("a/2", "z", 30, 4.0)], "path string, checksum string, series_id bigint, number double")
+    known = spark.createDataFrame([("a/1", "x", 10, 1.5), ("a/1", "y", 20, 3.5), ("a/2", "z", 30, 4.0)], "path string, checksum string, series_id bigint, number double")
+    none = archives.limit(0).select("checksum")
+    assert rows(I.archive_check(archives, members, told, known, none, ("path", "checksum"))) == [("a/1", "metadata_differs"), ("a/1", "review_single_page")]
