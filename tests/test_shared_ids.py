@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import duckdb
+import pytest
+
 from kinfold.operators import audit as I
 from kinfold.operators import merge as M
+from kinfold.plans import registry
 
 
 def rows(df):
@@ -23,3 +27,20 @@ def test_archives_of_one_path(spark):
     known = spark.createDataFrame([("a/1", "x", 10, 1.5), ("a/1", "y", 20, 3.5), ("a/2", "z", 30, 4.0)], "path string, checksum string, series_id bigint, number double")
     none = archives.limit(0).select("checksum")
     assert rows(I.archive_check(archives, members, told, known, none, ("path", "checksum"))) == [("a/1", "metadata_differs"), ("a/1", "review_single_page")]
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    """Lines of 30 parts and 4 suppliers, who have keys in three thousands: one artifact id stands for up to three."""
+    path = tmp_path_factory.mktemp("shared")
+    duckdb.sql(f"COPY (SELECT p AS l_partkey, s + 1000 * k AS l_suppkey FROM range(30) a(p), range(4) b(s), range(3) c(k)) TO '{path}/lineitem.parquet' (FORMAT parquet)")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["m05_merge_artifacts", "i10_archive_check", "x04_import_records"])
+def test_queries_of_shared_ids(spark, folder, name):
+    df = registry.QUERIES[name](spark, folder)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet'")
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({registry.ORACLES[name]})").fetchall()
+    assert rows(df) == sorted(want)
