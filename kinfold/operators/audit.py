@@ -135,14 +135,21 @@ def transition_check(jobs: DataFrame, states: list[str], max_attempts: int, asof
 def storage_reconcile(expected: DataFrame, manifest: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(state of each expected row: ok, repair or missing_blob; one row of counts, orphan blobs among them).
 
-    expected: blob_path, checksum, projection_path; manifest: path, sha256 of the files there are; known: blob_path."""
-    files = lambda p: manifest.select(F.col("path").alias(f"{p}_path"), F.col("sha256").alias(f"__{p}"))
-    rows = expected.join(files("blob"), "blob_path", "left").join(files("projection"), "projection_path", "left")
-    state = F.when(~F.col("__blob").eqNullSafe(F.col("checksum")), "missing_blob").when(~F.col("__projection").eqNullSafe(F.col("checksum")), "repair").otherwise("ok")
+    expected: blob_path, checksum, projection_path; manifest: path, sha256 of the files there are; known: blob_path. Several
+    rows may expect a file at one path, and several volumes hold one: a row has its file if any of them has its checksum."""
+    held = manifest.select("path", "sha256").distinct()
+
+    def has(rows: DataFrame, p: str) -> DataFrame:
+        files = held.select(F.col("path").alias("__path"), F.col("sha256").alias("__sum"), F.lit(True).alias(f"__{p}"))
+        return rows.join(files, (F.col(f"{p}_path") == F.col("__path")) & F.col("checksum").eqNullSafe(F.col("__sum")), "left").drop("__path", "__sum")
+
+    rows = has(has(expected, "blob"), "projection")
+    state = F.when(F.col("__blob").isNull(), "missing_blob").when(F.col("__projection").isNull(), "repair").otherwise("ok")
     rows = rows.select("blob_path", "projection_path", state.alias("state"))
     count = lambda s: F.count_if(F.col("state") == s)
     numbers = rows.agg(F.count("*").alias("checked"), count("ok").alias("ok"), count("repair").alias("repair"), count("missing_blob").alias("missing_blobs"))
-    orphans = files("blob").filter(F.col("blob_path").startswith("blobs/")).join(known.select("blob_path"), "blob_path", "left_anti").agg(F.count("*").alias("orphan_blobs"))
+    blobs = held.select(F.col("path").alias("blob_path")).filter(F.col("blob_path").startswith("blobs/")).distinct()
+    orphans = blobs.join(known.select("blob_path"), "blob_path", "left_anti").agg(F.count("*").alias("orphan_blobs"))
     return rows, numbers.crossJoin(orphans)  # one row each
 
 

@@ -37,10 +37,18 @@ def folder(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["m05_merge_artifacts", "i10_archive_check", "x04_import_records"])
+@pytest.mark.parametrize("name", ["m05_merge_artifacts", "i10_archive_check", "x04_import_records", "i11_storage_states", "i11_storage_reconcile"])
 def test_queries_of_shared_ids(spark, folder, name):
     df = registry.QUERIES[name](spark, folder)
     con = duckdb.connect()
     con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet'")
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({registry.ORACLES[name]})").fetchall()
     assert rows(df) == sorted(want)
+
+
+def test_files_of_one_path(spark):
+    expected = spark.createDataFrame([("blobs/x", "x", "library/1"), ("blobs/y", "y", "library/1"), ("blobs/z", "z", "library/1"), ("blobs/n", None, "library/2")], "blob_path string, checksum string, projection_path string")
+    manifest = spark.createDataFrame([("blobs/x", "x"), ("blobs/x", "x"), ("blobs/y", "y"), ("blobs/z", "z"), ("library/1", "x"), ("library/1", "y"), ("blobs/o", "o"), ("blobs/o", "p")], "path string, sha256 string")
+    states, numbers = I.storage_reconcile(expected, manifest, expected.select("blob_path"))
+    assert rows(states.select("blob_path", "state")) == [("blobs/n", "missing_blob"), ("blobs/x", "ok"), ("blobs/y", "ok"), ("blobs/z", "repair")]
+    assert numbers.first().asDict() == {"checked": 4, "ok": 2, "repair": 1, "missing_blobs": 1, "orphan_blobs": 1}
