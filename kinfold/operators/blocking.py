@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import text as T
 from kinfold.operators.sets import first_meeting, key_pairs, keys_listed
+from kinfold.session import write_table
 
 C = F.col
 
@@ -74,7 +75,7 @@ def classes(rows: DataFrame, keys: list[str], kind: list[str] | None = None) ->
     """(class, id) of rows (id, keys) that share all keys with another: class is the least id of the key. Where an id has several
     keys, `kind` names those of them that tell classes of one least id apart, and the result has them too."""
     first = rows.groupBy(*keys).agg(F.min("id").alias("class"), F.count_distinct("id").alias("n")).filter("n > 1")
-    return rows.join(first, keys).select("class", *(kind or []), "id").distinct()
+    return rows.join(first.hint("merge"), keys).select("class", *(kind or []), "id").distinct()
 
 
 def title_classes(identities: DataFrame) -> DataFrame:
@@ -112,7 +113,7 @@ def evidence_profiles(identities: DataFrame, children: DataFrame, external_ids:
     kids = child_profiles(children)
     ids = external_ids.select("identity_id", "provider", "value").distinct().groupBy(C("identity_id").alias("id")).agg(_set_of(["provider", "value"]).alias("ids"))
     own = identities.select("id", F.struct("source", T.normalize_title(C("title")).alias("t"), T.normalize_source_id(C("source_id")).alias("k"), T.canonical_url(C("url")).alias("u"), F.array_sort(T.title_tokens(C("title"))).alias("w")).alias("own"))
-    rows = own.join(kids, "id", "left").join(ids, "id", "left").join(signatures.select("id", "hash"), "id", "left")
+    rows = own.join(kids.hint("merge"), "id", "left").join(ids.hint("merge"), "id", "left").join(signatures.select("id", "hash").hint("merge"), "id", "left")
     return rows.select("id", F.sha2(F.to_json(F.struct("own", "kids", "ids", "hash")), 256).alias("profile"))
 
 
@@ -121,14 +122,15 @@ def class_pairs(members: DataFrame, profiles: DataFrame) -> tuple[DataFrame, Dat
 
     a and b are ids of the profiles p and q, of the same one the two least, and n pairs of members have their evidence; so a
     class makes rows by the number of its profiles, not of its members. Evidence of (a, b) holds for all of them, as evidence
-    looks at profiles only and has no direction.
+    looks at profiles only and has no direction. Members are as many as identities, so they are dealt by id (an estimate from
+    the size of a file would broadcast them) and written once for the steps that read them.
     """
-    rows = members.join(profiles, "id").select("class", "profile", "id")
+    rows = write_table(members.join(profiles.hint("merge"), "id").select("class", "profile", "id"), "profiles")
     of = rows.groupBy("class", "profile").agg(F.min("id").alias("first"), F.count("*").alias("size"))
-    second = rows.join(of.select("class", "profile", "first"), ["class", "profile"]).filter("id > first").groupBy("class", "profile").agg(F.min("id").alias("second"))
+    second = rows.join(of.select("class", "profile", "first").hint("merge"), ["class", "profile"]).filter("id > first").groupBy("class", "profile").agg(F.min("id").alias("second"))
     x, y = of.alias("x"), of.alias("y")
-    apart = x.join(y, F.expr("x.class = y.class AND x.profile < y.profile")).select(C("x.class").alias("class"), C("x.profile").alias("p"), C("y.profile").alias("q"), F.least("x.first", "y.first").alias("a"), F.greatest("x.first", "y.first").alias("b"), (C("x.size") * C("y.size")).alias("n"))
-    same = of.join(second, ["class", "profile"]).select("class", C("profile").alias("p"), C("profile").alias("q"), C("first").alias("a"), C("second").alias("b"), (C("size") * (C("size") - 1) / 2).cast("bigint").alias("n"))
+    apart = x.join(y.hint("merge"), F.expr("x.class = y.class AND x.profile < y.profile")).select(C("x.class").alias("class"), C("x.profile").alias("p"), C("y.profile").alias("q"), F.least("x.first", "y.first").alias("a"), F.greatest("x.first", "y.first").alias("b"), (C("x.size") * C("y.size")).alias("n"))
+    same = of.join(second.hint("merge"), ["class", "profile"]).select("class", C("profile").alias("p"), C("profile").alias("q"), C("first").alias("a"), C("second").alias("b"), (C("size") * (C("size") - 1) / 2).cast("bigint").alias("n"))
     return apart.unionByName(same), rows
 
 
@@ -136,9 +138,9 @@ def expand_evidence(pairs: DataFrame, members: DataFrame, evidence: DataFrame) -
     """Evidence (a, b, ...) of class_pairs for every pair of members (a < b), once. The ids of one class and profile travel as one
     array, so that pairs are made last and never dealt."""
     facts = [c for c in evidence.columns if c not in ("a", "b")]
-    rows = pairs.join(evidence, ["a", "b"]).select("class", "p", "q", *facts)
+    rows = pairs.join(evidence.hint("merge"), ["a", "b"]).select("class", "p", "q", *facts)
     own = keys_listed(members.select("id", "profile", "class"), "class").groupBy("class", "profile").agg(F.collect_list(F.struct("id", "all")).alias("ids"))
     left, right = (own.select("class", C("profile").alias(p), C("ids").alias(i)) for p, i in (("p", "xs"), ("q", "ys")))
-    out = rows.join(left, ["class", "p"]).join(right, ["class", "q"]).withColumn("x", F.explode("xs")).withColumn("y", F.explode("ys"))
+    out = rows.join(left.hint("merge"), ["class", "p"]).join(right.hint("merge"), ["class", "q"]).withColumn("x", F.explode("xs")).withColumn("y", F.explode("ys"))
     out = out.filter(((C("p") != C("q")) | (C("x.id") < C("y.id"))) & (C("x.id") != C("y.id")) & first_meeting(C("class")))
     return out.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), *facts)

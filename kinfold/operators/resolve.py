@@ -49,7 +49,7 @@ def block_title_or_alias(incoming: DataFrame, identities: DataFrame, aliases: Da
     names = names.select("incoming", "s", T.normalize_title(C("n")).alias("k")).filter("k <> ''")
     own = identities.select("id", "source", "title").unionByName(identities.join(aliases.select(C("identity_id").alias("id"), "alias"), "id").select("id", "source", C("alias").alias("title")))
     own = own.select("id", "source", T.normalize_title(C("title")).alias("k"))
-    met = keys_listed(names, "k").alias("x").join(keys_listed(own, "k").alias("y"), (C("x.k") == C("y.k")) & (C("s") != C("source")) & first_meeting(C("x.k")))
+    met = keys_listed(names, "k").alias("x").join(keys_listed(own, "k").alias("y").hint("merge"), (C("x.k") == C("y.k")) & (C("s") != C("source")) & first_meeting(C("x.k")))
     return met.select("incoming", "id")
 
 
@@ -64,7 +64,7 @@ def duplicate_evidence(pairs: DataFrame, identities: DataFrame, children: DataFr
     """Evidence on pairs (a, b) of one provider, and whether they are the same work."""
     pairs = cut(pairs)  # overlaps, ids and sides start from them
     side = lambda p: identities.select(C("id").alias(p), C("source").alias(f"{p}_source"), T.normalize_title(C("title")).alias(f"{p}_title"), T.title_tokens(C("title")).alias(f"{p}_tokens"), T.normalize_source_id(C("source_id")).alias(f"{p}_key"), T.canonical_url(C("url")).alias(f"{p}_url"))
-    out = set_overlap(pairs, children).join(side("a"), "a").join(side("b"), "b")
+    out = set_overlap(pairs, children).join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")  # as many as identities
     out = out.join(external_conflicts(pairs, external), ["a", "b"], "left")
     for p in ("a", "b"):
         out = out.join(signatures.select(C("id").alias(p), C("hash").alias(f"{p}_hash")), p, "left")

@@ -65,8 +65,8 @@ def first_meeting(key: Column, x: str = "x", y: str = "y") -> Column:
 
 def key_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(a, b), a < b, of ids whose rows (id, keys) agree in all keys, each pair once. Rows with a null key agree with none.
-    What is shuffled grows with the rows, not with the pairs."""
+    What is shuffled grows with the rows, not with the pairs, and nothing is broadcast on an estimate of its size."""
     whole = rows.dropna(subset=keys).select("id", F.struct(*keys).alias("k") if len(keys) > 1 else C(keys[0]).alias("k"))
     one = keys_listed(whole, "k")
-    met = one.alias("x").join(one.alias("y"), (C("x.k") == C("y.k")) & (C("x.id") < C("y.id")) & first_meeting(C("x.k")))
+    met = one.alias("x").join(one.alias("y").hint("merge"), (C("x.k") == C("y.k")) & (C("x.id") < C("y.id")) & first_meeting(C("x.k")))
     return met.select(C("x.id").alias("a"), C("y.id").alias("b"))

@@ -65,3 +65,15 @@ def test_no_query_deals_its_pairs(spark):
     assert "Exchange hashpartitioning(a#" not in out.split("Generate")[0]
     assert sorted(map(tuple, found[0].collect())) == [(6, 7)] and sorted(map(tuple, found[1].collect())) == [(5, 6), (5, 7)]
     assert sorted(map(tuple, found[4].collect())) == [(5, 8), (6, 8), (7, 8), (8, 5), (8, 6), (8, 7)]
+
+
+def test_members_are_not_broadcast(spark, tmp_path):
+    """A small file may hold many members: no join of classes and profiles rests on an estimate of its size."""
+    spark.range(1000).selectExpr("id", "'alpha' AS source", "'One' AS title", "IF(id % 2 = 0, 'even', 'odd') AS source_id", "'' AS url").write.parquet(str(tmp_path / "i"))
+    i = spark.read.parquet(str(tmp_path / "i"))
+    none = lambda s: spark.createDataFrame([], s)
+    profiles = B.evidence_profiles(i, none("identity_id bigint, number bigint"), none("identity_id bigint, provider string, value string"), none("id bigint, hash bigint"))
+    pairs, members = B.class_pairs(B.title_classes(i), profiles)
+    assert "Broadcast" not in plan(pairs) and "Broadcast" not in plan(B.title_classes(i)) and "Broadcast" not in plan(members.join(profiles.hint("merge"), "id"))
+    assert "Broadcast" not in plan(key_pairs(i, ["source", "title"]))
+    assert sorted(r.n for r in pairs.collect()) == [124_750, 124_750, 250_000]
