@@ -77,3 +77,25 @@ def test_members_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in plan(pairs) and "Broadcast" not in plan(B.title_classes(i)) and "Broadcast" not in plan(members.join(profiles.hint("merge"), "id"))
     assert "Broadcast" not in plan(key_pairs(i, ["source", "title"]))
     assert sorted(r.n for r in pairs.collect()) == [124_750, 124_750, 250_000]
+
+
+def test_evidence_of_titles_is_gathered_by_profile(spark, tmp_path, monkeypatch):
+    """120 identities of one title and few profiles: evidence is looked up for pairs of profiles and decided pairs of other
+    titles, not for all 7,140 pairs of the title, and is the SQL's."""
+    import duckdb
+
+    from kinfold.plans import registry
+
+    con = duckdb.connect()
+    con.sql("CREATE TABLE part AS SELECT 100 * r AS p_partkey, 'red ring' AS p_name, 'TIN' AS p_type, 'Brand#1' AS p_brand, 1::DOUBLE AS p_retailprice, 1 AS p_size FROM range(120) t(r)")
+    con.sql("CREATE TABLE lineitem AS SELECT p_partkey AS l_partkey, s AS l_suppkey FROM part, range(6) t(s) WHERE s < 5 OR p_partkey % 200 = 0")
+    con.sql("CREATE TABLE embeddings AS SELECT 100::BIGINT AS vec_id, [1::FLOAT FOR x IN range(24)] AS embedding, 1 AS label")
+    for t in ("part", "lineitem", "embeddings"):
+        con.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    asked = []
+    look = E.duplicate_evidence
+    monkeypatch.setattr(E, "duplicate_evidence", lambda pairs, *rest: asked.append(pairs.count()) or look(pairs, *rest))
+    df = registry.QUERIES["e07_duplicate_evidence"](spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({registry.ORACLES['e07_duplicate_evidence']})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want) and len(want) >= 7140
+    assert sum(asked) < 100
