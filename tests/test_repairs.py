@@ -231,3 +231,22 @@ def test_an_edited_plan_with_conflicts_is_refused(spark):
     assert {(1, "release_removed_twice"), (1, "target_removed"), (3, "no_target"), (1, "identities_of_different_series_or_source")} <= found
     with pytest.raises(ValueError, match="plan_conflicts"):
         R.apply_plan(c, plan, Tables(spark, "repairs"))
+
+
+def test_a_plan_writes_no_catalog_of_its_own(spark):
+    """The trial of a plan looks at three tables; it wrote all eight, and each release several times over."""
+    import os
+
+    tables = Tables(spark, "repairs")
+    R.plan_repairs({k: spark.createDataFrame(v, SCHEMAS[k]) for k, v in catalog(1).items()}, tables)
+    assert not {x for x in os.listdir(tables.base.removeprefix("file://")) if x in {f"trial-{k}" for k in SCHEMAS}}
+
+
+def test_the_given_catalog_is_derived_once(spark):
+    """Chapters are distinct lines: no table of the catalog reads lines again."""
+    from kinfold.plans.fixtures import view
+    from kinfold.plans.maintenance_queries import _catalog
+
+    folder = "/root/testdata/sf0.001"
+    c = _catalog(lambda x: view(spark, folder, x), Tables(spark, "repairs"))
+    assert not [f for df in c.values() for f in df.inputFiles() if "lineitem" in f]
