@@ -57,30 +57,31 @@ def validate_document(series: DataFrame, sources: DataFrame, separations: DataFr
 
 def resolve_sources(sources: DataFrame, identities: DataFrame) -> DataFrame:
     """sources with id and series_id of the local identity: the exact normalised id, else the only one of its source with
-    the same address; n_matches says how many of these there are."""
+    the same address; n_matches says how many of these there are. Local tables are as many as identities, so they are dealt (an
+    estimate from the size of a file would send them through the driver)."""
     address = F.concat(C("source"), F.lit(":"), F.nullif(T.canonical_url(C("url")), F.lit("")))
     local = identities.select("id", "series_id", _identity().alias("i"), address.alias("u"))
     rows = sources.withColumns({"i": _identity(), "u": address})
     exact = local.groupBy("i").agg(F.min("id").alias("exact"))
     near = local.filter("u IS NOT NULL").groupBy("u").agg(F.count("*").alias("near"), F.min("id").alias("only"))
-    out = rows.join(exact, "i", "left").join(near, "u", "left")
+    out = rows.join(exact.hint("merge"), "i", "left").join(near.hint("merge"), "u", "left")
     n = F.when(C("exact").isNotNull(), 1).otherwise(F.coalesce("near", F.lit(0))).cast("long")
     out = out.withColumn("n_matches", n).withColumn("id", F.coalesce("exact", F.when(C("near") == 1, C("only"))))
-    return out.join(identities.select("id", "series_id"), "id", "left").select(*sources.columns, "id", "series_id", "n_matches")
+    return out.join(identities.select("id", "series_id").hint("merge"), "id", "left").select(*sources.columns, "id", "series_id", "n_matches")
 
 
 def plan_import(series: DataFrame, sources: DataFrame, separations: DataFrame, identities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one row of numbers: series, sources, create_series, create_sources, merge_series; conflicts as kind and key)."""
     found = resolve_sources(sources, identities)
     of = found.groupBy("key").agg(F.count("*").alias("n"), F.count_if(C("id").isNull()).alias("new"), F.count_distinct("series_id").alias("local"))
-    numbers = series.select("key").join(of, "key", "left").agg(
+    numbers = series.select("key").join(of.hint("merge"), "key", "left").agg(
         F.count("*").alias("series"), F.sum(F.coalesce("n", F.lit(0))).alias("sources"), F.count_if(F.coalesce("local", F.lit(0)) == 0).alias("create_series"),
         F.sum(F.coalesce("new", F.lit(0))).alias("create_sources"), F.sum(F.greatest(F.coalesce("local", F.lit(0)) - 1, F.lit(0))).alias("merge_series"),
     )
     twice = found.filter("series_id IS NOT NULL").groupBy("series_id").agg(F.count_distinct("key").alias("n")).filter("n > 1").select(F.lit("claimed_twice").alias("kind"), C("series_id").cast("string").alias("key"))
     owner = sources.select(_identity().alias("i"), "key").distinct()
     ends = separations.select(_identity("left_source", "left_id").alias("l"), _identity("right_source", "right_id").alias("r")).distinct()
-    both = ends.join(owner.select(C("i").alias("l"), C("key").alias("lk")), "l").join(owner.select(C("i").alias("r"), C("key").alias("rk")), "r").filter("lk = rk")
+    both = ends.join(owner.select(C("i").alias("l"), C("key").alias("lk")).hint("merge"), "l").join(owner.select(C("i").alias("r"), C("key").alias("rk")).hint("merge"), "r").filter("lk = rk")
     merged = both.select(F.lit("merged_and_separated").alias("kind"), F.concat_ws("|", "l", "r").alias("key")).distinct()
     unclear = found.filter("n_matches > 1").select(F.lit("ambiguous").alias("kind"), _identity().alias("key")).distinct()
     return numbers, twice.union(merged).union(unclear)
@@ -97,15 +98,15 @@ def apply_import(series: DataFrame, sources: DataFrame, reading: DataFrame, sepa
         raise ValueError("the document conflicts with the catalog: see plan_import")
     found = resolve_sources(sources, identities).filter("id IS NOT NULL")
     first = found.groupBy("key").agg(F.min("series_id").alias("first"))
-    roots = connected_components(found.join(first, "key").filter("series_id <> first").select(C("series_id").alias("a"), C("first").alias("b")))
-    root = lambda df, c: df.join(roots.select(C("node").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+    roots = connected_components(found.join(first.hint("merge"), "key").filter("series_id <> first").select(C("series_id").alias("a"), C("first").alias("b")))
+    root = lambda df, c: df.join(roots.select(C("node").alias(c), "root").hint("merge"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
     target = root(first.select("key", C("first").alias("id")), "id")
     stronger = lambda c, order: F.max_by(c, _rank(C(c), order))
-    status = root(local_series.select("id", "status"), "id").unionByName(series.join(target, "key").select("id", "status"))
-    states = root(local_reading.select(C("series_id").alias("id"), "number", "state"), "id").unionByName(reading.join(target, "key").select("id", "number", "state"))
+    status = root(local_series.select("id", "status"), "id").unionByName(series.join(target.hint("merge"), "key").select("id", "status"))
+    states = root(local_reading.select(C("series_id").alias("id"), "number", "state"), "id").unionByName(reading.join(target.hint("merge"), "key").select("id", "number", "state"))
     of = resolve_sources(separations.select(C("left_source").alias("source"), C("left_id").alias("source_id"), F.lit("").alias("url"), "right_source", "right_id"), identities).select(C("id").alias("l"), C("right_source").alias("source"), C("right_id").alias("source_id"), F.lit("").alias("url"))
     apart = resolve_sources(of, identities).filter("l <> id").select(F.least("l", "id").alias("left_id"), F.greatest("l", "id").alias("right_id")).distinct()
-    kept = decisions.select("left_id", "right_id", "decision").join(apart, ["left_id", "right_id"], "left_anti").unionByName(apart.withColumn("decision", F.lit("rejected")))
+    kept = decisions.select("left_id", "right_id", "decision").join(apart.hint("merge"), ["left_id", "right_id"], "left_anti").unionByName(apart.withColumn("decision", F.lit("rejected")))
     return (
         status.groupBy("id").agg(stronger("status", IMPORT_STATUSES).alias("status")),
         states.groupBy(C("id").alias("series_id"), "number").agg(stronger("state", READING).alias("state")),

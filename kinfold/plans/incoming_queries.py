@@ -147,7 +147,7 @@ def _document(v):
     s = v("identity").selectExpr("CAST(id / 2 AS BIGINT) AS key", "id", "source", "IF(id % 7 = 0, concat('fresh-', id), concat(source_id, '-', id)) AS source_id", "'' AS url")
     series = s.select("key").distinct().selectExpr("key", "concat('T', key) AS title", "CASE key % 3 WHEN 0 THEN 'interested' WHEN 1 THEN 'paused' ELSE 'untracked' END AS status")
     reading = s.filter("id % 3 = 0").selectExpr("key", "id % 5 AS number", "IF(id % 2 = 0, 'read', 'unread') AS state")
-    apart = s.alias("x").join(s.alias("y"), F.expr("y.id = x.id + 2 AND x.id % 6 = 1")).select(C("x.source").alias("left_source"), C("x.source_id").alias("left_id"), C("y.source").alias("right_source"), C("y.source_id").alias("right_id"))
+    apart = s.alias("x").join(s.alias("y").hint("merge"), F.expr("y.id = x.id + 2 AND x.id % 6 = 1")).select(C("x.source").alias("left_source"), C("x.source_id").alias("left_id"), C("y.source").alias("right_source"), C("y.source_id").alias("right_id"))
     return series, s.select("key", "source", "source_id", "url"), reading, apart
 
 

@@ -99,3 +99,10 @@ def test_evidence_of_titles_is_gathered_by_profile(spark, tmp_path, monkeypatch)
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({registry.ORACLES['e07_duplicate_evidence']})").fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want) and len(want) >= 7140
     assert sum(asked) < 100
+
+
+@pytest.mark.parametrize("name", ["x03_import_statuses", "x03_import_reading", "x03_import_separations", "x02_import_conflicts"])
+def test_an_import_sends_no_table_through_the_driver(spark, name):
+    from kinfold.plans import registry
+
+    assert "Broadcast" not in plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
