@@ -8,7 +8,6 @@ from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,21 +130,19 @@ def resolved(base: str, address: str) -> str:
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """page_id, visible text, links (array of href, text) and images of saved pages (page_id, html, and url, against
-    which images are resolved)."""
+    which images are resolved). Pages come to Python a hundred at a time, not by Arrow's batches of ten thousand, and are parsed
+    once, whatever is read of them."""
     if "url" not in pages.columns:
         pages = pages.withColumn("url", F.lit(""))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for key, base, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                p = _Links()
-                p.feed(html or "")
-                p.close()
-                out.append((key, " ".join(" ".join(p.text).split()), [{"href": h, "text": " ".join(t.split())} for h, t in p.links], [resolved(base or "", x) for x in [*p.images, *script_addresses(html or "")]]))
-            yield pd.DataFrame(out, columns=["page_id", "text", "links", "images"])
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id bigint, text string, links array<struct<href:string,text:string>>, images array<string>")
+    @F.udf("text string, links array<struct<href:string,text:string>>, images array<string>", useArrow=False)
+    def parse(base: str | None, html: str | None) -> tuple:
+        p = _Links()
+        p.feed(html or "")
+        p.close()
+        return " ".join(" ".join(p.text).split()), [(h, " ".join(t.split())) for h, t in p.links], [resolved(base or "", x) for x in [*p.images, *script_addresses(html or "")]]
+
+    return pages.select("page_id", parse.asNondeterministic()("url", "html").alias("x")).select("page_id", "x.*")
 
 
 def extract_links(pages: DataFrame) -> DataFrame:

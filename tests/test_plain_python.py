@@ -309,3 +309,15 @@ def test_closed_runs(spark, tables):
     got = sorted((r.source, r.tier, r.requests, r.failures, r.reason) for r in ask(spark, "t07_closed_runs"))
     timed = [x for x in out if x[4] == "time"]
     assert got and not timed and got == sorted(out)
+
+
+def test_pages_come_to_python_a_few_at_a_time(spark):
+    """Arrow's batches of ten thousand pages made a worker grow with its share of the table; and a page is parsed once."""
+    from kinfold.operators import feeds
+
+    pages = spark.createDataFrame([(1, "https://t.test/?page=1", "<a href='?page=2'>next</a> locked"), (2, "https://t.test/?page=2", None)], "page_id bigint, url string, html string")
+    flags, hint = feeds.page_flags(pages), feeds.page_count_hint(pages)
+    assert sorted(map(tuple, flags.collect())) == [(1, True, False, 0), (2, False, False, 0)] and sorted(map(tuple, hint.collect())) == [(1, True), (2, False)]
+    for df in (flags, hint, feeds.extract_links(pages)):
+        said = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInPandas" not in said and said.count("BatchEvalPython") == 1
