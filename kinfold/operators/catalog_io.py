@@ -26,7 +26,7 @@ from kinfold.operators.components import connected_components
 from kinfold.operators.portable import IMPORT_STATUSES, READING, _identity, _rank, plan_import, resolve_sources, validate_document
 from kinfold.operators.sets import portable_selection, portable_separations
 from kinfold.operators.windows import first_row, with_positions
-from kinfold.session import Tables
+from kinfold.session import Tables, write_table
 
 C = F.col
 Catalog = dict[str, DataFrame]
@@ -39,6 +39,7 @@ def export_catalog(c: Catalog) -> Document:
     ends exported."""
     held = c["artifacts"].filter("state = 'active'").join(c["chapters"].select(C("id").alias("chapter_id"), "series_id"), "chapter_id").select("series_id", "state")
     chosen = portable_selection(c["series"], held, c["identities"], c["decisions"]).join(c["identities"].select(C("series_id").alias("id")), "id", "left_semi")
+    chosen = write_table(chosen, "chosen")  # six tables look at it
     has = held.select(C("series_id").alias("id"), F.lit(True).alias("__held")).distinct()
     series = c["series"].join(chosen, "id", "left_semi").join(has, "id", "left").withColumn("downloaded", F.coalesce("__held", F.lit(False)))
     status = F.when((C("status") == "untracked") & C("downloaded"), "interested").otherwise(C("status"))

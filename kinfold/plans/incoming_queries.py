@@ -15,7 +15,7 @@ from kinfold.plans.build import Queries
 from kinfold.plans.relational_queries import _PREF, mid
 from kinfold.plans.resolve_queries import _KEY, _URL, _series_pairs
 from kinfold.plans.scalar_queries import _norm
-from kinfold.session import Tables, fresh_path
+from kinfold.session import Tables, fresh_path, write_table
 from kinfold.sources import files as S
 
 Q = Queries()
@@ -307,7 +307,7 @@ def _whole(v):
     i = v("identity").filter("id % 7 <> 3").selectExpr("id", "id - id % 2 AS series_id", "source", "concat(source_id, '-', id) AS source_id", "title", "url", "'' AS description", "IF(id % 10 = 0, 'r1', '') AS revision")
     kept = i.select(C("id").alias("identity_id"), "series_id")
     status = "CASE series_id % 5 WHEN 0 THEN 'untracked' WHEN 1 THEN 'interested' WHEN 2 THEN 'reading' WHEN 3 THEN 'caught_up' ELSE 'paused' END"
-    chapters = v("chapter").join(kept, "identity_id").selectExpr("series_id * 100 + number AS id", "series_id", "CAST(number AS STRING) AS number").distinct()
+    chapters = write_table(v("chapter").join(kept, "identity_id").selectExpr("series_id * 100 + number AS id", "series_id", "CAST(number AS STRING) AS number").distinct(), "chapters")  # of all lines
     return {
         "series": i.groupBy("series_id").agg(F.min("title").alias("title")).selectExpr("series_id AS id", "title", "concat('about ', series_id) AS description", f"{status} AS status"), "identities": i,
         "aliases": v("alias").join(kept, "identity_id").select("series_id", "identity_id", "alias").unionByName(i.filter("id % 8 = 0").selectExpr("series_id", "CAST(NULL AS BIGINT) AS identity_id", "concat('own ', id) AS alias")),
@@ -318,18 +318,19 @@ def _whole(v):
     }
 
 
-def _written(v):
+def _written(v, whole=None):
     """The exported document through its file."""
     spark = v("region").sparkSession
     path = fresh_path(spark, "document")
-    S.document_lines(IO.export_catalog(_whole(v)), "2024-01-31T00:00:00Z").write.text(path)
+    S.document_lines(IO.export_catalog(whole or _whole(v)), "2024-01-31T00:00:00Z").write.text(path)
     return S.load_document(spark, path)
 
 
 def _created(v):
     spark = v("region").sparkSession
-    empty = {k: df.limit(0) for k, df in _whole(v).items()}
-    return IO.import_catalog(_written(v)[0], empty, Tables(spark, "import"))
+    whole = _whole(v)
+    empty = {k: df.limit(0) for k, df in whole.items()}
+    return IO.import_catalog(_written(v, whole)[0], empty, Tables(spark, "import"))
 
 
 _CAT = """i AS (SELECT id, id - id % 2 AS s, source, source_id || '-' || id AS source_id, title, url FROM {identity} WHERE id % 7 <> 3), ch AS (SELECT DISTINCT s * 100 + number AS id, s, number FROM {chapter} JOIN i ON i.id = identity_id),

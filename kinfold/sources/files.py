@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.session import write_table
+
 C = F.col
 FEED = "data array<struct<id:string,attributes:struct<title:map<string,string>,chapter:string,pages:bigint,readableAt:string,translatedLanguage:string>,relationships:array<struct<type:string,id:string,name:string>>>>"
 PORTABLE = "format string, version int, series array<struct<title:string,status:string,aliases:array<string>,sources:array<struct<source:string,source_id:string,url:string>>,reading:array<struct<number:bigint,state:string>>>>"
@@ -109,9 +111,10 @@ def document_lines(d: dict[str, DataFrame], exported_at: str) -> DataFrame:
 
 def load_document(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """The tables of portable documents, one a line, and the fields they shouldn't have (row_key, name). A series' key is the
-    least of its sources' identities, else its title; a null line or one that isn't JSON has the field `value`."""
+    least of its sources' identities, else its title; a null line or one that isn't JSON has the field `value`. Documents are parsed
+    once, into a table that all others read."""
     rows = spark.read.text(path).filter("trim(value) <> ''")
-    d = rows.select("value", F.from_json("value", DOCUMENT).alias("d"), F.from_json("value", "map<string,string>").alias("m"))
+    d = write_table(rows.select(F.from_json("value", DOCUMENT).alias("d"), F.from_json("value", "map<string,string>").alias("m")), "documents")
     own = F.array_min(F.transform("s.sources", lambda x: F.concat_ws(":", x["source"], F.trim(x["source_id"]))))
     key = F.coalesce(own, F.concat(F.lit("title:"), C("s.title"))).alias("key")
     series = d.select(F.explode("d.series").alias("s")).select(key, "s")

@@ -175,3 +175,13 @@ def test_unknown_fields_are_found(spark):
     assert sorted(map(tuple, unknown.collect())) == [("document", "more"), ("document", "value"), ("series:t", "odd"), ("source:1", "new")]
     assert d["series"].count() == 1 and d["sources"].select("key", "source_id").first() == ("alpha:1", "1")
     assert d["reading"].count() == 0 and d["providers"].filter(F.col("enabled")).count() == 0
+
+
+def test_a_document_is_parsed_once(spark, tmp_path):
+    """Tables of a document come from its parsed form: no text is read again, whatever the number of rules that look at them."""
+    from kinfold.sources import files
+
+    (tmp_path / "d.jsonl").write_text('{"format":"catalog","version":1,"series":[{"title":"T","sources":[{"source":"a","source_id":"1"}]}],"odd":1}\nnot json\n')
+    d, unknown = files.load_document(spark, str(tmp_path / "d.jsonl"))
+    assert [r.key for r in d["series"].collect()] == ["a:1"] and sorted(map(tuple, unknown.collect())) == [("document", "odd"), ("document", "value")]
+    assert all(x.endswith(".parquet") for df in [*d.values(), unknown] for x in df.inputFiles())
