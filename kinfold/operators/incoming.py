@@ -85,15 +85,18 @@ def sync_external_ids(current: DataFrame, wanted: DataFrame) -> DataFrame:
 def block_cover_band(probes: DataFrame, identities: DataFrame, signatures: DataFrame, most: int = 200, prefix: int = 12) -> DataFrame:
     """E5: (a, b): for each probe (id) its first `most` identities by id, of another source and series, that share a band
     of the cover hash (signatures: id, bands) or begin with the same letters of the normalised title. Of a key and source only
-    the rows that can be among the first are joined."""
+    the rows that can be among the first are joined, as one list a key, of which a probe takes `most`."""
     rows = identities.select("id", "source", "series_id", F.substring(T.normalize_title(C("title")), 1, prefix).alias("t")).join(signatures.select("id", "bands"), "id", "left")
     titled = F.when(C("t") != "", F.concat(F.lit("t:"), "t"))
     keys = F.array_append(F.transform(F.coalesce("bands", F.array().cast("array<string>")), lambda b, i: F.when(b != "", F.concat_ws(":", i.cast("string"), b))), titled)
     rows = rows.select("id", "source", "series_id", F.explode(F.array_compact(keys)).alias("k"))
     own = rows.join(probes.select("id").distinct(), "id", "left_semi")
     few = _first_of_keys(_first_of_keys(rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))), most, ["k", "source", "salt"]), most, ["k", "source"])
-    met = own.alias("x").join(few.alias("y"), F.expr("x.k = y.k AND x.source <> y.source AND x.series_id <> y.series_id")).select(C("x.id").alias("a"), C("y.id").alias("b")).distinct()
-    return first_rows(met, ["a"], [C("b")], most)
+    listed = few.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("id", "source", "series_id"))).alias("ys"))  # some 2 * most a source
+    others = F.filter("ys", lambda y: (y["source"] != C("source")) & (y["series_id"] != C("series_id")))
+    met = own.join(listed.hint("merge"), "k").select(C("id").alias("a"), F.slice(F.transform(others, lambda y: y["id"]), 1, most).alias("bs"))
+    first = met.groupBy("a").agg(F.flatten(F.collect_list("bs")).alias("bs"))  # `most` of each of a probe's few keys
+    return first.select("a", F.explode(F.slice(F.array_sort(F.array_distinct("bs")), 1, most)).alias("b"))
 
 
 def _first_of_keys(rows: DataFrame, most: int, group: list[str]) -> DataFrame:

@@ -106,3 +106,14 @@ def test_an_import_sends_no_table_through_the_driver(spark, name):
     from kinfold.plans import registry
 
     assert "Broadcast" not in plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_cover_bands_deal_lists_not_pairs(spark):
+    """A probe takes a list of each of its keys; pairs were dealt twice, once by both ids."""
+    from kinfold.operators import incoming as N
+
+    rows = spark.createDataFrame([(i, "ab"[i % 2], i // 3, "T", ["x"]) for i in range(40)], "id bigint, source string, series_id bigint, title string, bands array<string>")
+    df = N.block_cover_band(rows.select("id"), rows, rows, 5)
+    want = [(a, b) for a in range(40) for b in [b for b in range(40) if a % 2 != b % 2 and a // 3 != b // 3][:5]]
+    assert sorted(map(tuple, df.collect())) == want
+    assert not [x for x in plan(df).splitlines() if "hashpartitioning(a#" in x and "b#" in x.split("200")[0]]
