@@ -169,14 +169,28 @@ def keys(h: np.ndarray, percent: int, level: int = 0) -> tuple[np.ndarray, np.nd
         if d:
             at = np.flatnonzero(seg < d)
             parts.append(mix(sums[seg[at].astype(np.int64)] - mixed[at] + salt[seg[at].astype(np.int64)]))
-        k = np.unique(np.concatenate(parts))
+        bare = np.flatnonzero(count[:d] < 2)  # empty, or empty but for one element
+        k = np.setdiff1d(np.concatenate(parts), mix(salt[bare]))
         found.append((k, np.full(len(k), own), np.ones(len(k), bool)))
+        found += _by_size(mix(salt[bare]), size, own, max(b.low, least), min(b.high, size))
         gaps = np.flatnonzero(count[d:] == 0) + d
-        if len(gaps) and (own or credit < need):
-            found.append((mix(~salt[gaps]), np.full(len(gaps), own), np.full(len(gaps), credit < need)))
+        # Asked of sets so large that the differences may be as many as the credit.
+        low = -(-credit * (100 + percent) // (100 - percent)) - size if credit < need else size + 1
+        found += _by_size(mix(~salt[gaps]), size, own, max(b.low, least, low), min(b.high, size))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _by_size(voids: np.ndarray, size: int, own: bool, low: int, high: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys of segments without elements, which say little: an own set has them with its size, and a set asks for each size
+    from low to high. Without sizes all sets of a band that miss a segment would meet."""
+    if not len(voids):
+        return []
+    asked = np.arange(low, high + 1, dtype=np.uint64)
+    n = np.union1d(asked, _U(size)) if own else asked
+    k = mix(voids[:, None] + mix(n * _A)).ravel()
+    return [(k, np.tile(n == size, len(voids)) & own, np.tile((n >= low) & (n <= high), len(voids)))] if len(k) else []
+
+
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list]]:
     for pdf in batches:
         texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
