@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.bpe import encode_chunked, vocabulary_path
-from kinfold.llm.common import cut, documents, unused, write_table
+from kinfold.llm.common import Tables, cut, documents, join_small, unused, write_table
 from kinfold.llm.langid import fit_languages, identify_languages
 from kinfold.llm.mixing import mix_sources
 from kinfold.llm.ngram_join import near_duplicates
-from kinfold.llm.quality import ADDED, quality_rules
+from kinfold.llm.quality import apply_quality, fit_quality, statistics
 
 
 def _with_own_columns(docs: DataFrame, added: list[str], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -23,8 +23,16 @@ def _with_own_columns(docs: DataFrame, added: list[str], step: Callable[[DataFra
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Null, empty and short texts go; repeated rows get one verdict; other columns,
-    those named as the rules' own too, pass. Empty table: empty result."""
-    return _with_own_columns(docs, ADDED, lambda d: quality_rules(d).filter("kept"))
+    those named as the rules' own too, pass. Empty table: empty result.
+
+    A verdict hangs on text, lang and source alone. Statistics are written without texts, with two 64-bit hashes of the three,
+    and rows go by the hashes of those rejected, so no copy of the texts stays on disk beside the result."""
+    on = [unused(docs, f"__row{k}") for k in (1, 2)]
+    known = [x for c in ("text", "lang", "source") for x in (F.col(c), F.col(c).isNull())]
+    rows = docs.withColumns({c: F.xxhash64(F.lit(k), *known) for k, c in enumerate(on)})
+    stats = write_table(statistics(rows.select("text", "lang", "source", *on)).drop("text"), "quality")
+    rejected = cut(apply_quality(stats, fit_quality(stats)).filter("NOT kept").select(*on).distinct())
+    return join_small(rows, rejected, on, "left_anti", max_rows=1_000_000, salts=8).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +49,12 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group of near duplicates (five words, a similarity of 0.8). Equal rows of
     it are kept once; rows that share its doc_id and differ all stay, as do rows without a doc_id. Texts without words are
-    like no other. Empty table: empty result."""
-    found = near_duplicates(docs, percent=80, width=5).filter("doc_id = component_id")
-    first = cut(found.groupBy("doc_id").agg(F.count("*").alias("rows")))
-    once = docs.join(first.filter("rows = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    often = docs.join(first.filter("rows > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).distinct()
-    return once.unionByName(often).unionByName(docs.filter("doc_id IS NULL"))
+    like no other. Empty table: empty result. Texts aren't dealt while the documents that go are a million at most."""
+    found = near_duplicates(docs, percent=80, width=5).filter("doc_id IS NOT NULL")
+    other = cut(found.groupBy("doc_id").agg(F.count_if(F.expr("doc_id = component_id")).alias("rows")).filter("rows <> 1"))
+    once = join_small(docs, other.select("doc_id"), ["doc_id"], "left_anti", max_rows=1_000_000, salts=1).select(*docs.columns)
+    often = join_small(docs, other.filter("rows > 1").select("doc_id"), ["doc_id"], "left_semi", max_rows=1_000_000, salts=1)
+    return once.unionByName(often.select(*docs.columns).distinct())
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,9 +82,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages over documents. A stage's table goes as soon as the next one is written."""
+    docs, tables, before = documents(spark, sf_dir), Tables(spark, "pipeline"), []
     for name, stage in STAGES:
-        docs = write_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = tables.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        tables.drop(*before)
+        before = [name.replace(" ", "-")]
     return docs
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -41,6 +41,9 @@ CROWD = 16
 BLOCK_ROWS, DIRECT_BLOCKS, LEVELS = 8192, 4, 3
 #: A key that HOT_LEAST rows of a sample (one in HOT_SHARE documents) have is dealt over SALTS tasks; HOT_MOST keys at most.
 HOT_SHARE, HOT_LEAST, HOT_MOST, SALTS = 32, 64, 100_000, 256
+#: Keys are dealt in so many parts, one after the other: nearly all keys are of one document only and go at the end of a part,
+#: so what is on disk at once is a part of them. Each part makes the sets from the texts again.
+PARTS = 2
 #: Bits of the smallest and the greatest sketch.
 LEAST_BITS, MOST_BITS = 1 << 8, 1 << 17
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -206,14 +209,17 @@ def _sizes(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame
         yield pd.DataFrame({"doc_id": ids, "n": [len(s) for s in sets], **sums, "s": [sketch(s) for s in sets]})
 
 
-def _keys(batches: Iterator[pd.DataFrame], width: int, percent: int, level: int) -> Iterator[pd.DataFrame]:
+def _keys(batches: Iterator[pd.DataFrame], width: int, percent: int, level: int, part: int = 0, parts: int = 1) -> Iterator[pd.DataFrame]:
+    """Keys of the sets, of one of `parts` parts."""
     for ids, texts in _texts(batches):
         rows = [(i, len(s), keys(s, percent, level)) for i, t in zip(ids, texts) if len(s := shingle_set(t, width))]
         if rows:
             doc, n, found = zip(*rows)
             key, own, ask = (np.concatenate(x) for x in zip(*found))
             count = [len(k) for k, _, _ in found]
-            yield pd.DataFrame({"key": key.astype(np.int64), "doc": np.repeat(doc, count), "code": np.repeat(n, count) * 4 + own * 2 + ask})
+            doc, code = np.repeat(doc, count), np.repeat(n, count) * 4 + own * 2 + ask
+            at = key % _U(parts) == part
+            yield pd.DataFrame({"key": key[at].astype(np.int64), "doc": doc[at], "code": code[at]})
 
 
 def _sets(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
@@ -283,10 +289,10 @@ class Join:
         """The documents whose doc_id is (or, left_anti, is not) in ids (doc_id, distinct)."""
         return join_small(self.docs, ids, ["doc_id"], how, max_rows=1_000_000, salts=1)
 
-    def keys_of(self, docs: DataFrame, level: int) -> DataFrame:
-        """key, doc, code (size * 4 + own * 2 + ask)."""
+    def keys_of(self, docs: DataFrame, level: int, part: int = 0, parts: int = 1) -> DataFrame:
+        """key, doc, code (size * 4 + own * 2 + ask), of one of `parts` parts of the keys."""
         width, percent = self.width, self.percent
-        return docs.mapInPandas(lambda it: _keys(it, width, percent, level), "key bigint, doc bigint, code bigint")
+        return docs.mapInPandas(lambda it: _keys(it, width, percent, level, part, parts), "key bigint, doc bigint, code bigint")
 
     def with_sets(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) with their sets (or sketches) x and y and sizes. Only those that a pair needs are moved: those
@@ -316,15 +322,18 @@ class Join:
     def shared_keys(self, docs: DataFrame) -> DataFrame:
         """key, doc, n, own, ask, hub, hub_n: rows of keys that several documents have, some of them own and some asking.
         The hub is the smallest own document. Keys that are hot in a sample are dealt over tasks, each with a hub of its
-        own, which give way to one of the whole key afterwards."""
+        own, which give way to one of the whole key afterwards. Part after part is dealt and written."""
         t = self.tables
         sample = self.keys_of(docs.filter(F.pmod(F.xxhash64(F.lit("hot"), "doc_id"), F.lit(HOT_SHARE)) == 0), 0)
         hot = cut(sample.groupBy("key").agg(F.count("*").alias("c")).filter(C("c") >= HOT_LEAST).orderBy(F.desc("c")).limit(HOT_MOST).select("key", F.lit(True).alias("hot")))
-        rows = self.keys_of(docs, 0).join(F.broadcast(hot), "key", "left")  # HOT_MOST rows at most
-        rows = rows.select("key", "doc", "code", F.when(C("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int") + 1).otherwise(0).alias("salt"))
-        key = Window.partitionBy("key", "salt")
-        rows = rows.withColumns({"hub": F.min(F.expr("IF(code & 2 = 2, struct(doc, shiftright(code, 2) AS n), NULL)")).over(key), "asked": F.max(F.expr("code & 1")).over(key), "c": F.count("*").over(key)})
-        rows = t.write(rows.filter("salt > 0 OR (c > 1 AND hub IS NOT NULL AND asked = 1)").drop("c"), "keys")
+        written = []
+        for part in range(PARTS):
+            rows = self.keys_of(docs, 0, part, PARTS).join(F.broadcast(hot), "key", "left")  # HOT_MOST rows at most
+            rows = rows.select("key", "doc", "code", F.when(C("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int") + 1).otherwise(0).alias("salt"))
+            key = Window.partitionBy("key", "salt")
+            rows = rows.withColumns({"hub": F.min(F.expr("IF(code & 2 = 2, struct(doc, shiftright(code, 2) AS n), NULL)")).over(key), "asked": F.max(F.expr("code & 1")).over(key), "c": F.count("*").over(key)})
+            written.append(t.write(rows.filter("salt > 0 OR (c > 1 AND hub IS NOT NULL AND asked = 1)").drop("c"), f"keys/{part}"))
+        rows = reduce(DataFrame.union, written)
         flags = ["key", "doc", F.expr("shiftright(code, 2) AS n"), F.expr("code & 2 = 2 AS own"), F.expr("code & 1 = 1 AS ask")]
         ours = join_small(rows.filter("salt > 0").drop("hub"), rows.filter("salt > 0").groupBy("key").agg(F.min("hub").alias("hub"), F.max("asked").alias("some"), F.count("*").alias("c")).filter("c > 1 AND hub IS NOT NULL AND some = 1").select("key", "hub"), ["key"])
         hub = ["hub.doc AS hub", "hub.n AS hub_n"]

@@ -237,3 +237,16 @@ def test_vectors_at_the_ends_of_doubles(spark):
     y = x / np.linalg.norm(x, axis=1, keepdims=True)
     for row in N.nearest(df, df.filter("vec_id % 20 = 0")).collect():
         assert abs(row.score - float(y[row.query_id] @ y[row.vec_id])) < 1e-9
+
+
+def test_parts_of_keys(spark, docs, monkeypatch):
+    """Keys are dealt part by part: no part has much more than its share, and together they are all."""
+    texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    frame = J.pd.DataFrame(texts, columns=["doc_id", "text"])
+    whole, *parts = (J.pd.concat(J._keys(iter([frame]), 5, 80, 0, k, n)) for k, n in [(0, 1), (0, 3), (1, 3), (2, 3)])
+    assert sorted(J.pd.concat(parts).itertuples(index=False)) == sorted(whole.itertuples(index=False))
+    assert max(map(len, parts)) < 0.4 * len(whole)
+    found, write = [], J.Tables.write
+    monkeypatch.setattr(J.Tables, "write", lambda self, df, name: (found.append(name), write(self, df, name))[1])
+    got = {n: sorted(map(tuple, (monkeypatch.setattr(J, "PARTS", n), J.near_duplicates(docs))[1].collect()), key=str) for n in (1, 3)}
+    assert got[1] == got[3] and {"keys/0", "keys/1", "keys/2"} <= set(found)

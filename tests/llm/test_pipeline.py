@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+import os
+
 import numpy as np
 from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from kinfold import session
 from kinfold.llm.bpe import vocabulary_path
+from kinfold.llm.quality import quality_rules
 
 
 def test_stages(spark, folder, docs):
@@ -51,3 +55,37 @@ def test_empty(spark, none, folder):
     for k, (_, stage) in enumerate(P.STAGES):
         rows = P.write_table(stage(spark, rows, folder), f"none-{k}")
     assert rows.count() == 0
+
+
+def _tables(spark, monkeypatch):
+    """Paths and columns of the tables that are written from now on."""
+    found, write = [], session._write
+    monkeypatch.setattr(session, "_write", lambda df, path: (found.append((path, df.columns)), write(df, path))[1])
+    return found
+
+
+def _there(path):
+    return os.path.exists(path.removeprefix("file://"))
+
+
+def test_quality_leaves_no_texts(spark, docs, monkeypatch):
+    """What the stage leaves on disk has no texts, and its verdicts are those of the rules."""
+    found = _tables(spark, monkeypatch)
+    kept = P.keep_quality(spark, docs, "").collect()
+    assert found and not [path for path, columns in found if "text" in columns]
+    assert sorted(kept, key=str) == sorted(quality_rules(docs).filter("kept").select(*docs.columns).collect(), key=str)
+
+
+def test_stage_tables_go(spark, folder, monkeypatch):
+    """Of the stages' tables the last one stays."""
+    found = _tables(spark, monkeypatch)
+    rows = P.run(spark, folder)
+    stages = [path for path, _ in found if path.rsplit("/", 1)[1].split("-")[0] in {name.split(" ")[0] for name, _ in P.STAGES}]
+    assert rows.count() and [path for path, columns in found if "text" in columns and _there(path)] == []
+    assert _there(stages[-1]) and "token_ids" in rows.columns
+
+
+def test_texts_are_not_dealt(spark, docs):
+    """Documents that go are told by a broadcast, not by a shuffle of all texts."""
+    plan = P.keep_distinct(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
