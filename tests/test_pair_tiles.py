@@ -53,3 +53,15 @@ def test_evidence_takes_children_as_arrays(spark, tmp_path):
         values = {0: {"1"}, 1: {"1", "2"}, 4: {"1"}}
         conflict = lambda a, b: any(u != v for u in values.get(a, ()) for v in values.get(b, ()))
         assert got == {(a, b): (len((side(a) & side(b)) - {None}), min(len(side(a)), len(side(b))), conflict(a, b)) for a, b in combinations(range(14), 2)}
+
+
+def test_evidence_of_classes_is_joined_in_groups(spark):
+    """300 identities of one profile: one row of evidence, 44,850 pairs, whose ids travel by tiles."""
+    i = spark.range(300).selectExpr("id", "'alpha' AS source", "'One Title' AS title", "'' AS source_id", "'' AS url")
+    none = lambda s: spark.createDataFrame([], s)
+    profiles = B.evidence_profiles(i, none("identity_id bigint, number bigint"), none("identity_id bigint, provider string, value string"), none("id bigint, hash bigint"))
+    assert dict(profiles.dtypes)["profile"] == "binary" and profiles.select(F.max(F.length("profile"))).first()[0] == 16  # 64 letters before
+    pairs, members = B.class_pairs(B.title_classes(i), profiles)
+    assert "Exchange" not in plan(pairs)  # written once: evidence and its expansion both read them
+    rows, joined = joined_rows(B.expand_evidence(pairs, members, pairs.select("a", "b", F.lit(1).alias("x"))))
+    assert rows == [(a, b, 1) for a, b in combinations(range(300), 2)] and joined < 100
