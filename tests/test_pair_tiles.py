@@ -34,6 +34,15 @@ def joined_rows(df):
     return rows, found[0]
 
 
+def test_listings_of_a_common_alias_are_joined_in_groups(spark):
+    i = spark.range(200).selectExpr("id", "IF(id % 2 = 0, 'alpha', 'beta') AS source", "IF(id < 100, 'Red Ring', concat('Other ', id)) AS title")
+    incoming = i.withColumn("aliases", F.array(F.lit("red ring"), F.lit("Red  Ring")))
+    aliases = spark.createDataFrame([(150, "Red Ring"), (3, "Other 4")], "identity_id bigint, alias string")
+    rows, joined = joined_rows(E.block_title_or_alias(incoming, i, aliases))
+    named = [*range(100), 150]
+    assert rows == sorted((a, b) for a in range(200) for b in named if a % 2 != b % 2) and joined < 1000
+
+
 def test_evidence_takes_children_as_arrays(spark, tmp_path):
     """Pairs were joined with one row for each child of both sides; a missing number counts as a child in common with none."""
     r = random.Random(5)
