@@ -34,6 +34,31 @@ def joined_rows(df):
     return rows, found[0]
 
 
+@pytest.mark.parametrize("tile", [1, 7, 5000])
+def test_tiles_of_a_key_hold_every_pair_once(spark, tile):
+    r = random.Random(tile)
+    rows = [(i, r.choice(["hot", "hot", "p", None])) for i in range(120)] + [(r.randrange(120), r.choice("pqrst")) for _ in range(150)]
+    df = spark.createDataFrame(rows, "id bigint, k string")
+    of = {}
+    for i, k in rows:
+        if k is not None:
+            of.setdefault(i, set()).add(k)
+    assert sorted(map(tuple, key_pairs(df, ["k"], tile).collect())) == [(a, b) for a, b in combinations(sorted(of), 2) if of[a] & of[b]]
+    left, right = ([(i, "ab"[i % 3 > 0], k) for i, k in rows if i % 4 != n and k] for n in (1, 2))
+    have = lambda some: {i: {k for j, _, k in some if j == i} for i, _, _ in some}
+    x, y = have(left), have(right)
+    want = sorted((a, b) for a in x for b in y if x[a] & y[b] and (a % 3 > 0) != (b % 3 > 0))
+    shaped = lambda some: spark.createDataFrame(some, "id bigint, s string, k string")
+    assert sorted(map(tuple, key_meetings(shaped(left), shaped(right), ["id", "s"], ["s"], tile).collect())) == want and want
+
+
+def test_band_pairs_of_a_common_band_are_joined_in_groups(spark):
+    """200 rows of one band: 19,900 pairs, which were joined one by one."""
+    df = spark.range(200).selectExpr("id", "array('x', string(id)) AS bands", "concat('t', id) AS title")
+    rows, joined = joined_rows(R.band_pairs(df))
+    assert rows == list(combinations(range(200), 2)) and joined < 100
+
+
 def test_listings_of_a_common_alias_are_joined_in_groups(spark):
     i = spark.range(200).selectExpr("id", "IF(id % 2 = 0, 'alpha', 'beta') AS source", "IF(id < 100, 'Red Ring', concat('Other ', id)) AS title")
     incoming = i.withColumn("aliases", F.array(F.lit("red ring"), F.lit("Red  Ring")))
