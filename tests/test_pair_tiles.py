@@ -59,6 +59,13 @@ def test_band_pairs_of_a_common_band_are_joined_in_groups(spark):
     assert rows == list(combinations(range(200), 2)) and joined < 100
 
 
+def test_identities_of_one_id_and_address_are_joined_in_groups(spark):
+    """They met under both keys, one by one, to be dropped under the second."""
+    df = spark.range(200).selectExpr("id", "'alpha' AS source", "'T' AS title", "'x-1' AS source_id", "'https://t.test/a' AS url")
+    rows, joined = joined_rows(E.block_identity_key(df))
+    assert rows == list(combinations(range(200), 2)) and joined < 100
+
+
 def test_listings_of_a_common_alias_are_joined_in_groups(spark):
     i = spark.range(200).selectExpr("id", "IF(id % 2 = 0, 'alpha', 'beta') AS source", "IF(id < 100, 'Red Ring', concat('Other ', id)) AS title")
     incoming = i.withColumn("aliases", F.array(F.lit("red ring"), F.lit("Red  Ring")))
