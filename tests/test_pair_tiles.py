@@ -106,3 +106,12 @@ def test_evidence_of_classes_is_joined_in_groups(spark):
     assert "Exchange" not in plan(pairs)  # written once: evidence and its expansion both read them
     rows, joined = joined_rows(B.expand_evidence(pairs, members, pairs.select("a", "b", F.lit(1).alias("x"))))
     assert rows == [(a, b, 1) for a, b in combinations(range(300), 2)] and joined < 100
+
+
+def test_a_listing_reads_children_once(spark, tmp_path):
+    i = spark.createDataFrame([(1, "alpha", "One", "a", ""), (2, "alpha", "One", "b", ""), (3, "beta", "One", "c", "")], "id bigint, source string, title string, source_id string, url string")
+    incoming = spark.createDataFrame([(11, "alpha", "One", "z", ""), (12, "beta", "Two", "c", "")], i.schema)
+    spark.createDataFrame([(k, n) for k in (1, 2, 11, 12) for n in range(6 if k != 1 else 5)], "identity_id bigint, number bigint").write.parquet(str(tmp_path / "given"))
+    out = N.equivalent_listing(incoming, i, spark.read.parquet(str(tmp_path / "given")), spark.createDataFrame([], "identity_id bigint, provider string, value string"))
+    assert "/given" not in plan(out)
+    assert [tuple(x) for x in out.select("incoming", "identity", "ratio", "common").collect()] == [(11, 2, 1.0, 6)]
