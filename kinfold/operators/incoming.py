@@ -63,9 +63,15 @@ def resolve_identity(incoming: DataFrame, identities: DataFrame, alternates: Dat
     asked = rows.select("id", "source", F.explode(F.array(F.concat(F.lit("="), "source_id"), F.concat(F.lit("~"), "key"))).alias("k"))
     exact = asked.join(keyed.groupBy("source", "k").agg(F.min("found").alias("found")), ["source", "k"]).groupBy("id").agg(F.min("found").alias("exact"))
     other = rows.join(alternates.groupBy("source", "source_id").agg(F.min("identity_id").alias("alternate")), ["source", "source_id"]).select("id", "alternate")
-    owned = external.join(identities.select(C("id").alias("identity_id"), "series_id"), "identity_id").select("provider", "value", "series_id").distinct()
-    shared = incoming_external.select("id", "provider", "value").join(owned, ["provider", "value"]).join(rows.select("id", "source"), "id")
-    shared = shared.join(identities.select("series_id", "source").distinct(), ["series_id", "source"], "left_anti").groupBy("id").agg(F.min(F.struct("provider", "series_id")).alias("x")).select("id", C("x.series_id").alias("shared"))
+    # Series of one shared id with the same sources count as their least, so an id of many series meets few of them.
+    taken = identities.groupBy("series_id").agg(F.array_sort(F.collect_set("source")).alias("taken"))
+    owned = external.join(identities.select(C("id").alias("identity_id"), "series_id"), "identity_id").join(taken, "series_id", "left")
+    kinds = owned.groupBy("provider", "value", "taken").agg(F.min(F.struct("series_id")).alias("least"))
+    asks = incoming_external.select("id", "provider", "value").join(rows.select("id", "source"), "id")
+    free = asks.select("provider", "value", "source").distinct().join(kinds, ["provider", "value"]).filter(~F.coalesce(F.array_contains("taken", C("source")), F.lit(False)))
+    free = free.groupBy(C("provider").alias("__p"), C("value").alias("__v"), C("source").alias("__s")).agg(F.min("least").alias("least"))
+    shared = asks.join(free.hint("merge"), (C("provider") == C("__p")) & (C("value") == C("__v")) & C("source").eqNullSafe(C("__s")))
+    shared = shared.groupBy("id").agg(F.min(F.struct("provider", "least")).alias("x")).select("id", C("x.least.series_id").alias("shared"))
     out = rows.join(exact, "id", "left").join(other, "id", "left").join(equivalents.select(C("incoming").alias("id"), C("identity").alias("equivalent")), "id", "left").join(shared, "id", "left")
     out = out.withColumn("identity_id", F.coalesce("exact", "alternate", "equivalent"))
     out = out.join(identities.select(C("id").alias("identity_id"), C("series_id").alias("known")), "identity_id", "left")

@@ -115,3 +115,25 @@ def test_a_listing_reads_children_once(spark, tmp_path):
     out = N.equivalent_listing(incoming, i, spark.read.parquet(str(tmp_path / "given")), spark.createDataFrame([], "identity_id bigint, provider string, value string"))
     assert "/given" not in plan(out)
     assert [tuple(x) for x in out.select("incoming", "identity", "ratio", "common").collect()] == [(11, 2, 1.0, 6)]
+
+
+def test_a_shared_external_id_of_many(spark):
+    """200 listings and 200 series of one external id met one by one, to find the least series that has no such source."""
+    r = random.Random(3)
+    own = [(i, i // 8, r.choice(["alpha", "beta", "gamma", None]), f"k{i}") for i in range(400)]
+    listed = [(1000 + i, r.choice(["alpha", "beta", "gamma", "delta", None]), f"new{i}") for i in range(200)]
+    i = spark.createDataFrame(own, "id bigint, series_id bigint, source string, source_id string")
+    incoming = spark.createDataFrame(listed, "id bigint, source string, source_id string")
+    ids = [(k, r.choice("pq"), r.choice(["1", "2"])) for k, *_ in own if k > 7 and k % 2]
+    asked = [(k, p, "1") for k, *_ in listed for p in "pq"]
+    ext = lambda rows, c: spark.createDataFrame(rows, f"{c} bigint, provider string, value string")
+    alternates, equivalents = spark.createDataFrame([], "source string, source_id string, identity_id bigint"), spark.createDataFrame([], "incoming bigint, identity bigint")
+    out = N.resolve_identity(incoming, i, alternates, equivalents, ext(ids, "identity_id"), ext(asked, "id"))
+    assert "LeftAnti" not in plan(out)
+    has = {(s, x) for _, s, x, _ in own if x is not None}
+    series = {k: s for k, s, _, _ in own}
+    want = {}
+    for k, source, _ in listed:
+        found = sorted((p, series[j]) for j, p, v in ids if v == "1" and (series[j], source) not in has)
+        want[k] = found[0][1] if found else None
+    assert {x.id: x.series_id for x in out.collect() if x.how == "external_id"} == {k: s for k, s in want.items() if s is not None} and len(set(want.values())) > 2
