@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import text as T
 from kinfold.operators.blocking import evidence_profiles
 from kinfold.operators.resolve import duplicate_evidence
-from kinfold.operators.sets import gathered
+from kinfold.operators.sets import gathered, key_meetings
 from kinfold.operators.windows import first_row
 from kinfold.session import write_table
 
@@ -91,15 +91,20 @@ def sync_external_ids(current: DataFrame, wanted: DataFrame) -> DataFrame:
     return current.join(free, ["identity_id", "provider"], "full").select("identity_id", "provider", F.coalesce("want", "value").alias("value"))
 
 
-def block_cover_band(probes: DataFrame, identities: DataFrame, signatures: DataFrame, most: int = 200, prefix: int = 12) -> DataFrame:
-    """E5: (a, b): for each probe (id) its first `most` identities by id, of another source and series, that share a band
-    of the cover hash (signatures: id, bands) or begin with the same letters of the normalised title. Of a key and source only
-    the rows that can be among the first are joined, as one list a key, of which a probe takes `most`."""
+def block_cover_band(probes: DataFrame, identities: DataFrame, signatures: DataFrame, most: int | None = None, prefix: int = 12) -> DataFrame:
+    """E5: (a, b): for each probe (id) the identities of another source and series that share a band of the cover hash
+    (signatures: id, bands) or begin with the same letters of the normalised title, each once. Pairs are made last, tile by tile
+    of a key. With `most` a probe has the first `most` of them by id: of a key and source only the rows that can be among these
+    are joined, as one list a key."""
     rows = identities.select("id", "source", "series_id", F.substring(T.normalize_title(C("title")), 1, prefix).alias("t")).join(signatures.select("id", "bands"), "id", "left")
     titled = F.when(C("t") != "", F.concat(F.lit("t:"), "t"))
     keys = F.array_append(F.transform(F.coalesce("bands", F.array().cast("array<string>")), lambda b, i: F.when(b != "", F.concat_ws(":", i.cast("string"), b))), titled)
     rows = rows.select("id", "source", "series_id", F.explode(F.array_compact(keys)).alias("k"))
     own = rows.join(probes.select("id").distinct(), "id", "left_semi")
+    if most is None:
+        met = key_meetings(own, rows, ["id", "source", "series_id"], ["source", "series_id"])
+        repeated = identities.groupBy("id").agg(F.count_distinct(F.struct("source", "series_id")).alias("n")).filter("n > 1")
+        return met if repeated.isEmpty() else met.distinct()  # else no two rows of one id can make the same pair
     few = _first_of_keys(_first_of_keys(rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))), most, ["k", "source", "salt"]), most, ["k", "source"])
     listed = few.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("id", "source", "series_id"))).alias("ys"))  # some 2 * most a source
     others = F.filter("ys", lambda y: (y["source"] != C("source")) & (y["series_id"] != C("series_id")))

@@ -80,7 +80,7 @@ Q.add(
     "e05_block_cover_band", lambda v: R.block_cover_band(v("signature"), v("identity"), _bands(v)),
     f"""WITH d AS (SELECT id, source, series_id, substr({_norm('title')}, 1, 12) AS t FROM {{identity}}), r AS (SELECT d.*, k FROM d JOIN ({_BANDS}) USING (id) UNION ALL SELECT *, 't:' || t FROM d WHERE t <> ''),
     m AS (SELECT DISTINCT x.id AS a, y.id AS b FROM r x JOIN r y ON x.k = y.k AND x.source <> y.source AND x.series_id <> y.series_id WHERE x.id IN (SELECT id FROM {{signature}}))
-    SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b) AS rn FROM m) WHERE rn <= 200""",
+    SELECT a, b FROM m""",
 )
 Q.add("e05_cover_shortlist", lambda v: R.cover_shortlist(R.block_cover_band(v("signature"), v("identity"), _bands(v)), v("identity"), v("signature")))
 _TERM = f"SELECT DISTINCT unnest(string_split({_norm('title')}, ' ')) AS term FROM {{series}} WHERE id IN (4, 10)"

@@ -137,3 +137,12 @@ def test_a_shared_external_id_of_many(spark):
         found = sorted((p, series[j]) for j, p, v in ids if v == "1" and (series[j], source) not in has)
         want[k] = found[0][1] if found else None
     assert {x.id: x.series_id for x in out.collect() if x.how == "external_id"} == {k: s for k, s in want.items() if s is not None} and len(set(want.values())) > 2
+
+
+def test_cover_blocks_have_no_cap(spark):
+    """A probe with 250 partners had the first 200; an id with two rows gives a pair once."""
+    rows = [(i, "ab"[i % 2], i // 3, "Some Title", ["x", None, str(i % 9)]) for i in range(500)] + [(499, "a", 900, "Some Title", ["x"])]
+    df = spark.createDataFrame(rows, "id bigint, source string, series_id bigint, title string, bands array<string>")
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] in (3, 4, 499) and a[1] != b[1] and a[2] != b[2]}
+    got = N.block_cover_band(df.filter("id IN (3, 4, 499)").select("id"), df, df.select("id", "bands"))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 600
