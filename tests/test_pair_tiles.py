@@ -12,7 +12,7 @@ from kinfold.operators import blocking as B
 from kinfold.operators import incoming as N
 from kinfold.operators import relational as R
 from kinfold.operators import resolve as E
-from kinfold.operators.sets import gathered, key_meetings, key_pairs
+from kinfold.operators.sets import gathered, key_meetings, key_pairs, keys_listed, tile_counts, tiles
 
 
 def plan(df):
@@ -34,6 +34,17 @@ def joined_rows(df):
     return rows, found[0]
 
 
+def test_both_sides_cut_the_same_pieces(spark):
+    """Lists are gathered in the order in which blocks arrive, in a cluster another one for each side of a join."""
+    r = random.Random(2)
+    ids = r.sample(range(1000), 300)
+    df = spark.createDataFrame([(i, "k") for i in ids], "id bigint, k string")
+    listed = keys_listed(df, ["id"], "k")
+    sides = [tiles(x, ["id"], "k", tile_counts(x, "k")) for x in (listed, listed.orderBy(F.desc("id")).coalesce(1))]
+    cut = [sorted(tuple(x.ids) for x in side.collect()) for side in sides]
+    assert cut[0] == cut[1] == sorted(tuple(sorted(ids)[k : k + 64]) for k in range(0, 300, 64))
+
+
 @pytest.mark.parametrize("tile", [1, 7, 5000])
 def test_tiles_of_a_key_hold_every_pair_once(spark, tile):
     r = random.Random(tile)
